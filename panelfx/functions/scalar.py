@@ -14,10 +14,11 @@ from ._util import col
 DAY_EPOCH = _dt.date(1960, 1, 1)
 
 
-def index_to_date(index, base: _dt.date | str, offset: int = 0) -> Column:
-    """A day index (e.g. the numeric suffix of a wide column) -> DATE base + offset + index."""
+def index_to_date(index, base: _dt.date | str, offset: int = 0, step_days: int = 1) -> Column:
+    """A time index (e.g. the numeric suffix of a wide column) -> DATE
+    base + (index + offset) * step_days."""
     b = F.lit(base if isinstance(base, str) else base.isoformat()).cast("date")
-    return F.date_add(b, (col(index) + F.lit(offset)).cast("int"))
+    return F.date_add(b, ((col(index) + F.lit(offset)) * F.lit(step_days)).cast("int"))
 
 
 def epoch_day_to_date(days) -> Column:
@@ -31,7 +32,7 @@ def date_to_epoch_day(d) -> Column:
 
 def parse_date(c, fmt: str = "yyyyMMdd") -> Column:
     """Number or text -> DATE. Unparseable input gives null instead of failing the job."""
-    return F.try_to_date(col(c).cast("string"), F.lit(fmt)) if hasattr(F, "try_to_date") \
+    return F.try_to_date(col(c).cast("string"), fmt) if hasattr(F, "try_to_date") \
         else F.to_date(col(c).cast("string"), fmt)
 
 

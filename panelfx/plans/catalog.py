@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ratio
-from ..operators import series
+from ..functions import (clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
+                         parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
+from ..operators import aggregate, events, merge, panel, quality, series
 from ..sources import testpanel as tp
+from ..sources.io import read_table
 
 SPEC = tp.SPEC
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +81,291 @@ def q_rolling_sums(spark, sf):
                     series.rolling_sum_expr(SPEC, "k", 14).alias("k_roll14"))
 
 
+def _completed(spark, sf, fill=True) -> DataFrame:
+    """Balanced panel: every unit x every week of the span; absent weeks get n = k = mob = 0
+    (or stay null with fill=False); the exposure is computed after completion."""
+    p = tp.order_panel(spark, sf, with_dose=False).drop("wk")
+    c = panel.complete_panel(p, SPEC, fill={"n": 0, "k": 0, "mob": 0.0} if fill else None, flag="added")
+    c = c.withColumn("wk", index_to_date("t", tp.WEEK0, 0, 7))
+    return c.withColumn("dose", tp.dose_expr()) if fill else c
+
+
+def _smoothed(spark, sf) -> DataFrame:
+    p = tp.order_panel(spark, sf, with_dose=False).select("u", "t", "k", "n")
+    p = p.withColumns({"k7": series.rolling_sum_expr(SPEC, "k", 7), "n7": series.rolling_sum_expr(SPEC, "n", 7)})
+    return p.withColumn("n7_lag7", series.lag_expr(SPEC, "n7", 7))
+
+
+def _labelled(spark, sf) -> DataFrame:
+    return tp.order_panel(spark, sf, with_dose=False).join(tp.unit_labels(spark, sf), "u")
+
+
+EXPOSURES = {"p50": 50.0, "p70": 70.0, "p90": 90.0}
+
+
+# ---------------------------------------------------------------- step 2: panel
+
+def q_wide_to_long(spark, sf):
+    """P1 + P2: running totals pivoted to one column per week (v5, v6, ...), then back to long."""
+    p = _cumulative(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "delta"))
+    wide = (p.withColumn("day", F.col("t") + 5).groupBy("u").pivot("day").agg(F.first("cum")))
+    wide = wide.withColumnsRenamed({c: f"v{c}" for c in wide.columns if c != "u"})
+    long = panel.wide_to_long(wide, ["u"], "v", "day", "cum")
+    return long.withColumn("wk", index_to_date("day", tp.WEEK0, -5, 7))
+
+
+def q_panel_duplicates(spark, sf):
+    """(customer, order week) keys that are not unique in orders."""
+    o = read_table(spark, sf, "orders", ["o_custkey", "o_orderdate"])
+    o = o.select("o_custkey", F.to_date(F.date_trunc("week", "o_orderdate")).alias("wk"))
+    return panel.duplicate_keys(o, ["o_custkey", "wk"])
+
+
+REGION_CODES = {"AFRICA": "AF", "AMERICA": "AM", "ASIA": "AS", "EUROPE": "EU"}
+
+
+def q_recode_names(spark, sf):
+    """Value recode map applied to the unit's region name (unmapped values kept)."""
+    p = _labelled(spark, sf).select("u", "t", "r_name")
+    return panel.recode(p, "r_name", REGION_CODES, out="region")
+
+
+def q_parse_dates(spark, sf):
+    """yyyyMMdd numbers back to dates."""
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_orderdate"])
+    d8 = (F.year("o_orderdate") * 10000 + F.month("o_orderdate") * 100 + F.dayofmonth("o_orderdate")).cast("bigint")
+    return o.select("o_orderkey", d8.alias("d8")).withColumn("parsed", parse_date("d8"))
+
+
+def q_iso_weeks(spark, sf):
+    """P10 + P11: ISO week number of the week start and time relative to week 200."""
+    p = tp.order_panel(spark, sf, with_dose=False)
+    return p.select("u", "t", iso_week("wk").alias("week"), relative_time("t", 200).alias("rel"))
+
+
+def q_exposure_flags(spark, sf):
+    """P12 + P13: exposure threshold flags and the negative-step flag."""
+    p = tp.order_panel(spark, sf)
+    return p.select("u", "t", *[threshold_flag("dose", c).alias(n) for n, c in EXPOSURES.items()],
+                    sign_flag("delta").alias("neg"))
+
+
+def q_unit_labels(spark, sf):
+    """P14 + P9 + P16: cleaned label, eligibility flag and dense unit id."""
+    p = _labelled(spark, sf).select("u", "t", "n_name", "r_name")
+    p = p.withColumns({
+        "label": clean_label("n_name", "r_name", remove=[" ", "_"]),
+        "eligible": member_flag("n_name", tp.EXPOSED_NATIONS, F.col("r_name") == tp.EXPOSED_REGION),
+    })
+    return panel.dense_unit_id(p, ["n_name", "r_name"], out="id")
+
+
+def q_melt_outcomes(spark, sf):
+    """Two ratio measures as (outcome, Y) rows, scaled by 1000."""
+    p = _smoothed(spark, sf).select("u", "t", ratio("k7", "n7_lag7", "ieee").alias("ratio7_lag7"),
+                                    ratio("k7", "n7", "ieee").alias("ratio7_same"))
+    return panel.melt_outcomes(p, ["u", "t"], ["ratio7_lag7", "ratio7_same"], scale=1000.0)
+
+
+def q_complete_panel(spark, sf):
+    """Balanced unit x week panel, zero-filled, exposure after completion."""
+    return _completed(spark, sf).select("u", "t", "wk", "n", "k", "delta", "mob", "dose", "added")
+
+
+def q_interpolate_gaps(spark, sf):
+    """Single missing weeks filled with the mean of their neighbours."""
+    c = _completed(spark, sf, fill=False).select("u", "t", "n", "mob")
+    return series.interpolate_gap(c, SPEC, ["n", "mob"])
+
+
+def q_panel_gaps(spark, sf):
+    """Unit-weeks absent from the panel."""
+    return panel.panel_gaps(tp.order_panel(spark, sf, with_dose=False), SPEC)
+
+
+# ---------------------------------------------------------------- step 3: merges
+
+def _two_sources(spark, sf):
+    left = tp.order_panel(spark, sf, with_dose=False).select("u", "t", "wk", "n", "k", "delta", "mob")
+    right = tp.shipment_panel(spark, sf).select("u", "t", "wk", "n", "k", "mob")
+    return left, right
+
+
+def q_merge_all(spark, sf):
+    """Full 1:1 merge, left value wins on shared columns, with a merge indicator."""
+    l_, r_ = _two_sources(spark, sf)
+    return merge.merge_one_to_one(l_, r_, ["u", "t"], "all", indicator="_merge")
+
+
+def q_merge_match(spark, sf):
+    """Matched rows only."""
+    l_, r_ = _two_sources(spark, sf)
+    return merge.merge_one_to_one(l_, r_, ["u", "t"], "match")
+
+
+def q_merge_left(spark, sf):
+    """Left rows with their matches."""
+    l_, r_ = _two_sources(spark, sf)
+    return merge.merge_one_to_one(l_, r_, ["u", "t"], "left", indicator="_merge")
+
+
+def q_natural_join_totals(spark, sf):
+    """Unit totals joined back on the shared key."""
+    p = tp.order_panel(spark, sf, with_dose=False).select("u", "t", "k")
+    tot = aggregate.unit_totals(p, SPEC, "k", "total_k")
+    return merge.natural_left_join(p, tot)
+
+
+def q_null_safe_join(spark, sf):
+    """Natural left join where null keys match null keys."""
+    c = _completed(spark, sf, fill=False).select("u", "t", "delta")
+    counts = c.groupBy("u", "delta").agg(F.count(F.lit(1)).alias("n_weeks"))
+    return merge.natural_left_join(c, counts, null_safe=True)
+
+
+def q_drop_bad_units(spark, sf):
+    """J7 + D2: drop every unit that still has a negative step after the 'previous' repair."""
+    p = _cumulative(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "delta"))
+    p = p.withColumn("step", series.decumulate_expr(SPEC, "cum", "zero"))
+    p = p.withColumn("step", series.repair_negative_expr(SPEC, "step", "previous"))
+    bad = quality.units_failing(p, SPEC, F.col("step") < 0)
+    return merge.drop_matching(p, bad, ["u"])
+
+
+def q_append_sources(spark, sf):
+    """Rows of both sources stacked by name; columns missing on one side are null."""
+    l_, r_ = _two_sources(spark, sf)
+    return merge.append(l_.withColumn("source", F.lit("orders")), r_.withColumn("source", F.lit("lines")))
+
+
+def q_distinct_values(spark, sf):
+    """Distinct (nation, segment) pairs of the customers."""
+    c = read_table(spark, sf, "customer", ["c_nationkey", "c_mktsegment"])
+    return merge.distinct_values(c, ["c_nationkey", "c_mktsegment"])
+
+
+# ---------------------------------------------------------------- step 4: aggregates
+
+def _steps_null(spark, sf):
+    p = _cumulative(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "delta"))
+    p = p.withColumn("step", series.decumulate_expr(SPEC, "cum", "zero"))
+    return p.withColumn("step_null", series.repair_negative_expr(SPEC, "step", "null"))
+
+
+def q_strict_unit_sum(spark, sf):
+    """G1: NA-propagating unit sum next to the skipping sum."""
+    p = _steps_null(spark, sf)
+    return aggregate.group_agg(p, ["u"], {"total_strict": ("sum", "step_null")}, strict=True).join(
+        aggregate.group_agg(p, ["u"], {"total_skip": ("sum", "step_null")}, strict=False), "u")
+
+
+def q_weekly_resample(spark, sf):
+    """Daily unit series down-sampled to weeks (strict means)."""
+    d = tp.order_panel_daily(spark, sf).withColumn("delta_pos", null_if_negative("delta"))
+    return aggregate.resample(d, tp.PanelSpec("u", "day"), F.to_date(F.date_trunc("week", "day")),
+                              {"n_mean": "n", "k_mean": "k", "delta_mean": "delta_pos"},
+                              how="mean", strict=True, period_name="wk")
+
+
+def q_unit_means(spark, sf):
+    """Per-unit means (missing values skipped)."""
+    p = _completed(spark, sf)
+    return aggregate.group_agg(p, ["u"], {"dose_mean": ("mean", "dose"), "n_mean": ("mean", "n"),
+                                          "delta_mean": ("mean", "delta")})
+
+
+def q_unit_mean_attached(spark, sf):
+    """The unit's mean exposure on every row."""
+    p = _completed(spark, sf).select("u", "t", "dose")
+    return aggregate.group_stat(p, ["u"], "dose", "mean", out="dose_unit_mean")
+
+
+def q_negative_summary(spark, sf):
+    """Summary statistics of the negative steps, per unit."""
+    p = _steps_null(spark, sf)
+    s = aggregate.summarize(p, "step", where=F.col("step") < 0, by=["u"])
+    return s.withColumn("sd", F.round("sd", 10)).withColumn("mean", F.round("mean", 10))
+
+
+def q_units_by_total(spark, sf):
+    """keep units whose total numerator reaches 200."""
+    p = tp.order_panel(spark, sf, with_dose=False).select("u", "t", "k", "n")
+    return aggregate.filter_units_by_total(p, SPEC, "k", 200, out="total_k")
+
+
+# ---------------------------------------------------------------- step 5: quality
+
+def _ratios(spark, sf):
+    """Smoothed ratios on the zero-filled balanced panel (zero denominators occur there)."""
+    p = _completed(spark, sf).select("u", "t", "k", "n", "delta")
+    p = p.withColumns({"k7": series.rolling_sum_expr(SPEC, "k", 7), "n7": series.rolling_sum_expr(SPEC, "n", 7)})
+    p = p.withColumn("n7_lag7", series.lag_expr(SPEC, "n7", 7))
+    return p.select("u", "t", "k7", "n7", "n7_lag7",
+                    ratio("k7", "n7_lag7", "ieee").alias("r_lag"), ratio("k7", "n7", "ieee").alias("r_same"))
+
+
+def q_ratio_rules(spark, sf):
+    """N1 (null mode) + N2 + N3 on the panel's ratios."""
+    p = _ratios(spark, sf).join(_completed(spark, sf).select("u", "t", "k", "delta"), ["u", "t"])
+    return p.select("u", "t",
+                    ratio("k", "delta", "null").alias("r_null"),
+                    null_if_negative(ratio("k", "delta", "null")).alias("r_nonneg"),
+                    zero_over_zero("k7", "n7_lag7", "r_lag").alias("r_zz"),
+                    finite_or_null(zero_over_zero("k7", "n7_lag7", "r_lag")).alias("r_finite"))
+
+
+def q_negative_rows(spark, sf):
+    """Rows with a negative step."""
+    p = _steps_null(spark, sf).select("u", "t", "cum", "step")
+    return quality.report_negative(p, ["step"])
+
+
+def q_outlier_units(spark, sf):
+    """D3: units with a ratio above 1 (+Inf counts, NaN does not)."""
+    return quality.units_failing(_ratios(spark, sf), SPEC, quality.outlier_cond(["r_lag", "r_same"]))
+
+
+def q_nan_units(spark, sf):
+    """D4 before the 0/0 rule."""
+    return quality.units_failing(_ratios(spark, sf), SPEC, quality.nan_cond(["r_lag", "r_same"]))
+
+
+def q_nan_units_after(spark, sf):
+    """D4 after the 0/0 rule."""
+    p = _ratios(spark, sf)
+    p = p.withColumns({"r_lag": zero_over_zero("k7", "n7_lag7", "r_lag"),
+                       "r_same": zero_over_zero("k7", "n7", "r_same")})
+    return quality.units_failing(p, SPEC, quality.nan_cond(["r_lag", "r_same"]))
+
+
+def q_inf_units(spark, sf):
+    """Units with an infinite ratio."""
+    return quality.units_failing(_ratios(spark, sf), SPEC, quality.inf_cond(["r_lag", "r_same"]))
+
+
+# ---------------------------------------------------------------- step 6: events
+
+def _flagged(spark, sf):
+    c = _completed(spark, sf)
+    return c.withColumns({n: threshold_flag("dose", cut) for n, cut in EXPOSURES.items()})
+
+
+def q_first_exposure(spark, sf):
+    """First week each unit crosses each exposure cut."""
+    return events.first_exposure(_flagged(spark, sf), SPEC, {n: n for n in EXPOSURES})
+
+
+def q_mark_first_exposure(spark, sf):
+    """First-exposure markers on the panel rows."""
+    p = _flagged(spark, sf).select("u", "t", "dose", *EXPOSURES)
+    return events.mark_first_exposure(p, SPEC, {n: n for n in EXPOSURES})
+
+
+def q_first_rows(spark, sf):
+    """Each unit's first row."""
+    return events.first_rows(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "n"), SPEC)
+
+
 QUERIES: dict[str, Query] = {
     "test_panel": q_test_panel,
     "smoothed_ratio": q_smoothed_ratio,
@@ -87,4 +374,38 @@ QUERIES: dict[str, Query] = {
     "repair_negative": q_repair_negative,
     "lagged_measures": q_lagged_measures,
     "rolling_sums": q_rolling_sums,
+    "wide_to_long": q_wide_to_long,
+    "panel_duplicates": q_panel_duplicates,
+    "recode_names": q_recode_names,
+    "parse_dates": q_parse_dates,
+    "iso_weeks": q_iso_weeks,
+    "exposure_flags": q_exposure_flags,
+    "unit_labels": q_unit_labels,
+    "melt_outcomes": q_melt_outcomes,
+    "complete_panel": q_complete_panel,
+    "interpolate_gaps": q_interpolate_gaps,
+    "panel_gaps": q_panel_gaps,
+    "merge_all": q_merge_all,
+    "merge_match": q_merge_match,
+    "merge_left": q_merge_left,
+    "natural_join_totals": q_natural_join_totals,
+    "null_safe_join": q_null_safe_join,
+    "drop_bad_units": q_drop_bad_units,
+    "append_sources": q_append_sources,
+    "distinct_values": q_distinct_values,
+    "strict_unit_sum": q_strict_unit_sum,
+    "weekly_resample": q_weekly_resample,
+    "unit_means": q_unit_means,
+    "unit_mean_attached": q_unit_mean_attached,
+    "negative_summary": q_negative_summary,
+    "units_by_total": q_units_by_total,
+    "ratio_rules": q_ratio_rules,
+    "negative_rows": q_negative_rows,
+    "outlier_units": q_outlier_units,
+    "nan_units": q_nan_units,
+    "nan_units_after": q_nan_units_after,
+    "inf_units": q_inf_units,
+    "first_exposure": q_first_exposure,
+    "mark_first_exposure": q_mark_first_exposure,
+    "first_rows": q_first_rows,
 }

@@ -94,3 +94,221 @@ FROM panel {W}"""
 SQL["rolling_sums"] = with_(PANEL) + f"""
 SELECT u, t, {roll('n', 7)} AS n_roll7, {roll('k', 7)} AS k_roll7, {roll('n', 14)} AS n_roll14,
        {roll('k', 14)} AS k_roll14 FROM panel"""
+
+
+# ------------------------------------------------------------------ more shared CTEs
+
+CPANEL = """
+units_ AS (SELECT DISTINCT u FROM p0_),
+b_ AS (SELECT min(t) AS lo, max(t) AS hi FROM p0_),
+g0_ AS (SELECT u, unnest(generate_series(lo, hi)) AS t FROM units_, b_),
+grid_ AS (SELECT u, CAST(t AS INTEGER) AS t FROM g0_),
+cpn_ AS (SELECT g.u, g.t, DATE '1994-12-26' + CAST(7 * g.t AS INTEGER) AS wk, p.n, p.k, p.delta, p.mob,
+                CASE WHEN p.u IS NULL THEN 1 ELSE 0 END AS added
+         FROM grid_ g LEFT JOIN p0_ p ON g.u = p.u AND g.t = p.t),
+cp0_ AS (SELECT u, t, wk, coalesce(n, 0) AS n, coalesce(k, 0) AS k, delta, coalesce(mob, 0.0) AS mob, added FROM cpn_),
+cpanel AS (
+  SELECT *, CASE WHEN u % 5 = 3 AND t >= 200 + u AND t < 205 + u THEN CAST(60.0 + (t % 5) * 10 AS DOUBLE)
+                 ELSE CAST((n * 7) % 40 AS DOUBLE) END AS dose
+  FROM cp0_)"""
+
+SMOOTH = f"""
+r_ AS (SELECT u, t, k, n, {roll('k', 7)} AS k7, {roll('n', 7)} AS n7 FROM panel),
+l_ AS (SELECT *, lag(n7, 7) OVER w AS n7_lag7 FROM r_ {W})"""
+
+LAB = """
+lab_ AS (SELECT CAST(n_nationkey AS INTEGER) AS u, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+SHIP = """
+s_ AS (
+  SELECT CAST(s_nationkey AS INTEGER) AS u, CAST(date_trunc('week', l_shipdate) AS DATE) AS wk,
+         CAST(count(*) AS BIGINT) AS n,
+         CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS k,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS mob
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+ship AS (SELECT *, CAST(datediff('day', DATE '1994-12-26', wk) // 7 AS INTEGER) AS t FROM s_)"""
+
+STEPS = f"""
+st_ AS (SELECT u, t, delta, cum,
+               CASE WHEN row_number() OVER w = 1 THEN cum - cum ELSE cum - lag(cum) OVER w END AS step
+        FROM cum_ {W}),
+sn_ AS (SELECT *, CASE WHEN step >= 0 THEN step END AS step_null FROM st_)"""
+
+CSMOOTH = f"""
+cr_ AS (SELECT u, t, k, n, {roll('k', 7)} AS k7, {roll('n', 7)} AS n7 FROM cpanel),
+cl_ AS (SELECT *, lag(n7, 7) OVER w AS n7_lag7 FROM cr_ {W})"""
+
+RATIOS = f"""
+ra_ AS (SELECT u, t, k7, n7, n7_lag7, {ieee('k7', 'n7_lag7')} AS r_lag, {ieee('k7', 'n7')} AS r_same FROM cl_)"""
+
+EXPOSURES = {"p50": 50, "p70": 70, "p90": 90}
+
+
+def flag(c: str, cut) -> str:
+    return f"(CASE WHEN isnan({c}) THEN NULL WHEN {c} >= {cut} THEN 1 WHEN {c} < {cut} THEN 0 END)"
+
+
+FLAGGED = """
+fl_ AS (SELECT u, t, dose, """ + ", ".join(f"{flag('dose', c)} AS {n}" for n, c in EXPOSURES.items()) + """ FROM cpanel),
+ev_ AS (SELECT u, """ + ", ".join(f"min(CASE WHEN {n} = 1 THEN t END) AS {n}" for n in EXPOSURES) + """ FROM fl_ GROUP BY u)"""
+
+# ------------------------------------------------------------------ step 2: panel
+
+SQL["wide_to_long"] = with_(PANEL, CUM, """
+us_ AS (SELECT DISTINCT u FROM cum_), ts_ AS (SELECT DISTINCT t FROM cum_)""") + """
+SELECT us_.u, ts_.t + 5 AS day, c.cum, DATE '1994-12-26' + CAST(7 * ts_.t AS INTEGER) AS wk
+FROM us_ CROSS JOIN ts_ LEFT JOIN cum_ c ON c.u = us_.u AND c.t = ts_.t"""
+
+SQL["panel_duplicates"] = """
+SELECT o_custkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS wk, count(*) AS n_rows
+FROM orders GROUP BY 1, 2 HAVING count(*) > 1"""
+
+SQL["recode_names"] = with_(PANEL, LAB) + """
+SELECT p.u, p.t, l.r_name,
+       CASE l.r_name WHEN 'AFRICA' THEN 'AF' WHEN 'AMERICA' THEN 'AM' WHEN 'ASIA' THEN 'AS' WHEN 'EUROPE' THEN 'EU'
+            ELSE l.r_name END AS region
+FROM panel p JOIN lab_ l ON p.u = l.u"""
+
+_D8 = "CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS BIGINT)"
+SQL["parse_dates"] = f"""
+SELECT o_orderkey, {_D8} AS d8, CAST(try_strptime(CAST({_D8} AS VARCHAR), '%Y%m%d') AS DATE) AS parsed FROM orders"""
+
+SQL["iso_weeks"] = with_(PANEL) + "SELECT u, t, CAST(week(wk) AS INTEGER) AS week, t - 200 AS rel FROM panel"
+
+SQL["exposure_flags"] = with_(PANEL) + "SELECT u, t, " + ", ".join(
+    f"{flag('dose', c)} AS {n}" for n, c in EXPOSURES.items()) + \
+    ", CASE WHEN delta < 0 THEN 1 ELSE 0 END AS neg FROM panel"
+
+_ELIG = "('NATION_3', 'NATION_8', 'NATION_13', 'NATION_18', 'NATION_23')"
+SQL["unit_labels"] = with_(PANEL, LAB, """
+pl_ AS (SELECT p.u, p.t, l.n_name, l.r_name FROM panel p JOIN lab_ l ON p.u = l.u)""") + f"""
+SELECT u, t, n_name, r_name, replace(replace(n_name || r_name, ' ', ''), '_', '') AS label,
+       CASE WHEN n_name IN {_ELIG} AND r_name = 'EUROPE' THEN 'Yes' ELSE 'No' END AS eligible,
+       CAST(dense_rank() OVER (ORDER BY n_name, r_name) AS INTEGER) AS id
+FROM pl_"""
+
+SQL["melt_outcomes"] = with_(PANEL, SMOOTH, f"""
+m_ AS (SELECT u, t, {ieee('k7', 'n7_lag7')} AS ratio7_lag7, {ieee('k7', 'n7')} AS ratio7_same FROM l_)""") + """
+SELECT u, t, 'ratio7_lag7' AS outcome, ratio7_lag7 * 1000.0 AS Y FROM m_
+UNION ALL SELECT u, t, 'ratio7_same' AS outcome, ratio7_same * 1000.0 AS Y FROM m_"""
+
+SQL["complete_panel"] = with_(PANEL, CPANEL) + "SELECT u, t, wk, n, k, delta, mob, dose, added FROM cpanel"
+
+SQL["interpolate_gaps"] = with_(PANEL, CPANEL) + f"""
+SELECT u, t, coalesce(n, (lag(n) OVER w + lead(n) OVER w) / 2.0) AS n,
+       coalesce(mob, (lag(mob) OVER w + lead(mob) OVER w) / 2.0) AS mob
+FROM cpn_ {W}"""
+
+SQL["panel_gaps"] = with_(PANEL, CPANEL) + "SELECT u, t FROM grid_ EXCEPT ALL SELECT u, t FROM p0_"
+
+# ------------------------------------------------------------------ step 3: merges
+
+_L = "(SELECT u, t, wk, n, k, delta, mob FROM p0_)"
+
+
+def _merge_sql(how: str, indicator: bool) -> str:
+    ind = (", CASE WHEN l.u IS NOT NULL AND r.u IS NOT NULL THEN 3 WHEN l.u IS NOT NULL THEN 1 ELSE 2 END AS _merge"
+           if indicator else "")
+    pick = ", ".join(f"CASE WHEN l.u IS NOT NULL THEN l.{c} ELSE r.{c} END AS {c}" for c in ["wk", "n", "k", "mob"])
+    return with_(PANEL, SHIP) + f"""
+SELECT coalesce(l.u, r.u) AS u, coalesce(l.t, r.t) AS t, {pick}, l.delta{ind}
+FROM {_L} l {how} JOIN ship r ON l.u = r.u AND l.t = r.t"""
+
+
+SQL["merge_all"] = _merge_sql("FULL OUTER", True)
+SQL["merge_match"] = _merge_sql("INNER", False)
+SQL["merge_left"] = _merge_sql("LEFT", True)
+
+SQL["natural_join_totals"] = with_(PANEL) + """
+SELECT p.u, p.t, p.k, tot.total_k
+FROM panel p LEFT JOIN (SELECT u, CAST(sum(k) AS BIGINT) AS total_k FROM panel GROUP BY u) tot ON p.u = tot.u"""
+
+SQL["null_safe_join"] = with_(PANEL, CPANEL, """
+c_ AS (SELECT u, t, delta FROM cpn_),
+cnt_ AS (SELECT u, delta, count(*) AS n_weeks FROM c_ GROUP BY u, delta)""") + """
+SELECT c_.u, c_.t, c_.delta, cnt_.n_weeks
+FROM c_ LEFT JOIN cnt_ ON c_.u IS NOT DISTINCT FROM cnt_.u AND c_.delta IS NOT DISTINCT FROM cnt_.delta"""
+
+SQL["drop_bad_units"] = with_(PANEL, CUM, STEPS, f"""
+rp_ AS (SELECT u, t, delta, cum, CASE WHEN step < 0 THEN lag(step) OVER w ELSE step END AS step FROM st_ {W})""") + """
+SELECT u, t, delta, cum, step FROM rp_ WHERE u NOT IN (SELECT DISTINCT u FROM rp_ WHERE step < 0)"""
+
+SQL["append_sources"] = with_(PANEL, SHIP) + """
+SELECT u, t, wk, n, k, delta, mob, 'orders' AS source FROM p0_
+UNION ALL SELECT u, t, wk, n, k, CAST(NULL AS BIGINT) AS delta, mob, 'lines' AS source FROM ship"""
+
+SQL["distinct_values"] = "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer"
+
+# ------------------------------------------------------------------ step 4: aggregates
+
+SQL["strict_unit_sum"] = with_(PANEL, CUM, STEPS) + """
+SELECT u, CASE WHEN count(*) = count(step_null) THEN CAST(sum(step_null) AS BIGINT) END AS total_strict,
+       CAST(sum(step_null) AS BIGINT) AS total_skip
+FROM sn_ GROUP BY u"""
+
+SQL["weekly_resample"] = """
+WITH d_ AS (
+  SELECT CAST(c_nationkey AS INTEGER) AS u, CAST(o_orderdate AS DATE) AS day,
+         CAST(count(*) AS BIGINT) AS n,
+         CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS k,
+         CAST(sum(CASE WHEN o_orderpriority = '5-LOW' THEN -1 ELSE 1 END) AS BIGINT) AS delta
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+dp_ AS (SELECT *, CASE WHEN delta >= 0 THEN delta END AS dpos FROM d_)
+SELECT u, CAST(date_trunc('week', day) AS DATE) AS wk,
+       CASE WHEN count(*) = count(n) THEN avg(n) END AS n_mean,
+       CASE WHEN count(*) = count(k) THEN avg(k) END AS k_mean,
+       CASE WHEN count(*) = count(dpos) THEN avg(dpos) END AS delta_mean
+FROM dp_ GROUP BY 1, 2"""
+
+SQL["unit_means"] = with_(PANEL, CPANEL) + """
+SELECT u, avg(dose) AS dose_mean, avg(n) AS n_mean, avg(delta) AS delta_mean FROM cpanel GROUP BY u"""
+
+SQL["unit_mean_attached"] = with_(PANEL, CPANEL) + """
+SELECT u, t, dose, avg(dose) OVER (PARTITION BY u) AS dose_unit_mean FROM cpanel"""
+
+SQL["negative_summary"] = with_(PANEL, CUM, STEPS) + """
+SELECT u, count(step) AS obs, round(avg(step), 10) AS mean, round(stddev_samp(step), 10) AS sd,
+       min(step) AS min, max(step) AS max
+FROM sn_ WHERE step < 0 GROUP BY u"""
+
+SQL["units_by_total"] = with_(PANEL, """
+tot_ AS (SELECT u, CASE WHEN count(*) = count(k) THEN CAST(sum(k) AS BIGINT) END AS total_k FROM panel GROUP BY u)""") + """
+SELECT p.u, p.t, p.k, p.n, tot_.total_k FROM panel p LEFT JOIN tot_ ON p.u = tot_.u WHERE tot_.total_k >= 200"""
+
+# ------------------------------------------------------------------ step 5: quality
+
+_ZZ = "(CASE WHEN k7 = 0 AND n7_lag7 = 0 THEN 0.0 ELSE r_lag END)"
+SQL["ratio_rules"] = with_(PANEL, CPANEL, CSMOOTH, RATIOS, """
+rr_ AS (SELECT ra_.*, p.k, p.delta FROM ra_ JOIN cpanel p ON ra_.u = p.u AND ra_.t = p.t)""") + f"""
+SELECT u, t, {nulldiv('k', 'delta')} AS r_null,
+       CASE WHEN {nulldiv('k', 'delta')} >= 0 THEN {nulldiv('k', 'delta')} END AS r_nonneg,
+       {_ZZ} AS r_zz,
+       CASE WHEN isnan({_ZZ}) OR abs({_ZZ}) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE {_ZZ} END AS r_finite
+FROM rr_"""
+
+SQL["negative_rows"] = with_(PANEL, CUM, STEPS) + "SELECT u, t, cum, step FROM sn_ WHERE step < 0"
+
+SQL["outlier_units"] = with_(PANEL, CPANEL, CSMOOTH, RATIOS) + """
+SELECT DISTINCT u FROM ra_ WHERE (r_lag > 1 AND NOT isnan(r_lag)) OR (r_same > 1 AND NOT isnan(r_same))"""
+
+SQL["nan_units"] = with_(PANEL, CPANEL, CSMOOTH, RATIOS) + "SELECT DISTINCT u FROM ra_ WHERE isnan(r_lag) OR isnan(r_same)"
+
+SQL["nan_units_after"] = with_(PANEL, CPANEL, CSMOOTH, RATIOS, """
+z_ AS (SELECT u, CASE WHEN k7 = 0 AND n7_lag7 = 0 THEN 0.0 ELSE r_lag END AS r_lag,
+              CASE WHEN k7 = 0 AND n7 = 0 THEN 0.0 ELSE r_same END AS r_same FROM ra_)""") + """
+SELECT DISTINCT u FROM z_ WHERE isnan(r_lag) OR isnan(r_same)"""
+
+SQL["inf_units"] = with_(PANEL, CPANEL, CSMOOTH, RATIOS) + """
+SELECT DISTINCT u FROM ra_ WHERE r_lag = CAST('Infinity' AS DOUBLE) OR r_same = CAST('Infinity' AS DOUBLE)"""
+
+# ------------------------------------------------------------------ step 6: events
+
+SQL["first_exposure"] = with_(PANEL, CPANEL, FLAGGED) + "\nUNION ALL ".join(
+    f"SELECT u, '{n}' AS definition, {n} AS event_time FROM ev_ WHERE {n} IS NOT NULL" for n in EXPOSURES)
+
+SQL["mark_first_exposure"] = with_(PANEL, CPANEL, FLAGGED) + "SELECT f.u, f.t, f.dose, " + ", ".join(
+    f"f.{n}, CASE WHEN f.t = e.{n} THEN 1 END AS first_{n}, CASE WHEN f.t = e.{n} THEN f.t END AS {n}_day1"
+    for n in EXPOSURES) + " FROM fl_ f LEFT JOIN ev_ e ON f.u = e.u"
+
+SQL["first_rows"] = with_(PANEL) + """
+SELECT p.u, p.t, p.n FROM panel p JOIN (SELECT u, min(t) AS t0 FROM panel GROUP BY u) m ON p.u = m.u AND p.t = m.t0"""
