@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
                          parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
-from ..operators import aggregate, events, merge, panel, quality, series
+from ..operators import aggregate, cohort, events, infer, merge, panel, quality, series
 from ..sources import testpanel as tp
 from ..sources.io import read_table
 
@@ -366,6 +366,79 @@ def q_first_rows(spark, sf):
     return events.first_rows(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "n"), SPEC)
 
 
+# ---------------------------------------------------------------- step 7: cohorts
+
+OUTCOMES = ["r_lag", "r_same"]
+COHORT_RULES = cohort.CohortRules(covariate="mob", outcome_limit=1.0, max_share=0.01)
+
+
+def _cohort_panel(spark, sf):
+    """Balanced panel with two smoothed ratio outcomes, the covariate and exposure flags,
+    cut to weeks >= 20 after the rolling windows (so every window is complete)."""
+    c = _completed(spark, sf).select("u", "t", "k", "n", "mob", "dose")
+    c = c.withColumns({"k7": series.rolling_sum_expr(SPEC, "k", 7), "n7": series.rolling_sum_expr(SPEC, "n", 7)})
+    c = c.withColumn("n7_lag7", series.lag_expr(SPEC, "n7", 7))
+    c = c.select("u", "t", "mob", *[threshold_flag("dose", cut).alias(n) for n, cut in EXPOSURES.items()],
+                 finite_or_null(ratio("k7", "n7_lag7", "ieee")).alias("r_lag"),
+                 finite_or_null(ratio("k7", "n7", "ieee")).alias("r_same"))
+    return c.filter(F.col("t") >= 20)
+
+
+def _treated_units(spark, sf):
+    lab = tp.unit_labels(spark, sf)
+    return lab.filter(member_flag("n_name", tp.EXPOSED_NATIONS, F.col("r_name") == tp.EXPOSED_REGION) == "Yes")
+
+
+def _cohorts(spark, sf):
+    grid = cohort.cohort_grid(_treated_units(spark, sf), "u", list(EXPOSURES), OUTCOMES)
+    return cohort.build_cohorts(_cohort_panel(spark, sf), SPEC, grid, OUTCOMES, {n: n for n in EXPOSURES},
+                                COHORT_RULES)
+
+
+def q_cohorts(spark, sf):
+    """E5 (+J9, W12, E3, E4, F4-F6, G5, P16): every (exposure, treated unit, outcome) cohort."""
+    return _cohorts(spark, sf)
+
+
+def q_cohort_bounds(spark, sf):
+    """First time and event time per cohort."""
+    return cohort.cohort_bounds(_cohorts(spark, sf))
+
+
+# ---------------------------------------------------------------- step 8: inference (donor-mean weights)
+
+def _rounded(df: DataFrame, cols, digits: int = 9) -> DataFrame:
+    """Report precision for values built from floating sums over units (the engines add
+    in different orders; the last bits are not meaningful)."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+def _uniform_gaps(spark, sf):
+    return infer.synth_series(_cohorts(spark, sf))
+
+
+def q_synth_gaps_uniform(spark, sf):
+    """Y5 with donor-mean weights: synthetic series and gap of every fit."""
+    return _rounded(_uniform_gaps(spark, sf), ["synth", "gap"])
+
+
+def q_rmspe_uniform(spark, sf):
+    """pre/post RMSPE and ratio per fit."""
+    return _rounded(infer.rmspe(_uniform_gaps(spark, sf)), ["pre_rmspe", "post_rmspe", "rmspe_ratio"])
+
+
+def q_placebo_pvalues_uniform(spark, sf):
+    """One-sided standardized placebo p-values per cohort and post-event time."""
+    return infer.placebo_pvalues(_uniform_gaps(spark, sf))
+
+
+def q_effect_ci_uniform(spark, sf):
+    """Y8 + Y9 + P17: effect table with p-value based 90 % intervals."""
+    g = _uniform_gaps(spark, sf)
+    e = infer.effect_table(g, infer.placebo_pvalues(g))
+    return _rounded(e, ["effect2", "tdiff", "zval", "se", "upper_ci", "lower_ci", "ci_low", "ci_high"])
+
+
 QUERIES: dict[str, Query] = {
     "test_panel": q_test_panel,
     "smoothed_ratio": q_smoothed_ratio,
@@ -408,4 +481,10 @@ QUERIES: dict[str, Query] = {
     "first_exposure": q_first_exposure,
     "mark_first_exposure": q_mark_first_exposure,
     "first_rows": q_first_rows,
+    "cohorts": q_cohorts,
+    "cohort_bounds": q_cohort_bounds,
+    "synth_gaps_uniform": q_synth_gaps_uniform,
+    "rmspe_uniform": q_rmspe_uniform,
+    "placebo_pvalues_uniform": q_placebo_pvalues_uniform,
+    "effect_ci_uniform": q_effect_ci_uniform,
 }

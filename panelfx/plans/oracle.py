@@ -312,3 +312,118 @@ SQL["mark_first_exposure"] = with_(PANEL, CPANEL, FLAGGED) + "SELECT f.u, f.t, f
 
 SQL["first_rows"] = with_(PANEL) + """
 SELECT p.u, p.t, p.n FROM panel p JOIN (SELECT u, min(t) AS t0 FROM panel GROUP BY u) m ON p.u = m.u AND p.t = m.t0"""
+
+# ------------------------------------------------------------------ step 7: cohorts
+
+
+def fin(x: str) -> str:
+    return f"(CASE WHEN isnan({x}) OR abs({x}) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE {x} END)"
+
+
+_FLAGS = ", ".join(f"{flag('dose', c)} AS {n}" for n, c in EXPOSURES.items())
+_EXPS = list(EXPOSURES)
+
+
+def _case_exp(prefix: str) -> str:
+    return "CASE exposure " + " ".join(f"WHEN '{n}' THEN {prefix}{n}" for n in _EXPS) + " END"
+
+
+COHORTS = f"""
+cs0_ AS (SELECT u, t, mob, dose, {roll('k', 7)} AS k7, {roll('n', 7)} AS n7 FROM cpanel),
+cs_ AS (SELECT *, lag(n7, 7) OVER w AS n7_lag7 FROM cs0_ {W}),
+cp_ AS (SELECT u, t, mob, {_FLAGS}, {fin(ieee('k7', 'n7_lag7'))} AS r_lag, {fin(ieee('k7', 'n7'))} AS r_same
+        FROM cs_ WHERE t >= 20),
+base_ AS (SELECT u, t, mob, p50, p70, p90, 'r_lag' AS outcome, r_lag AS Y FROM cp_
+          UNION ALL SELECT u, t, mob, p50, p70, p90, 'r_same' AS outcome, r_same AS Y FROM cp_),
+ys_ AS (SELECT u, outcome, max(CASE WHEN Y IS NULL THEN 1 ELSE 0 END) AS ym,
+               max(coalesce(CASE WHEN Y > 1.0 THEN 1 ELSE 0 END, 0)) AS yh FROM base_ GROUP BY u, outcome),
+us_ AS (SELECT u, min(t) AS t0, max(CASE WHEN mob IS NULL THEN 1 ELSE 0 END) AS cm,
+               {", ".join(f"avg({n}) AS s_{n}" for n in _EXPS)} FROM cp_ GROUP BY u),
+evw_ AS (SELECT u, {", ".join(f"min(CASE WHEN {n} = 1 THEN t END) AS {n}" for n in _EXPS)} FROM cp_ GROUP BY u),
+evl_ AS ({" UNION ALL ".join(f"SELECT u AS treated_unit, '{n}' AS exposure, {n} AS event_time FROM evw_ WHERE {n} IS NOT NULL" for n in _EXPS)}),
+elig_ AS (SELECT DISTINCT CAST(n_nationkey AS INTEGER) AS treated_unit FROM nation JOIN region ON n_regionkey = r_regionkey
+          WHERE n_name IN {_ELIG} AND r_name = 'EUROPE'),
+gridc_ AS (SELECT e.exposure, tu.treated_unit, o.outcome FROM elig_ tu
+           CROSS JOIN (VALUES {", ".join(f"('{n}')" for n in _EXPS)}) e(exposure)
+           CROSS JOIN (VALUES ('r_lag'), ('r_same')) o(outcome)),
+gc_ AS (SELECT gridc_.*, evl_.event_time FROM gridc_ LEFT JOIN evl_
+        ON gridc_.treated_unit = evl_.treated_unit AND gridc_.exposure = evl_.exposure),
+m0_ AS (SELECT gc_.*, ys_.u, ys_.ym, ys_.yh, us_.t0, us_.cm, {_case_exp('us_.s_')} AS avg_exposed,
+               CASE WHEN ys_.u = gc_.treated_unit THEN 1 ELSE 0 END AS treated
+        FROM gc_ JOIN ys_ ON gc_.outcome = ys_.outcome JOIN us_ ON us_.u = ys_.u),
+m_ AS (SELECT exposure, treated_unit, outcome, u, event_time, avg_exposed, treated,
+              CAST(dense_rank() OVER (PARTITION BY exposure, treated_unit, outcome ORDER BY u) AS INTEGER) AS id,
+              min(t0) OVER (PARTITION BY exposure, treated_unit, outcome) AS day_one
+       FROM m0_ WHERE ym = 0 AND cm = 0 AND (treated = 1 OR (yh = 0 AND coalesce(avg_exposed <= 0.01, false)))),
+coh_ AS (SELECT m_.exposure, m_.treated_unit, m_.outcome, m_.u, b.t, b.Y, b.mob,
+                CASE WHEN b.t >= m_.event_time THEN 1 ELSE 0 END AS X, m_.treated,
+                {_case_exp('b.')} AS exposed, m_.avg_exposed, m_.event_time, m_.day_one, m_.id
+         FROM m_ JOIN base_ b ON b.u = m_.u AND b.outcome = m_.outcome)"""
+
+SQL["cohorts"] = with_(PANEL, CPANEL, COHORTS) + "SELECT * FROM coh_"
+
+SQL["cohort_bounds"] = with_(PANEL, CPANEL, COHORTS) + """
+SELECT exposure, treated_unit, outcome, min(t) AS day_first, min(event_time) AS day_exp FROM coh_
+GROUP BY exposure, treated_unit, outcome"""
+
+# ------------------------------------------------------------------ step 8: inference (donor-mean weights)
+
+_K = "exposure, treated_unit, outcome"
+_KJ = "USING (exposure, treated_unit, outcome"
+
+GAPS = f"""
+gs_ AS (SELECT *, sum(Y) OVER p AS S_, count(*) OVER p AS N_,
+               coalesce(sum(CASE WHEN treated = 1 THEN Y END) OVER p, 0.0) AS TS_, sum(treated) OVER p AS TN_
+        FROM coh_ WINDOW p AS (PARTITION BY {_K}, t)),
+gap0_ AS (SELECT {_K}, u AS fit_unit, t, Y,
+                 CASE WHEN treated = 1 THEN (CASE WHEN N_ - 1 = 0 THEN NULL ELSE (S_ - Y) / CAST(N_ - 1 AS DOUBLE) END)
+                      ELSE (CASE WHEN N_ - 1 - TN_ = 0 THEN NULL ELSE (S_ - Y - TS_) / CAST(N_ - 1 - TN_ AS DOUBLE) END)
+                 END AS synth, treated AS treated_fit, event_time FROM gs_),
+gap_ AS (SELECT {_K}, fit_unit, t, Y, synth, Y - synth AS gap, treated_fit, event_time FROM gap0_),
+rm0_ AS (SELECT {_K}, fit_unit, treated_fit,
+                sqrt(avg(CASE WHEN t < event_time THEN gap * gap END)) AS pre_rmspe,
+                sqrt(avg(CASE WHEN t >= event_time THEN gap * gap END)) AS post_rmspe
+         FROM gap_ GROUP BY {_K}, fit_unit, treated_fit),
+rm_ AS (SELECT *, CASE WHEN pre_rmspe = 0 THEN NULL ELSE post_rmspe / pre_rmspe END AS rmspe_ratio FROM rm0_),
+std_ AS (SELECT g.*, CASE WHEN r.pre_rmspe = 0 THEN NULL ELSE g.gap / r.pre_rmspe END AS e
+         FROM gap_ g JOIN rm_ r {_KJ}, fit_unit) WHERE g.t >= g.event_time),
+trs_ AS (SELECT {_K}, t, event_time, e AS e_tr FROM std_ WHERE treated_fit = 1),
+pls_ AS (SELECT {_K}, t, e AS e_pl FROM std_ WHERE treated_fit = 0),
+pv_ AS (SELECT {_K}, t,
+               avg(CASE WHEN e_pl IS NOT NULL AND e_tr IS NOT NULL THEN
+                   (CASE WHEN (CASE WHEN e_tr >= 0 THEN e_pl >= e_tr ELSE e_pl <= e_tr END) THEN 1.0 ELSE 0.0 END) END)
+                 AS pval,
+               count(e_pl) AS n_placebos, t - event_time AS lead
+        FROM trs_ LEFT JOIN pls_ {_KJ}, t) GROUP BY {_K}, t, event_time)"""
+
+
+def r9(c: str) -> str:
+    return f"round({c}, 9)"
+
+
+SQL["synth_gaps_uniform"] = with_(PANEL, CPANEL, COHORTS, GAPS) + f"""
+SELECT {_K}, fit_unit, t, Y, {r9('synth')} AS synth, {r9('gap')} AS gap, treated_fit, event_time FROM gap_"""
+
+SQL["rmspe_uniform"] = with_(PANEL, CPANEL, COHORTS, GAPS) + f"""
+SELECT {_K}, fit_unit, treated_fit, {r9('pre_rmspe')} AS pre_rmspe, {r9('post_rmspe')} AS post_rmspe,
+       {r9('rmspe_ratio')} AS rmspe_ratio FROM rm_"""
+
+SQL["placebo_pvalues_uniform"] = with_(PANEL, CPANEL, COHORTS, GAPS) + "SELECT * FROM pv_"
+
+_PF = "(CASE WHEN pval = 0 THEN 0.0001 ELSE pval END)"
+_Z = f"(-0.862 + sqrt(0.743 - 2.404 * ln({_PF})))"
+SQL["effect_ci_uniform"] = with_(PANEL, CPANEL, COHORTS, GAPS, f"""
+ef_ AS (SELECT g.exposure, g.treated_unit, g.outcome, g.t, g.t - g.event_time AS lead, g.Y AS effect1,
+               g.synth AS effect2, g.gap AS tdiff, pv_.pval
+        FROM gap_ g LEFT JOIN pv_ ON g.exposure = pv_.exposure AND g.treated_unit = pv_.treated_unit
+             AND g.outcome = pv_.outcome AND g.t = pv_.t
+        WHERE g.treated_fit = 1 AND g.t >= g.event_time),
+ez_ AS (SELECT *, {_Z} AS zval FROM ef_),
+es_ AS (SELECT *, -tdiff / zval AS se FROM ez_),
+eu_ AS (SELECT *, tdiff - 1.645 * se AS upper_ci, tdiff + 1.645 * se AS lower_ci FROM es_)""") + f"""
+SELECT {_K}, t, lead, effect1, {r9('effect2')} AS effect2, {r9('tdiff')} AS tdiff, pval, {r9('zval')} AS zval,
+       {r9('se')} AS se, {r9('upper_ci')} AS upper_ci, {r9('lower_ci')} AS lower_ci,
+       {r9('CASE WHEN zval > 0 THEN least(upper_ci, lower_ci) END')} AS ci_low,
+       {r9('CASE WHEN zval > 0 THEN greatest(upper_ci, lower_ci) END')} AS ci_high,
+       CAST(row_number() OVER (PARTITION BY {_K} ORDER BY t) AS INTEGER) AS ti
+FROM eu_"""
