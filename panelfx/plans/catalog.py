@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
                          parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
-from ..operators import aggregate, cohort, events, infer, merge, panel, quality, series
+from ..operators import aggregate, cohort, events, infer, merge, panel, quality, series, synth
 from ..sources import testpanel as tp
 from ..sources.io import read_table
 
@@ -439,6 +439,39 @@ def q_effect_ci_uniform(spark, sf):
     return _rounded(e, ["effect2", "tdiff", "zval", "se", "upper_ci", "lower_ci", "ci_low", "ci_high"])
 
 
+# ---------------------------------------------------------------- step 9: synthetic control
+
+def _predictors(spark, sf):
+    return synth.predictors(_cohorts(spark, sf), cols=["Y", "mob"])
+
+
+def q_predictors(spark, sf):
+    """Y2: scaled predictors (outcome and covariate at every pre-period time incl. the event)."""
+    return _rounded(_predictors(spark, sf).drop("sd"), ["x_scaled"], 6)
+
+
+def _weights(spark, sf):
+    return synth.synth_weights(_predictors(spark, sf), placebo=True)
+
+
+def q_synth_weights(spark, sf):
+    """Y3 + Y4: simplex-constrained donor weights for the treated unit and every placebo."""
+    return _weights(spark, sf)
+
+
+def q_donor_weights(spark, sf):
+    """Positive donor weights of the treated fit, with the donor's label."""
+    lab = tp.unit_labels(spark, sf).select("u", clean_label("n_name", "r_name", remove=[" ", "_"]).alias("label"))
+    return infer.donor_weights(_weights(spark, sf), lab, "label")
+
+
+def q_synth_effects(spark, sf):
+    """Y5-Y9 with the solved weights: effect table with placebo p-values and CIs."""
+    coh = _cohorts(spark, sf)
+    g = infer.synth_series(coh, weights=_weights(spark, sf))
+    return infer.effect_table(g, infer.placebo_pvalues(g))
+
+
 QUERIES: dict[str, Query] = {
     "test_panel": q_test_panel,
     "smoothed_ratio": q_smoothed_ratio,
@@ -487,4 +520,8 @@ QUERIES: dict[str, Query] = {
     "rmspe_uniform": q_rmspe_uniform,
     "placebo_pvalues_uniform": q_placebo_pvalues_uniform,
     "effect_ci_uniform": q_effect_ci_uniform,
+    "predictors": q_predictors,
+    "synth_weights": q_synth_weights,
+    "donor_weights": q_donor_weights,
+    "synth_effects": q_synth_effects,
 }

@@ -427,3 +427,11 @@ SELECT {_K}, t, lead, effect1, {r9('effect2')} AS effect2, {r9('tdiff')} AS tdif
        {r9('CASE WHEN zval > 0 THEN greatest(upper_ci, lower_ci) END')} AS ci_high,
        CAST(row_number() OVER (PARTITION BY {_K} ORDER BY t) AS INTEGER) AS ti
 FROM eu_"""
+
+# ------------------------------------------------------------------ step 9: synthetic control (predictors only)
+
+SQL["predictors"] = with_(PANEL, CPANEL, COHORTS, f"""
+pr0_ AS (SELECT {_K}, u, treated, t, 'Y' AS var, Y AS x FROM coh_ WHERE t >= day_one AND t <= event_time
+         UNION ALL SELECT {_K}, u, treated, t, 'mob' AS var, mob AS x FROM coh_ WHERE t >= day_one AND t <= event_time),
+pr_ AS (SELECT *, stddev_samp(x) OVER (PARTITION BY {_K}, var, t) AS sd FROM pr0_)""") + f"""
+SELECT {_K}, u, treated, t, var, x, round(x / sd, 6) AS x_scaled FROM pr_ WHERE sd > 0"""
