@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
                          parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
-from ..operators import aggregate, cohort, events, infer, merge, panel, quality, series, synth
+from ..operators import aggregate, cohort, events, fe, infer, merge, panel, quality, series, synth
 from ..sources import testpanel as tp
 from ..sources.io import read_table
 
@@ -472,6 +472,16 @@ def q_synth_effects(spark, sf):
     return infer.effect_table(g, infer.placebo_pvalues(g))
 
 
+# ---------------------------------------------------------------- step 10: fixed-effect counterfactual
+
+def q_fe_att(spark, sf):
+    """Two-way FE counterfactual (covariate mob) fitted on untreated rows; average
+    effect on the treated unit by time since its event, per cohort."""
+    coh = _cohorts(spark, sf).withColumn(
+        "treat", events.treated_flag(F.col("u"), F.col("treated_unit"), F.col("t"), F.col("event_time")))
+    return fe.att_by_time(fe.fe_counterfactual(coh, y="Y", cov="mob", treat="treat"))
+
+
 QUERIES: dict[str, Query] = {
     "test_panel": q_test_panel,
     "smoothed_ratio": q_smoothed_ratio,
@@ -524,4 +534,5 @@ QUERIES: dict[str, Query] = {
     "synth_weights": q_synth_weights,
     "donor_weights": q_donor_weights,
     "synth_effects": q_synth_effects,
+    "fe_att": q_fe_att,
 }
