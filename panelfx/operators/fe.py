@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .cohort import COHORT_KEYS
 
+# diagnostics of the last call: rounds run and the final largest unit mean
+LAST_RUN: dict = {}
+
 
 def fe_counterfactual(cohorts: DataFrame, y: str = "Y", cov: str = "mob", treat: str = "treat", unit: str = "u",
                       t: str = "t", keys: Sequence[str] = tuple(COHORT_KEYS), max_rounds: int = 200,
@@ -63,6 +66,7 @@ def fe_counterfactual(cohorts: DataFrame, y: str = "Y", cov: str = "mob", treat:
         worst = mu.agg(F.max(F.greatest(F.abs("__my"), F.abs("__mx"))).alias("m")).first()["m"]
         if first_u is None:
             first_u = mu
+        LAST_RUN.update(rounds=r, worst=worst, eps=eps)
         if r > 1 and (worst is None or worst <= eps):
             break
         nxt = subtract(cur, mu, [*keys, unit])

@@ -124,10 +124,11 @@ def dense_unit_id(df: DataFrame, keys: Sequence[str], out: str = "id", within: S
 # ------------------------------------------------------------------ W10 / Y1 calendar
 
 def _calendar(df: DataFrame, spec: PanelSpec, step: int = 1) -> DataFrame:
-    """Units x [min time .. max time] of the whole panel. The bounds are one row;
-    attaching them to the (distinct) unit table is a broadcast of that single row."""
-    units = df.select(*spec.unit).distinct()
-    bounds = df.agg(F.min(spec.time).alias("__lo"), F.max(spec.time).alias("__hi"))
+    """Units x [min time .. max time] of the whole panel, from one aggregate pass: the
+    per-unit table is small, the global bounds are one row derived from it, and
+    attaching that row to every unit is a broadcast of a single row."""
+    units = df.groupBy(*spec.unit).agg(F.min(spec.time).alias("__ulo"), F.max(spec.time).alias("__uhi"))
+    bounds = units.agg(F.min("__ulo").alias("__lo"), F.max("__uhi").alias("__hi"))
     step_e = F.expr(f"INTERVAL {step} DAY") if dict(df.dtypes)[spec.time] == "date" else F.lit(step)
     return (units.join(F.broadcast(bounds))
             .select(*spec.unit, F.explode(F.sequence("__lo", "__hi", step_e)).alias(spec.time)))

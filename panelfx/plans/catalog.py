@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import (clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
                          parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
 from ..operators import aggregate, cohort, events, fe, infer, merge, panel, quality, series, synth
+from ..session import materialize
 from ..sources import testpanel as tp
 from ..sources.io import read_table
 
@@ -84,7 +85,7 @@ def q_rolling_sums(spark, sf):
 def _completed(spark, sf, fill=True) -> DataFrame:
     """Balanced panel: every unit x every week of the span; absent weeks get n = k = mob = 0
     (or stay null with fill=False); the exposure is computed after completion."""
-    p = tp.order_panel(spark, sf, with_dose=False).drop("wk")
+    p = materialize(tp.order_panel(spark, sf, with_dose=False).drop("wk"))   # fork: read by grid and join
     c = panel.complete_panel(p, SPEC, fill={"n": 0, "k": 0, "mob": 0.0} if fill else None, flag="added")
     c = c.withColumn("wk", index_to_date("t", tp.WEEK0, 0, 7))
     return c.withColumn("dose", tp.dose_expr()) if fill else c
@@ -295,9 +296,10 @@ def q_units_by_total(spark, sf):
 
 # ---------------------------------------------------------------- step 5: quality
 
-def _ratios(spark, sf):
+def _ratios(spark, sf, completed: DataFrame | None = None):
     """Smoothed ratios on the zero-filled balanced panel (zero denominators occur there)."""
-    p = _completed(spark, sf).select("u", "t", "k", "n", "delta")
+    c = completed if completed is not None else _completed(spark, sf)
+    p = c.select("u", "t", "k", "n", "delta")
     p = p.withColumns({"k7": series.rolling_sum_expr(SPEC, "k", 7), "n7": series.rolling_sum_expr(SPEC, "n", 7)})
     p = p.withColumn("n7_lag7", series.lag_expr(SPEC, "n7", 7))
     return p.select("u", "t", "k7", "n7", "n7_lag7",
@@ -306,7 +308,8 @@ def _ratios(spark, sf):
 
 def q_ratio_rules(spark, sf):
     """N1 (null mode) + N2 + N3 on the panel's ratios."""
-    p = _ratios(spark, sf).join(_completed(spark, sf).select("u", "t", "k", "delta"), ["u", "t"])
+    c = _completed(spark, sf)
+    p = _ratios(spark, sf, c).join(c.select("u", "t", "k", "delta"), ["u", "t"])
     return p.select("u", "t",
                     ratio("k", "delta", "null").alias("r_null"),
                     null_if_negative(ratio("k", "delta", "null")).alias("r_nonneg"),
@@ -391,8 +394,9 @@ def _treated_units(spark, sf):
 
 def _cohorts(spark, sf):
     grid = cohort.cohort_grid(_treated_units(spark, sf), "u", list(EXPOSURES), OUTCOMES)
-    return cohort.build_cohorts(_cohort_panel(spark, sf), SPEC, grid, OUTCOMES, {n: n for n in EXPOSURES},
-                                COHORT_RULES)
+    cp = materialize(_cohort_panel(spark, sf))                  # fork: unit facts, events and rows
+    return materialize(cohort.build_cohorts(cp, SPEC, grid, OUTCOMES, {n: n for n in EXPOSURES},
+                                            COHORT_RULES))      # fork: synth, inference and FE
 
 
 def q_cohorts(spark, sf):

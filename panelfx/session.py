@@ -49,3 +49,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Write `df` once to the checkpoint folder and continue from the written copy.
+
+    Use at a fork -- a stage that several later branches read (the unit-time panel,
+    the cohort table): the raw scan, join and aggregation behind it then run once
+    instead of once per branch, the plan below the fork is replaced by the written
+    files, and a lost executor recomputes nothing above it. Never a local checkpoint:
+    the copy lives in the shared folder named by ``spark.checkpoint.dir``.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
