@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
                          parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
-from ..operators import aggregate, cohort, events, fe, infer, merge, panel, quality, series, synth
+from ..operators import aggregate, cohort, events, fe, infer, merge, panel, quality, series, synth, tables
 from ..session import materialize
 from ..sources import testpanel as tp
 from ..sources.io import read_table
@@ -486,6 +486,23 @@ def q_fe_att(spark, sf):
     return fe.att_by_time(fe.fe_counterfactual(coh, y="Y", cov="mob", treat="treat"))
 
 
+# ---------------------------------------------------------------- step 11: plot tables
+
+def _effect_series(spark, sf):
+    e = q_effect_ci_uniform(spark, sf)
+    return tables.series_table(e, ["exposure", "outcome", "treated_unit"], "lead", ["upper_ci", "tdiff", "lower_ci"])
+
+
+def q_effect_series_table(spark, sf):
+    """CI band and estimate per facet as tidy (facet, x, series, y) rows."""
+    return _effect_series(spark, sf)
+
+
+def q_figure_axes(spark, sf):
+    """Shared y range of each combined figure (one figure per exposure and outcome)."""
+    return tables.axis_bounds(_effect_series(spark, sf), ["exposure", "outcome"])
+
+
 QUERIES: dict[str, Query] = {
     "test_panel": q_test_panel,
     "smoothed_ratio": q_smoothed_ratio,
@@ -539,4 +556,6 @@ QUERIES: dict[str, Query] = {
     "donor_weights": q_donor_weights,
     "synth_effects": q_synth_effects,
     "fe_att": q_fe_att,
+    "effect_series_table": q_effect_series_table,
+    "figure_axes": q_figure_axes,
 }

@@ -435,3 +435,16 @@ pr0_ AS (SELECT {_K}, u, treated, t, 'Y' AS var, Y AS x FROM coh_ WHERE t >= day
          UNION ALL SELECT {_K}, u, treated, t, 'mob' AS var, mob AS x FROM coh_ WHERE t >= day_one AND t <= event_time),
 pr_ AS (SELECT *, stddev_samp(x) OVER (PARTITION BY {_K}, var, t) AS sd FROM pr0_)""") + f"""
 SELECT {_K}, u, treated, t, var, x, round(x / sd, 6) AS x_scaled FROM pr_ WHERE sd > 0"""
+
+# ------------------------------------------------------------------ step 11: plot tables
+
+_ECI = SQL["effect_ci_uniform"]
+SQL["effect_series_table"] = f"""
+WITH eci_ AS ({_ECI})
+SELECT exposure, outcome, treated_unit, lead, 'upper_ci' AS series, upper_ci AS y FROM eci_
+UNION ALL SELECT exposure, outcome, treated_unit, lead, 'tdiff' AS series, tdiff AS y FROM eci_
+UNION ALL SELECT exposure, outcome, treated_unit, lead, 'lower_ci' AS series, lower_ci AS y FROM eci_"""
+
+SQL["figure_axes"] = f"""
+WITH st_ AS ({SQL["effect_series_table"]})
+SELECT exposure, outcome, min(y) AS y_min, max(y) AS y_max, count(y) AS n_points FROM st_ GROUP BY exposure, outcome"""
