@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysis this library rebuilds reads every input file once (batch). It has no
+stream source, no watermark, no windowed or stateful streaming logic, so no streaming
+operator is provided. The batch operators are plain DataFrame transformations and can
+be applied inside ``foreachBatch`` by a caller that feeds files incrementally.
+"""
