@@ -45,7 +45,8 @@ def fe_counterfactual(cohorts: DataFrame, y: str = "Y", cov: str = "mob", treat:
     rows = rows.withColumns({"__ry": F.col("Y"), "__rx": F.col("__x")}).checkpoint(eager=True)
     untreated = F.col("treat") == 0
     scale = rows.agg(F.max(F.abs("Y")).alias("a"), F.max(F.abs("__x")).alias("b")).first()
-    eps = tol * (1.0 + max(scale["a"] or 0.0, scale["b"] or 0.0))
+    eps_y = tol * (1.0 + (scale["a"] or 0.0))             # each series converges on its own scale
+    eps_x = tol * (1.0 + (scale["b"] or 0.0))
 
     def means(df: DataFrame, by: list[str]) -> DataFrame:
         # small (cohorts x units or cohorts x times) and materialised on its own, so the
@@ -63,11 +64,12 @@ def fe_counterfactual(cohorts: DataFrame, y: str = "Y", cov: str = "mob", treat:
     cur, first_u, first_t = rows, None, None
     for r in range(1, max_rounds + 1):
         mu = means(cur, [*keys, unit])
-        worst = mu.agg(F.max(F.greatest(F.abs("__my"), F.abs("__mx"))).alias("m")).first()["m"]
+        worst = mu.agg(F.max(F.greatest(F.abs("__my") / F.lit(eps_y), F.abs("__mx") / F.lit(eps_x)))
+                       .alias("m")).first()["m"]
         if first_u is None:
             first_u = mu
-        LAST_RUN.update(rounds=r, worst=worst, eps=eps)
-        if r > 1 and (worst is None or worst <= eps):
+        LAST_RUN.update(rounds=r, worst=worst)
+        if r > 1 and (worst is None or worst <= 1.0):
             break
         nxt = subtract(cur, mu, [*keys, unit])
         mt = means(nxt, [*keys, t])

@@ -176,7 +176,8 @@ def _solver(placebo: bool, max_cells: int, max_iter: int):
 
 
 def synth_weights(pred: DataFrame, unit: str = "u", placebo: bool = True, fits_per_shard: int = 64,
-                  max_cells: int = 50_000_000, max_iter: int = 20000, scaled: bool = True) -> DataFrame:
+                  max_cells: int = 50_000_000, max_iter: int = 20000, scaled: bool = True,
+                  solver_partitions: int | None = None) -> DataFrame:
     """(cohort keys, fit_unit, donor, weight, fit_rmse) with weight > 0.
 
     `pred` is the output of `predictors`. Each cohort is split into
@@ -193,4 +194,11 @@ def synth_weights(pred: DataFrame, unit: str = "u", placebo: bool = True, fits_p
     vec = (vec.withColumn("fit_shard", F.pmod(F.xxhash64("unit"), F.col("__n_shards")).cast("int"))
            .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("__n_shards") - 1)))
            .drop("__n_shards"))
+    # The packed vectors are few bytes but each group is CPU-heavy: an explicit partition
+    # count keeps AQE from coalescing all groups into one task; the groupBy below reuses
+    # this hash partitioning (no second shuffle).
+    sc = pred.sparkSession.sparkContext
+    nparts = solver_partitions or max(sc.defaultParallelism,
+                                      int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    vec = vec.repartition(nparts, *COHORT_KEYS, "shard")
     return vec.groupBy(*COHORT_KEYS, "shard").applyInPandas(_solver(placebo, max_cells, max_iter), WEIGHT_SCHEMA)
