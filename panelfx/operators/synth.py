@@ -14,10 +14,12 @@ Y4  with `placebo=True` every unit of the cohort is fitted; a placebo's donors a
 Distribution: the predictors of a unit are packed into one array row per
 (cohort, unit). Fits are hashed into `shards` per cohort; each shard task receives
 the cohort's unit arrays (U rows, K values each) and solves its own fits with
-numpy from the cohort's U x U inner-product matrix, built inside the task -- unit
-pairs never become rows -- and the parallelism is cohorts x shards. The output holds only
-positive weights (at most K + 1 per fit). A cohort whose U x K matrix exceeds
-`max_cells` fails loudly instead of being truncated.
+numpy -- from the cohort's U x U inner-product matrix built inside the task while
+U x U stays under `gram_cells`, otherwise from the U x K matrix itself -- so unit
+pairs never become rows and the parallelism is cohorts x shards. Every donor is
+always used (no candidate cap). The output holds only positive weights (at most
+K + 1 per fit). A cohort whose U x K matrix exceeds `max_cells` (executor memory)
+fails loudly instead of being truncated.
 """
 
 from __future__ import annotations
@@ -59,60 +61,74 @@ def _project_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - css[ok][-1] / rho, 0.0)
 
 
-def _kkt_polish(G: np.ndarray, c: np.ndarray, w: np.ndarray, support_tol: float = 1e-9):
-    """Exact minimiser on the support of `w` (equality-constrained least squares), or None.
-    Returns (w_exact, optimal) where optimal means the KKT conditions hold on all coordinates."""
+class _Quadratic:
+    """f(w) = ||A w - b||^2 either from the inner products (G = A'A, c = A'b, bb = b'b)
+    or from A itself when A'A would be too large; the solver only needs products."""
+
+    def __init__(self, G=None, c=None, bb=0.0, A=None, b=None):
+        self.G, self.c, self.bb, self.A, self.b = G, c, bb, A, b
+        if A is not None:
+            self.c = A.T @ b
+            self.bb = float(b @ b)
+        self.m = self.c.size
+
+    def half_grad(self, w):                       # A'(Aw - b) = Gw - c
+        return (self.G @ w - self.c) if self.G is not None else self.A.T @ (self.A @ w) - self.c
+
+    def loss(self, w):
+        if self.G is not None:
+            return float(w @ self.G @ w - 2.0 * self.c @ w + self.bb)
+        r = self.A @ w - self.b
+        return float(r @ r)
+
+    def sub_gram(self, S):
+        return self.G[np.ix_(S, S)] if self.G is not None else self.A[:, S].T @ self.A[:, S]
+
+    def diag_max(self):
+        if self.G is not None:
+            return float(np.max(np.abs(np.diag(self.G))))
+        return float(np.max(np.sum(self.A * self.A, axis=0)))
+
+
+def _kkt_polish(q: _Quadratic, w: np.ndarray, support_tol: float = 1e-9):
+    """Exact minimiser on the support of `w` (equality-constrained least squares).
+    Returns (w_exact or None, optimal) -- optimal when the KKT conditions hold on every
+    coordinate, i.e. the support is right and the point is the global minimum."""
     S = np.flatnonzero(w > support_tol)
     if S.size == 0:
         return None, False
     kkt = np.zeros((S.size + 1, S.size + 1))
-    kkt[:S.size, :S.size] = G[np.ix_(S, S)]
+    kkt[:S.size, :S.size] = q.sub_gram(S)
     kkt[:S.size, S.size] = 1.0
     kkt[S.size, :S.size] = 1.0
-    rhs = np.concatenate([c[S], [1.0]])
-    sol = np.linalg.lstsq(kkt, rhs, rcond=None)[0]
-    ws = sol[:S.size]
+    rhs = np.concatenate([q.c[S], [1.0]])
+    ws = np.linalg.lstsq(kkt, rhs, rcond=None)[0][:S.size]
     if np.any(ws < -1e-12):
         return None, False
     out = np.zeros_like(w)
     out[S] = np.maximum(ws, 0.0)
     out /= out.sum()
-    g = G @ out - c                                    # half the gradient
+    g = q.half_grad(out)
     mu = float(np.mean(g[S]))
-    scale = max(1.0, float(np.max(np.abs(c))), float(np.max(np.abs(np.diag(G)))))
-    optimal = bool(np.all(g >= mu - 1e-10 * scale))
-    return out, optimal
+    scale = max(1.0, float(np.max(np.abs(q.c))), q.diag_max())
+    return out, bool(np.all(g >= mu - 1e-10 * scale))
 
 
-def simplex_least_squares(G: np.ndarray, c: np.ndarray, bb: float = 0.0, lipschitz: float | None = None,
-                          max_iter: int = 20000, tol: float = 1e-12, polish_every: int = 25) -> np.ndarray:
-    """min  w'Gw - 2c'w + bb  over the probability simplex  (G = A'A, c = A'b, bb = b'b),
-    i.e. min ||A w - b||^2 with w >= 0, sum(w) = 1.
-
-    Accelerated projected gradient (FISTA with restart) from the uniform start; every
-    `polish_every` steps the problem is solved exactly on the current support and the
-    KKT conditions are checked on every coordinate -- the first optimal polish is the
-    answer. Deterministic for given inputs.
-    """
-    m = G.shape[0]
+def _solve(q: _Quadratic, L: float, max_iter: int, tol: float, polish_every: int) -> np.ndarray:
+    m = q.m
     if m == 0:
         return np.zeros(0)
     if m == 1:
         return np.ones(1)
-    L = lipschitz if lipschitz is not None else float(np.linalg.eigvalsh(G)[-1])
     if L <= 0:
         return np.full(m, 1.0 / m)
     step = 0.5 / L
-
-    def loss(w):
-        return float(w @ G @ w - 2.0 * c @ w + bb)
-
     w = np.full(m, 1.0 / m)
     y, tk = w.copy(), 1.0
-    f_prev = loss(w)
+    f_prev = q.loss(w)
     for it in range(1, max_iter + 1):
-        w_new = _project_simplex(y - step * 2.0 * (G @ y - c))
-        f_new = loss(w_new)
+        w_new = _project_simplex(y - step * 2.0 * q.half_grad(y))
+        f_new = q.loss(w_new)
         if f_new > f_prev:                                 # restart momentum
             y, tk = w.copy(), 1.0
             continue
@@ -121,17 +137,39 @@ def simplex_least_squares(G: np.ndarray, c: np.ndarray, bb: float = 0.0, lipschi
         moved = float(np.max(np.abs(w_new - w)))
         w, tk, f_prev = w_new, t_new, f_new
         if it % polish_every == 0 or moved < tol:
-            cand, optimal = _kkt_polish(G, c, w)
-            if cand is not None and optimal and loss(cand) <= f_prev + 1e-12 * max(1.0, abs(f_prev)):
+            cand, optimal = _kkt_polish(q, w)
+            if cand is not None and optimal and q.loss(cand) <= f_prev + 1e-12 * max(1.0, abs(f_prev)):
                 return cand
             if moved < tol:
                 break
-    cand, _ = _kkt_polish(G, c, w)
-    if cand is not None and loss(cand) <= f_prev + 1e-12 * max(1.0, abs(f_prev)):
+    cand, _ = _kkt_polish(q, w)
+    if cand is not None and q.loss(cand) <= f_prev + 1e-12 * max(1.0, abs(f_prev)):
         return cand
     return w
 
 
+def simplex_least_squares(G: np.ndarray, c: np.ndarray, bb: float = 0.0, lipschitz: float | None = None,
+                          max_iter: int = 20000, tol: float = 1e-12, polish_every: int = 25) -> np.ndarray:
+    """min  w'Gw - 2c'w + bb  over the probability simplex  (G = A'A, c = A'b, bb = b'b),
+    i.e. min ||A w - b||^2 with w >= 0, sum(w) = 1.
+
+    Accelerated projected gradient (FISTA with restart) from the uniform start; every
+    `polish_every` steps the problem is solved exactly on the current support and the
+    KKT conditions are checked on every coordinate -- the first optimal polish is the
+    answer. Deterministic for given inputs.
+    """
+    L = lipschitz if lipschitz is not None else (float(np.linalg.eigvalsh(G)[-1]) if G.size else 0.0)
+    return _solve(_Quadratic(G=G, c=c, bb=bb), L, max_iter, tol, polish_every)
+
+
+def simplex_least_squares_direct(A: np.ndarray, b: np.ndarray, lipschitz: float | None = None,
+                                 max_iter: int = 20000, tol: float = 1e-12, polish_every: int = 25) -> np.ndarray:
+    """Same problem from A (K x m) itself: memory K x m, no m x m matrix is formed (inner
+    products only on the small support when polishing)."""
+    L = lipschitz if lipschitz is not None else (float(np.linalg.norm(A, 2) ** 2) if A.size else 0.0)
+    return _solve(_Quadratic(A=A, b=b), L, max_iter, tol, polish_every)
+
+
 WEIGHT_SCHEMA = T.StructType([
     T.StructField("exposure", T.StringType()),
     T.StructField("treated_unit", T.IntegerType()),
@@ -143,29 +181,36 @@ WEIGHT_SCHEMA = T.StructType([
 ])
 
 
-def _solver(placebo: bool, max_cells: int, max_iter: int):
+def _solver(placebo: bool, max_cells: int, max_iter: int, gram_cells: int):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return pd.DataFrame(columns=[f.name for f in WEIGHT_SCHEMA.fields])
         pdf = pdf.sort_values("unit", kind="stable").reset_index(drop=True)
         U = len(pdf)
         X = np.vstack(pdf["x"].to_numpy()).astype(float)            # U x K
-        if X.size > max_cells or U * U > max_cells:
+        if X.size > max_cells:
             raise ValueError(f"cohort of {U} units x {X.shape[1]} predictors exceeds max_cells={max_cells}; "
                              "raise max_cells with executor memory")
         units = pdf["unit"].to_numpy()
         treated = pdf["treated"].to_numpy() == 1
         mine = pdf["fit_shard"].to_numpy() == pdf["shard"].to_numpy()
-        G = X @ X.T                                                   # U x U, once per task
-        L = float(np.linalg.eigvalsh(G)[-1]) if U > 1 else 0.0        # bounds every donor subset
+        use_gram = U * U <= gram_cells
+        if use_gram:
+            G = X @ X.T                                               # U x U, once per task
+            L = float(np.linalg.eigvalsh(G)[-1]) if U > 1 else 0.0    # bounds every donor subset
+        else:                                                         # wide donor pool: work from X
+            L = float(np.linalg.norm(X, 2) ** 2) if U > 1 else 0.0
         keys = pdf.iloc[0][COHORT_KEYS].tolist()
         out = []
         for i in np.flatnonzero(mine & (treated | placebo)):
             donors = np.flatnonzero((np.arange(U) != i) & ~treated)
             if donors.size == 0:
                 continue
-            w = simplex_least_squares(G[np.ix_(donors, donors)], G[donors, i], float(G[i, i]), L,
-                                      max_iter=max_iter)
+            if use_gram:
+                w = simplex_least_squares(G[np.ix_(donors, donors)], G[donors, i], float(G[i, i]), L,
+                                          max_iter=max_iter)
+            else:
+                w = simplex_least_squares_direct(X[donors].T, X[i], L, max_iter=max_iter)
             r = X[donors].T @ w - X[i]
             rmse = float(np.sqrt(r @ r / max(1, r.size)))
             for d, wd in zip(units[donors], w):
@@ -177,7 +222,7 @@ def _solver(placebo: bool, max_cells: int, max_iter: int):
 
 def synth_weights(pred: DataFrame, unit: str = "u", placebo: bool = True, fits_per_shard: int = 64,
                   max_cells: int = 50_000_000, max_iter: int = 20000, scaled: bool = True,
-                  solver_partitions: int | None = None) -> DataFrame:
+                  solver_partitions: int | None = None, gram_cells: int = 16_000_000) -> DataFrame:
     """(cohort keys, fit_unit, donor, weight, fit_rmse) with weight > 0.
 
     `pred` is the output of `predictors`. Each cohort is split into
@@ -201,4 +246,5 @@ def synth_weights(pred: DataFrame, unit: str = "u", placebo: bool = True, fits_p
     nparts = solver_partitions or max(sc.defaultParallelism,
                                       int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     vec = vec.repartition(nparts, *COHORT_KEYS, "shard")
-    return vec.groupBy(*COHORT_KEYS, "shard").applyInPandas(_solver(placebo, max_cells, max_iter), WEIGHT_SCHEMA)
+    return vec.groupBy(*COHORT_KEYS, "shard").applyInPandas(_solver(placebo, max_cells, max_iter, gram_cells),
+                                                            WEIGHT_SCHEMA)

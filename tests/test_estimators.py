@@ -115,3 +115,24 @@ def test_fe_counterfactual_noiseless(spark):
     assert np.allclose(att["beta"], 0.7, atol=1e-8)
     assert np.allclose(att["att"], 2.5, atol=1e-8) and len(att) == 15
     assert res.filter(F.col("treat") == 0).agg(F.max(F.abs("effect"))).first()[0] < 1e-8
+
+
+def test_direct_kernel_matches_gram_kernel():
+    from panelfx.operators.synth import simplex_least_squares_direct
+    rng = np.random.default_rng(21)
+    X = rng.normal(size=(25, 40))
+    w_true = np.zeros(40)
+    w_true[[3, 17, 30]] = [0.6, 0.25, 0.15]
+    b = X @ w_true
+    a = simplex_least_squares(X.T @ X, X.T @ b, float(b @ b))
+    d = simplex_least_squares_direct(X, b)
+    assert np.max(np.abs(a - w_true)) < 1e-10 and np.max(np.abs(d - w_true)) < 1e-10
+
+
+def test_synth_weights_direct_path_for_wide_pools(spark):
+    coh = _synthetic_cohort(spark)
+    pred = synth.predictors(coh, cols=["Y"])
+    a = synth.synth_weights(pred, placebo=True).toPandas().sort_values(["fit_unit", "donor"])
+    b = synth.synth_weights(pred, placebo=True, gram_cells=1).toPandas().sort_values(["fit_unit", "donor"])
+    m = a.merge(b, on=["fit_unit", "donor"], how="outer").fillna(0.0)
+    assert np.max(np.abs(m["weight_x"] - m["weight_y"])) < 1e-8
