@@ -179,6 +179,13 @@ def q_interpolate_gaps(spark, sf):
     return series.interpolate_gap(c, SPEC, ["n", "mob"])
 
 
+def q_fill_missing_dates(spark, sf):
+    """Added calendar rows have no week date; take it from the date built from t."""
+    p = materialize(tp.order_panel(spark, sf, with_dose=False))
+    c = panel.complete_panel(p, SPEC).select("u", "t", "wk").withColumn("wk_from_t", index_to_date("t", tp.WEEK0, 0, 7))
+    return series.fill_from(c, "wk", "wk_from_t")
+
+
 def q_panel_gaps(spark, sf):
     """Unit-weeks absent from the panel."""
     return panel.panel_gaps(tp.order_panel(spark, sf, with_dose=False), SPEC)
@@ -521,6 +528,7 @@ QUERIES: dict[str, Query] = {
     "melt_outcomes": q_melt_outcomes,
     "complete_panel": q_complete_panel,
     "interpolate_gaps": q_interpolate_gaps,
+    "fill_missing_dates": q_fill_missing_dates,
     "panel_gaps": q_panel_gaps,
     "merge_all": q_merge_all,
     "merge_match": q_merge_match,

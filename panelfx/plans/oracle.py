@@ -448,3 +448,8 @@ UNION ALL SELECT exposure, outcome, treated_unit, lead, 'lower_ci' AS series, lo
 SQL["figure_axes"] = f"""
 WITH st_ AS ({SQL["effect_series_table"]})
 SELECT exposure, outcome, min(y) AS y_min, max(y) AS y_max, count(y) AS n_points FROM st_ GROUP BY exposure, outcome"""
+
+SQL["fill_missing_dates"] = with_(PANEL, CPANEL) + """
+SELECT g.u, g.t, coalesce(p.wk, DATE '1994-12-26' + CAST(7 * g.t AS INTEGER)) AS wk,
+       DATE '1994-12-26' + CAST(7 * g.t AS INTEGER) AS wk_from_t
+FROM grid_ g LEFT JOIN p0_ p ON g.u = p.u AND g.t = p.t"""
