@@ -24,6 +24,7 @@ fails loudly instead of being truncated.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
@@ -34,6 +35,12 @@ from pyspark.sql import types as T
 
 from .cohort import COHORT_KEYS
 
+try:  # ship this module's solver code with the task, so workers need no installed copy
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # older pickler: rely on the package being on the executors' path
+    pass
+
 
 def predictors(cohorts: DataFrame, cols: Sequence[str] = ("Y",), unit: str = "u", t: str = "t",
                include_event: bool = True) -> DataFrame:

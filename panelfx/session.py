@@ -41,13 +41,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     executor can reach) and is used as is. Only when it is unset -- local tests --
     is a private scratch folder created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="panelfx-ckpt-", dir=os.environ.get("PANELFX_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # some deployments refuse runtime changes of core settings
+            pass
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
