@@ -68,7 +68,7 @@ def _pick(name_col: Column, mapping: Mapping[str, Column]) -> Column:
 
 def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes: Sequence[str],
                   exposure_flags: Mapping[str, str], rules: CohortRules = CohortRules(),
-                  events: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
+                  events: DataFrame | None = None, carry: Sequence[str] = (), event_shift: int = 0) -> DataFrame:
     """E5: one long table of all cohorts.
 
     panel           unit-time rows with the outcome columns, the covariate and one 0/1
@@ -77,6 +77,8 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
     events          (unit, definition, event_time) first exposures; by default computed
                     from the panel's flags (E1)
     carry           extra panel columns to keep (e.g. labels)
+    event_shift     added to every event time (0: one time axis; a nonzero shift reproduces
+                    an analysis whose event times were taken on a different axis)
 
     Columns: exposure, treated_unit, outcome, <unit>, <time>, Y, <covariate>, X (post
     period of the treated unit's event, E3), treated (E4), exposed (the cohort's flag),
@@ -106,7 +108,8 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
 
     if events is None:
         events = first_exposure(panel, spec, flags, "definition", "event_time")
-    ev = events.select(F.col(u).alias("treated_unit"), F.col("definition").alias("exposure"), "event_time")
+    ev = events.select(F.col(u).alias("treated_unit"), F.col("definition").alias("exposure"),
+                       (F.col("event_time") + F.lit(event_shift)).alias("event_time"))
     g = grid.join(ev, ["treated_unit", "exposure"], "left")
 
     # cohorts x units: apply the rules here, before touching unit-time rows

@@ -29,10 +29,15 @@ Y_SCALE = 1000.0
 
 def estimate(daily: DataFrame, exposures: Sequence[str] = tuple(EXPOSURE_FLAGS), outcomes: Sequence[str] = tuple(OUTCOMES),
              covariate: str = COVARIATE, placebo: bool = True, y_scale: float = Y_SCALE,
-             rules: cohort.CohortRules | None = None) -> dict[str, DataFrame]:
+             rules: cohort.CohortRules | None = None, event_shift: int = 0) -> dict[str, DataFrame]:
     """`daily` is the output of ``smooth.daily_panel`` (unit id `id`, time `time`,
     `eligible` Yes/No, the four exposure flags). Returns cohorts, weights, donor weight
-    tables, the effect table with CIs, and the fixed-effect ATT by relative time."""
+    tables, the effect table with CIs, and the fixed-effect ATT by relative time.
+
+    Event times come from the panel's first-exposure markers (`first_smoke_<e>` = 1 on
+    the row whose `smoke_<e>_day1` holds the time), which were found before the date
+    cut: a county first exposed before the cut has no marker row left and no event.
+    Without marker columns they are recomputed from the flags."""
     d = daily.withColumnsRenamed({k: v for k, v in FLAG_RENAMES.items() if k in daily.columns})
     d = d.withColumn("label", F.replace(F.replace(F.replace(F.concat(F.replace("countyname", F.lit(" "), F.lit("")),
                                                                         "state"), F.lit("County"), F.lit("")),
@@ -43,7 +48,18 @@ def estimate(daily: DataFrame, exposures: Sequence[str] = tuple(EXPOSURE_FLAGS),
     grid = cohort.cohort_grid(treated, "unit_id", list(exposures), list(outcomes))
     rules = rules or cohort.CohortRules(covariate=covariate, outcome_limit=1.0, max_share=0.01)
     flags = {e: EXPOSURE_FLAGS[e] for e in exposures}
-    coh = cohort.build_cohorts(d, spec, grid, list(outcomes), flags, rules, carry=["label"])
+    marks = [e for e in exposures if f"first_smoke_{e}" in d.columns and f"smoke_{e}_day1" in d.columns]
+    first_times = None
+    if len(marks) == len(exposures):
+        first_times = (d.select("unit_id", F.explode(F.array(*[
+            F.struct(F.lit(e).alias("definition"),
+                     F.when(F.col(f"first_smoke_{e}") == 1, F.col(f"smoke_{e}_day1")).alias("event_time"))
+            for e in exposures])).alias("__e"))
+            .select("unit_id", "__e.definition", "__e.event_time")
+            .filter(F.col("event_time").isNotNull())
+            .groupBy("unit_id", "definition").agg(F.min("event_time").alias("event_time")))
+    coh = cohort.build_cohorts(d, spec, grid, list(outcomes), flags, rules, events=first_times, carry=["label"],
+                               event_shift=event_shift)
     coh = materialize(coh.withColumn("Y", F.col("Y") * F.lit(y_scale)).withColumnRenamed("time", "t"))
     ckeys = cohort.COHORT_KEYS
     pred = synth.predictors(coh, cols=["Y", covariate], unit="unit_id")
