@@ -177,21 +177,21 @@ def simplex_least_squares_direct(A: np.ndarray, b: np.ndarray, lipschitz: float
     return _solve(_Quadratic(A=A, b=b), L, max_iter, tol, polish_every)
 
 
-WEIGHT_SCHEMA = T.StructType([
-    T.StructField("exposure", T.StringType()),
-    T.StructField("treated_unit", T.IntegerType()),
-    T.StructField("outcome", T.StringType()),
-    T.StructField("fit_unit", T.IntegerType()),
-    T.StructField("donor", T.IntegerType()),
-    T.StructField("weight", T.DoubleType()),
-    T.StructField("fit_rmse", T.DoubleType()),
-])
-
-
-def _solver(placebo: bool, max_cells: int, max_iter: int, gram_cells: int):
+def weight_schema(key_types: dict, unit_type: T.DataType) -> T.StructType:
+    """Output schema: cohort keys with their input types, fit and donor with the unit's type."""
+    return T.StructType([*[T.StructField(k, key_types[k]) for k in COHORT_KEYS],
+                         T.StructField("fit_unit", unit_type), T.StructField("donor", unit_type),
+                         T.StructField("weight", T.DoubleType()), T.StructField("fit_rmse", T.DoubleType())])
+
+
+WEIGHT_SCHEMA = weight_schema({"exposure": T.StringType(), "treated_unit": T.IntegerType(),
+                               "outcome": T.StringType()}, T.IntegerType())
+
+
+def _solver(placebo: bool, max_cells: int, max_iter: int, gram_cells: int, names: list[str]):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
-            return pd.DataFrame(columns=[f.name for f in WEIGHT_SCHEMA.fields])
+            return pd.DataFrame(columns=names)
         pdf = pdf.sort_values("unit", kind="stable").reset_index(drop=True)
         U = len(pdf)
         X = np.vstack(pdf["x"].to_numpy()).astype(float)            # U x K
@@ -222,8 +222,8 @@ def _solver(placebo: bool, max_cells: int, max_iter: int, gram_cells: int):
             rmse = float(np.sqrt(r @ r / max(1, r.size)))
             for d, wd in zip(units[donors], w):
                 if wd > 0:
-                    out.append((*keys, int(units[i]), int(d), float(wd), rmse))
-        return pd.DataFrame(out, columns=[f.name for f in WEIGHT_SCHEMA.fields])
+                    out.append((*keys, units[i], d, float(wd), rmse))
+        return pd.DataFrame(out, columns=names)
     return solve
 
 
@@ -239,10 +239,12 @@ def synth_weights(pred: DataFrame, unit: str = "u", placebo: bool = True, fits_p
     xcol = "x_scaled" if scaled else "x"
     vec = (pred.groupBy(*COHORT_KEYS, unit, "treated")
            .agg(F.array_sort(F.collect_list(F.struct("var", "t", F.col(xcol).alias("v")))).alias("__p"))
-           .select(*COHORT_KEYS, F.col(unit).cast("int").alias("unit"), "treated",
+           .select(*COHORT_KEYS, F.col(unit).alias("unit"), "treated",
                    F.transform("__p", lambda s: s["v"]).alias("x")))
     cw = Window.partitionBy(*COHORT_KEYS)
     vec = vec.withColumn("__n_shards", F.ceil(F.count(F.lit(1)).over(cw) / F.lit(fits_per_shard)).cast("int"))
+    types = {f.name: f.dataType for f in pred.schema.fields}
+    schema = weight_schema(types, types[unit])
     vec = (vec.withColumn("fit_shard", F.pmod(F.xxhash64("unit"), F.col("__n_shards")).cast("int"))
            .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("__n_shards") - 1)))
            .drop("__n_shards"))
@@ -253,5 +255,5 @@ def synth_weights(pred: DataFrame, unit: str = "u", placebo: bool = True, fits_p
     nparts = solver_partitions or max(sc.defaultParallelism,
                                       int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     vec = vec.repartition(nparts, *COHORT_KEYS, "shard")
-    return vec.groupBy(*COHORT_KEYS, "shard").applyInPandas(_solver(placebo, max_cells, max_iter, gram_cells),
-                                                            WEIGHT_SCHEMA)
+    solve = _solver(placebo, max_cells, max_iter, gram_cells, [f.name for f in schema.fields])
+    return vec.groupBy(*COHORT_KEYS, "shard").applyInPandas(solve, schema)

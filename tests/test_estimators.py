@@ -136,3 +136,12 @@ def test_synth_weights_direct_path_for_wide_pools(spark):
     b = synth.synth_weights(pred, placebo=True, gram_cells=1).toPandas().sort_values(["fit_unit", "donor"])
     m = a.merge(b, on=["fit_unit", "donor"], how="outer").fillna(0.0)
     assert np.max(np.abs(m["weight_x"] - m["weight_y"])) < 1e-8
+
+
+def test_synth_weights_with_string_units(spark):
+    coh = _synthetic_cohort(spark).withColumn("u", F.concat(F.lit("unit-"), F.col("u").cast("string")))
+    coh = coh.withColumn("treated_unit", F.lit("unit-0"))
+    w = synth.synth_weights(synth.predictors(coh, cols=["Y"]), placebo=False).toPandas()
+    assert set(w["fit_unit"]) == {"unit-0"}
+    tw = w.set_index("donor")["weight"]
+    assert abs(tw["unit-3"] - 0.5) < 1e-10 and abs(tw["unit-6"] - 0.3) < 1e-10 and abs(tw["unit-9"] - 0.2) < 1e-10
