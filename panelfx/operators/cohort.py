@@ -68,7 +68,8 @@ def _pick(name_col: Column, mapping: Mapping[str, Column]) -> Column:
 
 def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes: Sequence[str],
                   exposure_flags: Mapping[str, str], rules: CohortRules = CohortRules(),
-                  events: DataFrame | None = None, carry: Sequence[str] = (), event_shift: int = 0) -> DataFrame:
+                  events: DataFrame | None = None, carry: Sequence[str] = (), event_shift: int = 0,
+                  max_cohorts: int = 200_000) -> DataFrame:
     """E5: one long table of all cohorts.
 
     panel           unit-time rows with the outcome columns, the covariate and one 0/1
@@ -79,6 +80,9 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
     carry           extra panel columns to keep (e.g. labels)
     event_shift     added to every event time (0: one time axis; a nonzero shift reproduces
                     an analysis whose event times were taken on a different axis)
+    max_cohorts     size guard of the grid, which is broadcast: every unit meets every
+                    cohort, and joining on the few distinct outcome values by shuffle would
+                    send all units of an outcome to one task
 
     Columns: exposure, treated_unit, outcome, <unit>, <time>, Y, <covariate>, X (post
     period of the treated unit's event, E3), treated (E4), exposed (the cohort's flag),
@@ -110,10 +114,14 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
         events = first_exposure(panel, spec, flags, "definition", "event_time")
     ev = events.select(F.col(u).alias("treated_unit"), F.col("definition").alias("exposure"),
                        (F.col("event_time") + F.lit(event_shift)).alias("event_time"))
+    n_cohorts = grid.count()                      # the grid is small; this is its size check
+    if n_cohorts > max_cohorts:
+        raise ValueError(f"{n_cohorts} cohorts exceed max_cohorts={max_cohorts}; split the grid")
     g = grid.join(ev, ["treated_unit", "exposure"], "left")
 
-    # cohorts x units: apply the rules here, before touching unit-time rows
-    m = g.join(ystats, "outcome").join(ustats, u)
+    # cohorts x units: apply the rules here, before touching unit-time rows. The checked
+    # grid is broadcast, the unit facts stay distributed by unit.
+    m = ystats.join(F.broadcast(g), "outcome").join(ustats, u)
     share = _pick(F.col("exposure"), {n: F.col(f"__share_{n}") for n in flags})
     is_tr = F.coalesce(F.col(u) == F.col("treated_unit"), F.lit(False))
     ok = F.lit(True)
