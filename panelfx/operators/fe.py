@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -48,12 +48,15 @@ def fe_counterfactual(cohorts: DataFrame, y: str = "Y", cov: str = "mob", treat:
     eps_y = tol * (1.0 + (scale["a"] or 0.0))             # each series converges on its own scale
     eps_x = tol * (1.0 + (scale["b"] or 0.0))
 
-    def means(df: DataFrame, by: list[str]) -> DataFrame:
+    def means(df: DataFrame, by: list[str], obs: Observation | None = None) -> DataFrame:
         # small (cohorts x units or cohorts x times) and materialised on its own, so the
-        # join below adds one leaf to the plan instead of a second copy of `df`
-        return (df.filter(untreated).groupBy(*by)
-                .agg(F.avg("__ry").alias("__my"), F.avg("__rx").alias("__mx"))
-                .checkpoint(eager=True))
+        # join below adds one leaf to the plan instead of a second copy of `df`; the
+        # convergence measure is observed while it is written (no extra job)
+        m = df.filter(untreated).groupBy(*by).agg(F.avg("__ry").alias("__my"), F.avg("__rx").alias("__mx"))
+        if obs is not None:
+            m = m.observe(obs, F.max(F.greatest(F.abs("__my") / F.lit(eps_y),
+                                                F.abs("__mx") / F.lit(eps_x))).alias("worst"))
+        return m.checkpoint(eager=True)
 
     def subtract(df: DataFrame, m: DataFrame, by: list[str]) -> DataFrame:
         return (df.join(m, by, "left")
@@ -63,9 +66,9 @@ def fe_counterfactual(cohorts: DataFrame, y: str = "Y", cov: str = "mob", treat:
 
     cur, first_u, first_t = rows, None, None
     for r in range(1, max_rounds + 1):
-        mu = means(cur, [*keys, unit])
-        worst = mu.agg(F.max(F.greatest(F.abs("__my") / F.lit(eps_y), F.abs("__mx") / F.lit(eps_x)))
-                       .alias("m")).first()["m"]
+        obs = Observation(f"fe_round_{r}")
+        mu = means(cur, [*keys, unit], obs)
+        worst = obs.get.get("worst")
         if first_u is None:
             first_u = mu
         LAST_RUN.update(rounds=r, worst=worst)
