@@ -18,7 +18,7 @@ _HOW = {"all": "full_outer", "match": "inner", "left": "left", "right": "right"}
 
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], keep: str = "all",
-                     indicator: str | None = None) -> DataFrame:
+                     indicator: str | None = None, validate: bool = False) -> DataFrame:
     """1:1 merge on `keys`.
 
     keep="all" keeps every row of both sides, "match" only matched rows, "left" the

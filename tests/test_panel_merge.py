@@ -76,3 +76,12 @@ def test_anti_join(spark):
     bad = spark.createDataFrame([(2,)], "u int")
     assert [r["u"] for r in merge.drop_matching(df, bad, ["u"]).collect()] == [1]
     assert F is not None
+
+
+def test_merge_validate_rejects_duplicate_keys(spark):
+    import pytest
+    left = spark.createDataFrame([(1, 1), (1, 2)], "k int, a int")
+    right = spark.createDataFrame([(1, 3)], "k int, b int")
+    with pytest.raises(ValueError):
+        merge.merge_one_to_one(left, right, ["k"], validate=True)
+    assert merge.merge_one_to_one(right, right.withColumnRenamed("b", "c"), ["k"], validate=True).count() == 1
