@@ -25,9 +25,14 @@ def merge_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], kee
     left rows (with matches), "right" the right rows. A non-key column present on both
     sides takes the left value whenever a left row exists -- even a null one -- and the
     right value only for right-only rows. `indicator` adds 1 = left only, 2 = right
-    only, 3 = both.
+    only, 3 = both. `validate=True` first checks that the keys are unique on each side
+    (one distributed aggregate per side) and raises otherwise, as a 1:1 merge requires.
     """
     keys = list(keys)
+    if validate:
+        from .panel import assert_unique
+        assert_unique(left, keys)
+        assert_unique(right, keys)
     shared = [c for c in left.columns if c in right.columns and c not in keys]
     l_ = left.select(*keys, *[F.col(c).alias(f"__l_{c}") if c in shared else F.col(c) for c in left.columns
                               if c not in keys], F.lit(True).alias("__l"))
