@@ -43,6 +43,17 @@ def q_smoothed_ratio(spark, sf):
                     ratio("k7", "n7", "ieee").alias("ratio7_same"))
 
 
+def q_customer_smoothed_ratio(spark, sf):
+    """The flagship chain with the customer as unit (units grow with the data): 4-row
+    rolling sums, the denominator lagged 4 rows, IEEE ratios."""
+    spec = tp.PanelSpec("c", "t")
+    p = tp.customer_panel(spark, sf).select("c", "t", "k", "n")
+    p = p.withColumns({"k4": series.rolling_sum_expr(spec, "k", 4), "n4": series.rolling_sum_expr(spec, "n", 4)})
+    p = p.withColumn("n4_lag4", series.lag_expr(spec, "n4", 4))
+    return p.select("c", "t", "k4", "n4", "n4_lag4", ratio("k4", "n4_lag4", "ieee").alias("ratio4_lag4"),
+                    ratio("k4", "n4", "ieee").alias("ratio4_same"))
+
+
 def q_decumulate_total(spark, sf):
     p = _cumulative(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "delta"))
     return p.select("u", "t", "cum", series.decumulate_expr(SPEC, "cum", "total").alias("step"))
@@ -513,6 +524,7 @@ def q_figure_axes(spark, sf):
 QUERIES: dict[str, Query] = {
     "test_panel": q_test_panel,
     "smoothed_ratio": q_smoothed_ratio,
+    "customer_smoothed_ratio": q_customer_smoothed_ratio,
     "decumulate_total": q_decumulate_total,
     "decumulate_zero": q_decumulate_zero,
     "repair_negative": q_repair_negative,

@@ -453,3 +453,21 @@ SQL["fill_missing_dates"] = with_(PANEL, CPANEL) + """
 SELECT g.u, g.t, coalesce(p.wk, DATE '1994-12-26' + CAST(7 * g.t AS INTEGER)) AS wk,
        DATE '1994-12-26' + CAST(7 * g.t AS INTEGER) AS wk_from_t
 FROM grid_ g LEFT JOIN p0_ p ON g.u = p.u AND g.t = p.t"""
+
+# ------------------------------------------------------------------ customers as units
+
+
+def _croll(c: str, n: int) -> str:
+    fr = f"(PARTITION BY c ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"(CASE WHEN count({c}) OVER {fr} = {n} THEN CAST(sum({c}) OVER {fr} AS BIGINT) END)"
+
+
+SQL["customer_smoothed_ratio"] = f"""
+WITH cp0_ AS (
+  SELECT o_custkey AS c, CAST(date_trunc('week', o_orderdate) AS DATE) AS wk, CAST(count(*) AS BIGINT) AS n,
+         CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS k
+  FROM orders GROUP BY 1, 2),
+cp_ AS (SELECT *, CAST(datediff('day', DATE '1994-12-26', wk) // 7 AS INTEGER) AS t FROM cp0_),
+cr_ AS (SELECT c, t, {_croll('k', 4)} AS k4, {_croll('n', 4)} AS n4 FROM cp_),
+cl_ AS (SELECT *, lag(n4, 4) OVER (PARTITION BY c ORDER BY t) AS n4_lag4 FROM cr_)
+SELECT c, t, k4, n4, n4_lag4, {ieee('k4', 'n4_lag4')} AS ratio4_lag4, {ieee('k4', 'n4')} AS ratio4_same FROM cl_"""

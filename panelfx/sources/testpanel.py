@@ -73,6 +73,16 @@ def order_panel(spark: SparkSession, sf_dir: str, with_dose: bool = True) -> Dat
     return g.withColumn("dose", dose_expr()) if with_dose else g
 
 
+def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c, wk, n, k, t): the same measures with the customer as unit -- the number of
+    units grows with the tables (no join needed: the unit is on the order)."""
+    o = read_table(spark, sf_dir, "orders", ["o_custkey", "o_orderstatus", "o_orderdate"])
+    return (o.groupBy(F.col("o_custkey").alias("c"), week_start("o_orderdate").alias("wk"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                 F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).cast("bigint").alias("k"))
+            .withColumn("t", week_index("wk")))
+
+
 def order_panel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(u, day, n, k, delta, mob, week): one row per unit-day that has orders."""
     return (_order_facts(spark, sf_dir)
