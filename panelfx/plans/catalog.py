@@ -184,6 +184,12 @@ def q_complete_panel(spark, sf):
     return _completed(spark, sf).select("u", "t", "wk", "n", "k", "delta", "mob", "dose", "added")
 
 
+def q_customer_complete_panel(spark, sf):
+    """W10 with customers as units: every customer x every week of the span, zero-filled."""
+    p = materialize(tp.customer_panel(spark, sf).select("c", "t", "n", "k"))
+    return panel.complete_panel(p, tp.PanelSpec("c", "t"), fill={"n": 0, "k": 0}, flag="added")
+
+
 def q_interpolate_gaps(spark, sf):
     """Single missing weeks filled with the mean of their neighbours."""
     c = _completed(spark, sf, fill=False).select("u", "t", "n", "mob")
@@ -539,6 +545,7 @@ QUERIES: dict[str, Query] = {
     "unit_labels": q_unit_labels,
     "melt_outcomes": q_melt_outcomes,
     "complete_panel": q_complete_panel,
+    "customer_complete_panel": q_customer_complete_panel,
     "interpolate_gaps": q_interpolate_gaps,
     "fill_missing_dates": q_fill_missing_dates,
     "panel_gaps": q_panel_gaps,

@@ -471,3 +471,15 @@ cp_ AS (SELECT *, CAST(datediff('day', DATE '1994-12-26', wk) // 7 AS INTEGER) A
 cr_ AS (SELECT c, t, {_croll('k', 4)} AS k4, {_croll('n', 4)} AS n4 FROM cp_),
 cl_ AS (SELECT *, lag(n4, 4) OVER (PARTITION BY c ORDER BY t) AS n4_lag4 FROM cr_)
 SELECT c, t, k4, n4, n4_lag4, {ieee('k4', 'n4_lag4')} AS ratio4_lag4, {ieee('k4', 'n4')} AS ratio4_same FROM cl_"""
+
+SQL["customer_complete_panel"] = """
+WITH cp0_ AS (
+  SELECT o_custkey AS c, CAST(date_trunc('week', o_orderdate) AS DATE) AS wk, CAST(count(*) AS BIGINT) AS n,
+         CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS k
+  FROM orders GROUP BY 1, 2),
+cp_ AS (SELECT c, CAST(datediff('day', DATE '1994-12-26', wk) // 7 AS INTEGER) AS t, n, k FROM cp0_),
+cb_ AS (SELECT min(t) AS lo, max(t) AS hi FROM cp_),
+cg0_ AS (SELECT c, unnest(generate_series(lo, hi)) AS t FROM (SELECT DISTINCT c FROM cp_), cb_),
+cg_ AS (SELECT c, CAST(t AS INTEGER) AS t FROM cg0_)
+SELECT g.c, g.t, coalesce(p.n, 0) AS n, coalesce(p.k, 0) AS k, CASE WHEN p.c IS NULL THEN 1 ELSE 0 END AS added
+FROM cg_ g LEFT JOIN cp_ p ON g.c = p.c AND g.t = p.t"""
