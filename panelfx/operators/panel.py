@@ -160,6 +160,16 @@ def complete_panel(df: DataFrame, spec: PanelSpec, times: DataFrame | None = Non
     return out.drop("__have")
 
 
+def insert_times(df: DataFrame, spec: PanelSpec, times: Sequence) -> DataFrame:
+    """W10 (listed times): every unit gets a row for each listed time it lacks (other
+    columns null); existing rows are untouched and other absent times stay absent."""
+    lits = F.array(*[F.lit(x) for x in times]).cast(f"array<{dict(df.dtypes)[spec.time]}>")
+    add = (df.select(*spec.unit).distinct()
+           .select(*spec.unit, F.explode(lits).alias(spec.time))
+           .join(df.select(*spec.keys), spec.keys, "left_anti"))
+    return df.unionByName(add, allowMissingColumns=True)
+
+
 def panel_gaps(df: DataFrame, spec: PanelSpec, times: DataFrame | None = None, step: int = 1) -> DataFrame:
     """Unit-time rows absent from the panel (empty = balanced)."""
     return calendar_grid(df, spec, times, step).join(df.select(*spec.keys), spec.keys, "left_anti")

@@ -29,6 +29,7 @@ from ..spec import PanelSpec
 DAY_BASE = _dt.date(2020, 1, 17)           # day index 0; column v5 is 2020-01-22
 FIRST_DAY = _dt.date(2020, 1, 22)
 LAST_DAY = _dt.date(2020, 11, 10)
+MISSING_EXPOSURE_DAYS = [_dt.date(2020, 7, 8)]     # absent from the exposure file for every county
 # County names spelled differently in the case file, fixed before the merge.
 CASE_NAME_FIXES = {
     "Alexandria City": "Alexandria city",
@@ -100,11 +101,12 @@ def health_stage(cases: DataFrame, deaths: DataFrame) -> DataFrame:
     return h.withColumns(out)
 
 
-def exposure_stage(raw: DataFrame) -> DataFrame:
-    """Exposure by county-day: every county gets every day of the span (the source
-    lacks one day), single-day gaps are filled with the neighbours' mean."""
+def exposure_stage(raw: DataFrame, missing_days=MISSING_EXPOSURE_DAYS) -> DataFrame:
+    """Exposure by county-day: every county gets a row for each day the file lacks
+    (`missing_days`), then single-day gaps are filled with the neighbours' mean.
+    Use `panel.complete_panel` instead to insert every absent day of the span."""
     e = raw.select(F.col("geoid").alias("countyfips"), parse_date("dates").alias("date"), *EXPOSURE_MEASURES)
-    e = panel.complete_panel(e, FIPS_DAY)
+    e = panel.insert_times(e, FIPS_DAY, missing_days)
     return series.interpolate_gap(e, FIPS_DAY, EXPOSURE_MEASURES)
 
 

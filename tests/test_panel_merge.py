@@ -85,3 +85,14 @@ def test_merge_validate_rejects_duplicate_keys(spark):
     with pytest.raises(ValueError):
         merge.merge_one_to_one(left, right, ["k"], validate=True)
     assert merge.merge_one_to_one(right, right.withColumnRenamed("b", "c"), ["k"], validate=True).count() == 1
+
+
+def test_insert_listed_times_only(spark):
+    import datetime as dt
+    spec = PanelSpec("u", "d")
+    df = spark.createDataFrame([(1, dt.date(2020, 7, 7), 1.0), (1, dt.date(2020, 7, 9), 3.0),
+                                (2, dt.date(2020, 7, 1), 5.0)], "u int, d date, x double")
+    out = panel.insert_times(df, spec, [dt.date(2020, 7, 8)])
+    got = sorted((r["u"], r["d"].isoformat(), r["x"]) for r in out.collect())
+    assert got == [(1, "2020-07-07", 1.0), (1, "2020-07-08", None), (1, "2020-07-09", 3.0),
+                   (2, "2020-07-01", 5.0), (2, "2020-07-08", None)]
