@@ -194,6 +194,10 @@ def _solver(placebo: bool, max_cells: int, max_iter: int, gram_cells: int, names
             return pd.DataFrame(columns=names)
         pdf = pdf.sort_values("unit", kind="stable").reset_index(drop=True)
         U = len(pdf)
+        lens = {len(v) for v in pdf["x"]}
+        if len(lens) != 1:
+            raise ValueError("units of a cohort have different predictor sets; drop units with missing "
+                             "outcome or covariate values before fitting (CohortRules does by default)")
         X = np.vstack(pdf["x"].to_numpy()).astype(float)            # U x K
         if X.size > max_cells:
             raise ValueError(f"cohort of {U} units x {X.shape[1]} predictors exceeds max_cells={max_cells}; "

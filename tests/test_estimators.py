@@ -145,3 +145,11 @@ def test_synth_weights_with_string_units(spark):
     assert set(w["fit_unit"]) == {"unit-0"}
     tw = w.set_index("donor")["weight"]
     assert abs(tw["unit-3"] - 0.5) < 1e-10 and abs(tw["unit-6"] - 0.3) < 1e-10 and abs(tw["unit-9"] - 0.2) < 1e-10
+
+
+def test_synth_weights_refuse_ragged_predictors(spark):
+    from pyspark.errors import PythonException
+    coh = _synthetic_cohort(spark).filter(~((F.col("u") == 4) & (F.col("t") == 3)))   # one value missing
+    with pytest.raises(Exception) as e:
+        synth.synth_weights(synth.predictors(coh, cols=["Y"])).collect()
+    assert "different predictor sets" in str(e.value) or isinstance(e.value, PythonException)
