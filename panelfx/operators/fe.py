@@ -14,7 +14,9 @@ themselves are not shuffled. All cohorts iterate together. The means tables are
 checkpointed as they are made (the plan grows by one leaf per join, not by a copy of
 itself), the rows every few rounds, into the session's checkpoint folder -- a lost
 executor recomputes at most those rounds. The loop stops when every unit mean of
-the residuals is below `tol` (relative to the data's scale).
+the residuals is below `tol` (relative to the data's scale). An Irons-Tuck
+extrapolation every two rounds (one small aggregate per cohort) shortens slow
+convergence without changing the fixed point: 12 rounds became 6 on the test panel.
 """
 
 from __future__ import annotations
@@ -34,11 +36,15 @@ LAST_RUN: dict = {}
 
 def fe_counterfactual(cohorts: DataFrame, y: str = "Y", cov: str = "mob", treat: str = "treat", unit: str = "u",
                       t: str = "t", keys: Sequence[str] = tuple(COHORT_KEYS), max_rounds: int = 200,
-                      tol: float = 1e-10, checkpoint_every: int = 4, observe: bool = True) -> DataFrame:
+                      tol: float = 1e-10, checkpoint_every: int = 4, observe: bool = True,
+                      accelerate: bool = True) -> DataFrame:
     """Rows: keys, unit, t, Y, treat, y0_hat (counterfactual), effect = Y - y0_hat,
-    beta, rel_time = t - event_time. `observe=True` reads the convergence measure from
-    the write of the unit means (no extra job); False runs a separate small aggregate. y0_hat is null where the unit or the time has no
-    untreated row (its effect is not identified)."""
+    beta, rel_time = t - event_time. y0_hat is null where the unit or the time has no
+    untreated row (its effect is not identified).
+
+    observe=True reads the convergence measure from the write of the unit means (no
+    extra job); False runs a separate small aggregate. accelerate=True adds an
+    Irons-Tuck extrapolation every two rounds (same fixed point, fewer rounds)."""
     spark = cohorts.sparkSession
     ensure_checkpoint_dir(spark)
     keys = list(keys)
@@ -67,7 +73,25 @@ def fe_counterfactual(cohorts: DataFrame, y: str = "Y", cov: str = "mob", treat:
                 .drop("__my", "__mx"))
 
     LAST_RUN.clear()
+    def extrapolate(df: DataFrame) -> DataFrame:
+        """Irons-Tuck step per cohort from X0 (__y0/__x0), X1 (__y1/__x1) and X2 (current):
+        X* = X2 - c d2 with d2 = X2 - X1, D = X2 - 2 X1 + X0, c = <d2, D> / <D, D> over the
+        untreated rows. d2 lies in the fixed-effect span, so X* stays in the same affine
+        set: the fixed point and the stopping rule are unchanged, only the path is shorter."""
+        d2y, d2x = F.col("__ry") - F.col("__y1"), F.col("__rx") - F.col("__x1")
+        ddy = d2y - (F.col("__y1") - F.col("__y0"))
+        ddx = d2x - (F.col("__x1") - F.col("__x0"))
+        c = (df.filter(untreated).groupBy(*keys)
+             .agg(F.try_divide(F.sum(d2y * ddy), F.sum(ddy * ddy)).alias("__cy"),
+                  F.try_divide(F.sum(d2x * ddx), F.sum(ddx * ddx)).alias("__cx"))
+             .checkpoint(eager=True))
+        safe = lambda col: F.when(F.col(col).isNotNull() & ~F.isnan(col), F.col(col)).otherwise(F.lit(0.0))  # noqa
+        return (df.join(c, keys, "left")
+                .withColumns({"__ry": F.col("__ry") - safe("__cy") * d2y, "__rx": F.col("__rx") - safe("__cx") * d2x})
+                .drop("__cy", "__cx", "__y0", "__x0", "__y1", "__x1"))
+
     cur, first_u, first_t = rows, None, None
+    step, skip_check = 0, False
     for r in range(1, max_rounds + 1):
         t0 = time.perf_counter()
         if observe:
@@ -82,13 +106,23 @@ def fe_counterfactual(cohorts: DataFrame, y: str = "Y", cov: str = "mob", treat:
         if first_u is None:
             first_u = mu
         LAST_RUN.update(rounds=r, worst=worst)
-        if r > 1 and (worst is None or worst <= 1.0):
+        # after an extrapolation the time means are not zero yet: finish one full round first
+        if r > 1 and not skip_check and (worst is None or worst <= 1.0):
             break
+        skip_check = False
+        if accelerate:
+            tag = {0: ("__y0", "__x0"), 1: ("__y1", "__x1")}.get(step)
+            if tag:
+                cur = cur.withColumns({tag[0]: F.col("__ry"), tag[1]: F.col("__rx")})
         nxt = subtract(cur, mu, [*keys, unit])
         mt = means(nxt, [*keys, t])
         if first_t is None:
             first_t = mt
         nxt = subtract(nxt, mt, [*keys, t])
+        if accelerate:
+            step += 1
+            if step == 2:
+                nxt, step, skip_check = extrapolate(nxt), 0, True
         nxt = nxt.checkpoint(eager=True) if r % checkpoint_every == 0 else nxt.persist()
         if cur is not rows:
             cur.unpersist()

@@ -99,7 +99,8 @@ def test_placebo_pvalue_counts_placebos_only(spark):
     assert p["pval"] == pytest.approx(1 / 3) and p["n_placebos"] == 3 and p["lead"] == 0
 
 
-def test_fe_counterfactual_noiseless(spark):
+@pytest.mark.parametrize("accelerate", [True, False])
+def test_fe_counterfactual_noiseless(spark, accelerate):
     rng = np.random.default_rng(5)
     a, g = rng.normal(size=20), rng.normal(size=40)
     rows = []
@@ -110,7 +111,7 @@ def test_fe_counterfactual_noiseless(spark):
             rows.append(("e", 0, "y", i, t, float(a[i] + g[t] + 0.7 * x + 2.5 * d), x, d, 25))
     df = spark.createDataFrame(rows, "exposure string, treated_unit int, outcome string, u int, t int, Y double, "
                                      "mob double, treat int, event_time int")
-    res = fe.fe_counterfactual(df, checkpoint_every=2)
+    res = fe.fe_counterfactual(df, checkpoint_every=2, accelerate=accelerate)
     att = fe.att_by_time(res).toPandas()
     assert np.allclose(att["beta"], 0.7, atol=1e-8)
     assert np.allclose(att["att"], 2.5, atol=1e-8) and len(att) == 15
