@@ -44,3 +44,13 @@ def strict_sum(c) -> Column:
 
 def strict_avg(c) -> Column:
     return agg_expr("mean", c, strict=True)
+
+
+def window_agg(fn: str, c, w, strict: bool = False) -> Column:
+    """`agg_expr` evaluated over a window (each row gets its group's value): one pass over
+    the input instead of an aggregate joined back to it."""
+    x = col(c)
+    e = _FUNCS[fn](x).over(w)
+    if strict:
+        e = F.when(F.count(F.lit(1)).over(w) == F.count(x).over(w), e)
+    return e

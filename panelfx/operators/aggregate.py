@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.agg import agg_expr
+from ..functions.agg import agg_expr, window_agg
 from ..spec import PanelSpec
 
 
@@ -62,5 +62,9 @@ def filter_units_by_total(df: DataFrame, spec: PanelSpec, c: str, min_total, out
     """F3 (+J4): attach each unit's total of `c` and keep units whose total >= min_total.
     A null total (strict and a missing value) fails the test. `totals_from` computes the
     totals on another frame (e.g. before a date cut)."""
-    tot = unit_totals(totals_from if totals_from is not None else df, spec, c, out, strict)
+    if totals_from is None:
+        # one pass: the total is a window over the unit (the partitioning series windows use)
+        tot_col = window_agg("sum", c, spec.unit_window(), strict)
+        return df.withColumn(out, tot_col).filter(F.col(out) >= F.lit(min_total))
+    tot = unit_totals(totals_from, spec, c, out, strict)
     return df.join(tot, list(spec.unit), "left").filter(F.col(out) >= F.lit(min_total))

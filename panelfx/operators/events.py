@@ -47,8 +47,8 @@ def mark_first_exposure(df: DataFrame, spec: PanelSpec, flags: Mapping[str, str
 
 def first_rows(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Each unit's earliest row (ties impossible: the panel is unique on unit-time)."""
-    m = df.groupBy(*spec.unit).agg(F.min(spec.time).alias("__t0"))
-    return df.join(m, list(spec.unit)).filter(F.col(spec.time) == F.col("__t0")).drop("__t0")
+    t0 = F.min(spec.time).over(spec.unit_window())          # one pass, no join back
+    return df.withColumn("__t0", t0).filter(F.col(spec.time) == F.col("__t0")).drop("__t0")
 
 
 def post_period(df: DataFrame, t: str, event: str, out: str = "X") -> DataFrame:

@@ -40,3 +40,10 @@ def nan_cond(cols: Sequence[str]) -> Column:
 def inf_cond(cols: Sequence[str]) -> Column:
     """Any column +Inf."""
     return any_of([is_inf(c) for c in cols])
+
+
+def drop_units_where(df: DataFrame, spec: PanelSpec, cond: Column) -> DataFrame:
+    """Drop every unit with at least one row matching `cond`, in one pass (a window flag
+    over the unit) -- the single-frame form of units_failing + anti join."""
+    bad = F.max(F.coalesce(cond, F.lit(False)).cast("int")).over(spec.unit_window())
+    return df.withColumn("__bad", bad).filter(F.col("__bad") == 0).drop("__bad")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import (clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
+from ..functions import (agg_expr, clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
                          parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
 from ..operators import aggregate, cohort, events, fe, infer, merge, panel, quality, series, synth, tables
 from ..session import materialize
@@ -236,7 +236,7 @@ def q_merge_left(spark, sf):
 
 def q_natural_join_totals(spark, sf):
     """Unit totals joined back on the shared key."""
-    p = tp.order_panel(spark, sf, with_dose=False).select("u", "t", "k")
+    p = materialize(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "k"))   # fork: totals + join
     tot = aggregate.unit_totals(p, SPEC, "k", "total_k")
     return merge.natural_left_join(p, tot)
 
@@ -252,7 +252,7 @@ def q_drop_bad_units(spark, sf):
     """J7 + D2: drop every unit that still has a negative step after the 'previous' repair."""
     p = _cumulative(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "delta"))
     p = p.withColumn("step", series.decumulate_expr(SPEC, "cum", "zero"))
-    p = p.withColumn("step", series.repair_negative_expr(SPEC, "step", "previous"))
+    p = materialize(p.withColumn("step", series.repair_negative_expr(SPEC, "step", "previous")))  # fork
     bad = quality.units_failing(p, SPEC, F.col("step") < 0)
     return merge.drop_matching(p, bad, ["u"])
 
@@ -280,8 +280,8 @@ def _steps_null(spark, sf):
 def q_strict_unit_sum(spark, sf):
     """G1: NA-propagating unit sum next to the skipping sum."""
     p = _steps_null(spark, sf)
-    return aggregate.group_agg(p, ["u"], {"total_strict": ("sum", "step_null")}, strict=True).join(
-        aggregate.group_agg(p, ["u"], {"total_skip": ("sum", "step_null")}, strict=False), "u")
+    return p.groupBy("u").agg(agg_expr("sum", "step_null", strict=True).alias("total_strict"),
+                              agg_expr("sum", "step_null", strict=False).alias("total_skip"))
 
 
 def q_weekly_resample(spark, sf):
@@ -469,8 +469,8 @@ def q_effect_ci_uniform(spark, sf):
 
 # ---------------------------------------------------------------- step 9: synthetic control
 
-def _predictors(spark, sf):
-    return synth.predictors(_cohorts(spark, sf), cols=["Y", "mob"])
+def _predictors(spark, sf, coh: DataFrame | None = None):
+    return synth.predictors(coh if coh is not None else _cohorts(spark, sf), cols=["Y", "mob"])
 
 
 def q_predictors(spark, sf):
@@ -478,8 +478,8 @@ def q_predictors(spark, sf):
     return _rounded(_predictors(spark, sf).drop("sd"), ["x_scaled"], 6)
 
 
-def _weights(spark, sf):
-    return synth.synth_weights(_predictors(spark, sf), placebo=True)
+def _weights(spark, sf, coh: DataFrame | None = None):
+    return synth.synth_weights(_predictors(spark, sf, coh), placebo=True)
 
 
 def q_synth_weights(spark, sf):
@@ -496,7 +496,8 @@ def q_donor_weights(spark, sf):
 def q_synth_effects(spark, sf):
     """Y5-Y9 with the solved weights: effect table with placebo p-values and CIs."""
     coh = _cohorts(spark, sf)
-    g = infer.synth_series(coh, weights=_weights(spark, sf))
+    w = materialize(_weights(spark, sf, coh))     # fork: the gaps feed RMSPE, p-values and the table
+    g = infer.synth_series(coh, weights=w)
     return infer.effect_table(g, infer.placebo_pvalues(g))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import iso_week, member_flag, ratio, threshold_flag, zero_over_zero
-from ..operators import aggregate, events, merge, panel, quality, series
+from ..operators import aggregate, events, panel, quality, series
 from ..spec import PanelSpec
 
 # Fixed values of the analysis.
@@ -69,8 +69,7 @@ def _daily(df: DataFrame) -> DataFrame:
 def smoothed(df: DataFrame) -> DataFrame:
     d = _daily(df)
     d = series.repair_negative(d, COUNTY, ["cases", "death"], "previous")
-    bad = quality.units_failing(d, COUNTY, (F.col("cases") < 0) | (F.col("death") < 0))
-    d = merge.drop_matching(d, bad, list(COUNTY.unit))
+    d = quality.drop_units_where(d, COUNTY, (F.col("cases") < 0) | (F.col("death") < 0))
     d = d.withColumns({"cases_roll_7d": series.rolling_sum_expr(COUNTY, "cases", 7),
                        "death_roll_7d": series.rolling_sum_expr(COUNTY, "death", 7),
                        "cases_roll_14d": series.rolling_sum_expr(COUNTY, "cases", 14),
