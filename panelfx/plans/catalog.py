@@ -164,7 +164,7 @@ def q_exposure_flags(spark, sf):
 
 def q_unit_labels(spark, sf):
     """P14 + P9 + P16: cleaned label, eligibility flag and dense unit id."""
-    p = _labelled(spark, sf).select("u", "t", "n_name", "r_name")
+    p = materialize(_labelled(spark, sf).select("u", "t", "n_name", "r_name"))   # fork: key table + join back
     p = p.withColumns({
         "label": clean_label("n_name", "r_name", remove=[" ", "_"]),
         "eligible": member_flag("n_name", tp.EXPOSED_NATIONS, F.col("r_name") == tp.EXPOSED_REGION),
@@ -205,7 +205,8 @@ def q_fill_missing_dates(spark, sf):
 
 def q_panel_gaps(spark, sf):
     """Unit-weeks absent from the panel."""
-    return panel.panel_gaps(tp.order_panel(spark, sf, with_dose=False), SPEC)
+    p = materialize(tp.order_panel(spark, sf, with_dose=False).select("u", "t"))   # fork: calendar + anti join
+    return panel.panel_gaps(p, SPEC)
 
 
 # ---------------------------------------------------------------- step 3: merges

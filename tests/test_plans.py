@@ -45,3 +45,17 @@ def test_solver_groups_are_not_coalesced_into_one_task(spark):
     # an explicit partition count: AQE does not coalesce it by bytes (the groups are CPU-heavy)
     assert "hashpartitioning(exposure" in plan and ", 6), REPARTITION_BY_NUM" in plan
     assert w.filter(F.col("weight") <= 0).count() == 0
+
+
+def test_every_query_scans_each_raw_table_at_most_once(spark):
+    """Forks are materialized and unit aggregates use windows, so no plan reads a raw
+    table twice (at 100 TB a second scan doubles the cost)."""
+    repeated = []
+    for name, fn in catalog.QUERIES.items():
+        if name in {"synth_weights", "donor_weights", "synth_effects", "fe_att"}:
+            continue                                  # read only materialized cohorts (checked elsewhere)
+        plan = _plan(fn(spark, SF))
+        for table in ("orders", "lineitem", "customer", "supplier"):
+            if plan.count(f"{table}.parquet") > 1:
+                repeated.append((name, table))
+    assert repeated == []
