@@ -154,3 +154,18 @@ def test_synth_weights_refuse_ragged_predictors(spark):
     with pytest.raises(Exception) as e:
         synth.synth_weights(synth.predictors(coh, cols=["Y"])).collect()
     assert "different predictor sets" in str(e.value) or isinstance(e.value, PythonException)
+
+
+def test_effects_with_solved_weights(spark):
+    """Y5-Y9 on solver weights: the treated unit is an exact donor mix before the event, so
+    its pre-period gap is 0; p-values lie in [0, 1], ti counts the post-event times."""
+    coh = _synthetic_cohort(spark).withColumn("event_time", F.lit(20))
+    w = synth.synth_weights(synth.predictors(coh, cols=["Y"]), placebo=True)
+    g = infer.synth_series(coh, weights=w)
+    pre = g.filter((F.col("treated_fit") == 1) & (F.col("t") < 20)).agg(F.max(F.abs("gap"))).first()[0]
+    assert pre < 1e-9
+    e = infer.effect_table(g, infer.placebo_pvalues(g)).toPandas().sort_values("t")
+    assert list(e["ti"]) == list(range(1, 11)) and list(e["lead"]) == list(range(10))
+    assert e["pval"].between(0, 1).all()
+    ok = e["zval"] > 0
+    assert (e.loc[ok, "ci_low"] <= e.loc[ok, "ci_high"]).all()
