@@ -1 +1,109 @@
+"""DuckDB SQL of the text queries that SQL can express; the others (nearest examples,
+token merges, Viterbi, XXH64 majorities, exchange clustering) are tested against brute
+force in tests/llm."""
+
+from __future__ import annotations
+
 SQL: dict[str, str] = {}
+
+SQL["op1_tool_calls"] = """
+WITH calls AS (
+  SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id FROM conversations WHERE role = 'user'),
+results AS (
+  SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
+j AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS turn, c.text AS prompt,
+         r.turn AS result_pos, r.text AS content,
+         CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+         c.turn >= 2 AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.call_id = c.conv_id || ':' || (c.turn - 2)) AS missing
+  FROM calls c FULL JOIN results r ON c.call_id = r.call_id),
+e AS (
+  SELECT *, CASE WHEN status = 'orphan' THEN '' ELSE concat_ws('; ',
+      CASE WHEN length(prompt) < 1 THEN '$.n_chars: minimum' END,
+      CASE WHEN length(prompt) < 1 THEN '$.prompt: minLength' END,
+      CASE WHEN length(prompt) > 400 THEN '$.prompt: maxLength' END,
+      CASE WHEN turn > 6 THEN '$.turn: maximum' END,
+      CASE WHEN missing THEN 'needs: missing' END) END AS errors
+  FROM j)
+SELECT conv_id, call_id, turn, result_pos, status, CAST(0 AS BIGINT) AS layer, FALSE AS cyclic,
+       status <> 'orphan' AND errors = '' AS valid, errors,
+       '{"call":' || CASE WHEN status = 'orphan' THEN 'null' ELSE
+         '{"arguments":{"n_chars":' || length(prompt) || ',"prompt":' || CAST(to_json(prompt) AS VARCHAR) || ',"turn":' || turn
+         || '},"id":"' || call_id || '","name":"ask","needs":'
+         || CASE WHEN turn >= 2 THEN '["' || conv_id || ':' || (turn - 2) || '"]' ELSE '[]' END || ',"turn":' || turn || '}' END
+       || ',"result":' || CASE WHEN result_pos IS NULL THEN 'null' ELSE
+         '{"content":' || CAST(to_json(content) AS VARCHAR) || ',"id":"' || call_id || '","turn":' || result_pos || '}' END || '}' AS json
+FROM e"""
+
+# Words of decontamination: runs of ASCII digits, letters and non-ASCII characters.
+_WORDS6 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+SQL["op6_decontaminate"] = rf"""
+WITH b AS (SELECT item_id, {_WORDS6} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+         lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS win, least(len(w), 10) AS n
+       FROM b WHERE len(w) > 0),
+d AS (SELECT doc_id, {_WORDS6} AS w FROM documents),
+dw AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p,
+         unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win
+  FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+hit AS (SELECT doc_id, p, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+cov AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM hit)) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+SQL["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s,
+             max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + ((CAST('0x' || substr(s, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))::INT) & 31) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM x"""
+
+SQL["op9_line_chunks"] = r"""
+WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+l AS (SELECT *, CAST(('0x' || substr(md5(line), 1, 15)) AS BIGINT) % 1000003 AS h,
+        len(list_filter(regexp_split_to_array(line, '[ \t\n\v\f\r]+'), lambda x: x <> '')) >= 50 AS long,
+        len(list_filter(regexp_split_to_array(line, '[ \t\n\v\f\r]+'), lambda x: x <> '')) AS nw FROM l0),
+e AS (SELECT *, CASE WHEN (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 OR long OR coalesce(lead(long) OVER w, TRUE) THEN 1 ELSE 0 END AS ends
+      FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
+k AS (SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body, sum(nw) AS words FROM c GROUP BY 1, 2),
+g AS (SELECT *, (n > 1 AND words > 0 OR words >= 50)
+        AND row_number() OVER (PARTITION BY body, (n > 1 AND words > 0 OR words >= 50) ORDER BY doc_id, place) > 1 AS cut FROM k)
+SELECT d.doc_id, coalesce(CAST(sum(n) AS BIGINT), 0) AS n_lines, count(place) AS n_chunks,
+       coalesce(CAST(sum(CASE WHEN cut THEN n END) AS BIGINT), 0) AS n_cut_lines, count(CASE WHEN cut THEN 1 END) AS n_cut_chunks,
+       CASE WHEN any_value(d.text) IS NOT NULL THEN md5(coalesce(string_agg(CASE WHEN NOT cut THEN body END, chr(10) ORDER BY place), '')) END AS clean_md5
+FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id"""
+
+_WORDS10 = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '')"
+
+SQL["op10_host_rules"] = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS10} AS w FROM documents),
+g AS (SELECT doc_id, p, win, count(*) OVER (PARTITION BY doc_id, win) AS n FROM (
+        SELECT doc_id, unnest(range(1, len(w) - 6)) AS p,
+               unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS win
+        FROM d WHERE len(w) >= 8)),
+r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM g WHERE n > 1) GROUP BY 1),
+ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n
+       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY 1),
+s AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(base_failed AS INT)) AS DOUBLE) AS x FROM f GROUP BY 1),
+t AS (SELECT sum(n) AS N1, sum(x) AS X1, CAST(count(*) AS DOUBLE) AS H1, sum(n * n) AS nn, sum(x * x / n) AS xx FROM h),
+m AS (SELECT X1 / N1 AS m, CASE WHEN H1 > 1 THEN greatest(xx - X1 * X1 / N1, 0) / (H1 - 1) ELSE 0 END AS msb,
+        CASE WHEN N1 > H1 THEN greatest(X1 - xx, 0) / (N1 - H1) ELSE 0 END AS msw,
+        CASE WHEN H1 > 1 THEN (N1 - nn / N1) / (H1 - 1) ELSE 1 END AS n0 FROM t),
+q AS (SELECT m, CASE WHEN msb + (n0 - 1) * msw > 0 THEN least(greatest((msb - msw) / (msb + (n0 - 1) * msw), 1e-6), 1 - 1e-6) ELSE 1e-6 END AS rho FROM m),
+v AS (SELECT source, (x + m * (1 - rho) / rho) / (n + (1 - rho) / rho) > 0.5 AS bad FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""

@@ -43,7 +43,7 @@ from . import common
 
 MAX_TERMS = 512
 MIN_PHI2 = 0.01       # a feature term explains at least so much of the label's variance
-MIN_CHI2 = 30.0       # and does so beyond chance among as many terms as a corpus has
+MIN_CHI2 = 20.0       # and does so beyond chance among as many terms as a corpus has
 MIN_DOCS = 5          # and occurs in at least so many training texts
 MAX_EXAMPLES = 8_192
 BLOCK = 64
