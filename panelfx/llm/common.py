@@ -118,6 +118,15 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text.isNull(), text)
 
 
+def join_key(docs: DataFrame, doc_id: str, text: str, side: DataFrame, how: str) -> DataFrame:
+    """`docs` joined by its row key to `side` (columns id, h, and others whose names are
+    free in `docs`); the key's own columns do not come along."""
+    i, h = free_name(docs, "__id"), free_name(docs, "__h")
+    side = side.withColumnsRenamed({"id": i, "h": h})
+    out = docs.join(side, docs[doc_id].eqNullSafe(side[i]) & (text_hash(docs[text]) == side[h]), how)
+    return out if how in ("left_semi", "left_anti") else out.drop(i, h)
+
+
 _ROOTS: set[str] = set()
 
 

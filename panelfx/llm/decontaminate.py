@@ -120,14 +120,13 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", doc_i
            text: str = "text", **kw) -> DataFrame:
     """`docs` without its contaminated rows (what="documents"), or with the hit words and
     the gaps between them cut out of their texts (what="spans")."""
-    found = hits(docs, benchmark, doc_id, text, **kw).filter("n_hit > 0").select(
-        F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (common.text_hash(F.col(text)) == F.col("__h"))
+    found = hits(docs, benchmark, doc_id, text, **kw).filter("n_hit > 0")
     if what == "documents":
-        return docs.join(found, same, "left_anti")
-    joined = docs.join(found, same, "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(
-        _without(F.col(text), F.col("__spans")))).select(*docs.columns)
+        return common.join_key(docs, doc_id, text, found.select("id", "h"), "left_anti")
+    cut = common.free_name(docs, "__spans")
+    joined = common.join_key(docs, doc_id, text, found.select("id", "h", F.col("spans").alias(cut)), "left")
+    new = F.when(F.col(cut).isNull(), F.col(text)).otherwise(_without(F.col(text), F.col(cut)))
+    return joined.withColumn(text, new).select(*docs.columns)
 
 
 def _without(text: Column, spans: Column) -> Column:

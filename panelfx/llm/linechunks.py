@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW = 2        # line hashes under the rolling hash
-DIVISOR = 3       # a chunk ends after one line in so many
+DIVISOR = 2       # a chunk ends after one line in so many
 LONG_WORDS = 50   # a line of so many words is a chunk of its own
 BASE, PRIME = 31, 1_000_003
 
@@ -71,6 +71,9 @@ def chunks(text: str | None, long_words: int = LONG_WORDS, **kw) -> list[tuple[i
     return out
 
 
+STATS = ("n_lines", "n_chunks", "n_cut_lines", "n_cut_chunks")
+
+
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """(id, h, drop): for each document with candidates, an array of (place, text) of the
     first occurrences' texts its chunks at those places have to equal to be removed."""
@@ -109,18 +112,16 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw)
         ~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("place") == F.col("f_place"))))
     # a document that repeats a chunk needs its text once, with all its places
     later = later.groupBy("id", "h", "digest").agg(F.collect_set("place").alias("places"))
-    return later.join(body, "digest").groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(
-        F.collect_list(F.struct("places", "body")).alias("__drop"))
+    return later.join(body, "digest").groupBy("id", "h").agg(F.collect_list(F.struct("places", "body")).alias("drop"))
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """`docs` with repeated chunks removed from `text`, plus __lines, __chunks, __cut_lines
-    and __cut_chunks (all long): the lines and chunks of the text, and those removed."""
-    drop = removals(docs, doc_id, text, **kw)
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (common.text_hash(F.col(text)) == F.col("__h"))
-    joined = docs.join(drop, same, "left").drop("__id", "__h")
-    schema = T.StructType(docs.schema.fields + [
-        T.StructField(c, T.LongType()) for c in ("__lines", "__chunks", "__cut_lines", "__cut_chunks")])
+    """`docs` with repeated chunks removed from `text`, plus four long columns (STATS, their
+    names lengthened where `docs` has them): the lines and chunks of the text, and those
+    removed."""
+    drop = removals(docs, doc_id, text, **kw).withColumnRenamed("drop", common.free_name(docs, "__drop"))
+    joined = common.join_key(docs, doc_id, text, drop, "left")
+    schema = T.StructType(docs.schema.fields + [T.StructField(common.free_name(docs, c), T.LongType()) for c in STATS])
     names = schema.fieldNames()
     text_at, n_cols = docs.columns.index(text), len(docs.columns)
 
@@ -150,13 +151,11 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) ->
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """Per row: doc_id, n_lines, n_chunks, n_cut_lines, n_cut_chunks, clean_md5."""
     out = clean(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), **kw)
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__chunks").alias("n_chunks"),
-                      F.col("__cut_lines").alias("n_cut_lines"), F.col("__cut_chunks").alias("n_cut_chunks"),
-                      F.md5(F.col("text").cast("binary")).alias("clean_md5"))
+    return out.select("doc_id", *STATS, F.md5(F.col("text").cast("binary")).alias("clean_md5"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """`docs` with cleaned texts; rows that had words and lost all of them are dropped."""
     out = clean(docs, doc_id, text, **kw)
     left = F.translate(F.col(text), SPACES.decode(), "") != ""
-    return out.filter((F.col("__cut_chunks") == 0) | left).select(*docs.columns)
+    return out.filter((F.col(common.free_name(docs, STATS[3])) == 0) | left).select(*docs.columns)

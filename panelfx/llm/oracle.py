@@ -72,7 +72,7 @@ WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate
 l AS (SELECT *, CAST(('0x' || substr(md5(line), 1, 15)) AS BIGINT) % 1000003 AS h,
         len(list_filter(regexp_split_to_array(line, '[ \t\n\v\f\r]+'), lambda x: x <> '')) >= 50 AS long,
         len(list_filter(regexp_split_to_array(line, '[ \t\n\v\f\r]+'), lambda x: x <> '')) AS nw FROM l0),
-e AS (SELECT *, CASE WHEN (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 OR long OR coalesce(lead(long) OVER w, TRUE) THEN 1 ELSE 0 END AS ends
+e AS (SELECT *, CASE WHEN (coalesce(lag(h) OVER w, 0) * 31 + h) % 2 = 0 OR long OR coalesce(lead(long) OVER w, TRUE) THEN 1 ELSE 0 END AS ends
       FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
 k AS (SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body, sum(nw) AS words FROM c GROUP BY 1, 2),

@@ -13,8 +13,8 @@ a cell is verified on the fingerprints themselves.
 
 Scale: equal fingerprints are one row before any join. A cell's rows are read in sorted
 order; cells are compared in numpy and give only the edges of verified links. A cell of
-over CELL rows is not compared where it is found: its rows are dealt to tiles, one task for
-each pair of blocks of at most CELL rows, so no task holds an unbounded cell. Components come from
+over CELL rows is not compared where it is found: its rows are dealt to tiles, one group
+for each pair of blocks of half as many rows, so no task holds an unbounded cell. Components come from
 ``components``; documents get their class by an equi-join on the fingerprint.
 
 Defined results. Null or empty text: no words, fingerprint zero, linked like any other.
@@ -174,10 +174,10 @@ def links_in_cells(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> np.ndarr
     return np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.empty((0, 2), np.int64)
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFrame:
     """(a, b): edges between distinct fingerprints that connect exactly those linked at
     `max_bits` or fewer differing bits, directly or through others. `fps`: one column fp,
-    distinct."""
+    distinct. A cell of more than `cell` rows is dealt to tiles."""
     steps = -(-(max_bits // 2) // 2)
     filed = T.StructType([T.StructField("cell", T.LongType()), T.StructField("fp", T.LongType())])
 
@@ -192,12 +192,10 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     # links: cell null; rows of a cell too large to compare here: b null
     found = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("cell", T.LongType())])
 
-    def batch_of(edges, over=None):
-        a, b, cell = [edges[:, 0]], [edges[:, 1]], [None] * len(edges)
-        if over is None:
-            return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(b[0]), pa.array(cell, pa.int64())], names=["a", "b", "cell"])
-        return pa.RecordBatch.from_arrays([pa.array(over[1]), pa.nulls(len(over[0]), pa.int64()), pa.array(over[0])],
-                                          names=["a", "b", "cell"])
+    def batch_of(edges=None, over=None):
+        a, b, c = (pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(len(edges), pa.int64())) if over is None else \
+            (pa.array(over[1]), pa.nulls(len(over[0]), pa.int64()), pa.array(over[0]))
+        return pa.RecordBatch.from_arrays([a, b, c], names=["a", "b", "cell"])
 
     def compare(batches):
         held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -208,7 +206,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             if spilled is not None:
                 n = int(np.searchsorted(k, spilled, side="right"))
                 if n:
-                    yield batch_of(None, (k[:n], f[:n]))
+                    yield batch_of(over=(k[:n], f[:n]))
                     k, f = k[n:], f[n:]
                 if len(k) == 0:
                     held_k, held_f = k, f
@@ -217,9 +215,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             last = int(np.searchsorted(k, k[-1]))  # the last cell may go on in the next batch
             yield from whole(k[:last], f[:last])
             held_k, held_f = k[last:], f[last:]
-            if len(held_k) > CELL:
+            if len(held_k) > cell:
                 spilled = held_k[0]
-                yield batch_of(None, (held_k, held_f))
+                yield batch_of(over=(held_k, held_f))
                 held_k, held_f = held_k[:0], held_f[:0]
         yield from whole(held_k, held_f)
 
@@ -228,9 +226,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             return
         at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         n = np.diff(np.concatenate([at, [len(k)]]))
-        big = np.repeat(n, n) > CELL
+        big = np.repeat(n, n) > cell
         if big.any():
-            yield batch_of(None, (k[big], f[big]))
+            yield batch_of(over=(k[big], f[big]))
             k, f = k[~big], f[~big]
         if len(k) > 1:
             edges = links_in_cells(k, f, max_bits)
@@ -242,13 +240,13 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     out = common.stage(out, "links")
     direct = out.filter("cell IS NULL").select("a", "b")
     over = out.filter("cell IS NOT NULL").select("cell", F.col("a").alias("fp"))
-    return direct.union(tiles(over, max_bits)).distinct()
+    return direct.union(tiles(over, max_bits, cell)).distinct()
 
 
-def tiles(over: DataFrame, max_bits: int) -> DataFrame:
+def tiles(over: DataFrame, max_bits: int, cell: int = CELL) -> DataFrame:
     """Links inside cells of any size: a cell's rows are dealt to blocks, and each pair of
-    blocks is a task's group of at most about 2 * CELL rows."""
-    spec = over.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL // 2)).cast("int").alias("blocks"))
+    blocks is a task's group of about `cell` rows."""
+    spec = over.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, cell // 2))).cast("int").alias("blocks"))
     rows = over.join(spec, "cell").withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("cell", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -295,13 +293,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     # a class without any id is told apart by its fingerprint's class alone
     kept = root.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(
         first.alias("k"), F.count(F.lit(1)).alias("n"))
-    kept = common.stage(kept.select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h")), "kept")
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (common.text_hash(F.col(text)) == F.col("__h"))
-    out = docs.join(kept, same, "left_semi")
+    kept = common.stage(kept.select("k.id", "k.h"), "kept")
+    out = common.join_key(docs, doc_id, text, kept, "left_semi")
     repeated = fps.groupBy("id", "h").count().filter("count > 1").limit(1).count() > 0
     if not repeated:
         return out
-    names = [F.col(c) for c in docs.columns]
-    ranked = out.groupBy(F.col(doc_id).alias("__id"), common.text_hash(F.col(text)).alias("__h")).agg(
-        F.first(F.struct(*names)).alias("__row"))
-    return ranked.select("__row.*")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = out.groupBy(F.col(doc_id).alias("k_id"), common.text_hash(F.col(text)).alias("k_h")).agg(F.first(whole).alias("row"))
+    return one.select("row.*")
