@@ -21,13 +21,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratio import finite_or_null
 from ..functions.scalar import post_flag
+from ..session import materialize
 from ..spec import PanelSpec
 from .events import first_exposure
+from .panel import dense_ids
 
 COHORT_KEYS = ["exposure", "treated_unit", "outcome"]
 
@@ -37,6 +39,8 @@ class CohortRules:
     """Donor/unit rules, in the order they are applied.
 
     drop_missing_outcome  F4: a unit with any missing outcome leaves the cohort (treated too)
+    drop_gaps             F4/Y1: a unit without a row at any time the panel has leaves (treated
+                          too), so that all units of a cohort have the same predictors
     covariate             F4: a unit with any missing covariate leaves the cohort (treated too)
     outcome_limit         F5: a donor with any outcome above this leaves (treated exempt)
     max_share             F6: a donor whose share of exposed times exceeds this leaves
@@ -44,6 +48,7 @@ class CohortRules:
     """
 
     drop_missing_outcome: bool = True
+    drop_gaps: bool = True
     covariate: str | None = None
     outcome_limit: float | None = 1.0
     max_share: float | None = 0.01
@@ -69,7 +74,7 @@ def _pick(name_col: Column, mapping: Mapping[str, Column]) -> Column:
 def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes: Sequence[str],
                   exposure_flags: Mapping[str, str], rules: CohortRules = CohortRules(),
                   events: DataFrame | None = None, carry: Sequence[str] = (), event_shift: int = 0,
-                  max_cohorts: int = 200_000) -> DataFrame:
+                  broadcast_cohorts: int = 200_000) -> DataFrame:
     """E5: one long table of all cohorts.
 
     panel           unit-time rows with the outcome columns, the covariate and one 0/1
@@ -80,9 +85,9 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
     carry           extra panel columns to keep (e.g. labels)
     event_shift     added to every event time (0: one time axis; a nonzero shift reproduces
                     an analysis whose event times were taken on a different axis)
-    max_cohorts     size guard of the grid, which is broadcast: every unit meets every
-                    cohort, and joining on the few distinct outcome values by shuffle would
-                    send all units of an outcome to one task
+    broadcast_cohorts  the grid is broadcast up to so many rows; a larger one is dealt to
+                    salted blocks of that size, so that joining on the few distinct outcome
+                    values does not send all units of an outcome to one task
 
     Columns: exposure, treated_unit, outcome, <unit>, <time>, Y, <covariate>, X (post
     period of the treated unit's event, E3), treated (E4), exposed (the cohort's flag),
@@ -100,8 +105,10 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
             .withColumn("Y", finite_or_null(F.col("Y").cast("double"))))
 
     # unit x outcome facts (F4, F5) and unit facts (F4 covariate, F6, first time)
+    # a unit-time row that is absent from the panel counts as a missing value
+    n_times = panel.select(t).distinct().count() if rules.drop_gaps else 0
     ystats = base.groupBy(u, "outcome").agg(
-        F.max(F.col("Y").isNull().cast("int")).alias("__y_missing"),
+        F.count(F.lit(1)).alias("__rows"), F.max(F.col("Y").isNull().cast("int")).alias("__y_missing"),
         (F.max(F.coalesce((F.col("Y") > rules.outcome_limit).cast("int"), F.lit(0)))
          if rules.outcome_limit is not None else F.lit(0)).alias("__y_high"))
     uaggs = [F.min(t).alias("__t0")]
@@ -114,14 +121,18 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
         events = first_exposure(panel, spec, flags, "definition", "event_time")
     ev = events.select(F.col(u).alias("treated_unit"), F.col("definition").alias("exposure"),
                        (F.col("event_time") + F.lit(event_shift)).alias("event_time"))
-    n_cohorts = grid.count()                      # the grid is small; this is its size check
-    if n_cohorts > max_cohorts:
-        raise ValueError(f"{n_cohorts} cohorts exceed max_cohorts={max_cohorts}; split the grid")
+    grid = materialize(grid, "grid")              # counted here, joined below
+    blocks = -(-grid.count() // broadcast_cohorts)
     g = grid.join(ev, ["treated_unit", "exposure"], "left")
 
     # cohorts x units: apply the rules here, before touching unit-time rows. The checked
     # grid is broadcast, the unit facts stay distributed by unit.
-    m = ystats.join(F.broadcast(g), "outcome").join(ustats, u)
+    if blocks <= 1:
+        m = ystats.join(F.broadcast(g), "outcome").join(ustats, u)
+    else:
+        g = g.withColumn("__block", F.pmod(F.xxhash64("exposure", "treated_unit"), F.lit(blocks)).cast("int"))
+        dealt = ystats.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        m = dealt.join(g, ["outcome", "__block"]).drop("__block").join(ustats, u)
     share = _pick(F.col("exposure"), {n: F.col(f"__share_{n}") for n in flags})
     is_tr = F.coalesce(F.col(u) == F.col("treated_unit"), F.lit(False))
     ok = F.lit(True)
@@ -129,6 +140,8 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
         ok = ok & (F.col("__y_missing") == 0)
     if cov:
         ok = ok & (F.col("__cov_missing") == 0)
+    if rules.drop_gaps:
+        ok = ok & (F.col("__rows") == n_times)
     donor_ok = F.lit(True)
     if rules.outcome_limit is not None:
         donor_ok = donor_ok & (F.col("__y_high") == 0)
@@ -136,10 +149,12 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
         donor_ok = donor_ok & F.coalesce(share <= rules.max_share, F.lit(False))
     m = (m.withColumn("avg_exposed", share).withColumn("treated", is_tr.cast("int"))
          .filter(ok & (is_tr | donor_ok)))
-    cw = Window.partitionBy(*COHORT_KEYS)
-    m = m.select(*COHORT_KEYS, u, "event_time", "avg_exposed", "treated",
-                 F.dense_rank().over(cw.orderBy(u)).alias("id"),
-                 F.min("__t0").over(cw).alias("day_one"))
+    # the kept pairs feed three branches; the first time and the ids come from aggregates,
+    # not from a window that would hold a cohort's whole unit list
+    m = materialize(m.select(*COHORT_KEYS, u, "event_time", "avg_exposed", "treated", "__t0"), "pairs")
+    day_one = m.groupBy(*COHORT_KEYS).agg(F.min("__t0").alias("day_one"))
+    ids = dense_ids(m, [u], "id", within=COHORT_KEYS)
+    m = m.drop("__t0").join(day_one, COHORT_KEYS).join(ids, [*COHORT_KEYS, u])
 
     rows = m.join(base, [u, "outcome"])
     exposed = _pick(F.col("exposure"), {n: F.col(c) for n, c in flags.items()})
@@ -152,8 +167,3 @@ def cohort_bounds(cohorts: DataFrame, t: str = "t") -> DataFrame:
     """Per cohort, the first time of the cohort (day_first) and the treated unit's
     event time (day_exp; null when the treated unit is never exposed)."""
     return cohorts.groupBy(*COHORT_KEYS).agg(F.min(t).alias("day_first"), F.min("event_time").alias("day_exp"))
-
-
-def cohort_units(cohorts: DataFrame, unit: str) -> DataFrame:
-    """Kept units per cohort with their roles (one row per cohort x unit)."""
-    return cohorts.select(*COHORT_KEYS, unit, "treated", "id").distinct()

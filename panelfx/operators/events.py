@@ -31,18 +31,27 @@ def mark_first_exposure(df: DataFrame, spec: PanelSpec, flags: Mapping[str, str
                         first_prefix: str = "first_", time_suffix: str = "_day1",
                         events: DataFrame | None = None) -> DataFrame:
     """For every definition, `first_<name>` = 1 and `<name>_day1` = time on the unit's
-    first-exposure row, null elsewhere. One aggregate and one join for all definitions.
-    `events` lets the first times come from another frame (e.g. before a date cut)."""
-    ev = first_exposure_wide(events if events is not None else df, spec, flags)
-    ev = ev.select(*spec.unit, *[F.col(n).alias(f"__ev_{n}") for n in flags])
-    j = df.join(ev, list(spec.unit), "left")
+    first-exposure row, null elsewhere. One window over the unit for all definitions.
+    `events` lets the first times come from another frame (e.g. before a date cut), by one
+    aggregate and one join."""
     t = F.col(spec.time)
-    cols = {}
+    if events is None:
+        w = spec.unit_window()
+        df = df.withColumns({f"__ev_{n}": F.min(F.when(col(f) == 1, t)).over(w) for n, f in flags.items()})
+        return _markers(df, spec, flags, first_prefix, time_suffix)
+    ev = first_exposure_wide(events, spec, flags)
+    ev = ev.select(*spec.unit, *[F.col(n).alias(f"__ev_{n}") for n in flags])
+    return _markers(df.join(ev, list(spec.unit), "left"), spec, flags, first_prefix, time_suffix)
+
+
+def _markers(df: DataFrame, spec: PanelSpec, flags, first_prefix: str, time_suffix: str) -> DataFrame:
+    """Marker columns from the unit's first times (__ev_<name>), which are dropped."""
+    t, cols = F.col(spec.time), {}
     for n in flags:
         hit = t == F.col(f"__ev_{n}")
         cols[f"{first_prefix}{n}"] = F.when(hit, F.lit(1))
         cols[f"{n}{time_suffix}"] = F.when(hit, t)
-    return j.withColumns(cols).drop(*[f"__ev_{n}" for n in flags])
+    return df.withColumns(cols).drop(*[f"__ev_{n}" for n in flags])
 
 
 def first_rows(df: DataFrame, spec: PanelSpec) -> DataFrame:

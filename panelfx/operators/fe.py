@@ -1,142 +1,174 @@
 """Two-way fixed-effect counterfactual with one covariate.
 
-Model on the untreated rows (D = 0):  y = a_unit + g_time + beta * x + e.
-The unit and time effects are removed by alternating projections -- subtract
-the unit means, then the time means, computed on untreated rows only -- until the
-unit means vanish (exact in one round on a balanced panel; a few rounds when the
-treated unit's post-event rows are missing). Then beta = sum(x~ y~) / sum(x~^2)
-per cohort, and for every row the residual r_y - beta r_x equals
-y - (a_unit + g_time + beta x) = y - Y(0): the effect on treated rows.
-
-Every round is two grouped means (partial aggregation, small outputs) joined back
-to the rows; Spark broadcasts a means table when its size check allows, so the rows
-themselves are not shuffled. All cohorts iterate together. The means tables are
-checkpointed as they are made (the plan grows by one leaf per join, not by a copy of
-itself), the rows every few rounds, into the session's checkpoint folder -- a lost
-executor recomputes at most those rounds. The loop stops when every unit mean of
-the residuals is below `tol` (relative to the data's scale). An Irons-Tuck
-extrapolation every two rounds (one small aggregate per cohort) shortens slow
-convergence without changing the fixed point: 12 rounds became 6 on the test panel.
+Model on the untreated rows (treat = 0):  y = a_unit + g_time + beta * x + e.
+y and x are each freed of unit and time effects fitted on the untreated rows; then
+beta = sum(x~ y~) / sum(x~^2) per cohort, and for every row the residual
+r_y - beta r_x equals y - (a_unit + g_time + beta x) = y - Y(0): the effect on treated
+rows.
+
+Closed form. Where every unit of a cohort but at most one (the treated one) has an
+untreated row at every time, the fitted effects are plain means. With the donor mean
+m_t by time, its mean m, the donors' means y_d, and the treated unit's offset
+delta = mean(y_0t - m_t) and deviation e_t = y_0t - m_t - delta over its untreated
+times, of N donors:
+    donors          r = y_dt - (y_d - m) - m_t - e_t / (N + 1)      (e_t = 0 where it has none)
+    treated unit    r = y_0t - delta - m_t - e_t / (N + 1)
+These are a few small aggregates joined to the rows. Whether a cohort qualifies is
+decided by its rows, never by its size.
+
+Iteration. All other cohorts go through alternating projections: subtract the unit
+means, then the time means, until the unit means are below `tol` of that cohort's own
+scale. Every round is two grouped means (partial aggregation, small outputs) joined to
+the rows; means and every few rounds the rows are written to the session's shared
+folder. An Irons-Tuck extrapolation every two rounds shortens slow convergence without
+changing the fixed point. Running out of rounds raises: an unconverged fit is never
+returned.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .cohort import COHORT_KEYS
 
-# diagnostics of the last call: rounds run and the final largest unit mean
-LAST_RUN: dict = {}
+_OUT = ["Y", "treat", "event_time", "__x", "__ry", "__rx", "__ident"]
 
 
 def fe_counterfactual(cohorts: DataFrame, y: str = "Y", cov: str = "mob", treat: str = "treat", unit: str = "u",
-                      t: str = "t", keys: Sequence[str] = tuple(COHORT_KEYS), max_rounds: int = 200,
-                      tol: float = 1e-10, checkpoint_every: int = 4, observe: bool = True,
-                      accelerate: bool = True) -> DataFrame:
+                      t: str = "t", keys: Sequence[str] = tuple(COHORT_KEYS), max_rounds: int = 1000,
+                      tol: float = 1e-10, checkpoint_every: int = 4, closed_form: bool = True) -> DataFrame:
     """Rows: keys, unit, t, Y, treat, y0_hat (counterfactual), effect = Y - y0_hat,
     beta, rel_time = t - event_time. y0_hat is null where the unit or the time has no
-    untreated row (its effect is not identified).
-
-    observe=True reads the convergence measure from the write of the unit means (no
-    extra job); False runs a separate small aggregate. accelerate=True adds an
-    Irons-Tuck extrapolation every two rounds (same fixed point, fewer rounds)."""
-    spark = cohorts.sparkSession
-    ensure_checkpoint_dir(spark)
+    untreated row (its effect is not identified). closed_form=False iterates for every
+    cohort."""
     keys = list(keys)
-    rows = cohorts.select(*keys, unit, t, F.col(y).cast("double").alias("Y"), F.col(treat).cast("int").alias("treat"),
-                          "event_time", F.col(cov).cast("double").alias("__x"))
-    rows = rows.withColumns({"__ry": F.col("Y"), "__rx": F.col("__x")}).checkpoint(eager=True)
+    rows = materialize(cohorts.select(*keys, unit, t, F.col(y).cast("double").alias("Y"), F.col(treat).cast("int").alias("treat"),
+                                      "event_time", F.col(cov).cast("double").alias("__x")), "fe_rows")
+    res = None
+    open_rows = rows
+    if closed_form:
+        plain, shape = _plain_cohorts(rows, keys, unit, t)
+        res = _closed(rows, plain, shape, keys, unit, t)
+        if plain.filter("NOT plain").limit(1).count() == 0:
+            open_rows = None
+        else:
+            open_rows = rows.join(plain.filter("NOT plain").select(*keys), keys, "left_semi")
+    if open_rows is not None:
+        iterated = _iterate(open_rows, keys, unit, t, max_rounds, tol, checkpoint_every)
+        res = iterated if res is None else res.unionByName(iterated)
+    res = materialize(res, "fe_residuals")                    # read by the slope and by the rows
+    beta = (res.filter("treat = 0").groupBy(*keys)
+            .agg(F.try_divide(F.sum(F.col("__rx") * F.col("__ry")), F.sum(F.col("__rx") * F.col("__rx"))).alias("beta")))
+    res = res.join(beta, keys, "left")
+    eff = F.when(F.col("__ident"), F.col("__ry") - F.coalesce(F.col("beta"), F.lit(0.0)) * F.col("__rx"))
+    return res.select(*keys, unit, t, "Y", "treat", (F.col("Y") - eff).alias("y0_hat"), eff.alias("effect"),
+                      "beta", (F.col(t) - F.col("event_time")).alias("rel_time"))
+
+
+def _plain_cohorts(rows: DataFrame, keys: list[str], unit: str, t: str) -> tuple[DataFrame, DataFrame]:
+    """(keys, plain): whether the closed form holds; (keys, unit, full, __yu, __xu): units
+    with an untreated row at every time, and the means of those rows. Rows with a missing
+    outcome or covariate leave the cohort to the iteration."""
+    un = rows.filter("treat = 0")
+    times = un.groupBy(*keys).agg(F.countDistinct(t).alias("__T"), F.max((F.col("Y").isNull() | F.col("__x").isNull()).cast("int")).alias("__gap"))
+    units = un.groupBy(*keys, unit).agg(F.count(F.lit(1)).alias("__n"), F.avg("Y").alias("__yu"), F.avg("__x").alias("__xu"))
+    shape = materialize(units.join(times, keys).withColumn("full", F.col("__n") == F.col("__T")), "fe_units")
+    plain = shape.groupBy(*keys).agg(F.sum(F.col("full").cast("int")).alias("__N"),
+                                     F.sum((~F.col("full")).cast("int")).alias("__part"), F.max("__gap").alias("__gap"))
+    plain = plain.select(*keys, "__N", ((F.col("__N") >= 1) & (F.col("__part") <= 1) & (F.col("__gap") == 0)).alias("plain"))
+    return materialize(plain, "fe_plain"), shape.select(*keys, unit, "full", "__yu", "__xu")
+
+
+def _closed(rows: DataFrame, plain: DataFrame, shape: DataFrame, keys: list[str], unit: str, t: str) -> DataFrame:
+    r = rows.join(plain.filter("plain").drop("plain"), keys).join(shape, [*keys, unit], "left")
+    donor, partial = F.col("full") & (F.col("treat") == 0), ~F.col("full") & (F.col("treat") == 0)
+    m_t = materialize(r.filter(donor).groupBy(*keys, t).agg(F.avg("Y").alias("__my"), F.avg("__x").alias("__mx")), "fe_times")
+    m = m_t.groupBy(*keys).agg(F.avg("__my").alias("__m_y"), F.avg("__mx").alias("__m_x"))
+    r = r.join(m_t, [*keys, t], "left").join(m, keys)
+    dev = r.filter(partial).select(*keys, t, (F.col("Y") - F.col("__my")).alias("__dy"), (F.col("__x") - F.col("__mx")).alias("__dx"))
+    dev = materialize(dev, "fe_dev")                          # one unit per cohort
+    delta = dev.groupBy(*keys).agg(F.avg("__dy").alias("__ay"), F.avg("__dx").alias("__ax"))
+    e = dev.join(delta, keys).select(*keys, t, (F.col("__dy") - F.col("__ay")).alias("__ey"), (F.col("__dx") - F.col("__ax")).alias("__ex"))
+    r = r.join(delta, keys, "left").join(e, [*keys, t], "left")
+    share = F.col("__N") + 1
+
+    def resid(v, own, mean, by_t, offset, e_t):
+        own_effect = F.when(F.col("full"), F.col(own) - F.col(mean)).otherwise(F.col(offset))
+        return F.col(v) - own_effect - F.col(by_t) - F.coalesce(F.col(e_t), F.lit(0.0)) / share
+
+    r = r.withColumns({"__ry": resid("Y", "__yu", "__m_y", "__my", "__ay", "__ey"),
+                       "__rx": resid("__x", "__xu", "__m_x", "__mx", "__ax", "__ex")})
+    r = r.withColumn("__ident", F.col("full").isNotNull() & F.col("__my").isNotNull())
+    return r.select(*keys, unit, t, *_OUT)
+
+
+def _iterate(rows: DataFrame, keys: list[str], unit: str, t: str, max_rounds: int, tol: float, checkpoint_every: int) -> DataFrame:
+    tiny = 1e-300
+    scale = rows.groupBy(*keys).agg(F.greatest(F.max(F.abs("Y")) * tol, F.lit(tiny)).alias("__sy"),
+                                    F.greatest(F.max(F.abs("__x")) * tol, F.lit(tiny)).alias("__sx"))
+    scale = materialize(scale, "fe_scale")                    # each cohort converges on its own scale
+    cur = rows.withColumns({"__ry": F.col("Y"), "__rx": F.col("__x")})
     untreated = F.col("treat") == 0
-    scale = rows.agg(F.max(F.abs("Y")).alias("a"), F.max(F.abs("__x")).alias("b")).first()
-    eps_y = tol * (1.0 + (scale["a"] or 0.0))             # each series converges on its own scale
-    eps_x = tol * (1.0 + (scale["b"] or 0.0))
-
-    def means(df: DataFrame, by: list[str], obs: Observation | None = None) -> DataFrame:
-        # small (cohorts x units or cohorts x times) and materialised on its own, so the
-        # join below adds one leaf to the plan instead of a second copy of `df`; the
-        # convergence measure is observed while it is written (no extra job)
-        m = df.filter(untreated).groupBy(*by).agg(F.avg("__ry").alias("__my"), F.avg("__rx").alias("__mx"))
-        if obs is not None:
-            m = m.observe(obs, F.max(F.greatest(F.abs("__my") / F.lit(eps_y),
-                                                F.abs("__mx") / F.lit(eps_x))).alias("worst"))
-        return m.checkpoint(eager=True)
-
-    def subtract(df: DataFrame, m: DataFrame, by: list[str]) -> DataFrame:
+
+    def means(df, by):
+        return materialize(df.filter(untreated).groupBy(*by).agg(F.avg("__ry").alias("__my"), F.avg("__rx").alias("__mx")), "fe_means")
+
+    def subtract(df, m, by):
         return (df.join(m, by, "left")
                 .withColumns({"__ry": F.col("__ry") - F.coalesce(F.col("__my"), F.lit(0.0)),
                               "__rx": F.col("__rx") - F.coalesce(F.col("__mx"), F.lit(0.0))})
                 .drop("__my", "__mx"))
 
-    LAST_RUN.clear()
-    def extrapolate(df: DataFrame) -> DataFrame:
+    def extrapolate(df):
         """Irons-Tuck step per cohort from X0 (__y0/__x0), X1 (__y1/__x1) and X2 (current):
         X* = X2 - c d2 with d2 = X2 - X1, D = X2 - 2 X1 + X0, c = <d2, D> / <D, D> over the
-        untreated rows. d2 lies in the fixed-effect span, so X* stays in the same affine
-        set: the fixed point and the stopping rule are unchanged, only the path is shorter."""
+        untreated rows. d2 lies in the fixed-effect span, so the fixed point is unchanged."""
         d2y, d2x = F.col("__ry") - F.col("__y1"), F.col("__rx") - F.col("__x1")
-        ddy = d2y - (F.col("__y1") - F.col("__y0"))
-        ddx = d2x - (F.col("__x1") - F.col("__x0"))
-        c = (df.filter(untreated).groupBy(*keys)
-             .agg(F.try_divide(F.sum(d2y * ddy), F.sum(ddy * ddy)).alias("__cy"),
-                  F.try_divide(F.sum(d2x * ddx), F.sum(ddx * ddx)).alias("__cx"))
-             .checkpoint(eager=True))
-        safe = lambda col: F.when(F.col(col).isNotNull() & ~F.isnan(col), F.col(col)).otherwise(F.lit(0.0))  # noqa
+        ddy, ddx = d2y - (F.col("__y1") - F.col("__y0")), d2x - (F.col("__x1") - F.col("__x0"))
+        c = materialize(df.filter(untreated).groupBy(*keys).agg(
+            F.try_divide(F.sum(d2y * ddy), F.sum(ddy * ddy)).alias("__cy"),
+            F.try_divide(F.sum(d2x * ddx), F.sum(ddx * ddx)).alias("__cx")), "fe_step")
+        safe = lambda col: F.when(F.col(col).isNotNull() & ~F.isnan(col), F.col(col)).otherwise(F.lit(0.0))
         return (df.join(c, keys, "left")
                 .withColumns({"__ry": F.col("__ry") - safe("__cy") * d2y, "__rx": F.col("__rx") - safe("__cx") * d2x})
                 .drop("__cy", "__cx", "__y0", "__x0", "__y1", "__x1"))
 
-    cur, first_u, first_t = rows, None, None
+    first_u = first_t = worst = None
     step, skip_check = 0, False
     for r in range(1, max_rounds + 1):
-        t0 = time.perf_counter()
-        if observe:
-            obs = Observation(f"fe_round_{r}")
-            mu = means(cur, [*keys, unit], obs)
-            worst = obs.get.get("worst")
-        else:
-            mu = means(cur, [*keys, unit])
-            worst = mu.agg(F.max(F.greatest(F.abs("__my") / F.lit(eps_y), F.abs("__mx") / F.lit(eps_x)))
-                           .alias("m")).first()["m"]
-        LAST_RUN.setdefault("check_secs", []).append(round(time.perf_counter() - t0, 2))
-        if first_u is None:
-            first_u = mu
-        LAST_RUN.update(rounds=r, worst=worst)
+        obs = Observation(f"fe_round_{r}")
+        mu = cur.filter(untreated).groupBy(*keys, unit).agg(F.avg("__ry").alias("__my"), F.avg("__rx").alias("__mx"))
+        # the convergence measure is read while the means are written (no extra job)
+        far = F.greatest(F.abs("__my") / F.col("__sy"), F.abs("__mx") / F.col("__sx"))
+        mu = mu.join(scale, keys).observe(obs, F.max(far).alias("worst")).drop("__sy", "__sx")
+        mu = materialize(mu, "fe_means")
+        worst = obs.get.get("worst")
+        first_u = first_u or mu
         # after an extrapolation the time means are not zero yet: finish one full round first
         if r > 1 and not skip_check and (worst is None or worst <= 1.0):
             break
         skip_check = False
-        if accelerate:
-            tag = {0: ("__y0", "__x0"), 1: ("__y1", "__x1")}.get(step)
-            if tag:
-                cur = cur.withColumns({tag[0]: F.col("__ry"), tag[1]: F.col("__rx")})
+        if step < 2:
+            cur = cur.withColumns({f"__y{step}": F.col("__ry"), f"__x{step}": F.col("__rx")})
         nxt = subtract(cur, mu, [*keys, unit])
         mt = means(nxt, [*keys, t])
-        if first_t is None:
-            first_t = mt
+        first_t = first_t or mt
         nxt = subtract(nxt, mt, [*keys, t])
-        if accelerate:
-            step += 1
-            if step == 2:
-                nxt, step, skip_check = extrapolate(nxt), 0, True
-        nxt = nxt.checkpoint(eager=True) if r % checkpoint_every == 0 else nxt.persist()
-        if cur is not rows:
-            cur.unpersist()
-        cur = nxt
-    has_u = first_u.select(*keys, unit).withColumn("__hu", F.lit(1))
-    has_t = first_t.select(*keys, t).withColumn("__ht", F.lit(1))
-    beta = (cur.filter(untreated).groupBy(*keys)
-            .agg(F.try_divide(F.sum(F.col("__rx") * F.col("__ry")), F.sum(F.col("__rx") * F.col("__rx")))
-                 .alias("beta")))
-    res = (cur.join(beta, keys, "left").join(has_u, [*keys, unit], "left").join(has_t, [*keys, t], "left"))
-    ident = F.col("__hu").isNotNull() & F.col("__ht").isNotNull()
-    eff = F.when(ident, F.col("__ry") - F.coalesce(F.col("beta"), F.lit(0.0)) * F.col("__rx"))
-    return res.select(*keys, unit, t, "Y", "treat", (F.col("Y") - eff).alias("y0_hat"), eff.alias("effect"),
-                      "beta", (F.col(t) - F.col("event_time")).alias("rel_time"))
+        step += 1
+        if step == 2:
+            nxt, step, skip_check = extrapolate(nxt), 0, True
+        cur = materialize(nxt, "fe_round") if r % checkpoint_every == 0 else nxt
+    else:
+        raise RuntimeError(f"the fixed effects have not converged after {max_rounds} rounds "
+                           f"(largest unit mean {worst:.3g} times the tolerance)")
+    has_u = first_u.select(*keys, unit, F.lit(1).alias("__hu"))
+    has_t = first_t.select(*keys, t, F.lit(1).alias("__ht"))
+    cur = cur.join(has_u, [*keys, unit], "left").join(has_t, [*keys, t], "left")
+    return cur.withColumn("__ident", F.col("__hu").isNotNull() & F.col("__ht").isNotNull()).select(*keys, unit, t, *_OUT)
 
 
 def att_by_time(fe_rows: DataFrame, keys: Sequence[str] = tuple(COHORT_KEYS)) -> DataFrame:

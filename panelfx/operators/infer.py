@@ -35,11 +35,12 @@ def synth_series(cohorts: DataFrame, unit: str = "u", t: str = "t", weights: Dat
     """
     rows = cohorts.select(*COHORT_KEYS, F.col(unit).alias("fit_unit"), t, "Y", "treated", "event_time")
     if weights is None:
-        w = Window.partitionBy(*COHORT_KEYS, t)
-        s = F.sum("Y").over(w)
-        n = F.count(F.lit(1)).over(w)
-        tr_sum = F.coalesce(F.sum(F.when(F.col("treated") == 1, F.col("Y"))).over(w), F.lit(0.0))
-        tr_n = F.sum(F.col("treated")).over(w)
+        # per (cohort, t) sums, combined map-side and joined back: no task holds a time's units
+        sums = rows.groupBy(*COHORT_KEYS, t).agg(
+            F.sum("Y").alias("__s"), F.count(F.lit(1)).alias("__n"), F.sum("treated").alias("__trn"),
+            F.coalesce(F.sum(F.when(F.col("treated") == 1, F.col("Y"))), F.lit(0.0)).alias("__trs"))
+        rows = rows.join(sums, [*COHORT_KEYS, t])
+        s, n, tr_sum, tr_n = F.col("__s"), F.col("__n"), F.col("__trs"), F.col("__trn")
         synth = F.when(F.col("treated") == 1, F.try_divide(s - F.col("Y"), (n - 1).cast("double"))) \
                  .otherwise(F.try_divide(s - F.col("Y") - tr_sum, (n - 1 - tr_n).cast("double")))
         out = rows.withColumn("synth", synth)

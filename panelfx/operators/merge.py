@@ -18,15 +18,16 @@ _HOW = {"all": "full_outer", "match": "inner", "left": "left", "right": "right"}
 
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], keep: str = "all",
-                     indicator: str | None = None, validate: bool = False) -> DataFrame:
+                     indicator: str | None = None, validate: bool = True) -> DataFrame:
     """1:1 merge on `keys`.
 
     keep="all" keeps every row of both sides, "match" only matched rows, "left" the
     left rows (with matches), "right" the right rows. A non-key column present on both
     sides takes the left value whenever a left row exists -- even a null one -- and the
     right value only for right-only rows. `indicator` adds 1 = left only, 2 = right
-    only, 3 = both. `validate=True` first checks that the keys are unique on each side
-    (one distributed aggregate per side) and raises otherwise, as a 1:1 merge requires.
+    only, 3 = both. The keys are first checked to be unique on each side (one distributed
+    aggregate per side; raises otherwise), as a 1:1 merge requires; `validate=False` is for
+    sides that are unique by construction, such as the output of a groupBy on the keys.
     """
     keys = list(keys)
     if validate:

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..spec import PanelSpec
 
 
@@ -23,7 +24,7 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], prefix: str, index: str, val
     if not cols:
         raise ValueError(f"no columns named {prefix}<number>")
     long = df.unpivot(list(ids), cols, "__col", value)
-    return long.select(*ids, F.substring("__col", len(prefix) + 1, 12).cast(index_type).alias(index), value)
+    return long.select(*ids, F.substring("__col", len(prefix) + 1, 1 << 30).cast(index_type).alias(index), value)
 
 
 def long_to_wide(df: DataFrame, ids: Sequence[str], index: str, value: str, prefix: str,
@@ -90,18 +91,20 @@ def melt_outcomes(df: DataFrame, ids: Sequence[str], outcomes: Sequence[str], sc
 def dense_ids(keys_df: DataFrame, keys: Sequence[str], out: str = "id", within: Sequence[str] = ()) -> DataFrame:
     """Distinct key table with a dense 1-based id in key order.
 
-    With `within`, ids restart per group (a window partitioned by the group; each
-    partition holds that group's distinct keys only). Without it, ids are global:
-    keys are range-partitioned, numbered inside each range, and shifted by the
-    counts of the lower ranges -- no step sees all keys in one task.
+    Keys are range-partitioned, numbered inside each range, and shifted by the
+    counts of the lower ranges -- no step sees all keys in one task. With `within`, ids
+    restart per group: the keys are numbered in (group, key) order and each group's
+    first number is taken off, so a group of any size is no single task either.
     """
     d = keys_df.select(*within, *keys).distinct()
     if within:
-        w = Window.partitionBy(*within).orderBy(*keys)
-        return d.withColumn(out, F.dense_rank().over(w))
+        every = materialize(dense_ids(d, [*within, *keys], out), "ids")
+        first = every.groupBy(*within).agg(F.min(out).alias("__first"))
+        return every.join(first, list(within)).withColumn(out, (F.col(out) - F.col("__first") + 1).cast("int")).drop("__first")
     nparts = max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     r = d.repartitionByRange(nparts, *keys).withColumn("__pid", F.spark_partition_id())
-    r = r.withColumn("__rn", F.row_number().over(Window.partitionBy("__pid").orderBy(*keys)))
+    # written once: both uses below must see the same sampled range bounds
+    r = materialize(r.withColumn("__rn", F.row_number().over(Window.partitionBy("__pid").orderBy(*keys))), "ids")
     sizes = r.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     # one row per range: tiny, so the running total over it is cheap
     offs = sizes.withColumn("__off", F.coalesce(F.sum("__cnt").over(

@@ -2,24 +2,33 @@
 
 Y2  `predictors`: every outcome and covariate value from the cohort's first time to
     the treated unit's event time (inclusive by default) is one predictor; each is
-    scaled by its standard deviation across the cohort's units (window per
-    (cohort, predictor)); predictors with zero spread are dropped.
+    scaled by its standard deviation across the cohort's units (an aggregate per
+    (cohort, predictor), joined back); predictors with zero spread are dropped.
 Y3  `synth_weights`: for a fit unit f with donors D, the weights solve
-        min_w || x_f - X_D w ||^2   subject to  w >= 0, sum(w) = 1
-    on the scaled predictors (equal predictor importance; the regression-chosen
-    importance of some packages is not reproduced).
+        min_w (x_f - X_D w)' V (x_f - X_D w)   subject to  w >= 0, sum(w) = 1
+    on the scaled predictors. `v="equal"` weighs all predictors alike;
+    `v="regression"` weighs predictor k by the squared coefficients of regressing the
+    pre-event outcomes on the predictors over all units of the cohort (the smallest-norm
+    solution where there are more predictors than units), scaled to sum to one.
 Y4  with `placebo=True` every unit of the cohort is fitted; a placebo's donors are
-    all units except itself and the treated unit.
+    all units except itself and the treated unit. The scaling uses all units of the
+    cohort for every fit, the treated one included.
+
+Solver: Wolfe's active-set method for the point of smallest norm in the convex hull of
+the donors' differences from the fit unit. It ends after finitely many steps with a
+proof: the duality gap of the returned weights, which bounds their distance from the
+optimal loss, is part of the output (`gap`, relative to the largest squared
+difference). A fit whose gap does not fall below `tol` raises; nothing unconverged is
+returned.
 
 Distribution: the predictors of a unit are packed into one array row per
-(cohort, unit). Fits are hashed into `shards` per cohort; each shard task receives
-the cohort's unit arrays (U rows, K values each) and solves its own fits with
-numpy -- from the cohort's U x U inner-product matrix built inside the task while
-U x U stays under `gram_cells`, otherwise from the U x K matrix itself -- so unit
-pairs never become rows and the parallelism is cohorts x shards. Every donor is
-always used (no candidate cap). The output holds only positive weights (at most
-K + 1 per fit). A cohort whose U x K matrix exceeds `max_cells` (executor memory)
-fails loudly instead of being truncated.
+(cohort, unit), in (predictor, time) order; units whose predictor keys differ from
+those of the treated unit are refused (`on_gap="raise"`) or dropped
+(`on_gap="drop"`). A cohort's fits are hashed into as many shards as there are solver
+partitions per cohort; each shard task receives the cohort's unit arrays (U rows, K
+values each), so what is copied is bounded by U x K per solver partition, and unit
+pairs never become rows. Every donor is always used (no candidate cap); the output
+holds only positive weights (at most K + 1 per fit).
 """
 
 from __future__ import annotations
@@ -29,10 +38,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .cohort import COHORT_KEYS
 
 try:  # ship this module's solver code with the task, so workers need no installed copy
@@ -50,214 +60,170 @@ def predictors(cohorts: DataFrame, cols: Sequence[str] = ("Y",), unit: str = "u"
     pre = cohorts.filter((F.col(t) >= F.col("day_one")) & upper)
     long = (pre.select(*COHORT_KEYS, unit, "treated", t, *cols)
             .unpivot([*COHORT_KEYS, unit, "treated", t], list(cols), "var", "x"))
-    w = Window.partitionBy(*COHORT_KEYS, "var", t)
-    long = long.withColumn("sd", F.stddev_samp("x").over(w))
-    return (long.filter(F.col("sd") > 0)
-            .withColumn("x_scaled", F.col("x") / F.col("sd")))
+    sd = long.groupBy(*COHORT_KEYS, "var", t).agg(F.stddev_samp("x").alias("sd")).filter(F.col("sd") > 0)
+    out = long.join(sd, [*COHORT_KEYS, "var", t]).withColumn("x_scaled", F.col("x") / F.col("sd"))
+    return out.select(*COHORT_KEYS, unit, "treated", t, "var", "x", "sd", "x_scaled")
 
 
 # ------------------------------------------------------------------ numeric kernel (runs inside tasks)
 
-def _project_simplex(v: np.ndarray) -> np.ndarray:
-    """Euclidean projection onto {w >= 0, sum w = 1}."""
-    s = np.sort(v)[::-1]
-    css = np.cumsum(s) - 1.0
-    idx = np.arange(1, v.size + 1)
-    ok = s - css / idx > 0
-    rho = idx[ok][-1]
-    return np.maximum(v - css[ok][-1] / rho, 0.0)
-
-
-class _Quadratic:
-    """f(w) = ||A w - b||^2 either from the inner products (G = A'A, c = A'b, bb = b'b)
-    or from A itself when A'A would be too large; the solver only needs products."""
-
-    def __init__(self, G=None, c=None, bb=0.0, A=None, b=None):
-        self.G, self.c, self.bb, self.A, self.b = G, c, bb, A, b
-        if A is not None:
-            self.c = A.T @ b
-            self.bb = float(b @ b)
-        self.m = self.c.size
-
-    def half_grad(self, w):                       # A'(Aw - b) = Gw - c
-        return (self.G @ w - self.c) if self.G is not None else self.A.T @ (self.A @ w) - self.c
-
-    def loss(self, w):
-        if self.G is not None:
-            return float(w @ self.G @ w - 2.0 * self.c @ w + self.bb)
-        r = self.A @ w - self.b
-        return float(r @ r)
-
-    def sub_gram(self, S):
-        return self.G[np.ix_(S, S)] if self.G is not None else self.A[:, S].T @ self.A[:, S]
-
-    def diag_max(self):
-        if self.G is not None:
-            return float(np.max(np.abs(np.diag(self.G))))
-        return float(np.max(np.sum(self.A * self.A, axis=0)))
-
-
-def _kkt_polish(q: _Quadratic, w: np.ndarray, support_tol: float = 1e-9):
-    """Exact minimiser on the support of `w` (equality-constrained least squares).
-    Returns (w_exact or None, optimal) -- optimal when the KKT conditions hold on every
-    coordinate, i.e. the support is right and the point is the global minimum."""
-    S = np.flatnonzero(w > support_tol)
-    if S.size == 0:
-        return None, False
-    kkt = np.zeros((S.size + 1, S.size + 1))
-    kkt[:S.size, :S.size] = q.sub_gram(S)
-    kkt[:S.size, S.size] = 1.0
-    kkt[S.size, :S.size] = 1.0
-    rhs = np.concatenate([q.c[S], [1.0]])
-    ws = np.linalg.lstsq(kkt, rhs, rcond=None)[0][:S.size]
-    if np.any(ws < -1e-12):
-        return None, False
-    out = np.zeros_like(w)
-    out[S] = np.maximum(ws, 0.0)
-    out /= out.sum()
-    g = q.half_grad(out)
-    mu = float(np.mean(g[S]))
-    scale = max(1.0, float(np.max(np.abs(q.c))), q.diag_max())
-    return out, bool(np.all(g >= mu - 1e-10 * scale))
-
-
-def _solve(q: _Quadratic, L: float, max_iter: int, tol: float, polish_every: int) -> np.ndarray:
-    m = q.m
+def _affine_minimum(G: np.ndarray) -> np.ndarray:
+    """v with sum(v) = 1 that minimises v'Gv (G positive semidefinite)."""
+    n = len(G)
+    kkt = np.ones((n + 1, n + 1))
+    scale = max(float(np.trace(G)) / n, 1e-300)
+    kkt[:n, :n] = G / scale
+    kkt[n, n] = 0.0
+    rhs = np.zeros(n + 1)
+    rhs[n] = 1.0
+    v = np.linalg.lstsq(kkt, rhs, rcond=None)[0][:n]
+    return v / v.sum()
+
+
+def simplex_least_squares(A: np.ndarray, b: np.ndarray, tol: float = 1e-10) -> tuple[np.ndarray, float]:
+    """min ||A w - b||^2 over the probability simplex (A is K x m): (w, gap).
+
+    Wolfe's method on the columns of A - b: the support grows by the column that
+    violates optimality most; on the support the affine minimum is taken, and where it
+    leaves the simplex the path to it is cut at the first weight that reaches zero,
+    which is removed. `gap` = (x'x - min_j x_j'x) / max_j ||x_j||^2 at x = A w - b
+    bounds the loss above the optimum and is 0 at the optimum. Raises if rounding keeps
+    it above `tol`. Deterministic; memory is that of A.
+    """
+    m = A.shape[1]
     if m == 0:
-        return np.zeros(0)
-    if m == 1:
-        return np.ones(1)
-    if L <= 0:
-        return np.full(m, 1.0 / m)
-    step = 0.5 / L
-    w = np.full(m, 1.0 / m)
-    y, tk = w.copy(), 1.0
-    f_prev = q.loss(w)
-    for it in range(1, max_iter + 1):
-        w_new = _project_simplex(y - step * 2.0 * q.half_grad(y))
-        f_new = q.loss(w_new)
-        if f_new > f_prev:                                 # restart momentum
-            y, tk = w.copy(), 1.0
-            continue
-        t_new = 0.5 * (1.0 + np.sqrt(1.0 + 4.0 * tk * tk))
-        y = w_new + ((tk - 1.0) / t_new) * (w_new - w)
-        moved = float(np.max(np.abs(w_new - w)))
-        w, tk, f_prev = w_new, t_new, f_new
-        if it % polish_every == 0 or moved < tol:
-            cand, optimal = _kkt_polish(q, w)
-            if cand is not None and optimal and q.loss(cand) <= f_prev + 1e-12 * max(1.0, abs(f_prev)):
-                return cand
-            if moved < tol:
+        return np.zeros(0), 0.0
+    X = A - b[:, None]
+    norms = np.einsum("ij,ij->j", X, X)
+    scale = max(float(norms.max()), 1e-300)
+    S = [int(norms.argmin())]
+    w = np.ones(1)
+    best, best_gap = None, np.inf
+    for _ in range(20 * (m + X.shape[0]) + 100):
+        x = X[:, S] @ w
+        g = x @ X
+        xx = float(x @ x)
+        j = int(g.argmin())
+        gap = max(0.0, (xx - float(g[j])) / scale)
+        if gap < best_gap:
+            best, best_gap = (list(S), w.copy()), gap
+        if gap <= tol * 1e-3 or j in S:
+            break
+        S.append(j)
+        w = np.append(w, 0.0)
+        while True:
+            XS = X[:, S]
+            v = _affine_minimum(XS.T @ XS)
+            if (v > 0).all():
+                w = v
                 break
-    cand, _ = _kkt_polish(q, w)
-    if cand is not None and q.loss(cand) <= f_prev + 1e-12 * max(1.0, abs(f_prev)):
-        return cand
-    return w
-
-
-def simplex_least_squares(G: np.ndarray, c: np.ndarray, bb: float = 0.0, lipschitz: float | None = None,
-                          max_iter: int = 20000, tol: float = 1e-12, polish_every: int = 25) -> np.ndarray:
-    """min  w'Gw - 2c'w + bb  over the probability simplex  (G = A'A, c = A'b, bb = b'b),
-    i.e. min ||A w - b||^2 with w >= 0, sum(w) = 1.
-
-    Accelerated projected gradient (FISTA with restart) from the uniform start; every
-    `polish_every` steps the problem is solved exactly on the current support and the
-    KKT conditions are checked on every coordinate -- the first optimal polish is the
-    answer. Deterministic for given inputs.
-    """
-    L = lipschitz if lipschitz is not None else (float(np.linalg.eigvalsh(G)[-1]) if G.size else 0.0)
-    return _solve(_Quadratic(G=G, c=c, bb=bb), L, max_iter, tol, polish_every)
+            neg = np.flatnonzero(v <= 0)
+            steps = w[neg] / np.maximum(w[neg] - v[neg], 1e-300)
+            theta = min(1.0, float(steps.min()))
+            w = (1 - theta) * w + theta * v
+            w[neg[steps <= theta]] = 0.0
+            keep = np.flatnonzero(w > 0)
+            S, w = [S[k] for k in keep], w[keep] / w[keep].sum()
+            if len(S) == 1:
+                break
+    if best_gap > tol:
+        raise ValueError(f"no optimum within {tol}: the duality gap stays at {best_gap:.3g}")
+    out = np.zeros(m)
+    out[best[0]] = best[1]
+    return out / out.sum(), best_gap
 
 
-def simplex_least_squares_direct(A: np.ndarray, b: np.ndarray, lipschitz: float | None = None,
-                                 max_iter: int = 20000, tol: float = 1e-12, polish_every: int = 25) -> np.ndarray:
-    """Same problem from A (K x m) itself: memory K x m, no m x m matrix is formed (inner
-    products only on the small support when polishing)."""
-    L = lipschitz if lipschitz is not None else (float(np.linalg.norm(A, 2) ** 2) if A.size else 0.0)
-    return _solve(_Quadratic(A=A, b=b), L, max_iter, tol, polish_every)
+def regression_importance(X: np.ndarray, is_outcome: np.ndarray) -> np.ndarray:
+    """V: for predictors X (U x K), the squared coefficients of regressing each outcome
+    predictor on all predictors and a constant (least squares of smallest norm), summed
+    over the outcomes and scaled to sum to one."""
+    Z = X - X.mean(axis=0)
+    coef = np.linalg.lstsq(Z, Z[:, is_outcome], rcond=None)[0]
+    v = (coef * coef).sum(axis=1)
+    return v / v.sum() if v.sum() > 0 else np.full(X.shape[1], 1.0 / X.shape[1])
 
 
 def weight_schema(key_types: dict, unit_type: T.DataType) -> T.StructType:
     """Output schema: cohort keys with their input types, fit and donor with the unit's type."""
     return T.StructType([*[T.StructField(k, key_types[k]) for k in COHORT_KEYS],
                          T.StructField("fit_unit", unit_type), T.StructField("donor", unit_type),
-                         T.StructField("weight", T.DoubleType()), T.StructField("fit_rmse", T.DoubleType())])
+                         T.StructField("weight", T.DoubleType()), T.StructField("fit_rmse", T.DoubleType()),
+                         T.StructField("gap", T.DoubleType())])
 
 
-WEIGHT_SCHEMA = weight_schema({"exposure": T.StringType(), "treated_unit": T.IntegerType(),
-                               "outcome": T.StringType()}, T.IntegerType())
-
-
-def _solver(placebo: bool, max_cells: int, max_iter: int, gram_cells: int, names: list[str]):
+def _solver(placebo: bool, v: str, tol: float, names: list[str]):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return pd.DataFrame(columns=names)
         pdf = pdf.sort_values("unit", kind="stable").reset_index(drop=True)
-        U = len(pdf)
-        lens = {len(v) for v in pdf["x"]}
-        if len(lens) != 1:
-            raise ValueError("units of a cohort have different predictor sets; drop units with missing "
-                             "outcome or covariate values before fitting (CohortRules does by default)")
+        if pdf["sig"].nunique() != 1:
+            raise ValueError("units of a cohort have different predictor sets (times or values are missing); "
+                             "drop such units before fitting (CohortRules does by default), or pass on_gap='drop'")
         X = np.vstack(pdf["x"].to_numpy()).astype(float)            # U x K
-        if X.size > max_cells:
-            raise ValueError(f"cohort of {U} units x {X.shape[1]} predictors exceeds max_cells={max_cells}; "
-                             "raise max_cells with executor memory")
-        units = pdf["unit"].to_numpy()
-        treated = pdf["treated"].to_numpy() == 1
+        F_ = X
+        if v == "regression":
+            F_ = X * np.sqrt(regression_importance(X, np.asarray(pdf["is_y"].iloc[0], bool)))
+        units, treated = pdf["unit"].to_numpy(), pdf["treated"].to_numpy() == 1
         mine = pdf["fit_shard"].to_numpy() == pdf["shard"].to_numpy()
-        use_gram = U * U <= gram_cells
-        if use_gram:
-            G = X @ X.T                                               # U x U, once per task
-            L = float(np.linalg.eigvalsh(G)[-1]) if U > 1 else 0.0    # bounds every donor subset
-        else:                                                         # wide donor pool: work from X
-            L = float(np.linalg.norm(X, 2) ** 2) if U > 1 else 0.0
         keys = pdf.iloc[0][COHORT_KEYS].tolist()
-        out = []
+        parts = []
         for i in np.flatnonzero(mine & (treated | placebo)):
-            donors = np.flatnonzero((np.arange(U) != i) & ~treated)
+            donors = np.flatnonzero((np.arange(len(X)) != i) & ~treated)
             if donors.size == 0:
                 continue
-            if use_gram:
-                w = simplex_least_squares(G[np.ix_(donors, donors)], G[donors, i], float(G[i, i]), L,
-                                          max_iter=max_iter)
-            else:
-                w = simplex_least_squares_direct(X[donors].T, X[i], L, max_iter=max_iter)
+            w, gap = simplex_least_squares(F_[donors].T, F_[i], tol)
             r = X[donors].T @ w - X[i]
-            rmse = float(np.sqrt(r @ r / max(1, r.size)))
-            for d, wd in zip(units[donors], w):
-                if wd > 0:
-                    out.append((*keys, units[i], d, float(wd), rmse))
-        return pd.DataFrame(out, columns=names)
+            pos = np.flatnonzero(w > 0)
+            parts.append(pd.DataFrame({"fit_unit": [units[i]] * pos.size, "donor": units[donors[pos]], "weight": w[pos],
+                                       "fit_rmse": float(np.sqrt(r @ r / max(1, r.size))), "gap": gap}))
+        if not parts:
+            return pd.DataFrame(columns=names)
+        out = pd.concat(parts, ignore_index=True)
+        for k, value in zip(COHORT_KEYS, keys):
+            out[k] = value
+        return out[names]
     return solve
 
 
-def synth_weights(pred: DataFrame, unit: str = "u", placebo: bool = True, fits_per_shard: int = 64,
-                  max_cells: int = 50_000_000, max_iter: int = 20000, scaled: bool = True,
-                  solver_partitions: int | None = None, gram_cells: int = 16_000_000) -> DataFrame:
-    """(cohort keys, fit_unit, donor, weight, fit_rmse) with weight > 0.
+def synth_weights(pred: DataFrame, unit: str = "u", placebo: bool = True, scaled: bool = True, v: str = "equal",
+                  on_gap: str = "raise", outcome: str = "Y", tol: float = 1e-8, fits_per_shard: int = 16,
+                  solver_partitions: int | None = None) -> DataFrame:
+    """(cohort keys, fit_unit, donor, weight, fit_rmse, gap) with weight > 0.
 
-    `pred` is the output of `predictors`. Each cohort is split into
-    ceil(units / fits_per_shard) shards; a shard task gets the cohort's unit vectors
-    and solves the fits hashed to it.
+    `pred` is the output of `predictors`. A shard task gets the cohort's unit vectors and
+    solves the fits hashed to it; a cohort has at most one shard per `fits_per_shard`
+    units, and all cohorts together about `solver_partitions` shards.
     """
+    if v not in ("equal", "regression") or on_gap not in ("raise", "drop"):
+        raise ValueError("v is 'equal' or 'regression', on_gap is 'raise' or 'drop'")
     xcol = "x_scaled" if scaled else "x"
-    vec = (pred.groupBy(*COHORT_KEYS, unit, "treated")
-           .agg(F.array_sort(F.collect_list(F.struct("var", "t", F.col(xcol).alias("v")))).alias("__p"))
-           .select(*COHORT_KEYS, F.col(unit).alias("unit"), "treated",
-                   F.transform("__p", lambda s: s["v"]).alias("x")))
-    cw = Window.partitionBy(*COHORT_KEYS)
-    vec = vec.withColumn("__n_shards", F.ceil(F.count(F.lit(1)).over(cw) / F.lit(fits_per_shard)).cast("int"))
+    packed = F.array_sort(F.collect_list(F.struct("var", "t", F.col(xcol).alias("v"))))
+    vec = pred.groupBy(*COHORT_KEYS, unit, "treated").agg(packed.alias("__p"))
+    vec = vec.select(*COHORT_KEYS, F.col(unit).alias("unit"), "treated",
+                     F.transform("__p", lambda s: s["v"]).alias("x"),
+                     F.transform("__p", lambda s: (s["var"] == outcome).cast("int")).alias("is_y"),
+                     # the keys themselves, not their number: equal lengths can hide different times
+                     F.xxhash64(F.transform("__p", lambda s: F.struct(s["var"], s["t"], s["v"].isNull()))).alias("sig"))
+    vec = materialize(vec, "vectors")
+    if on_gap == "drop":
+        ref = vec.filter(F.col("treated") == 1).select(*COHORT_KEYS, F.col("sig").alias("__ref"))
+        vec = vec.join(ref, COHORT_KEYS).filter(F.col("sig") == F.col("__ref")).drop("__ref")
+    sc = pred.sparkSession.sparkContext
+    nparts = solver_partitions or max(sc.defaultParallelism,
+                                      int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sizes = materialize(vec.groupBy(*COHORT_KEYS).agg(F.count(F.lit(1)).alias("__units")), "sizes")
+    per_cohort = -(-nparts // max(1, sizes.count()))
+    sizes = sizes.select(*COHORT_KEYS, F.least(F.lit(per_cohort), F.ceil(F.col("__units") / F.lit(fits_per_shard)))
+                         .cast("int").alias("__n_shards"))
     types = {f.name: f.dataType for f in pred.schema.fields}
     schema = weight_schema(types, types[unit])
-    vec = (vec.withColumn("fit_shard", F.pmod(F.xxhash64("unit"), F.col("__n_shards")).cast("int"))
+    vec = (vec.join(sizes, COHORT_KEYS)
+           .withColumn("fit_shard", F.pmod(F.xxhash64("unit"), F.col("__n_shards")).cast("int"))
            .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("__n_shards") - 1)))
            .drop("__n_shards"))
     # The packed vectors are few bytes but each group is CPU-heavy: an explicit partition
     # count keeps AQE from coalescing all groups into one task; the groupBy below reuses
     # this hash partitioning (no second shuffle).
-    sc = pred.sparkSession.sparkContext
-    nparts = solver_partitions or max(sc.defaultParallelism,
-                                      int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     vec = vec.repartition(nparts, *COHORT_KEYS, "shard")
-    solve = _solver(placebo, max_cells, max_iter, gram_cells, [f.name for f in schema.fields])
+    solve = _solver(placebo, v, tol, [f.name for f in schema.fields])
     return vec.groupBy(*COHORT_KEYS, "shard").applyInPandas(solve, schema)

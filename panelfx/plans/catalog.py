@@ -1,6 +1,7 @@
 """Registered queries: every operator of the library applied to the panel the driver's
 tables define (see ``sources.testpanel``). Each entry takes (spark, sf_dir) and returns
-a lazy DataFrame over the whole tables; ``panelfx.plans.oracle`` holds the matching SQL.
+a DataFrame over the whole tables; queries whose plan forks write the fork to the shared
+folder when they are built. ``panelfx.plans.oracle`` holds the matching SQL.
 """
 
 from __future__ import annotations
@@ -9,13 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import (agg_expr, clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
                          parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
 from ..operators import aggregate, cohort, events, fe, infer, merge, panel, quality, series, synth, tables
-from ..session import materialize
+from ..session import materialize, shared_path
 from ..sources import testpanel as tp
-from ..sources.io import read_table
+from ..sources.io import export_csv, read_csv, read_stage, read_table, read_wide_csv, write_stage
 
 SPEC = tp.SPEC
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,11 +119,17 @@ EXPOSURES = {"p50": 50.0, "p70": 70.0, "p90": 90.0}
 
 # ---------------------------------------------------------------- step 2: panel
 
+def _wide(p: DataFrame) -> DataFrame:
+    """One column per week of the calendar (v5, v6, ...): its weeks are the only thing listed."""
+    p = materialize(p.withColumn("day", F.col("t") + 5).select("u", "day", "cum"))   # fork: calendar + pivot
+    days = sorted(r[0] for r in p.select("day").distinct().collect())
+    return panel.long_to_wide(p, ["u"], "day", "cum", "v", days)
+
+
 def q_wide_to_long(spark, sf):
     """P1 + P2: running totals pivoted to one column per week (v5, v6, ...), then back to long."""
     p = _cumulative(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "delta"))
-    wide = (p.withColumn("day", F.col("t") + 5).groupBy("u").pivot("day").agg(F.first("cum")))
-    wide = wide.withColumnsRenamed({c: f"v{c}" for c in wide.columns if c != "u"})
+    wide = _wide(p)
     long = panel.wide_to_long(wide, ["u"], "v", "day", "cum")
     return long.withColumn("wk", index_to_date("day", tp.WEEK0, -5, 7))
 
@@ -214,25 +222,25 @@ def q_panel_gaps(spark, sf):
 def _two_sources(spark, sf):
     left = tp.order_panel(spark, sf, with_dose=False).select("u", "t", "wk", "n", "k", "delta", "mob")
     right = tp.shipment_panel(spark, sf).select("u", "t", "wk", "n", "k", "mob")
-    return left, right
+    return left, right      # both are aggregates by (u, t): unique, no key check needed
 
 
 def q_merge_all(spark, sf):
     """Full 1:1 merge, left value wins on shared columns, with a merge indicator."""
     l_, r_ = _two_sources(spark, sf)
-    return merge.merge_one_to_one(l_, r_, ["u", "t"], "all", indicator="_merge")
+    return merge.merge_one_to_one(l_, r_, ["u", "t"], "all", indicator="_merge", validate=False)
 
 
 def q_merge_match(spark, sf):
     """Matched rows only."""
     l_, r_ = _two_sources(spark, sf)
-    return merge.merge_one_to_one(l_, r_, ["u", "t"], "match")
+    return merge.merge_one_to_one(l_, r_, ["u", "t"], "match", validate=False)
 
 
 def q_merge_left(spark, sf):
     """Left rows with their matches."""
     l_, r_ = _two_sources(spark, sf)
-    return merge.merge_one_to_one(l_, r_, ["u", "t"], "left", indicator="_merge")
+    return merge.merge_one_to_one(l_, r_, ["u", "t"], "left", indicator="_merge", validate=False)
 
 
 def q_natural_join_totals(spark, sf):
@@ -327,15 +335,13 @@ def _ratios(spark, sf, completed: DataFrame | None = None):
     p = c.select("u", "t", "k", "n", "delta")
     p = p.withColumns({"k7": series.rolling_sum_expr(SPEC, "k", 7), "n7": series.rolling_sum_expr(SPEC, "n", 7)})
     p = p.withColumn("n7_lag7", series.lag_expr(SPEC, "n7", 7))
-    return p.select("u", "t", "k7", "n7", "n7_lag7",
+    return p.select("u", "t", "k", "delta", "k7", "n7", "n7_lag7",
                     ratio("k7", "n7_lag7", "ieee").alias("r_lag"), ratio("k7", "n7", "ieee").alias("r_same"))
 
 
 def q_ratio_rules(spark, sf):
     """N1 (null mode) + N2 + N3 on the panel's ratios."""
-    c = _completed(spark, sf)
-    p = _ratios(spark, sf, c).join(c.select("u", "t", "k", "delta"), ["u", "t"])
-    return p.select("u", "t",
+    return _ratios(spark, sf).select("u", "t",
                     ratio("k", "delta", "null").alias("r_null"),
                     null_if_negative(ratio("k", "delta", "null")).alias("r_nonneg"),
                     zero_over_zero("k7", "n7_lag7", "r_lag").alias("r_zz"),
@@ -371,6 +377,55 @@ def q_inf_units(spark, sf):
     return quality.units_failing(_ratios(spark, sf), SPEC, quality.inf_cond(["r_lag", "r_same"]))
 
 
+CUSTOMER = tp.PanelSpec("c", "t")
+
+
+def _customer_ratios(spark, sf) -> DataFrame:
+    """Ratios of 4-week sums with customers as units on their zero-filled weeks: most weeks
+    have no order, so 0/0 and x/0 both occur."""
+    p = q_customer_complete_panel(spark, sf).select("c", "t", "n", "k")
+    p = p.withColumns({"k4": series.rolling_sum_expr(CUSTOMER, "k", 4), "n4": series.rolling_sum_expr(CUSTOMER, "n", 4)})
+    p = p.withColumn("n4_lag4", series.lag_expr(CUSTOMER, "n4", 4))
+    return p.select("c", "t", "k", "n", "k4", "n4", "n4_lag4",
+                    ratio("k4", "n4_lag4", "ieee").alias("r_lag"), ratio("k4", "n4", "ieee").alias("r_same"))
+
+
+def _customer_zero_rule(p: DataFrame) -> DataFrame:
+    return p.withColumns({"r_lag": zero_over_zero("k4", "n4_lag4", "r_lag"), "r_same": zero_over_zero("k4", "n4", "r_same")})
+
+
+def q_customer_ratio_rules(spark, sf):
+    """N1 (IEEE and null mode), N3 and the finite rule where denominators are zero."""
+    p = _customer_ratios(spark, sf)
+    zz = zero_over_zero("k4", "n4_lag4", "r_lag")
+    return p.select("c", "t", "r_lag", "r_same", ratio("k4", "n4_lag4", "null").alias("r_null"), zz.alias("r_zz"),
+                    finite_or_null(zz).alias("r_finite"))
+
+
+def q_customer_outlier_units(spark, sf):
+    """D3 with customers as units: ratios above 1, +Inf among them, NaN not."""
+    return quality.units_failing(_customer_ratios(spark, sf), CUSTOMER, quality.outlier_cond(["r_lag", "r_same"]))
+
+
+def q_customer_nan_units(spark, sf):
+    """D4 with customers as units, before the 0/0 rule."""
+    return quality.units_failing(_customer_ratios(spark, sf), CUSTOMER, quality.nan_cond(["r_lag", "r_same"]))
+
+
+def q_customer_nan_rows_after(spark, sf):
+    """D4 after the 0/0 rule: rows that were NaN are 0 now, and no NaN is left."""
+    p = _customer_ratios(spark, sf)
+    was = quality.nan_cond(["r_lag", "r_same"])
+    p = _customer_zero_rule(p.withColumn("was_nan", F.coalesce(was, F.lit(False))))
+    return p.groupBy("c").agg(F.sum(F.col("was_nan").cast("long")).alias("n_was_nan"),
+                              F.sum(F.coalesce(was, F.lit(False)).cast("long")).alias("n_nan"))
+
+
+def q_customer_inf_units(spark, sf):
+    """D5 with customers as units: x/0 in the lagged ratio."""
+    return quality.units_failing(_customer_ratios(spark, sf), CUSTOMER, quality.inf_cond(["r_lag", "r_same"]))
+
+
 # ---------------------------------------------------------------- step 6: events
 
 def _flagged(spark, sf):
@@ -429,6 +484,18 @@ def q_cohorts(spark, sf):
     return _cohorts(spark, sf)
 
 
+def q_cohorts_with_missing(spark, sf):
+    """F4 where it fires: every third unit's covariate is missing in its weeks without
+    orders, so that unit leaves its cohorts, treated or donor."""
+    raw = _completed(spark, sf, fill=False).select("u", "t", F.col("mob").alias("raw_mob"))
+    cp = _cohort_panel(spark, sf).join(raw, ["u", "t"])
+    cp = cp.withColumn("mob", F.when(F.col("u") % 3 == 0, F.col("raw_mob")).otherwise(F.col("mob"))).drop("raw_mob")
+    grid = cohort.cohort_grid(_treated_units(spark, sf), "u", list(EXPOSURES), OUTCOMES)
+    coh = cohort.build_cohorts(materialize(cp), SPEC, grid, OUTCOMES, {n: n for n in EXPOSURES},
+                               cohort.CohortRules(covariate="mob", outcome_limit=None, max_share=None))
+    return coh.select("exposure", "treated_unit", "outcome", "u", "t", "Y", "mob", "treated", "event_time", "day_one", "id")
+
+
 def q_cohort_bounds(spark, sf):
     """First time and event time per cohort."""
     return cohort.cohort_bounds(_cohorts(spark, sf))
@@ -488,6 +555,37 @@ def q_synth_weights(spark, sf):
     return _weights(spark, sf)
 
 
+def q_synth_weight_checks(spark, sf):
+    """Y3 + Y4, one row per fit: its weights are a point of the simplex, carry a proof of
+    optimality, and fit the predictors no worse than equal weights do."""
+    coh = _cohorts(spark, sf)
+    pred = materialize(_predictors(spark, sf, coh))
+    w = materialize(synth.synth_weights(pred, placebo=True))
+    keys = cohort.COHORT_KEYS
+    x = pred.select(*keys, "u", "treated", "var", "t", "x_scaled")
+    # loss of the solved weights, from the weights table and the predictors alone
+    own = x.select(*keys, F.col("u").alias("fit_unit"), "var", "t", F.col("x_scaled").alias("x_fit"))
+    fit = (w.join(x.select(*keys, F.col("u").alias("donor"), "var", "t", "x_scaled"), [*keys, "donor"])
+           .groupBy(*keys, "fit_unit", "var", "t").agg(F.sum(F.col("weight") * F.col("x_scaled")).alias("x_syn")))
+    sq = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
+    loss = fit.join(own, [*keys, "fit_unit", "var", "t"]).groupBy(*keys, "fit_unit").agg(F.sum(sq("x_fit", "x_syn")).alias("loss"))
+    # loss of equal weights, from per-predictor sums
+    sums = x.groupBy(*keys, "var", "t").agg(F.sum("x_scaled").alias("s"), F.count(F.lit(1)).alias("n"),
+                                            F.sum(F.col("treated") * F.col("x_scaled")).alias("s_tr"), F.sum("treated").alias("n_tr"))
+    even = x.join(sums, [*keys, "var", "t"]).withColumns({
+        "others": F.col("s") - F.col("s_tr") - F.when(F.col("treated") == 1, 0).otherwise(F.col("x_scaled")),
+        "m": F.col("n") - F.col("n_tr") - F.when(F.col("treated") == 1, 0).otherwise(1)})
+    even = even.withColumn("x_even", F.try_divide("others", "m")).groupBy(*keys, F.col("u").alias("fit_unit")).agg(
+        F.sum(sq("x_scaled", "x_even")).alias("even_loss"))
+    per = w.groupBy(*keys, "fit_unit").agg(F.sum("weight").alias("total"), F.min("weight").alias("least"), F.max("gap").alias("gap"),
+                                           F.max((F.col("donor") == F.col("fit_unit")).cast("int")).alias("self"),
+                                           F.max((F.col("donor") == F.col("treated_unit")).cast("int")).alias("tr"))
+    out = per.join(loss, [*keys, "fit_unit"]).join(even, [*keys, "fit_unit"])
+    return out.select(*keys, "fit_unit", (F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"), (F.col("least") > 0).alias("positive"),
+                      ((F.col("self") == 0) & (F.col("tr") == 0)).alias("donors_allowed"), (F.col("gap") <= 1e-8).alias("optimal"),
+                      (F.col("loss") <= F.col("even_loss") * (1 + 1e-9)).alias("no_worse_than_equal"))
+
+
 def q_donor_weights(spark, sf):
     """Positive donor weights of the treated fit, with the donor's label."""
     lab = tp.unit_labels(spark, sf).select("u", clean_label("n_name", "r_name", remove=[" ", "_"]).alias("label"))
@@ -509,7 +607,8 @@ def q_fe_att(spark, sf):
     effect on the treated unit by time since its event, per cohort."""
     coh = _cohorts(spark, sf).withColumn(
         "treat", events.treated_flag(F.col("u"), F.col("treated_unit"), F.col("t"), F.col("event_time")))
-    return fe.att_by_time(fe.fe_counterfactual(coh, y="Y", cov="mob", treat="treat"))
+    att = fe.att_by_time(fe.fe_counterfactual(coh, y="Y", cov="mob", treat="treat"))
+    return _rounded(att.withColumn("beta", F.col("beta") * 1e6), ["att", "beta"])   # beta per million of the covariate
 
 
 # ---------------------------------------------------------------- step 11: plot tables
@@ -529,6 +628,60 @@ def q_figure_axes(spark, sf):
     return tables.axis_bounds(_effect_series(spark, sf), ["exposure", "outcome"])
 
 
+def q_treated_vs_synthetic(spark, sf):
+    """Treated and synthetic series of every cohort as tidy rows (donor-mean weights)."""
+    g = _uniform_gaps(spark, sf).filter(F.col("treated_fit") == 1)
+    return tables.series_table(_rounded(g, ["synth"]), ["exposure", "outcome", "treated_unit"], "t", ["Y", "synth"])
+
+
+def q_eligible_series(spark, sf):
+    """The smoothed ratio series of the eligible units."""
+    p = _smoothed(spark, sf).join(_treated_units(spark, sf).select("u", "n_name"), "u")
+    p = p.select("n_name", "t", finite_or_null(ratio("k7", "n7_lag7", "ieee")).alias("r_lag"),
+                 finite_or_null(ratio("k7", "n7", "ieee")).alias("r_same"))
+    return tables.series_table(p, ["n_name"], "t", ["r_lag", "r_same"])
+
+
+# ---------------------------------------------------------------- step 12: stages and the rest
+
+def q_insert_listed_weeks(spark, sf):
+    """W10 (listed times) + W9: three listed weeks inserted where a customer lacks them, then
+    filled from the neighbouring rows."""
+    p = materialize(tp.customer_panel(spark, sf).select("c", "t", "n"))
+    return series.interpolate_gap(panel.insert_times(p, CUSTOMER, LISTED_WEEKS), CUSTOMER, ["n"])
+
+
+LISTED_WEEKS = [100, 150, 151]
+
+
+def q_drop_sentinel(spark, sf):
+    """F2 + P6 + P3: rows of unit 0 dropped, listed columns kept where present, renamed."""
+    p = tp.order_panel(spark, sf, with_dose=False)
+    p = panel.select_present(p.filter((F.col("u") != 0) | F.col("u").isNull()), ["u", "t", "n", "not_there", "k"])
+    return p.withColumnsRenamed({"n": "orders", "k": "finished"})
+
+
+def q_stage_round_trip(spark, sf):
+    """The panel written as a stage partitioned by unit, and opened again."""
+    root = shared_path(spark, "stages")
+    write_stage(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "n", "k"), root, "panel", ["u"])
+    return read_stage(spark, root, "panel").select("u", "t", "n", "k")
+
+
+def q_csv_round_trip(spark, sf):
+    """S2 + S7: the shipment panel exported as CSV and read with an explicit schema."""
+    p = tp.shipment_panel(spark, sf).select("u", "t", "n", "k")
+    return read_csv(spark, export_csv(p, shared_path(spark, "csv")), "u int, t int, n bigint, k bigint")
+
+
+def q_wide_csv_round_trip(spark, sf):
+    """S1 + P1: the wide running totals exported as CSV, read back and made long."""
+    p = _cumulative(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "delta"))
+    path = export_csv(_wide(p), shared_path(spark, "csv"))
+    wide = read_wide_csv(spark, path, T.StructType([T.StructField("u", T.IntegerType())]))
+    return panel.wide_to_long(wide, ["u"], "v", "day", "cum")
+
+
 QUERIES: dict[str, Query] = {
     "test_panel": q_test_panel,
     "smoothed_ratio": q_smoothed_ratio,
@@ -571,10 +724,16 @@ QUERIES: dict[str, Query] = {
     "nan_units": q_nan_units,
     "nan_units_after": q_nan_units_after,
     "inf_units": q_inf_units,
+    "customer_ratio_rules": q_customer_ratio_rules,
+    "customer_outlier_units": q_customer_outlier_units,
+    "customer_nan_units": q_customer_nan_units,
+    "customer_nan_rows_after": q_customer_nan_rows_after,
+    "customer_inf_units": q_customer_inf_units,
     "first_exposure": q_first_exposure,
     "mark_first_exposure": q_mark_first_exposure,
     "first_rows": q_first_rows,
     "cohorts": q_cohorts,
+    "cohorts_with_missing": q_cohorts_with_missing,
     "cohort_bounds": q_cohort_bounds,
     "synth_gaps_uniform": q_synth_gaps_uniform,
     "rmspe_uniform": q_rmspe_uniform,
@@ -582,9 +741,17 @@ QUERIES: dict[str, Query] = {
     "effect_ci_uniform": q_effect_ci_uniform,
     "predictors": q_predictors,
     "synth_weights": q_synth_weights,
+    "synth_weight_checks": q_synth_weight_checks,
     "donor_weights": q_donor_weights,
     "synth_effects": q_synth_effects,
     "fe_att": q_fe_att,
     "effect_series_table": q_effect_series_table,
     "figure_axes": q_figure_axes,
+    "treated_vs_synthetic": q_treated_vs_synthetic,
+    "eligible_series": q_eligible_series,
+    "insert_listed_weeks": q_insert_listed_weeks,
+    "drop_sentinel": q_drop_sentinel,
+    "stage_round_trip": q_stage_round_trip,
+    "csv_round_trip": q_csv_round_trip,
+    "wide_csv_round_trip": q_wide_csv_round_trip,
 }

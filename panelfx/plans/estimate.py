@@ -44,6 +44,7 @@ def estimate(daily: DataFrame, exposures: Sequence[str] = tuple(EXPOSURE_FLAGS),
                                                   F.lit("."), F.lit("")), F.lit("'"), F.lit("")))
     d = d.withColumnRenamed("id", "unit_id")
     spec = PanelSpec("unit_id", "time")
+    d = materialize(d, "daily")                   # read by the grid, the events, the unit facts and the rows
     treated = d.filter(F.col("eligible") == "Yes").select("unit_id")
     grid = cohort.cohort_grid(treated, "unit_id", list(exposures), list(outcomes))
     rules = rules or cohort.CohortRules(covariate=covariate, outcome_limit=1.0, max_share=0.01)

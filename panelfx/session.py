@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every panelfx job relies on. AQE re-plans joins from runtime sizes,
 # coalesces small shuffle partitions and splits skewed ones; UTC keeps
@@ -38,31 +40,54 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the cluster (a shared file system every
-    executor can reach) and is used as is. Only when it is unset -- local tests --
-    is a private scratch folder created and registered.
+    executor can reach) and is used as is. Only in local mode, where every task can read
+    the driver's disk, is a private scratch folder created when it is unset.
     """
-    d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share; "
+                               "a machine-local one would lose what other executors write")
         d = tempfile.mkdtemp(prefix="panelfx-ckpt-", dir=os.environ.get("PANELFX_SCRATCH", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # some deployments refuse runtime changes of core settings
-            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def materialize(df):
-    """Write `df` once to the checkpoint folder and continue from the written copy.
+_ROOTS: dict[str, str] = {}      # application -> its folder of written forks
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below this application's own root; ``release``
+    removes the root, at the latest when the driver's interpreter ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages-{app}"
+        atexit.register(release, spark)
+    return f"{_ROOTS[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the forks this application has written; call it once results are consumed."""
+    try:
+        root = _ROOTS.pop(spark.sparkContext.applicationId, None)
+        if root:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may be gone already; the folder is then left to the cluster's cleaning
+        pass
+
+
+def materialize(df: DataFrame, name: str = "fork") -> DataFrame:
+    """Write `df` once as Parquet to the shared folder and continue from the written copy.
 
     Use at a fork -- a stage that several later branches read (the unit-time panel,
     the cohort table): the raw scan, join and aggregation behind it then run once
-    instead of once per branch, the plan below the fork is replaced by the written
-    files, and a lost executor recomputes nothing above it. Never a local checkpoint:
-    the copy lives in the shared folder named by ``spark.checkpoint.dir``.
+    instead of once per branch, each branch reads only the columns and row groups it
+    needs, and a lost executor recomputes nothing above it. Runs a job when called.
+    Never a local checkpoint: the copy lives in the folder of ``spark.checkpoint.dir``.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -33,14 +33,14 @@ def test_simplex_kernel_exact_mix():
     w_true = np.zeros(11)
     w_true[[1, 4, 9]] = [0.5, 0.3, 0.2]
     b = X @ w_true
-    w = simplex_least_squares(X.T @ X, X.T @ b, float(b @ b))
+    w, _ = simplex_least_squares(X, b)
     assert np.max(np.abs(w - w_true)) < 1e-10
 
 
 def test_simplex_kernel_beats_uniform():
     rng = np.random.default_rng(3)
     X, b = rng.normal(size=(8, 20)), rng.normal(size=8)
-    w = simplex_least_squares(X.T @ X, X.T @ b, float(b @ b))
+    w, _ = simplex_least_squares(X, b)
     assert abs(w.sum() - 1) < 1e-12 and w.min() >= 0
     u = np.full(20, 1 / 20)
     assert np.sum((X @ w - b) ** 2) <= np.sum((X @ u - b) ** 2) + 1e-12
@@ -63,7 +63,7 @@ def _synthetic_cohort(spark):
 def test_synth_weights_recover_mix_and_placebos_are_valid(spark):
     coh = _synthetic_cohort(spark)
     pred = synth.predictors(coh, cols=["Y"])
-    w = synth.synth_weights(pred, placebo=True, fits_per_shard=5).toPandas()
+    w = synth.synth_weights(pred, placebo=True, fits_per_shard=5, solver_partitions=3).toPandas()
     assert w["fit_unit"].nunique() == 12                      # treated + 11 placebo fits over 3 shards
     sums = w.groupby("fit_unit")["weight"].sum()
     assert np.allclose(sums.to_numpy(), 1.0, atol=1e-12) and (w["weight"] >= 0).all()
@@ -99,8 +99,8 @@ def test_placebo_pvalue_counts_placebos_only(spark):
     assert p["pval"] == pytest.approx(1 / 3) and p["n_placebos"] == 3 and p["lead"] == 0
 
 
-@pytest.mark.parametrize("accelerate", [True, False])
-def test_fe_counterfactual_noiseless(spark, accelerate):
+@pytest.mark.parametrize("closed_form", [True, False])
+def test_fe_counterfactual_noiseless(spark, closed_form):
     rng = np.random.default_rng(5)
     a, g = rng.normal(size=20), rng.normal(size=40)
     rows = []
@@ -111,32 +111,74 @@ def test_fe_counterfactual_noiseless(spark, accelerate):
             rows.append(("e", 0, "y", i, t, float(a[i] + g[t] + 0.7 * x + 2.5 * d), x, d, 25))
     df = spark.createDataFrame(rows, "exposure string, treated_unit int, outcome string, u int, t int, Y double, "
                                      "mob double, treat int, event_time int")
-    res = fe.fe_counterfactual(df, checkpoint_every=2, accelerate=accelerate)
+    res = fe.fe_counterfactual(df, checkpoint_every=2, closed_form=closed_form)
     att = fe.att_by_time(res).toPandas()
     assert np.allclose(att["beta"], 0.7, atol=1e-8)
     assert np.allclose(att["att"], 2.5, atol=1e-8) and len(att) == 15
     assert res.filter(F.col("treat") == 0).agg(F.max(F.abs("effect"))).first()[0] < 1e-8
 
 
-def test_direct_kernel_matches_gram_kernel():
-    from panelfx.operators.synth import simplex_least_squares_direct
+def test_wide_pool_is_exact_and_fast():
+    import time
     rng = np.random.default_rng(21)
-    X = rng.normal(size=(25, 40))
-    w_true = np.zeros(40)
-    w_true[[3, 17, 30]] = [0.6, 0.25, 0.15]
-    b = X @ w_true
-    a = simplex_least_squares(X.T @ X, X.T @ b, float(b @ b))
-    d = simplex_least_squares_direct(X, b)
-    assert np.max(np.abs(a - w_true)) < 1e-10 and np.max(np.abs(d - w_true)) < 1e-10
-
-
-def test_synth_weights_direct_path_for_wide_pools(spark):
-    coh = _synthetic_cohort(spark)
-    pred = synth.predictors(coh, cols=["Y"])
-    a = synth.synth_weights(pred, placebo=True).toPandas().sort_values(["fit_unit", "donor"])
-    b = synth.synth_weights(pred, placebo=True, gram_cells=1).toPandas().sort_values(["fit_unit", "donor"])
-    m = a.merge(b, on=["fit_unit", "donor"], how="outer").fillna(0.0)
-    assert np.max(np.abs(m["weight_x"] - m["weight_y"])) < 1e-8
+    X = rng.normal(size=(60, 1500))
+    b = X @ np.full(1500, 1 / 1500) + rng.normal(size=60) * 3
+    t0 = time.perf_counter()
+    w, gap = simplex_least_squares(X, b)
+    assert time.perf_counter() - t0 < 5 and gap <= 1e-10
+    g = X.T @ (X @ w - b)
+    assert abs(w.sum() - 1) < 1e-12 and w.min() >= 0 and np.all(g >= g[w > 0].mean() - 1e-6)
+
+
+def test_repeated_and_degenerate_donors():
+    x = np.array([[1.0, 1.0, 3.0], [2.0, 2.0, 0.0]])
+    for b in (x[:, 0], np.array([2.0, 1.0]), np.array([9.0, 9.0])):
+        w, gap = simplex_least_squares(x, b)
+        assert abs(w.sum() - 1) < 1e-12 and w.min() >= 0 and gap <= 1e-10
+    w, _ = simplex_least_squares(np.zeros((2, 3)), np.zeros(2))
+    assert abs(w.sum() - 1) < 1e-12
+
+
+def test_regression_importance_hand_solved():
+    # the outcome is 2 * first + 0 * second predictor
+    X = np.array([[1.0, 0.0, 2.0], [2.0, 1.0, 4.0], [3.0, 0.0, 6.0], [4.0, 1.0, 8.0]])
+    v = synth.regression_importance(X, np.array([False, False, True]))
+    # smallest-norm solution of y = 2a in the span of a and y = 2a: (0.2 * 2, 0, 0.8) on (a, c, y)
+    assert np.allclose(v, np.array([0.16, 0.0, 0.64]) / 0.8)
+
+
+def test_regression_weights_recover_mix(spark):
+    pred = synth.predictors(_synthetic_cohort(spark), cols=["Y"])
+    w = synth.synth_weights(pred, placebo=False, v="regression").toPandas().set_index("donor")["weight"]
+    assert abs(w[3] - 0.5) < 1e-6 and abs(w[6] - 0.3) < 1e-6 and abs(w[9] - 0.2) < 1e-6
+
+
+def test_unconverged_fixed_effects_raise(spark):
+    rng = np.random.default_rng(6)
+    rows = [("e", 0, "y", i, t, float(rng.normal() * 1e6), float(rng.normal()), int(i == 0 and t > 5), 6)
+            for i in range(6) for t in range(9) if (i * 7 + t * 3) % 4]       # ragged: no closed form
+    df = spark.createDataFrame(rows, "exposure string, treated_unit int, outcome string, u int, t int, Y double, "
+                                     "mob double, treat int, event_time int")
+    with pytest.raises(RuntimeError, match="converged"):
+        fe.fe_counterfactual(df, max_rounds=2)
+    full = fe.fe_counterfactual(df)
+    r = full.filter("treat = 0").toPandas()
+    x = r.merge(df.toPandas()[["u", "t", "mob"]], on=["u", "t"])
+    for by in ("u", "t"):                                    # residuals are free of both effects and the covariate
+        assert np.abs(x.groupby(by)["effect"].mean()).max() < 1e-3
+    assert abs((x["effect"] * x["mob"]).sum()) < 1e-2
+
+
+def test_closed_form_equals_iteration(spark):
+    rng = np.random.default_rng(8)
+    rows = [("e", 0, "y", i, t, float(rng.normal()), float(rng.normal() * 1e5), int(i == 0 and t > 5), 6) for i in range(7) for t in range(10)]
+    rows += [("e", 9, "y", i, t, float(rng.normal() * 1e6), float(rng.normal()), 0, None) for i in range(4) for t in range(5)]
+    df = spark.createDataFrame(rows, "exposure string, treated_unit int, outcome string, u int, t int, Y double, "
+                                     "mob double, treat int, event_time int")
+    by = ["treated_unit", "u", "t"]
+    a = fe.fe_counterfactual(df).toPandas().sort_values(by).reset_index(drop=True)
+    b = fe.fe_counterfactual(df, closed_form=False).toPandas().sort_values(by).reset_index(drop=True)
+    assert np.allclose(a["effect"], b["effect"], rtol=1e-8, atol=1e-9)
 
 
 def test_synth_weights_with_string_units(spark):
@@ -154,6 +196,13 @@ def test_synth_weights_refuse_ragged_predictors(spark):
     with pytest.raises(Exception) as e:
         synth.synth_weights(synth.predictors(coh, cols=["Y"])).collect()
     assert "different predictor sets" in str(e.value) or isinstance(e.value, PythonException)
+    # units that lack different times have equally many predictors: refused as well
+    ragged = _synthetic_cohort(spark).filter("NOT (u > 0 AND t = u)")
+    with pytest.raises(Exception):
+        synth.synth_weights(synth.predictors(ragged, cols=["Y"])).collect()
+    one = _synthetic_cohort(spark).filter(~((F.col("u") == 4) & (F.col("t") == 3)))
+    left = synth.synth_weights(synth.predictors(one, cols=["Y"]), on_gap="drop").toPandas()
+    assert 4 not in set(left["donor"]) | set(left["fit_unit"]) and left["fit_unit"].nunique() == 11
 
 
 def test_effects_with_solved_weights(spark):
