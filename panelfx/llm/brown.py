@@ -49,7 +49,7 @@ SWEEPS = 12
 HEAD = 100_000     # most frequent words whose counts are broadcast
 DELTA = 0.5
 BACKOFF = 5.0
-MEMO = 300_000
+MEMO = 100_000
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -71,7 +71,7 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for start, size in common.text_slices(batch.column(0)):
                 n.update(chain.from_iterable(map(words, batch.column(0).slice(start, size).to_pylist())))
-                if len(n) > 250_000:
+                if len(n) > 150_000:
                     yield batch_of(n)
                     n = Counter()
         if n:
