@@ -29,7 +29,6 @@ count. Rows that repeat: each returned.
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter
 
@@ -53,51 +52,56 @@ THRESHOLD = 0.3
 
 STEMS = (4, 5, 6, 7)  # letters of a stem
 LEVELS = (2, 4)       # a term counts as one more from so many occurrences on
+MEMO = 100_000        # words a worker remembers the terms of
 
-TOKEN = re.compile(r"[^\W_]+")
+# Every ASCII byte that is no letter or digit separates words.
+GAPS = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalnum()), b" " * sum(not chr(b).isalnum() for b in range(128)))
 
 
-def tokens(text: str | None) -> list[str]:
-    """Runs of letters and digits of the lower-cased text."""
-    return TOKEN.findall(text.lower()) if text else []
+def tokens(text: str | None) -> list[bytes]:
+    """Runs of ASCII letters and digits and of non-ASCII characters of the lower-cased text."""
+    return text.lower().encode().translate(GAPS).split() if text else []
 
 
-def features_of(word: str) -> list[str]:
-    """The terms a word counts for: itself and its stems."""
-    return [word, *[word[:k] + "*" for k in STEMS if k < len(word)]]
+class Features(dict):
+    """The terms a word counts for, itself and its stems, of those in `base` (None: all);
+    found once per word, up to MEMO words."""
 
+    def __init__(self, base: set[str] | None = None):
+        super().__init__()
+        self.base = base
+
+    def __missing__(self, word: bytes) -> list[str]:
+        w = word.decode()
+        got = [w, *[w[:k] + "*" for k in STEMS if k < len(w)]]
+        if self.base is not None:
+            got = [f for f in got if f in self.base]
+        if len(self) > MEMO:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = got
+        return got
 
-def features(text: str | None) -> dict[str, int]:
-    """The terms of a text and their counts; "at least" terms count 1."""
-    found: Counter = Counter()
-    for w, n in Counter(tokens(text)).items():
-        for f in features_of(w):
-            found[f] += n
-    return dict(found) | {f"{f}≥{k}": 1 for f, n in found.items() for k in LEVELS if n >= k}
+    def counts(self, text: str | None) -> dict[str, int]:
+        """The terms of a text and how often they occur."""
+        found: dict[str, int] = {}
+        get = found.get
+        for w, n in Counter(tokens(text)).items():
+            for f in self[w]:
+                found[f] = get(f, 0) + n
+        return found
 
 
-class Chosen(dict):
-    """The chosen terms (number by base term) each word counts for, found once per worker."""
+class Chosen:
+    """Vectors over the chosen terms."""
 
     def __init__(self, terms: list[str]):
-        super().__init__()
         self.number = {t: i for i, t in enumerate(terms)}
-        self.base = {t.partition("≥")[0] for t in terms}  # a level of a term needs the term's count
-
-    def __missing__(self, word: str) -> list[str]:
-        got = [f for f in features_of(word) if f in self.base]
-        if len(self) > 300_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = got
-        return got
+        self.features = Features({t.partition("≥")[0] for t in terms})  # a level of a term needs the term's count
 
     def vector(self, text: str | None) -> list[tuple[int, int]]:
         """(term number, count) of a text's chosen terms, in rising order."""
-        found: Counter = Counter()
-        for w, n in Counter(tokens(text)).items():
-            for f in self[w]:
-                found[f] += n
+        found = self.features.counts(text)
         out = [(self.number[f], n) for f, n in found.items() if f in self.number]
         out += [(i, 1) for f, n in found.items() for k in LEVELS if n >= k and (i := self.number.get(f"{f}≥{k}")) is not None]
         return sorted(out)
@@ -120,16 +124,17 @@ def term_counts(df: DataFrame, text: str, toxic: str) -> DataFrame:
             names=["term", "n", "n_toxic"])
 
     def run(batches):
-        n, pos = Counter(), Counter()
+        n, pos, features = Counter(), Counter(), Features()
         for batch in batches:
             for start, size in common.text_slices(batch.column(0)):
                 part = batch.slice(start, size)
                 for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    seen = features(t)
-                    n.update(seen.keys())
+                    found = features.counts(t)
+                    seen = [*found, *[f"{f}≥{k}" for f, m in found.items() if m >= LEVELS[0] for k in LEVELS if m >= k]]
+                    n.update(seen)
                     if y:
-                        pos.update(seen.keys())
-                if len(n) > 200_000:
+                        pos.update(seen)
+                if len(n) > 150_000:
                     yield batch_of(n, pos)
                     n, pos = Counter(), Counter()
         if n:
@@ -154,10 +159,10 @@ def feature_terms(train: DataFrame, text: str = "text", toxic: str = "toxic") ->
 
 # ------------------------------------------------------------------ vectors
 
-def vectors(df: DataFrame, terms: list[str], text: str = "text", names: tuple[str, str] = ("terms", "tfs"),
-            keep_text: bool = False) -> DataFrame:
-    """`df` plus the feature terms of every whole text (numbers, rising) and their counts."""
-    fields = [T.StructField(c, T.ArrayType(T.IntegerType()), False) for c in names]
+def vectors(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """`df` without `text`, plus the feature terms of every whole text (`terms`: numbers,
+    rising) and their counts (`tfs`)."""
+    fields = [T.StructField(c, T.ArrayType(T.IntegerType()), False) for c in ("terms", "tfs")]
     key = uuid.uuid4().hex
 
     def fn(texts):
@@ -166,7 +171,7 @@ def vectors(df: DataFrame, terms: list[str], text: str = "text", names: tuple[st
         return [pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())),
                 pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))]
 
-    return (common.append_texts if keep_text else common.map_texts)(df, text, fields, fn)
+    return common.map_texts(df, text, fields, fn)
 
 
 _CHOSEN: dict = {}
@@ -225,7 +230,11 @@ class Index:
             for t, w in zip(terms, q):
                 if (p := self.postings.get((t, b))) is not None:
                     scores[p[0]] += w * p[1]
-            found += [(round(float(s), 9), b * BLOCK + i) for i, s in enumerate(scores) if s > 0]
+            scores = scores.round(9)
+            at = np.flatnonzero(scores >= max(kth, 1e-9)).tolist()
+            if not at:
+                continue
+            found += [(float(scores[i]), b * BLOCK + i) for i in at]
             found.sort(key=lambda x: (-x[0], x[1]))
             held = 0.0
             for at, (s, e) in enumerate(found):
@@ -287,61 +296,64 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, fo
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-        fold: tuple[int, int] | None = (4, 2)) -> tuple[list[str], Index | None]:
-    """Feature terms and index; `fold` (folds, held-out remainder) keeps rows out of training."""
+        fold: tuple[int, int] | None = (4, 2)) -> tuple[list[str], Index | None, DataFrame]:
+    """Feature terms, index, and the vectors (id, h, terms, tfs) of all rows of `docs`;
+    `fold` (folds, held-out remainder) keeps rows out of training."""
     rows = common.stage(training_rows(docs, labels, doc_id, text, fold), "labelled")
     # equal texts are one training text, toxic if at least half of its rows are
     one = rows.groupBy("h").agg(F.min("id").alias("id"), (F.avg(F.col("toxic").cast("int")) >= 0.5).alias("toxic"))
-    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), common.text_hash(F.col(text)).alias("h"))
     one = common.stage(one, "texts")
-    train = d.join(one, ["id", "h"])
-    terms = feature_terms(train)
-    if rows.limit(1).count() == 0:
-        return terms, None
+    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), common.text_hash(F.col(text)).alias("h"))
+    terms = feature_terms(d.join(common.bounded(one), ["id", "h"]))
     vecs = common.stage(vectors(d, terms), "vectors")
+    if rows.limit(1).count() == 0:
+        return terms, None, vecs
     n_docs = vecs.count()
     df = {r[0]: r[1] for r in vecs.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
     idf = np.array([math.log((n_docs + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
-    held = vecs.join(one, ["id", "h"]).groupBy("terms", "tfs").agg(
+    held = vecs.dropDuplicates(["id", "h"]).join(one, ["id", "h"]).groupBy("terms", "tfs").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("y"), F.min("id").alias("id"))
     held = common.stage(held, "entries")
     total = held.agg(F.sum("n"), F.sum("y")).first()
     empty = held.filter(F.size("terms") == 0).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()
     entries = held.filter(F.size("terms") > 0).orderBy(F.xxhash64("id"), "id").limit(MAX_EXAMPLES).collect()
     index = Index(idf, [(list(r[0]), list(r[1]), r[2], r[3], r[4]) for r in entries], total[1] / total[0], (empty[0], empty[1]))
-    return terms, index
+    return terms, index, vecs
 
 
 _MEMO: dict = {}
 
 
-def score(df: DataFrame, terms: list[str], index: Index | None, id_type: T.DataType, text: str = "text",
-          names: tuple[str, str] = ("score", "evidence"), keep_text: bool = False) -> DataFrame:
-    """`df` plus the score and the evidence (ids of neighbours) of every whole text."""
-    shared = df.sparkSession.sparkContext.broadcast((terms, index))
-    key = uuid.uuid4().hex
-    fields = [T.StructField(names[0], T.DoubleType(), False), T.StructField(names[1], T.ArrayType(id_type), False)]
+def score(vecs: DataFrame, index: Index | None) -> DataFrame:
+    """(id, h, score, evidence) of every vector; evidence: ids of the nearest examples."""
+    common.ship(vecs.sparkSession)
+    shared = vecs.sparkSession.sparkContext.broadcast(index)
+    key, id_type = uuid.uuid4().hex, vecs.schema["id"].dataType
+    schema = T.StructType([vecs.schema["id"], vecs.schema["h"], T.StructField("score", T.DoubleType(), False),
+                           T.StructField("evidence", T.ArrayType(id_type), False)])
 
-    def fn(texts):
+    def run(batches):
         from panelfx.llm import toxicity as here
-        terms, index = shared.value
-        words = here.chosen(key, terms)
         if here._MEMO.get("key") != key:
             here._MEMO.clear()
             here._MEMO.update(key=key, scores={})
-        memo, out = here._MEMO["scores"], []
-        for t in texts:
-            vec = tuple(words.vector(t))
-            got = memo.get(vec)
-            if got is None:
-                got = index.score([i for i, _ in vec], [c for _, c in vec]) if index else (0.0, [])
-                if len(memo) > 50_000:
-                    memo.clear()
-                memo[vec] = got
-            out.append(got)
-        return [pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(arrow_type(id_type)))]
-
-    return (common.append_texts if keep_text else common.map_texts)(df, text, fields, fn)
+        memo, index = here._MEMO["scores"], shared.value
+        for batch in batches:
+            out = []
+            for terms, tfs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                vec = (*terms, *tfs)
+                got = memo.get(vec)
+                if got is None:
+                    got = index.score(terms, tfs) if index else (0.0, [])
+                    if len(memo) > 50_000:
+                        memo.clear()
+                    memo[vec] = got
+                out.append(got)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([s for s, _ in out], pa.float64()),
+                pa.array([e for _, e in out], pa.list_(arrow_type(id_type)))], names=schema.fieldNames())
+
+    return vecs.select("id", "h", "terms", "tfs").mapInArrow(run, schema)
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:
@@ -351,16 +363,14 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
 
 def report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence (ids of the nearest examples)."""
-    terms, index = fit(docs, labels, doc_id, text)
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    out = score(slim, terms, index, docs.schema[doc_id].dataType)
-    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score",
-                      (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+    _, index, vecs = fit(docs, labels, doc_id, text)
+    return score(vecs, index).select(
+        F.col("id").alias("doc_id"), F.coalesce(remainder(F.col("id"), 4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without the rows predicted toxic."""
-    terms, index = fit(docs, labels, doc_id, text)
-    names = common.free_name(docs, "tox_score"), common.free_name(docs, "tox_evidence")
-    out = score(docs, terms, index, docs.schema[doc_id].dataType, text, names, keep_text=True)
-    return out.filter(F.col(names[0]) < THRESHOLD).select(*docs.columns)
+    _, index, vecs = fit(docs, labels, doc_id, text)
+    toxic = common.stage(score(vecs, index).filter(F.col("score") >= THRESHOLD).select("id", "h").distinct(), "toxic")
+    return common.join_key(docs, doc_id, text, common.bounded(toxic), "left_anti")
