@@ -9,10 +9,8 @@ null-safely).
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -23,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelfx.session import ensure_checkpoint_dir
+from panelfx import session
 
 # Rows and bytes of text handed to a mapping function at once; bounds its temporary lists.
 SLICE_ROWS = 512
@@ -127,36 +125,18 @@ def join_key(docs: DataFrame, doc_id: str, text: str, side: DataFrame, how: str)
     return out if how in ("left_semi", "left_anti") else out.drop(i, h)
 
 
-_ROOTS: set[str] = set()
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet under the shared folder named by ``spark.checkpoint.dir`` and
     return the written copy: a fork reads it instead of computing it again, readers prune
-    its columns, and a lost executor costs no recomputation above it. The folder is
-    removed when the driver's interpreter ends."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    its columns, and a lost executor costs no recomputation above it."""
+    ship(df.sparkSession)
+    return session.materialize(df, name)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; deleted with everything below it at the end."""
+    """A new path in the shared folder; deleted with the application's other stages."""
     ship(spark)
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        atexit.register(_remove, spark, root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def _remove(spark, root):
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may be gone already; the folder is then left to the cluster's cleaning
-        pass
+    return session.shared_path(spark, name)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
