@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import index_to_date, null_if_negative, parse_date, ratio, sign_flag
-from ..operators import merge, panel, series
+from ..operators import aggregate, merge, panel, quality, series
 from ..sources.io import read_csv, read_wide_csv
 from ..spec import PanelSpec
 
@@ -101,6 +101,17 @@ def health_stage(cases: DataFrame, deaths: DataFrame) -> DataFrame:
     return h.withColumns(out)
 
 
+def negative_reports(deaths_wide: DataFrame, cases_wide: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """For daily deaths, daily cases and the 14-day ratio, before any of them is repaired: the
+    summary of the negative values (G6) and the rows that hold them (D1)."""
+    deaths = deaths_stage(deaths_wide)
+    cases = _long_counts(cases_wide, "total_cases").withColumn("cases", series.decumulate_expr(COUNTY, "total_cases", "total"))
+    both = merge.merge_one_to_one(cases_stage(cases_wide), deaths, ["state", "countyname", "day"], keep="all")
+    both = both.withColumn("CFR_14dys", ratio("death", "cases_2wks", "null"))
+    return {c: (aggregate.summarize(df, c, where=F.col(c) < 0), quality.report_negative(df, [c]))
+            for df, c in ((deaths, "death"), (cases, "cases"), (both, "CFR_14dys"))}
+
+
 def exposure_stage(raw: DataFrame, missing_days=MISSING_EXPOSURE_DAYS) -> DataFrame:
     """Exposure by county-day: every county gets a row for each day the file lacks
     (`missing_days`), then single-day gaps are filled with the neighbours' mean.

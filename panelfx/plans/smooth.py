@@ -122,3 +122,31 @@ def weekly_panel(sm: DataFrame) -> DataFrame:
     w = w.filter(F.col("week") >= MIN_WEEK).withColumn("time", F.col("week"))
     w = _flags_ids_events(w, "time", PanelSpec(("countyname", "state"), "time"), "_week1")
     return w.withColumn("eligible", member_flag("countyname", ELIGIBLE_UNITS, F.col("state") == ELIGIBLE_STATE))
+
+
+UNSMOOTHED_MEANS = {"CFR_same_day": "CFR_same_day", "CFR_14days": "CFR_14dys", "CFR_7_14days": "CFR_7_14days",
+                    "death": "death", "heavy_pct": "heavy_pct", "mobility1": "populationstayingathome",
+                    "mobility2": "populationnotstayingathome"}
+SMOKE_CUT = 70.0
+
+
+def _first_smoke(df: DataFrame) -> DataFrame:
+    """smoke_bin, id, first_smoke and smoke_week1 (the time of the first row over the cut)."""
+    df = df.withColumn("smoke_bin", threshold_flag("heavy_pct", SMOKE_CUT))
+    df = panel.dense_unit_id(df, ["countyname", "state"], out="id")
+    df = events.mark_first_exposure(df, PanelSpec(COUNTY.unit, "time"), {"smoke": "smoke_bin"}, "first_", "_week1")
+    return df
+
+
+def unsmoothed_panels(df: DataFrame) -> dict[str, DataFrame]:
+    """Weekly and daily panels of the compiled ratios, without smoothing, of counties with
+    enough deaths, from the first analysed week on. `df` is the output of ``prepare``; it
+    is read twice, so pass a written stage."""
+    tot = aggregate.unit_totals(df, COUNTY, "death", "tot_covid")
+    enough = lambda d: d.join(tot, list(COUNTY.unit), "left").filter(
+        (F.col("tot_covid") >= MIN_TOTAL_DEATHS) & (F.col("week") >= MIN_WEEK))
+    weekly = enough(aggregate.resample(df, COUNTY, "week", UNSMOOTHED_MEANS, how="mean", strict=True))
+    weekly = _first_smoke(weekly.withColumn("time", F.col("week")))
+    weekly = weekly.withColumn("eligible", member_flag("countyname", ELIGIBLE_UNITS, F.col("state") == ELIGIBLE_STATE))
+    daily = enough(df).withColumn("time", F.datediff(F.col("date"), F.lit(TIME_ORIGIN)))
+    return {"weekly": weekly, "daily": _first_smoke(daily)}

@@ -82,3 +82,23 @@ def test_compile_smooth_estimate(spark, files):
     assert out["effects"].count() > 0 and out["fe_att"].count() > 0
     dw = out["donor_weights"].toPandas()
     assert set(dw.columns) >= {"CountyState", "Weight"} and (dw["Weight"] > 0).all()
+
+
+def test_stage_one_reports_and_unsmoothed_panels(spark, files):
+    from panelfx.sources.io import read_wide_csv
+    wide = [read_wide_csv(spark, files[k], comp.ID_SCHEMA) for k in ("deaths", "cases")]
+    reports = comp.negative_reports(*wide)
+    summary, rows = reports["death"]
+    assert rows.count() == len(COUNTIES) + 1 and summary.first()["obs"] == len(COUNTIES) + 1   # one correction each
+    assert reports["cases"][1].count() == 0 and reports["CFR_14dys"][1].count() >= len(COUNTIES)
+    root = os.path.join(files["dir"], "unsmoothed")
+    panel = comp.compile_from_files(spark, files["deaths"], files["cases"], files["exposure"], files["mobility"])
+    write_stage(smooth.prepare(panel), root, "prepared")
+    out = smooth.unsmoothed_panels(read_stage(spark, root, "prepared"))
+    for name, unit_time in (("weekly", "week"), ("daily", "day")):
+        p = out[name]
+        assert p.select("countyname", "state", unit_time).distinct().count() == p.count()
+        marks = p.filter("first_smoke = 1")
+        assert marks.count() == marks.filter("time = smoke_week1 AND smoke_bin = 1").count()
+        assert p.filter(F.col("week") < smooth.MIN_WEEK).count() == 0
+    assert out["daily"].filter("first_smoke = 1").count() == 6
