@@ -108,7 +108,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw)
                                                   pa.array(got, pa.binary())], names=["digest", "body"])
 
     body = owners.mapInArrow(bodies, cut).dropDuplicates(["digest"])
-    later = occ.join(first, "digest").filter(
+    later = occ.join(common.bounded(first), "digest").filter(
         ~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("place") == F.col("f_place"))))
     # a document that repeats a chunk needs its text once, with all its places
     later = later.groupBy("id", "h", "digest").agg(F.collect_set("place").alias("places"))
