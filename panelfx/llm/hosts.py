@@ -114,11 +114,10 @@ def host_rates(df: DataFrame, host: str, failed: str) -> DataFrame:
     fit = fit.withColumn("spread", F.expr("msb + (n0 - 1) * msw"))
     fit = fit.withColumn("rho", F.expr(
         "CASE WHEN spread > 0 THEN least(greatest((msb - msw) / spread, 1e-6D), 1 - 1e-6D) ELSE 1e-6D END"))
-    fit = fit.select((F.col("m") * (1 - F.col("rho")) / F.col("rho")).alias("prior_a"),
-                     ((1 - F.col("m")) * (1 - F.col("rho")) / F.col("rho")).alias("prior_b"))
-    # one row of totals beside every host
-    return (hosts.join(F.broadcast(fit))
-            .withColumn("shrunk_rate", F.expr("(x + prior_a) / (n + prior_a + prior_b)")).drop("n", "x"))
+    m, rho = fit.select("m", "rho").first()  # one row, whatever the number of hosts
+    a, b = (m * (1 - rho) / rho, (1 - m) * (1 - rho) / rho) if m is not None else (0.0, 0.0)
+    return hosts.withColumns({"prior_a": F.lit(a), "prior_b": F.lit(b)}).withColumn(
+        "shrunk_rate", F.expr("(x + prior_a) / (n + prior_a + prior_b)")).drop("n", "x")
 
 
 def apply_host_verdicts(df: DataFrame, rates: DataFrame, host: str, failed: str,
