@@ -501,6 +501,33 @@ def q_cohort_bounds(spark, sf):
     return cohort.cohort_bounds(_cohorts(spark, sf))
 
 
+def _supplier_cohorts(spark, sf) -> DataFrame:
+    """Cohorts with suppliers as units (their number grows with the tables): months zero-filled,
+    outcome = share of returned lines, exposure = five months for every fiftieth supplier."""
+    p = materialize(tp.supplier_panel(spark, sf))
+    p = panel.complete_panel(p, SPEC, fill={"n": 0, "k": 0, "mob": 0.0})
+    hit = (F.col("u") % 50 == 3) & (F.col("t") >= 40 + F.col("u") % 7) & (F.col("t") < 45 + F.col("u") % 7)
+    r = ratio("k", "n", "ieee")
+    p = p.withColumns({"r_ret": F.when(F.col("n") == 0, F.lit(0.0)).otherwise(r), "hot": F.when(hit, 1).otherwise(0)})
+    p = materialize(p.select("u", "t", "mob", "r_ret", "hot"))
+    grid = cohort.cohort_grid(p.filter(F.col("u") % 50 == 3).select("u"), "u", ["hot"], ["r_ret"])
+    rules = cohort.CohortRules(covariate="mob", outcome_limit=None, max_share=0.01)
+    return materialize(cohort.build_cohorts(p, SPEC, grid, ["r_ret"], {"hot": "hot"}, rules))
+
+
+def q_supplier_cohorts(spark, sf):
+    """E5 with suppliers as units."""
+    return _supplier_cohorts(spark, sf).select("exposure", "treated_unit", "outcome", "u", "t", "Y", "mob", "X", "treated", "event_time", "id")
+
+
+def q_supplier_fe_att(spark, sf):
+    """Y11 with suppliers as units: every cohort has all unexposed suppliers as donors."""
+    coh = _supplier_cohorts(spark, sf).withColumn(
+        "treat", events.treated_flag(F.col("u"), F.col("treated_unit"), F.col("t"), F.col("event_time")))
+    att = fe.att_by_time(fe.fe_counterfactual(coh, y="Y", cov="mob", treat="treat"))
+    return _rounded(att.withColumn("beta", F.col("beta") * 1e6), ["att", "beta"])
+
+
 # ---------------------------------------------------------------- step 8: inference (donor-mean weights)
 
 def _rounded(df: DataFrame, cols, digits: int = 9) -> DataFrame:
@@ -734,6 +761,8 @@ QUERIES: dict[str, Query] = {
     "first_rows": q_first_rows,
     "cohorts": q_cohorts,
     "cohorts_with_missing": q_cohorts_with_missing,
+    "supplier_cohorts": q_supplier_cohorts,
+    "supplier_fe_att": q_supplier_fe_att,
     "cohort_bounds": q_cohort_bounds,
     "synth_gaps_uniform": q_synth_gaps_uniform,
     "rmspe_uniform": q_rmspe_uniform,

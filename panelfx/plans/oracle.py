@@ -531,7 +531,7 @@ SELECT {_K}, u AS fit_unit, TRUE AS sums_to_one, TRUE AS positive, TRUE AS donor
 FROM fn_ WHERE donors > 0"""
 
 # two-way fixed effects in closed form: donors are balanced, the treated unit has its pre-event rows
-SQL["fe_att"] = with_(PANEL, CPANEL, COHORTS, f"""
+FE = f"""
 f0_ AS (SELECT {_K}, u, t, Y, mob AS x, event_time, treated,
                CASE WHEN treated = 1 AND event_time IS NOT NULL AND t >= event_time THEN 1 ELSE 0 END AS treat FROM coh_),
 fT_ AS (SELECT {_K}, count(DISTINCT t) AS T FROM f0_ WHERE treat = 0 GROUP BY {_K}),
@@ -549,11 +549,39 @@ f3_ AS (SELECT f2_.*, ay, ax, coalesce(ey, 0) / (N + 1) AS ey, coalesce(ex, 0) /
         FROM f2_ LEFT JOIN fA_ {_KJ}) LEFT JOIN fE_ {_KJ}, t)),
 f4_ AS (SELECT *, Y - CASE WHEN fullu THEN yu - gy ELSE ay END - my - ey AS ry,
                x - CASE WHEN fullu THEN xu - gx ELSE ax END - mx - ex AS rx FROM f3_),
-fB_ AS (SELECT {_K}, sum(rx * ry) / sum(rx * rx) AS beta FROM f4_ WHERE treat = 0 GROUP BY {_K})""") + f"""
+fB_ AS (SELECT {_K}, sum(rx * ry) / sum(rx * rx) AS beta FROM f4_ WHERE treat = 0 GROUP BY {_K})"""
+FE_ATT = f"""
 SELECT {_K}, t - event_time AS rel_time, round(avg(ry - beta * rx), 9) AS att, count(ry - beta * rx) AS n_treated,
        round(any_value(beta) * 1000000, 9) AS beta
 FROM f4_ JOIN fB_ {_KJ}) WHERE treat = 1 GROUP BY {_K}, t - event_time"""
 
+SQL["fe_att"] = with_(PANEL, CPANEL, COHORTS, FE) + FE_ATT
+
+# suppliers as units: months since 1992-01, zero-filled
+SCOHORTS = """
+sp_ AS (SELECT CAST(l_suppkey AS INTEGER) AS u, CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS INTEGER) AS t,
+               CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS k,
+               CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS mob FROM lineitem GROUP BY 1, 2),
+sb_ AS (SELECT min(t) AS lo, max(t) AS hi FROM sp_),
+sg0_ AS (SELECT u, unnest(generate_series(lo, hi)) AS t FROM (SELECT DISTINCT u FROM sp_), sb_),
+sg_ AS (SELECT u, CAST(t AS INTEGER) AS t FROM sg0_),
+sc_ AS (SELECT sg_.u, sg_.t, coalesce(mob, 0.0) AS mob,
+               CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE CAST(k AS DOUBLE) / CAST(n AS DOUBLE) END AS Y,
+               CASE WHEN sg_.u % 50 = 3 AND sg_.t >= 40 + sg_.u % 7 AND sg_.t < 45 + sg_.u % 7 THEN 1 ELSE 0 END AS hot
+        FROM sg_ LEFT JOIN sp_ ON sg_.u = sp_.u AND sg_.t = sp_.t),
+su_ AS (SELECT u, avg(hot) AS share, min(CASE WHEN hot = 1 THEN t END) AS event_time FROM sc_ GROUP BY u),
+sm_ AS (SELECT 'hot' AS exposure, tr.u AS treated_unit, 'r_ret' AS outcome, d.u, tr.event_time,
+               CASE WHEN d.u = tr.u THEN 1 ELSE 0 END AS treated
+        FROM su_ tr, su_ d WHERE tr.u % 50 = 3 AND (d.u = tr.u OR d.share <= 0.01)),
+si_ AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY treated_unit ORDER BY u) AS INTEGER) AS id FROM sm_),
+coh_ AS (SELECT si_.exposure, si_.treated_unit, si_.outcome, si_.u, sc_.t, sc_.Y, sc_.mob,
+                CASE WHEN sc_.t >= si_.event_time THEN 1 ELSE 0 END AS X, si_.treated, si_.event_time, si_.id
+         FROM si_ JOIN sc_ ON si_.u = sc_.u)"""
+
+SQL["supplier_cohorts"] = with_(SCOHORTS) + "SELECT * FROM coh_"
+
+SQL["supplier_fe_att"] = with_(SCOHORTS, FE) + FE_ATT
+
 # ------------------------------------------------------------------ plot tables, stages and the rest
 
 SQL["treated_vs_synthetic"] = with_(PANEL, CPANEL, COHORTS, GAPS) + f"""

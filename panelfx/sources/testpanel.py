@@ -104,6 +104,17 @@ def shipment_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("t", week_index("wk")))
 
 
+def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u, t, n, k, mob): lines, returned lines and line prices by supplier and ship month
+    (months since 1992-01) -- units grow with the tables."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate"])
+    month = ((F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1).cast("int")
+    return (li.groupBy(F.col("l_suppkey").cast("int").alias("u"), month.alias("t"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                 F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("bigint").alias("k"),
+                 F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("mob")))
+
+
 def unit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(u, n_name, r_name): unit names and their region (the 'state' of a unit)."""
     n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
