@@ -127,14 +127,17 @@ def dense_unit_id(df: DataFrame, keys: Sequence[str], out: str = "id", within: S
 # ------------------------------------------------------------------ W10 / Y1 calendar
 
 def _calendar(df: DataFrame, spec: PanelSpec, step: int = 1) -> DataFrame:
-    """Units x [min time .. max time] of the whole panel, from one aggregate pass: the
-    per-unit table is small, the global bounds are one row derived from it, and
-    attaching that row to every unit is a broadcast of a single row."""
-    units = df.groupBy(*spec.unit).agg(F.min(spec.time).alias("__ulo"), F.max(spec.time).alias("__uhi"))
-    bounds = units.agg(F.min("__ulo").alias("__lo"), F.max("__uhi").alias("__hi"))
+    """Units x [min time .. max time] of the whole panel. The two bounds are read first (one
+    aggregate; `df` should be a written frame) and are literals of the plan, so no join is
+    needed to attach them."""
+    lo, hi = df.agg(F.min(spec.time), F.max(spec.time)).first()
     step_e = F.expr(f"INTERVAL {step} DAY") if dict(df.dtypes)[spec.time] == "date" else F.lit(step)
-    return (units.join(F.broadcast(bounds))
-            .select(*spec.unit, F.explode(F.sequence("__lo", "__hi", step_e)).alias(spec.time)))
+    units = df.select(*spec.unit).distinct()
+    if lo is None:
+        return units.select(*spec.unit, F.lit(None).cast(df.schema[spec.time].dataType).alias(spec.time)).limit(0)
+    kind = df.schema[spec.time].dataType
+    times = F.sequence(F.lit(lo).cast(kind), F.lit(hi).cast(kind), step_e)
+    return units.select(*spec.unit, F.explode(times).alias(spec.time))
 
 
 def calendar_grid(df: DataFrame, spec: PanelSpec, times: DataFrame | None = None, step: int = 1) -> DataFrame:
