@@ -27,8 +27,8 @@ from panelfx import session
 SLICE_ROWS = 512
 SLICE_BYTES = 8 << 20
 
-# Rows of a side that may be broadcast: a key and a few numbers each, under 200 MB in all.
-BROADCAST_ROWS = 2_000_000
+# Rows of a side that may be broadcast: a key and a few numbers each, under 150 MB in all.
+BROADCAST_ROWS = 1_000_000
 
 
 _SHIPPED: set[str] = set()
