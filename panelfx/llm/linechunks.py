@@ -12,7 +12,7 @@ Scale: a slim row per chunk (digest, key, place) is aggregated to the first and
 of each digest; digests with two places are repeated. Texts travel only for repeated
 chunks, as the first occurrence's text to the documents that may lose it; each document
 compares its own bytes. A chunk that a third of all documents hold is a partial aggregate
-per task and an equi-join that adaptive execution can split.
+per task, and its text is salted: one copy for every SALT_ROWS documents.
 
 Defined results. Null text: stays null, no lines. Empty text: one empty line, kept. Rows
 that repeat in full are one document: both lose, or both keep, a chunk. Lines keep their
@@ -34,6 +34,7 @@ WINDOW = 2        # line hashes under the rolling hash
 DIVISOR = 2       # a chunk ends after one line in so many
 LONG_WORDS = 50   # a line of so many words is a chunk of its own
 BASE, PRIME = 31, 1_000_003
+SALT_ROWS = 256   # documents that get a repeated chunk's text from one copy of it
 
 SPACES = b" \t\n\v\f\r"
 
@@ -89,9 +90,11 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw)
     occ = common.map_texts(d, "text", fields, digests).select("id", "h", F.explode("found").alias("c"))
     occ = common.stage(occ.select("id", "h", "c.place", "c.digest"), "chunks")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "place")
-    first = occ.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    first = common.stage(first.select("digest", F.col("first.id").alias("f_id"), F.col("first.h").alias("f_h"),
-                                      F.col("first.place").alias("f_place")), "first")
+    first = occ.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+    first = first.filter("first <> last").select(
+        "digest", F.col("first.id").alias("f_id"), F.col("first.h").alias("f_h"), F.col("first.place").alias("f_place"),
+        F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    first = common.stage(first, "first")
 
     # the first occurrences' own texts, cut out of their documents
     wanted = common.stage(first.groupBy("f_id", "f_h").agg(F.collect_set("f_place").alias("places")), "wanted")
@@ -111,8 +114,12 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw)
     later = occ.join(common.bounded(first), "digest").filter(
         ~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("place") == F.col("f_place"))))
     # a document that repeats a chunk needs its text once, with all its places
-    later = later.groupBy("id", "h", "digest").agg(F.collect_set("place").alias("places"))
-    return later.join(body, "digest").groupBy("id", "h").agg(F.collect_list(F.struct("places", "body")).alias("drop"))
+    later = later.groupBy("id", "h", "digest").agg(F.collect_set("place").alias("places"), F.first("salts").alias("salts"))
+    # a chunk that very many documents hold is dealt to salted copies of its text
+    later = later.withColumn("salt", F.expr("cast(pmod(xxhash64(id, h), salts) as int)")).drop("salts")
+    body = body.join(common.bounded(first.select("digest", "salts")), "digest").withColumn(
+        "salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+    return later.join(body, ["digest", "salt"]).groupBy("id", "h").agg(F.collect_list(F.struct("places", "body")).alias("drop"))
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:

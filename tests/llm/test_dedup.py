@@ -134,7 +134,9 @@ def plain_clean(rows):
     return out
 
 
-def test_line_chunks_match_plain_version(docs, odd, empty):
+@pytest.mark.parametrize("salt_rows", [256, 2])
+def test_line_chunks_match_plain_version(docs, odd, empty, monkeypatch, salt_rows):
+    monkeypatch.setattr(linechunks, "SALT_ROWS", salt_rows)  # 2: the shared passage's text goes to several copies
     texts = sample_texts(60)
     passage = "\n".join(f"shared line number {i} of the passage" for i in range(8))
     rows = [(i, t) for i, t in enumerate(texts)]
