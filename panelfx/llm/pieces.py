@@ -33,7 +33,7 @@ from . import common
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0   # an uncovered character scores so far below the lowest piece
-MEMO = 300_000
+MEMO = 600_000           # runs a worker remembers, about 200 bytes each
 
 # Piece kinds of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -114,6 +114,11 @@ class Unigram:
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.unknown_score = min((pieces[i][1] for i in normal.values()), default=0.0) - UNKNOWN_PENALTY
         self.is_byte = [kind == BYTE for _, _, kind in pieces]
+        # what an id adds to a score: its piece's score; for bytes, the penalty of their
+        # character once, at its first byte
+        lead = {i for b, i in enumerate(self.byte_ids) if b & 0xC0 != 0x80} if self.byte_ids else set()
+        self.adds = [(self.unknown_score if i in lead else 0.0) if kind == BYTE else self.unknown_score if kind == UNKNOWN else s
+                     for i, (_, s, kind) in enumerate(pieces)]
         self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL
                         else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode()
                         for p, _, kind in pieces]
@@ -122,7 +127,7 @@ class Unigram:
         """The best segmentation of a run, and its score."""
         data = word.encode()
         n = len(data)
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
+        base, check, value, scores, unknown = self.trie.base, self.trie.check, self.trie.value, self.scores, self.unknown_score
         best, back, piece = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         i = 0
@@ -145,8 +150,8 @@ class Unigram:
                         best[end] = s
                         back[end] = i
                         piece[end] = v
-            if not covered and (s := here + self.unknown_score) > best[char_end]:
-                best[char_end], back[char_end], piece[char_end] = s, i, -1
+            if not covered and here + unknown > best[char_end]:
+                best[char_end], back[char_end], piece[char_end] = here + unknown, i, -1
             i = char_end
         out, at = [], n
         while at > 0:
@@ -194,20 +199,21 @@ def _decode_bytewise(raw: bytes) -> str:
 
 
 class Memo(dict):
-    """(ids as int32 bytes, score) of a run, found once per worker."""
+    """The ids of a run, as int32 bytes, found once per worker."""
 
     def __init__(self, model: Unigram):
         super().__init__()
         self.model = model
+        self.adds = np.array(model.adds)
+        self.is_byte = np.array(model.is_byte)
 
-    def __missing__(self, run: str) -> tuple[bytes, float]:
-        ids, score = self.model.segment(run)
-        got = array("i", ids).tobytes(), score
+    def __missing__(self, run: str) -> bytes:
+        ids = array("i", self.model.segment(run)[0]).tobytes()
         if len(self) >= MEMO:
             self.clear()
         if len(run) <= 64:
-            self[run] = got
-        return got
+            self[run] = ids
+        return ids
 
 
 RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -215,8 +221,8 @@ _MODELS: dict = {}
 
 
 def encode_text(memo: Memo, text: str) -> tuple[np.ndarray, float]:
-    found = list(map(memo.__getitem__, RUNS.findall(memo.model.normalize(text))))
-    return np.frombuffer(b"".join([f[0] for f in found]), np.int32), float(sum([f[1] for f in found]))
+    ids = np.frombuffer(b"".join(map(memo.__getitem__, RUNS.findall(memo.model.normalize(text)))), np.int32)
+    return ids, float(memo.adds[ids].sum())
 
 
 FIELDS = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType(), False),
@@ -251,14 +257,13 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: list[str] |
 
     def fn(texts):
         m = memo()
-        is_byte = np.array(m.model.is_byte)
         parts, sizes, rows = [], [0], []
         for t in texts:
             ids, score = encode_text(m, t) if t else (np.empty(0, np.int32), 0.0)
             parts.append(ids)
             sizes.append(sizes[-1] + len(ids))
             back = m.model.decode(ids.tolist())
-            rows.append((len(ids), int(is_byte[ids].sum()), score, back == (t or "")))
+            rows.append((len(ids), int(m.is_byte[ids].sum()), score, back == (t or "")))
         flat = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32))
         nulls = pa.array([t is None for t in texts]) if any(t is None for t in texts) else None
         ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=nulls)
