@@ -8,6 +8,12 @@ places. Chunks of at least two lines with a word, and long lines, are looked for
 documents; every occurrence after the first (smallest id, then text hash, then place) is
 removed once its bytes have been compared with the first one's.
 
+Grown (`grow`, as `dedup` does): where a chunk ends depends on the line before it, so the
+lines at both ends of a shared passage, and chunks of one short line, can stay. Every two
+neighbouring lines with a word are looked for as well: each run of at least two repeated
+lines goes whole, wherever the chunks end, with the wordless lines it encloses. An
+occurrence that overlaps the first one stays, and the first occurrence of every line does.
+
 Scale: a slim row per chunk (digest, key, place) is aggregated to the first and last place
 of each digest; digests with two places are repeated. Texts travel only for repeated
 chunks, as the first occurrence's text to the documents that may lose it; each document
@@ -72,19 +78,31 @@ def chunks(text: str | None, long_words: int = LONG_WORDS, **kw) -> list[tuple[i
     return out
 
 
+def spans(text: str | None, grow: bool = False, **kw) -> dict[int, tuple[int, int, bytes]]:
+    """(first line, end line, bytes) of all that is looked for in a text, by place: twice
+    the first line, plus one for two lines."""
+    every = chunks(text, **kw)
+    out = {2 * a + (b - a == 2): (a, b, body) for a, b, body, eligible in every if eligible}
+    if grow and every:
+        lines = text.encode().split(b"\n")
+        word = [bool(ln.strip(SPACES)) for ln in lines]
+        out |= {2 * i + 1: (i, i + 2, lines[i] + b"\n" + lines[i + 1]) for i in range(len(lines) - 1) if word[i] or word[i + 1]}
+    return out
+
+
 STATS = ("n_lines", "n_chunks", "n_cut_lines", "n_cut_chunks")
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grow: bool = False, **kw) -> DataFrame:
     """(id, h, drop): for each document with candidates, an array of (place, text) of the
-    first occurrences' texts its chunks at those places have to equal to be removed."""
+    first occurrences' texts its spans at those places have to equal to be removed."""
     d = docs.select(F.col(doc_id).alias("id"), common.text_hash(F.col(text)).alias("h"), F.col(text).alias("text"))
     fields = [T.StructField("found", T.ArrayType(T.StructType([
         T.StructField("place", T.IntegerType()), T.StructField("digest", T.BinaryType())])), False)]
     kind = pa.list_(pa.struct([("place", pa.int32()), ("digest", pa.binary())]))
 
     def digests(texts):
-        return [pa.array([[{"place": i, "digest": hashlib.md5(c[2]).digest()} for i, c in enumerate(chunks(t, **kw)) if c[3]]
+        return [pa.array([[{"place": i, "digest": hashlib.md5(c[2]).digest()} for i, c in spans(t, grow, **kw).items()]
                           for t in texts], kind)]
 
     occ = common.map_texts(d, "text", fields, digests).select("id", "h", F.explode("found").alias("c"))
@@ -105,14 +123,15 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw)
     def bodies(batches):
         for batch in batches:
             for t, places in zip(batch.column(0), batch.column(1)):
-                all_chunks = chunks(t.as_py(), **kw)
-                got = [all_chunks[p][2] for p in places.as_py()]
+                every = spans(t.as_py(), grow, **kw)
+                got = [every[p][2] for p in places.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(b).digest() for b in got], pa.binary()),
                                                   pa.array(got, pa.binary())], names=["digest", "body"])
 
     body = owners.mapInArrow(bodies, cut).dropDuplicates(["digest"])
     later = occ.join(common.bounded(first), "digest").filter(
-        ~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("place") == F.col("f_place"))))
+        ~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
+          & ((F.col("place") == F.col("f_place")) | ((F.col("place") % 2 == 1) & (F.col("place") - F.col("f_place") == 2)))))
     # a document that repeats a chunk needs its text once, with all its places
     later = later.groupBy("id", "h", "digest").agg(F.collect_set("place").alias("places"), F.first("salts").alias("salts"))
     # a chunk that very many documents hold is dealt to salted copies of its text
@@ -122,11 +141,11 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw)
     return later.join(body, ["digest", "salt"]).groupBy("id", "h").agg(F.collect_list(F.struct("places", "body")).alias("drop"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grow: bool = False, **kw) -> DataFrame:
     """`docs` with repeated chunks removed from `text`, plus four long columns (STATS, their
     names lengthened where `docs` has them): the lines and chunks of the text, and those
     removed."""
-    drop = removals(docs, doc_id, text, **kw).withColumnRenamed("drop", common.free_name(docs, "__drop"))
+    drop = removals(docs, doc_id, text, grow, **kw).withColumnRenamed("drop", common.free_name(docs, "__drop"))
     joined = common.join_key(docs, doc_id, text, drop, "left")
     schema = T.StructType(docs.schema.fields + [T.StructField(common.free_name(docs, c), T.LongType()) for c in STATS])
     names = schema.fieldNames()
@@ -147,10 +166,21 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) ->
             return None, 0, 0, 0, 0
         if not drop:
             return t, t.count("\n") + 1, len(chunks(t, **kw)), 0, 0
-        every = chunks(t, **kw)
-        gone = {p for x in drop for p in x["places"] if every[p][2] == x["body"]}  # the comparison of bytes
-        left = b"\n".join(c[2] for i, c in enumerate(every) if i not in gone).decode()
-        return left, every[-1][1], len(every), sum(every[p][1] - every[p][0] for p in gone), len(gone)
+        every, looked, lines = chunks(t, **kw), spans(t, grow, **kw), t.encode().split(b"\n")
+        gone = set()
+        for x in drop:
+            for a, b, body in map(looked.__getitem__, x["places"]):
+                if body == x["body"]:  # the comparison of bytes
+                    gone.update(range(a, b))
+        if grow:
+            last = None  # the last line with a word or removed
+            for i, ln in enumerate(lines):
+                if i in gone or ln.strip(SPACES):
+                    if i in gone and last in gone:
+                        gone.update(range(last + 1, i))
+                    last = i
+        left = b"\n".join(ln for i, ln in enumerate(lines) if i not in gone).decode()
+        return left, len(lines), len(every), len(gone), sum(all(i in gone for i in range(c[0], c[1])) for c in every)
 
     return joined.mapInArrow(run, schema)
 
@@ -162,7 +192,8 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) ->
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """`docs` with cleaned texts; rows that had words and lost all of them are dropped."""
-    out = clean(docs, doc_id, text, **kw)
+    """`docs` with cleaned texts, repeated runs of lines grown to their ends; rows that had
+    words and lost all of them are dropped."""
+    out = clean(docs, doc_id, text, grow=True, **kw)
     left = F.translate(F.col(text), SPACES.decode(), "") != ""
-    return out.filter((F.col(common.free_name(docs, STATS[3])) == 0) | left).select(*docs.columns)
+    return out.filter((F.col(common.free_name(docs, STATS[2])) == 0) | left).select(*docs.columns)

@@ -171,6 +171,54 @@ def test_chunk_bytes_are_compared(docs, monkeypatch):
     assert got[1] == text
 
 
+def plain_grown(rows):
+    """Texts after removing every repeated pair of lines, long line and chunk of rows with
+    unequal ids, in their order; an overlap with the first occurrence is none."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        lines, gone, at = t.split("\n"), set(), 0
+        looked = [(p, p + 2, "\n".join(lines[p:p + 2])) for p in range(len(lines) - 1) if (lines[p] + lines[p + 1]).strip()]
+        for body, eligible in plain_chunks(t):
+            n = body.count("\n") + 1
+            looked += [(at, at + n, body)] if eligible and n != 2 else []
+            at += n
+        for a, b, body in sorted(looked):
+            doc, start = first.setdefault(body, (i, a))
+            if doc != i or a >= start + b - a:
+                gone |= set(range(a, b))
+        for a in sorted(gone):
+            b = next((b for b in range(a + 1, len(lines)) if b in gone or lines[b].strip()), None)
+            gone |= set(range(a, b)) if b in gone else set()
+        out[i] = "\n".join(ln for k, ln in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_dedup_removes_whole_passages(docs):
+    """Passages of 2 to 6 lines and over 50 words go whole, whatever stands around them."""
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shapes = [(2, 30), (3, 20), (4, 15), (5, 12), (6, 10)]
+    rows, own = [], {}
+    for k in range(40):
+        n, words = shapes[k % 5]
+        passage = [line(words) for _ in range(n)]
+        for i in (2 * k, 2 * k + 1):
+            own[i] = [line(8) for _ in range(6)]
+            rows.append((i, "\n".join(own[i][:3] + passage + own[i][3:])))
+    texts = dict(rows)
+    got = {r.doc_id: r.text for r in linechunks.dedup(docs(rows)).collect()}
+    assert all(got[i] == (texts[i] if i % 2 == 0 else "\n".join(own[i])) for i in texts)
+
+
+def test_dedup_matches_plain_version(docs):
+    rows = list(enumerate(sample_texts(120)))
+    rows += [(200, "a\na\na\na\na"), (201, "a\na\na\na\na\nend"), (202, "p q\n\n\n\nr s\nt"), (203, "u\np q\n\n\n\nr s"), (204, "p q\n\n"), (205, "")]
+    want = plain_grown(rows)
+    got = {r.doc_id: r.text for r in linechunks.dedup(docs(rows)).collect()}
+    assert got == {i: w for i, w in want.items() if w.strip() or w == dict(rows)[i]}
+    assert got[200] == "a\na" and got[201] == "end" and got[203] == "u" and 204 not in got
+
+
 # ------------------------------------------------------------------ decontamination
 
 def plain_words(text):
