@@ -5,12 +5,18 @@ Model: p(w | previous) = p(class(w) | class(previous)) * p(w | class(w)).
 1. Word counts over all training texts (one aggregate, map-side combined).
 2. Items: the WORDS most frequent words are items of their own; every other word, seen or
    not, belongs to the item of its last TAIL bytes, of which the ENDINGS most frequent are
-   kept and the rest share one item. So every word has an item, and the item count is
-   bounded whatever the data's size.
+   kept and the rest share one item. So every word has an item, and what the driver
+   clusters is bounded whatever the data's size.
 3. Item bigrams over all training texts (dense per task, one sparse aggregate), END between
    texts.
 4. Exchange clustering of the items on the driver: each item moves to the class that
-   raises the class-bigram likelihood most, until a sweep moves nothing (at most SWEEPS).
+   raises the class-bigram likelihood most, until a sweep moves nothing (a warning tells
+   if SWEEPS were not enough).
+   Every further word that occurs FLOOR times or more then leaves its ending: its counts
+   with the classes before and after it are aggregated in Spark, and it goes to the class
+   with the largest gain, the same gain as in an exchange, the other words standing still.
+   Class bigrams are counted anew with these words in their classes. Endings are left to
+   rare and unseen words.
 5. Emissions are smoothed by DELTA per word of the class and for one unseen word;
    transitions are interpolated with the class unigram by BACKOFF counts, which in turn is
    smoothed by one count a class.
@@ -18,7 +24,9 @@ Model: p(w | previous) = p(class(w) | class(previous)) * p(w | class(w)).
    are joined to the count table by a shuffle, as (text, word, times) rows.
 
 Scale: the count table grows with the vocabulary and is never collected. What reaches the
-driver is bounded: HEAD words, and at most (items + 1)^2 bigram counts.
+driver is HEAD words, at most (items + 1)^2 bigram counts, and for each word over FLOOR a
+60-bit key and two numbers (20 bytes, broadcast as 16; words whose keys collide share a
+class), so the clustered vocabulary grows with the data.
 
 Defined results. Null or empty text: END alone, scored after END. Rows that repeat: each
 returned with the same result. Null ids: training rows (their remainder is unknown), not
@@ -28,8 +36,10 @@ Ties in frequency: the smaller word first.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
+import warnings
 from collections import Counter
 from itertools import chain
 
@@ -45,7 +55,8 @@ WORDS = 1_000      # frequent words that are clustered one by one
 ENDINGS = 500      # endings that are clustered for all other words
 TAIL = 3           # bytes of an ending
 CLASSES = 64
-SWEEPS = 12
+SWEEPS = 200
+FLOOR = 50         # a further word has a class of its own from so many occurrences on
 HEAD = 100_000     # most frequent words whose counts are broadcast
 DELTA = 0.5
 BACKOFF = 5.0
@@ -82,18 +93,34 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 # ------------------------------------------------------------------ items
 
+def word_key(word: bytes) -> int:
+    """The first 15 hexadecimal digits of the word's MD5."""
+    return int(hashlib.md5(word).hexdigest()[:15], 16)
+
+
 class Items(dict):
-    """Item number of a word: frequent words have their own, others that of their ending;
-    0 is END, 1 the item of all other endings."""
+    """Item number of a word: frequent words have their own, further words (`keys`, sorted)
+    the numbers from `size` on, others that of their ending; 0 is END, 1 the item of all
+    other endings."""
 
-    def __init__(self, frequent: list[bytes], endings: list[bytes]):
+    def __init__(self, frequent: list[bytes], endings: list[bytes], keys: np.ndarray | None = None):
         super().__init__({w: 2 + i for i, w in enumerate(frequent)})
         self.frequent = dict(self)
         self.endings = {e: 2 + len(frequent) + i for i, e in enumerate(endings)}
         self.size = 2 + len(frequent) + len(endings)
+        self.keys = keys if keys is not None and len(keys) else None
+
+    def rare(self, word: bytes) -> int:
+        """The item of a word that is not frequent."""
+        if self.keys is not None:
+            k = word_key(word)
+            at = int(self.keys.searchsorted(k))
+            if at < len(self.keys) and self.keys[at] == k:
+                return self.size + at
+        return self.endings.get(word[-TAIL:], 1)
 
     def __missing__(self, word: bytes) -> int:
-        i = self.endings.get(word[-TAIL:], 1)
+        i = self.rare(word)
         if len(self) > MEMO:
             self.clear()
             self.update(self.frequent)
@@ -105,10 +132,10 @@ class Items(dict):
 _ITEMS: dict = {}
 
 
-def worker_items(key: str, frequent: list[bytes], endings: list[bytes]) -> Items:
+def worker_items(key: str, frequent: list[bytes], endings: list[bytes], keys: np.ndarray | None = None) -> Items:
     if key not in _ITEMS:
         _ITEMS.clear()
-        _ITEMS[key] = Items(frequent, endings)
+        _ITEMS[key] = Items(frequent, endings, keys)
     return _ITEMS[key]
 
 
@@ -175,6 +202,7 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
     before, after = n.T @ member, n @ member         # counts with the classes before and after each item
     N = member.T @ n @ member
     L, R = N.sum(1), N.sum(0)
+    moves = 0
     for _ in range(sweeps):
         moves = 0
         for w in order:
@@ -218,6 +246,8 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
                 after[:, b] += n[:, w]
         if moves == 0:
             break
+    if moves:
+        warnings.warn(f"exchange clustering: the last of {sweeps} sweeps moved {moves} items")
     return of
 
 
@@ -228,6 +258,128 @@ def likelihood(n: np.ndarray, of: np.ndarray) -> float:
     return float(_f(N).sum() - _f(N.sum(1)).sum() - _f(N.sum(0)).sum())
 
 
+# ------------------------------------------------------------------ further words
+
+def further_words(counts: DataFrame, frequent: list[bytes], endings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the words over FLOOR that are not frequent, and their endings' items."""
+    spark = counts.sparkSession
+    own = spark.createDataFrame([(w,) for w in frequent], "word binary")
+    ends = spark.createDataFrame([(e, i + 2 + len(frequent)) for i, e in enumerate(endings)], "e binary, item int")
+    rest = counts.filter(F.col("n") >= FLOOR).join(F.broadcast(own), "word", "left_anti").withColumn("e", _ending(F.col("word")))
+    key = F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("long")
+    got = rest.join(F.broadcast(ends), "e", "left").select(key.alias("key"), F.coalesce("item", F.lit(1)).alias("item")) \
+        .groupBy("key").agg(F.min("item").alias("item")).toArrow()
+    keys, items = got.column("key").to_numpy().astype(np.int64), got.column("item").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], items[order]
+
+
+def _class_counts(df: DataFrame, tables, classes: int, text: str, further: bool) -> DataFrame:
+    """(code, n) over all texts, END before and after each. Neighbouring classes: code is
+    class before * classes + class after. If `further`, instead what stands around each
+    further word j: j * (2 * classes + 1) plus the class before it, or classes plus the
+    class after it, or 2 * classes for a pair of j with itself."""
+    shared = df.sparkSession.sparkContext.broadcast(tables)
+    key, width = uuid.uuid4().hex, 2 * classes + 1
+    schema = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        from panelfx.llm import brown as here
+        frequent, endings, keys, cls = shared.value
+        item = here.worker_items(key, frequent, endings, keys)
+        held = []  # (codes, counts)
+
+        def merged():
+            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return codes, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        def batches_of(codes, n):
+            for i in range(0, len(codes), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[i:i + 100_000]), pa.array(n[i:i + 100_000])], names=["code", "n"])
+
+        for batch in batches:
+            for start, n in common.text_slices(batch.column(0)):
+                seq = [0]
+                for t in batch.column(0).slice(start, n).to_pylist():
+                    seq += map(item.__getitem__, here.words(t))
+                    seq.append(0)
+                s = np.array(seq, np.int64)
+                c = cls[s].astype(np.int64)
+                x, y, cx, cy = s[:-1], s[1:], c[:-1], c[1:]
+                if further:
+                    same, fx, fy = (x == y) & (x >= item.size), x >= item.size, y >= item.size
+                    code = np.concatenate([(x[same] - item.size) * width + 2 * classes,
+                                           (y[fy & ~same] - item.size) * width + cx[fy & ~same],
+                                           (x[fx & ~same] - item.size) * width + classes + cy[fx & ~same]])
+                else:
+                    code = cx * classes + cy
+                held.append(np.unique(code, return_counts=True))
+                if len(held) >= 32 or sum(len(k) for k, _ in held) > 1_000_000:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > 500_000:
+                        yield from batches_of(*held.pop())
+        if held:
+            yield from batches_of(*merged())
+
+    return df.select(text).mapInArrow(run, schema).groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def class_bigrams(df: DataFrame, tables, classes: int, text: str = "text") -> np.ndarray:
+    """Counts of neighbouring classes over all texts; `tables`: frequent words, endings,
+    keys of further words, class of every item and further word."""
+    got = _class_counts(df, tables, classes, text, False).toArrow()
+    out = np.zeros(classes * classes)
+    if got.num_rows:
+        out[got.column("code").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(classes, classes)
+
+
+def best_class(N: np.ndarray, a: int, wl: np.ndarray, wr: np.ndarray, self_n: float) -> int:
+    """The class a word of class `a` goes to: that with the largest gain in the likelihood
+    of the class bigrams `N`, as in exchange(); `wl` and `wr` count the classes before and
+    after it without pairs of the word with itself."""
+    N = N.copy()
+    N[:, a] -= wl
+    N[a, :] -= wr
+    N[a, a] -= self_n
+    L, R = N.sum(1), N.sum(0)
+    out_n, in_n = wr.sum() + self_n, wl.sum() + self_n
+    fN, diag = _f(N), np.diag(N)
+    gain = (_f(N + wl[:, None]) - fN).sum(0) + (_f(N + wr[None, :]) - fN).sum(1)
+    gain += _f(diag + wl + wr + self_n) - _f(diag + wl) - _f(diag + wr) + _f(diag)
+    L, R = L + wl, R + wr
+    gain -= _f(L + out_n) - _f(L) + _f(R + in_n) - _f(R)
+    gain[0] = -np.inf
+    b = int(gain.argmax())
+    return a if gain[b] <= gain[a] + 1e-9 else b
+
+
+def assign(df: DataFrame, tables, N: np.ndarray, size: int, text: str = "text") -> np.ndarray:
+    """The class of each further word (`tables` as class_bigrams, of which N; `size` items)."""
+    classes, start = len(N), tables[3][size:].astype(np.int64)
+    width = 2 * classes + 1
+    around = _class_counts(df, tables, classes, text, True)
+    around = around.groupBy(F.expr(f"code div {width}").alias("j")).agg(F.collect_list(F.struct((F.col("code") % width).alias("k"), "n")).alias("c"))
+    shared = df.sparkSession.sparkContext.broadcast((N, start))
+    schema = T.StructType([T.StructField("j", T.LongType()), T.StructField("class", T.IntegerType())])
+
+    def run(batches):
+        from panelfx.llm import brown as here
+        N, start = shared.value
+        for batch in batches:
+            out = []
+            for j, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                v = np.zeros(width)
+                for x in c:
+                    v[x["k"]] = x["n"]
+                out.append(here.best_class(N, int(start[j]), v[:classes], v[classes:-1], v[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["j", "class"])
+
+    got = around.mapInArrow(run, schema).toArrow()
+    start[got.column("j").to_numpy()] = got.column("class").to_numpy()
+    return start
+
+
 # ------------------------------------------------------------------ fit and score
 
 class Model:
@@ -246,6 +398,14 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     n = item_bigrams(train, frequent, endings, text)
     of = exchange(n)
     classes = int(of.max()) + 1
+    member = np.eye(classes)[of]
+    N = member.T @ n @ member
+    keys, end_item = further_words(counts, frequent, endings)
+    cls = of
+    if len(keys):
+        cls = np.concatenate([of, of[end_item]])
+        cls = np.concatenate([of, assign(train, (frequent, endings, keys, cls), N, len(of), text)])
+        N = class_bigrams(train, (frequent, endings, keys, cls), classes, text)
 
     # words and occurrences of each class: endings on the JVM, frequent words known here
     own = counts.sparkSession.createDataFrame([(w,) for w in frequent], "word binary")
@@ -258,15 +418,14 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     for r in by_item:
         types[r["item"]] = r["types"]
     types[0] = 1  # END
-    tokens = n.sum(0)  # every token follows one
-    N_c, V_c = np.bincount(of, tokens, classes), np.bincount(of, types, classes)
-    member = np.eye(classes)[of]
-    N = member.T @ n @ member
+    N_c, V_c = N.sum(0), np.bincount(of, types, classes)  # every token follows one
+    # further words count in their own classes, no longer in their endings'
+    V_c += np.bincount(cls[len(of):], minlength=classes) - (np.bincount(of[end_item], minlength=classes) if len(keys) else 0)
     uni = (N_c + 1) / (N_c.sum() + classes)
     trans = (N + BACKOFF * uni[None, :]) / (N.sum(1)[:, None] + BACKOFF)
     head = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
     return Model(counts=counts, n_tokens=n_words + n_docs, n_types=v_words + (1 if n_docs else 0), n_docs=n_docs, frequent=frequent,
-                 endings=endings, of=of, log_trans=np.log10(trans), log_room=np.log10(N_c + DELTA * (V_c + 1)), head=head)
+                 endings=endings, keys=keys, of=cls, log_trans=np.log10(trans), log_room=np.log10(N_c + DELTA * (V_c + 1)), head=head)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,7 +433,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("id"), common.text_hash(F.col(text)).alias("h"), F.col(text).alias("text"))
     key = uuid.uuid4().hex
-    tables = spark.sparkContext.broadcast((model.frequent, model.endings, model.of, model.log_trans, model.log_room,
+    tables = spark.sparkContext.broadcast((model.frequent, model.endings, model.keys, model.of, model.log_trans, model.log_room,
                                            model.head, model.n_tokens, model.n_types, model.n_docs))
     id_type = d.schema["id"].dataType
     schema = T.StructType([
@@ -322,8 +481,8 @@ class Scorer:
     """Scores of texts as far as the broadcast tables tell; words outside the head are
     returned for the join, with their share of the model score left open."""
 
-    def __init__(self, frequent, endings, of, log_trans, log_room, head, n_tokens, n_types, n_docs):
-        self.items = Items(frequent, endings)
+    def __init__(self, frequent, endings, keys, of, log_trans, log_room, head, n_tokens, n_types, n_docs):
+        self.items = Items(frequent, endings, keys)
         self.of, self.log_trans, self.log_room = of, log_trans, log_room
         self.room = math.log10(n_tokens + n_types + 1)
         heads = [w for w, _ in head]
@@ -375,7 +534,7 @@ class Slots(dict):
 
     def __missing__(self, word: bytes) -> int:
         s = self.scorer
-        i = s.n_head + int(s.of[s.items.endings.get(word[-TAIL:], 1)])
+        i = s.n_head + int(s.of[s.items.rare(word)])
         if len(self) > MEMO + s.n_head:
             self.clear()
             self.update((w, i) for i, w in enumerate(self.heads))

@@ -188,3 +188,48 @@ def test_model_sums_to_one(docs, monkeypatch):
 
 def test_brown_without_rows(empty, docs):
     assert brown.report(empty).collect() == []
+
+
+def further_model(docs, monkeypatch):
+    """Two groups of words alternate; x and y words share endings and are not frequent."""
+    choose, exchange = brown.choose_items, brown.exchange
+    monkeypatch.setattr(brown, "choose_items", lambda counts: choose(counts, 20, 10))
+    monkeypatch.setattr(brown, "exchange", lambda n: exchange(n, classes=3))
+    monkeypatch.setattr(brown, "FLOOR", 30)
+    rng = random.Random(3)
+    one = [f"a{i}" for i in range(10)] * 30 + [f"x{i}same" for i in range(10)]
+    two = [f"b{i}" for i in range(10)] * 30 + [f"y{i}same" for i in range(10)]
+    one, two = one + [w for w in one if "same" in w] * 9, two + [w for w in two if "same" in w] * 9
+    rows = [(i, " ".join(rng.choice(one) + " " + rng.choice(two) for _ in range(200))) for i in range(20)]
+    return brown.fit(docs(rows + [(50, "rare0same")]).select("text"))
+
+
+def test_words_over_the_floor_have_their_own_class(docs, monkeypatch):
+    model = further_model(docs, monkeypatch)
+    item = brown.Items(model.frequent, model.endings, model.keys)
+    of = lambda w: model.of[item[w.encode()]]
+    assert len(model.keys) == 20
+    assert {of(f"x{i}same") for i in range(10)} == {of("a0")} and {of(f"y{i}same") for i in range(10)} == {of("b0")} != {of("a0")}
+    mass = np.zeros(len(model.log_room))  # sums to one with further words, too
+    for r in model.counts.collect():
+        mass[model.of[item[bytes(r.word)]]] += r.n + brown.DELTA
+    mass[0] += model.n_docs + brown.DELTA
+    assert np.allclose((mass + brown.DELTA) / 10 ** model.log_room, 1)
+    assert np.allclose((10 ** model.log_trans).sum(1), 1)
+
+
+def test_best_class_is_the_best_of_brute_force():
+    rng = np.random.default_rng(4)
+    n = rng.integers(0, 6, (14, 14)).astype(float)
+    of = np.array([0] + [1 + i % 4 for i in range(13)])
+    member = np.eye(5)[of]
+    for w in range(1, 14):
+        wl, wr = n.T[w] @ member, n[w] @ member
+        wl[of[w]] -= n[w, w]
+        wr[of[w]] -= n[w, w]
+        got = of.copy()
+        got[w] = brown.best_class(member.T @ n @ member, of[w], wl, wr, n[w, w])
+        for c in range(1, 5):
+            other = of.copy()
+            other[w] = c
+            assert brown.likelihood(n, other) <= brown.likelihood(n, got) + 1e-6
