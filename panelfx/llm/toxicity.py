@@ -370,7 +370,7 @@ def report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the rows predicted toxic."""
-    _, index, vecs = fit(docs, labels, doc_id, text)
+    """`docs` without the rows predicted toxic; every labelled row is learnt from."""
+    _, index, vecs = fit(docs, labels, doc_id, text, fold=None)
     toxic = common.stage(score(vecs, index).filter(F.col("score") >= THRESHOLD).select("id", "h").distinct(), "toxic")
     return common.join_key(docs, doc_id, text, common.bounded(toxic), "left_anti")

@@ -100,6 +100,15 @@ def test_toxicity_held_out(labelled):
     assert {r.doc_id for r in left.collect()} >= {i for i, _ in rows if i % 5 and i > 6}
 
 
+def test_reject_learns_from_every_labelled_row(labelled):
+    """With labels only on rows that report() holds out, reject() has examples to learn from."""
+    d, labels, rows = labelled
+    held = labels.filter(toxicity.remainder(labels.doc_id, 4) == 2)
+    left = {r.doc_id for r in toxicity.reject(d, held).select("doc_id").collect()}
+    assert not any(i % 5 == 0 and i > 6 and i in left for i, _ in rows)
+    assert left >= {i for i, _ in rows if i % 5 and i > 6}
+
+
 def test_toxicity_without_rows(labelled, empty, spark):
     d, labels, rows = labelled
     assert toxicity.report(empty, labels).collect() == []
