@@ -261,14 +261,15 @@ def tiles(over: DataFrame, max_bits: int, cell: int = CELL) -> DataFrame:
 # ------------------------------------------------------------------ classes
 
 def classes(df: DataFrame, doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """`df` (a written frame with `doc_id` and fp) plus component_id: the smallest id
-    reachable through links."""
+    """`df` (a written frame with `doc_id` and fp) plus component_id, the smallest id
+    reachable through links, and root, the smallest fingerprint."""
     nodes = common.stage(df.groupBy("fp").agg(F.min(doc_id).alias("low")), "nodes")
     labels = components(fingerprint_links(nodes, max_bits))
     low = labels.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("label").agg(F.min("low").alias("root_low"))
-    root = common.stage(labels.join(low, "label").select(F.col("node").alias("fp"), "root_low"), "roots")
+    root = common.stage(labels.join(low, "label").select(F.col("node").alias("fp"), "root_low", "label"), "roots")
     # most fingerprints are linked to none: theirs is the class of their own equal texts
-    whole = nodes.join(common.bounded(root), "fp", "left").select("fp", F.coalesce("root_low", "low").alias("component_id"))
+    whole = nodes.join(common.bounded(root), "fp", "left").select(
+        "fp", F.coalesce("root_low", "low").alias("component_id"), F.coalesce("label", "fp").alias("root"))
     return df.join(whole, "fp")
 
 
@@ -290,8 +291,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     # a null id sorts last, so that it stays only where the class has no other
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
     root = classes(fps, "id", max_bits)
-    # a class without any id is told apart by its fingerprint's class alone
-    kept = root.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(
+    # a class without any id is told apart by its smallest fingerprint
+    kept = root.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("root")).alias("own")).agg(
         first.alias("k"), F.count(F.lit(1)).alias("n"))
     kept = common.stage(kept.select("k.id", "k.h"), "kept")
     out = common.join_key(docs, doc_id, text, kept, "left_semi")

@@ -101,6 +101,13 @@ def test_near_duplicates_rows(spark, docs, odd, empty):
     assert parts[7] == parts[9] and simhash.keep_one(empty).collect() == []
 
 
+def test_keep_one_of_linked_rows_without_ids(docs, monkeypatch):
+    """Rows with null ids and linked, unequal fingerprints are one class."""
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda fps, *_: fps.agg(F.min("fp").alias("a"), F.max("fp").alias("b")))
+    rows = [(None, "one text of six words here"), (None, "quite another text with more words")]
+    assert simhash.keep_one(docs(rows)).count() == 1
+
+
 # ------------------------------------------------------------------ line chunks
 
 def plain_chunks(text):
