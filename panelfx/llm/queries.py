@@ -8,7 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, decontaminate, hosts, linechunks, pieces, simhash, tokens, toxicity, warc
+from . import (brown, chat, decontaminate, hosts, kmtree, linechunks, negatives, pieces, repair, simhash, tokens, toxicity,
+               warc)
 from .common import read, shared_path
 
 
@@ -81,5 +82,23 @@ def op10_host_rules(spark: SparkSession, sf: str) -> DataFrame:
     return hosts.host_rules(read(spark, sf, "documents")).select("doc_id", *hosts.SIGNALS, "base_failed", "kept")
 
 
+def op11_kmeans_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return kmtree.search(read(spark, sf, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """The label of every seventh row is moved on by one first."""
+    rows = read(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.hard_negatives(rows.withColumn("label", moved))
+
+
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations damaged by a rule of their ids and turns, then repaired."""
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.segments(repair.damage(turns))).drop("path")
+
+
 QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_toxicity, op3_token_counts, op4_pieces, op5_simhash, op6_decontaminate,
-                                   op7_warc, op8_brown, op9_line_chunks, op10_host_rules)}
+                                   op7_warc, op8_brown, op9_line_chunks, op10_host_rules, op11_kmeans_tree,
+                                   op12_hard_negatives, op13_repair)}
