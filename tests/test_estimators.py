@@ -111,7 +111,7 @@ def test_fe_counterfactual_noiseless(spark, closed_form):
             rows.append(("e", 0, "y", i, t, float(a[i] + g[t] + 0.7 * x + 2.5 * d), x, d, 25))
     df = spark.createDataFrame(rows, "exposure string, treated_unit int, outcome string, u int, t int, Y double, "
                                      "mob double, treat int, event_time int")
-    res = fe.fe_counterfactual(df, checkpoint_every=2, closed_form=closed_form)
+    res = fe.fe_counterfactual(df, closed_form=closed_form)
     att = fe.att_by_time(res).toPandas()
     assert np.allclose(att["beta"], 0.7, atol=1e-8)
     assert np.allclose(att["att"], 2.5, atol=1e-8) and len(att) == 15
@@ -181,6 +181,58 @@ def test_closed_form_equals_iteration(spark):
     assert np.allclose(a["effect"], b["effect"], rtol=1e-8, atol=1e-9)
 
 
+SPLIT = "exposure string, treated_unit int, outcome string, u int, t int, Y double, mob double, treat int, event_time int"
+
+
+def test_effects_across_parts_are_not_identified(spark):
+    """Unit 0 is untreated before t = 3, the donors are seen from t = 3 on: no row links them."""
+    rows = [("e", 0, "y", 0, t, 39.0 + t, float(t % 2), int(t >= 3), 3) for t in range(6)]
+    rows += [("e", 0, "y", u, t, float(u + t), float((u * t) % 3), 0, 3) for u in (1, 2, 3) for t in range(3, 6)]
+    # the same with one donor row more: unit 1 at t = 2 links the parts
+    rows += [(*("f", *r[1:4]), *r[4:]) for r in list(rows)] + [("f", 0, "y", 1, 2, 3.0, 2.0, 0, 3)]
+    out = fe.fe_counterfactual(spark.createDataFrame(rows, SPLIT)).toPandas()
+    treated = out[out.treat == 1]
+    assert treated[treated.exposure == "e"][["effect", "y0_hat"]].isna().all().all()
+    assert treated[treated.exposure == "f"]["effect"].notna().all() and out[out.treat == 0]["effect"].notna().all()
+    cert = fe.fe_certificates(spark.createDataFrame(rows, SPLIT)).toPandas().set_index("exposure")
+    assert cert.loc["e", "parts"] == 2 and cert.loc["f", "parts"] == 1 and (cert["rounds"] > 0).all()
+
+
+def test_time_parts_of_long_paths(spark):
+    """Units that link neighbouring times only: a path of 40 times, cut at 25."""
+    from panelfx.operators.graph import time_parts
+    rows = [("k", f"u{t}", t + d) for t in range(40) for d in (0, 1) if t != 24] + [("k", None, 24), ("k", "z", None), ("m", "a", 7)]
+    got = {(r.k, r.t): r.part for r in time_parts(spark.createDataFrame(rows, "k string, u string, t int"), ["k"], "u", "t").collect()}
+    assert got == {**{("k", t): 0 if t < 25 else 25 for t in range(41)}, ("m", 7): 7}
+
+
+def test_conjugate_gradients_equal_dense_least_squares(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for c in range(3):
+        for u in range(12):
+            for t in range(15):
+                if rng.random() < 0.45 or t == u:
+                    rows.append(("e", c, "y", u, t, float(rng.normal() * 10 ** (3 * c)), float(rng.normal()), int(u == 0 and t >= 9), 9))
+    rows += [("e", 0, "y", 30, 2, None, 1.0, 0, 9), ("e", 0, "y", 30, 4, 5.0, None, 0, 9)]      # never fitted
+    got = fe.fe_counterfactual(spark.createDataFrame(rows, SPLIT), closed_form=False).toPandas()
+    for c in range(3):
+        part = [r for r in rows if r[1] == c]
+        fit = [r for r in part if not r[7] and r[5] is not None and r[6] is not None]
+        design = np.zeros((len(fit), 12 + 15 + 1))
+        for i, r in enumerate(fit):
+            design[i, r[3]] = design[i, 12 + r[4]] = 1
+            design[i, -1] = r[6]
+        coef = np.linalg.lstsq(design, np.array([r[5] for r in fit]), rcond=None)[0]
+        mine = got[got.treated_unit == c].set_index(["u", "t"])
+        assert np.allclose(mine["beta"], coef[-1], rtol=1e-8)
+        for r in part:
+            if r[3] == 30:
+                assert np.isnan(mine.loc[(30, r[4]), "effect"])
+            elif r[4] in {f[4] for f in fit}:
+                assert np.isclose(mine.loc[(r[3], r[4]), "effect"], r[5] - (coef[r[3]] + coef[12 + r[4]] + coef[-1] * r[6]), atol=1e-7 * 10 ** (3 * c))
+
+
 def test_synth_weights_with_string_units(spark):
     coh = _synthetic_cohort(spark).withColumn("u", F.concat(F.lit("unit-"), F.col("u").cast("string")))
     coh = coh.withColumn("treated_unit", F.lit("unit-0"))
