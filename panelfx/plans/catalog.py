@@ -243,6 +243,17 @@ def q_merge_left(spark, sf):
     return merge.merge_one_to_one(l_, r_, ["u", "t"], "left", indicator="_merge", validate=False)
 
 
+def q_merge_null_keys(spark, sf):
+    """J1 with keys that are null: every unit of the first region has none (of several such units
+    the lowest stays, a key must be unique); both sides' null keys match, and the keys' uniqueness
+    is asserted in the plan."""
+    def nulled(p):
+        first = (F.col("u") % 5 == 0)
+        return p.filter(~first | (F.col("u") == 0)).withColumn("u", F.when(~first, F.col("u")))
+    l_, r_ = _two_sources(spark, sf)
+    return merge.merge_one_to_one(nulled(l_), nulled(r_), ["u", "t"], "all", indicator="_merge")
+
+
 def q_natural_join_totals(spark, sf):
     """Unit totals joined back on the shared key."""
     p = materialize(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "k"))   # fork: totals + join
@@ -768,6 +779,7 @@ QUERIES: dict[str, Query] = {
     "merge_all": q_merge_all,
     "merge_match": q_merge_match,
     "merge_left": q_merge_left,
+    "merge_null_keys": q_merge_null_keys,
     "natural_join_totals": q_natural_join_totals,
     "null_safe_join": q_null_safe_join,
     "drop_bad_units": q_drop_bad_units,

@@ -219,6 +219,13 @@ SQL["merge_all"] = _merge_sql("FULL OUTER", True)
 SQL["merge_match"] = _merge_sql("INNER", False)
 SQL["merge_left"] = _merge_sql("LEFT", True)
 
+SQL["merge_null_keys"] = with_(PANEL, SHIP, """
+nl_ AS (SELECT CASE WHEN u % 5 <> 0 THEN u END AS u, t, wk, n, k, delta, mob, 1 AS l_ FROM p0_ WHERE u % 5 <> 0 OR u = 0),
+nr_ AS (SELECT CASE WHEN u % 5 <> 0 THEN u END AS u, t, wk, n, k, mob, 1 AS r_ FROM ship WHERE u % 5 <> 0 OR u = 0)""") + """
+SELECT CASE WHEN l_ = 1 THEN l.u ELSE r.u END AS u, coalesce(l.t, r.t) AS t, coalesce(l.wk, r.wk) AS wk, coalesce(l.n, r.n) AS n,
+       coalesce(l.k, r.k) AS k, coalesce(l.mob, r.mob) AS mob, l.delta, CASE WHEN l_ = 1 AND r_ = 1 THEN 3 WHEN l_ = 1 THEN 1 ELSE 2 END AS _merge
+FROM nl_ l FULL OUTER JOIN nr_ r ON l.u IS NOT DISTINCT FROM r.u AND l.t = r.t"""
+
 SQL["natural_join_totals"] = with_(PANEL) + """
 SELECT p.u, p.t, p.k, tot.total_k
 FROM panel p LEFT JOIN (SELECT u, CAST(sum(k) AS BIGINT) AS total_k FROM panel GROUP BY u) tot ON p.u = tot.u"""

@@ -78,13 +78,45 @@ def test_anti_join(spark):
     assert F is not None
 
 
-def test_merge_validate_rejects_duplicate_keys(spark):
+def test_merge_fails_on_duplicate_keys_when_it_runs(spark):
     import pytest
     left = spark.createDataFrame([(1, 1), (1, 2)], "k int, a int")
     right = spark.createDataFrame([(1, 3)], "k int, b int")
-    with pytest.raises(ValueError):
-        merge.merge_one_to_one(left, right, ["k"], validate=True)
+    for keep in ("all", "match", "left", "right"):
+        for a, b, side in ((left, right, "left"), (right, left, "right")):
+            merged = merge.merge_one_to_one(a, b, ["k"], keep)
+            with pytest.raises(Exception, match=f"not unique on the {side} side") as e:
+                merged.select("k").collect()                # the check survives column pruning
+            assert '{"k":1}' in str(e.value)
     assert merge.merge_one_to_one(right, right.withColumnRenamed("b", "c"), ["k"], validate=True).count() == 1
+    twice = spark.createDataFrame([(None, 1), (None, 2)], "k int, a int")       # two null keys are duplicates
+    with pytest.raises(Exception, match="not unique"):
+        merge.merge_one_to_one(twice, right, ["k"]).collect()
+
+
+def test_merge_matches_null_keys(spark):
+    import datetime as dt
+    left = spark.createDataFrame([(None, 1, "a"), (0, 1, "b"), (2, None, None)], "k int, t int, x string")
+    right = spark.createDataFrame([(None, 1, "A"), (0, 2, "B"), (2, None, "C")], "k long, t int, y string")
+    got = sorted((tuple(r) for r in merge.merge_one_to_one(left, right, ["k", "t"], "all", indicator="m").collect()), key=str)
+    assert got == [(0, 1, "b", None, 1), (0, 2, None, "B", 2), (2, None, None, "C", 3), (None, 1, "a", "A", 3)]
+    assert merge.merge_one_to_one(left, right, ["k", "t"], "match").count() == 2
+    for kind, one in (("string", ""), ("date", dt.date(1970, 1, 1)), ("boolean", False), ("double", 0.0), ("decimal(5,2)", None)):
+        a = spark.createDataFrame([(None, 1), (one, 2)] if one is not None else [(None, 1)], f"k {kind}, x int")
+        b = spark.createDataFrame([(None, 3)], f"k {kind}, y int")
+        assert [tuple(r) for r in merge.merge_one_to_one(a, b, ["k"], "match").collect()] == [(None, 1, 3)]
+
+
+def test_merge_reuses_the_exchange_of_its_check(spark):
+    """One exchange per side: the check's window and the join share it."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = (spark.range(5, 100).selectExpr("if(id > 5, id, null) AS k", f"id AS {c}") for c in "ab")
+        merged = merge.merge_one_to_one(left, right, ["k"], "all")
+        assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert merged.count() == 95
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_insert_listed_times_only(spark):

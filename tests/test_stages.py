@@ -102,3 +102,18 @@ def test_stage_one_reports_and_unsmoothed_panels(spark, files):
         assert marks.count() == marks.filter("time = smoke_week1 AND smoke_bin = 1").count()
         assert p.filter(F.col("week") < smooth.MIN_WEEK).count() == 0
     assert out["daily"].filter("first_smoke = 1").count() == 6
+
+
+def test_compile_reads_every_file_once(spark, files):
+    """The key checks of the three merges run inside the plan: no job runs while it is built, and
+    each CSV is scanned by one node."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plan only")
+    panel = comp.compile_from_files(spark, files["deaths"], files["cases"], files["exposure"], files["mobility"])
+    lines = panel._jdf.queryExecution().executedPlan().toString()
+    heads = len(tracker.getJobIdsForGroup("building"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert heads <= 2                                    # the header lines of the two wide files
+    # insert_times appends rows for the listed day, so the exposure file is also read for its counties
+    scans = {k: lines.count(f"{k}.csv") for k in ("deaths", "cases", "mobility")}
+    assert scans == {"deaths": 1, "cases": 1, "mobility": 1}
