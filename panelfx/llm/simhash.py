@@ -291,10 +291,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     # a null id sorts last, so that it stays only where the class has no other
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
     root = classes(fps, "id", max_bits)
-    # a class without any id is told apart by its smallest fingerprint
-    kept = root.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("root")).alias("own")).agg(
-        first.alias("k"), F.count(F.lit(1)).alias("n"))
-    kept = common.stage(kept.select("k.id", "k.h"), "kept")
+    # a class is told apart by its smallest fingerprint: unlinked texts may share their smallest id
+    kept = common.stage(root.groupBy("root").agg(first.alias("k")).select("k.id", "k.h"), "kept")
     out = common.join_key(docs, doc_id, text, kept, "left_semi")
     repeated = fps.groupBy("id", "h").count().filter("count > 1").limit(1).count() > 0
     if not repeated:

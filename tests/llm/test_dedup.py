@@ -96,11 +96,18 @@ def test_near_duplicates_rows(spark, docs, odd, empty):
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
     parts = {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()}
     assert [i for none, i in ids if not none].count(4) == 1 and (True, 0) in ids
-    assert len(ids) == len({r.component_id if r.component_id is not None else ("none", r.fingerprint)
-                            for r in simhash.near_duplicates(d).collect()})
+    # one for each class; no two fingerprints of these rows are linked
+    assert len(ids) == len({r.fingerprint for r in simhash.near_duplicates(d).collect()})
     assert parts[7] == parts[9] and simhash.keep_one(empty).collect() == []
 
 
+def test_keep_one_leaves_unlinked_texts_of_one_id(docs):
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "nine ten eleven twelve thirteen fourteen"),
+            (2, "some third text that resembles neither of them"), (2, "alpha beta gamma delta epsilon zeta")]
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(docs(rows)).collect())
+    assert kept == sorted(rows[:3])
+
+
 def test_keep_one_of_linked_rows_without_ids(docs, monkeypatch):
     """Rows with null ids and linked, unequal fingerprints are one class."""
     monkeypatch.setattr(simhash, "fingerprint_links", lambda fps, *_: fps.agg(F.min("fp").alias("a"), F.max("fp").alias("b")))
