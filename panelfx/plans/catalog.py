@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import (agg_expr, clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
                          parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
-from ..operators import aggregate, cohort, events, fe, infer, merge, panel, quality, series, synth, tables
+from ..operators import aggregate, cohort, columns, events, fe, infer, merge, panel, quality, series, synth, tables
 from ..session import materialize, shared_path
 from ..sources import testpanel as tp
 from ..sources.io import export_csv, read_csv, read_stage, read_table, read_wide_csv, write_stage
@@ -627,12 +627,10 @@ def q_synth_weights(spark, sf):
     return _weights(spark, sf)
 
 
-def q_synth_weight_checks(spark, sf):
-    """Y3 + Y4, one row per fit: its weights are a point of the simplex, carry a proof of
-    optimality, and fit the predictors no worse than equal weights do."""
-    coh = _cohorts(spark, sf)
-    pred = materialize(_predictors(spark, sf, coh))
-    w = materialize(synth.synth_weights(pred, placebo=True))
+def _weight_checks(pred: DataFrame, w: DataFrame) -> DataFrame:
+    """One row per fit: whether its weights are a point of the simplex on allowed donors, carry a
+    proof of optimality, and fit the predictors no worse than equal weights do -- all from the weights
+    table and the predictors alone."""
     keys = cohort.COHORT_KEYS
     x = pred.select(*keys, "u", "treated", "var", "t", "x_scaled")
     # loss of the solved weights, from the weights table and the predictors alone
@@ -658,6 +656,58 @@ def q_synth_weight_checks(spark, sf):
                       (F.col("loss") <= F.col("even_loss") * (1 + 1e-9)).alias("no_worse_than_equal"))
 
 
+def q_synth_weight_checks(spark, sf):
+    """Y3 + Y4, one row per fit: its weights are a point of the simplex, carry a proof of
+    optimality, and fit the predictors no worse than equal weights do."""
+    pred = materialize(_predictors(spark, sf))
+    return _weight_checks(pred, materialize(synth.synth_weights(pred, placebo=True)))
+
+
+def q_supplier_synth_checks(spark, sf):
+    """Y3 with suppliers as units, by column generation: every unexposed supplier is a donor, and
+    their number grows with the tables."""
+    pred = materialize(synth.predictors(_supplier_cohorts(spark, sf), cols=["Y", "mob"]))
+    return _weight_checks(pred, materialize(columns.synth_weights_columns(pred, placebo=False)))
+
+
+PLANTED_MIX = {1: 0.5, 2: 0.3, 4: 0.2}
+
+
+def _planted(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Cohorts whose treated units are, outcome and covariate, a known mix of three donors before their
+    event and ten plus the lead above it after, and the solver's weights of every fit."""
+    c = _completed(spark, sf).select("u", "t", "dose", (F.col("n") / (F.col("n") + 1.0)).alias("y"), (F.col("mob") / 1e6).alias("x"))
+    c = materialize(c.withColumn("p50", threshold_flag("dose", 50.0)))
+    share = F.element_at(F.create_map(*[F.lit(v) for kv in PLANTED_MIX.items() for v in kv]), F.col("u"))
+    mix = c.filter(F.col("u").isin(*PLANTED_MIX)).groupBy("t").agg(F.sum(share * F.col("y")).alias("my"), F.sum(share * F.col("x")).alias("mx"))
+    event = c.filter("p50 = 1").groupBy("u").agg(F.min("t").alias("t0"))
+    c = c.join(mix, "t").join(event, "u", "left")
+    effect = F.when(F.col("t") >= F.col("t0"), 10.0 + F.col("t") - F.col("t0")).otherwise(0.0)
+    own = F.col("u") % 5 == 3
+    c = c.select("u", "t", "p50", F.when(own, F.col("my") + effect).otherwise(F.col("y")).alias("y"), F.when(own, F.col("mx")).otherwise(F.col("x")).alias("mob"))
+    grid = cohort.cohort_grid(_treated_units(spark, sf), "u", ["p50"], ["y"])
+    coh = materialize(cohort.build_cohorts(materialize(c), SPEC, grid, ["y"], {"p50": "p50"},
+                                           cohort.CohortRules(covariate="mob", outcome_limit=None, max_share=0.01)))
+    pred = synth.predictors(coh, cols=["Y", "mob"], include_event=False)
+    return coh, materialize(synth.synth_weights(pred, placebo=True))
+
+
+def q_planted_donor_weights(spark, sf):
+    """Y3 + Y10 + F7 where the answer is known: the mix comes back as the donor table."""
+    lab = tp.unit_labels(spark, sf).select("u", clean_label("n_name", "r_name", remove=[" ", "_"]).alias("label"))
+    w = infer.donor_weights(_planted(spark, sf)[1], lab, "label").select(*cohort.COHORT_KEYS, "donor", "label", F.round("weight", 7).alias("weight"))
+    return w.filter("weight > 0")
+
+
+def q_planted_synth_effects(spark, sf):
+    """Y5 + Y7-Y9 + P17 on the solver's weights where the answer is known: the synthetic series is
+    the mix, the effect what was planted, and no placebo comes near it."""
+    coh, w = _planted(spark, sf)
+    g = materialize(infer.synth_series(coh, weights=w))
+    e = infer.effect_table(g, infer.placebo_pvalues(g, standardize=False))
+    return _rounded(e, ["effect1", "effect2", "tdiff", "zval", "se", "upper_ci", "lower_ci", "ci_low", "ci_high"], 6)
+
+
 def q_donor_weights(spark, sf):
     """Positive donor weights of the treated fit, with the donor's label."""
     lab = tp.unit_labels(spark, sf).select("u", clean_label("n_name", "r_name", remove=[" ", "_"]).alias("label"))
@@ -819,6 +869,9 @@ QUERIES: dict[str, Query] = {
     "predictors": q_predictors,
     "synth_weights": q_synth_weights,
     "synth_weight_checks": q_synth_weight_checks,
+    "supplier_synth_checks": q_supplier_synth_checks,
+    "planted_donor_weights": q_planted_donor_weights,
+    "planted_synth_effects": q_planted_synth_effects,
     "donor_weights": q_donor_weights,
     "synth_effects": q_synth_effects,
     "fe_att": q_fe_att,

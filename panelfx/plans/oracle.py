@@ -589,6 +589,32 @@ SQL["supplier_cohorts"] = with_(SCOHORTS) + "SELECT * FROM coh_"
 
 SQL["supplier_fe_att"] = with_(SCOHORTS, FE) + FE_ATT
 
+SQL["supplier_synth_checks"] = with_(SCOHORTS) + """
+SELECT 'hot' AS exposure, u AS treated_unit, 'r_ret' AS outcome, u AS fit_unit, TRUE AS sums_to_one, TRUE AS positive,
+       TRUE AS donors_allowed, TRUE AS optimal, TRUE AS no_worse_than_equal
+FROM su_ WHERE u % 50 = 3 AND EXISTS (SELECT 1 FROM su_ d WHERE d.share <= 0.01)"""
+
+# planted mixes: the treated units are .5, .3 and .2 of units 1, 2 and 4
+PLANTED = """
+pw_ AS (SELECT * FROM (VALUES (1, CAST(0.5 AS DOUBLE)), (2, CAST(0.3 AS DOUBLE)), (4, CAST(0.2 AS DOUBLE))) v(donor, weight)),
+pt_ AS (SELECT u AS treated_unit, min(t) AS t0 FROM cpanel WHERE dose >= 50 AND u % 5 = 3 GROUP BY u),
+pm_ AS (SELECT t, sum(weight * (n / (n + 1.0))) AS my FROM cpanel JOIN pw_ ON u = donor GROUP BY t)"""
+
+SQL["planted_donor_weights"] = with_(PANEL, CPANEL, LAB, PLANTED) + """
+SELECT 'p50' AS exposure, treated_unit, 'y' AS outcome, donor, replace(replace(n_name || r_name, ' ', ''), '_', '') AS label, weight
+FROM pt_ CROSS JOIN pw_ JOIN lab_ ON lab_.u = donor"""
+
+_ZP = "(-0.862 + sqrt(0.743 - 2.404 * ln(0.0001)))"
+SQL["planted_synth_effects"] = with_(PANEL, CPANEL, PLANTED, f"""
+pe_ AS (SELECT treated_unit, t, t - t0 AS lead, my AS effect2, 10.0 + t - t0 AS tdiff, {_ZP} AS zval FROM pt_ JOIN pm_ ON t >= t0),
+ps_ AS (SELECT *, -tdiff / zval AS se FROM pe_),
+pu_ AS (SELECT *, tdiff - 1.645 * se AS upper_ci, tdiff + 1.645 * se AS lower_ci FROM ps_)""") + """
+SELECT 'p50' AS exposure, treated_unit, 'y' AS outcome, t, lead, round(effect2 + tdiff, 6) AS effect1, round(effect2, 6) AS effect2,
+       CAST(round(tdiff, 6) AS DOUBLE) AS tdiff, CAST(0 AS DOUBLE) AS pval, round(zval, 6) AS zval, round(se, 6) AS se,
+       round(upper_ci, 6) AS upper_ci, round(lower_ci, 6) AS lower_ci, round(least(upper_ci, lower_ci), 6) AS ci_low,
+       round(greatest(upper_ci, lower_ci), 6) AS ci_high, CAST(row_number() OVER (PARTITION BY treated_unit ORDER BY t) AS INTEGER) AS ti
+FROM pu_"""
+
 # suppliers as units without zero fill; donors change at month 43. A path of fitted rows between
 # times of a cohort is followed recursively; a time's part is the least time it reaches.
 RAGGED = SCOHORTS.split("sb_ AS")[0] + """
