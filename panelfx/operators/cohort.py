@@ -71,6 +71,51 @@ def _pick(name_col: Column, mapping: Mapping[str, Column]) -> Column:
     return e
 
 
+def _unit_time(spec: PanelSpec) -> tuple[str, str]:
+    if len(spec.unit) != 1:
+        raise ValueError("cohorts need a single unit column")
+    return spec.unit[0], spec.time
+
+
+def unit_facts(panel: DataFrame, spec: PanelSpec, outcomes: Sequence[str], flags: Mapping[str, str], rules: CohortRules,
+               carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """What the donor rules look at: the panel long in the outcomes, facts per unit and outcome (F4,
+    F5), facts per unit (F4 covariate, F6, first time), and the number of times the panel has."""
+    u, t = _unit_time(spec)
+    cov = rules.covariate
+    keep_cols = [u, t, *([cov] if cov else []), *flags.values(), *carry]
+    base = (panel.select(*keep_cols, *outcomes)
+            .unpivot([*keep_cols], list(outcomes), "outcome", "Y")
+            .withColumn("Y", finite_or_null(F.col("Y").cast("double"))))
+    # a unit-time row that is absent from the panel counts as a missing value
+    n_times = panel.select(t).distinct().count() if rules.drop_gaps else 0
+    ystats = base.groupBy(u, "outcome").agg(
+        F.count(F.lit(1)).alias("__rows"), F.max(F.col("Y").isNull().cast("int")).alias("__y_missing"),
+        (F.max(F.coalesce((F.col("Y") > rules.outcome_limit).cast("int"), F.lit(0)))
+         if rules.outcome_limit is not None else F.lit(0)).alias("__y_high"))
+    uaggs = [F.min(t).alias("__t0")]
+    if cov:
+        uaggs.append(F.max(F.col(cov).isNull().cast("int")).alias("__cov_missing"))
+    uaggs += [F.avg(F.col(c).cast("double")).alias(f"__share_{n}") for n, c in flags.items()]
+    return base, ystats, panel.groupBy(u).agg(*uaggs), n_times
+
+
+def rule_columns(rules: CohortRules, share: Column, n_times: int) -> tuple[Column, Column]:
+    """Whether a unit may be in a cohort at all, and whether it may be a donor."""
+    ok = donor_ok = F.lit(True)
+    if rules.drop_missing_outcome:
+        ok = ok & (F.col("__y_missing") == 0)
+    if rules.covariate:
+        ok = ok & (F.col("__cov_missing") == 0)
+    if rules.drop_gaps:
+        ok = ok & (F.col("__rows") == n_times)
+    if rules.outcome_limit is not None:
+        donor_ok = donor_ok & (F.col("__y_high") == 0)
+    if rules.max_share is not None:
+        donor_ok = donor_ok & F.coalesce(share <= rules.max_share, F.lit(False))
+    return ok, donor_ok
+
+
 def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes: Sequence[str],
                   exposure_flags: Mapping[str, str], rules: CohortRules = CohortRules(),
                   events: DataFrame | None = None, carry: Sequence[str] = (), event_shift: int = 0,
@@ -94,28 +139,10 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
     avg_exposed (F6 share), event_time (W12), day_one (G5), id (dense unit id within
     the cohort, P16). Outcomes pass `finite_or_null` first (NaN/Inf are missing).
     """
-    if len(spec.unit) != 1:
-        raise ValueError("cohorts need a single unit column")
-    u, t = spec.unit[0], spec.time
+    u, t = _unit_time(spec)
     cov = rules.covariate
     flags = dict(exposure_flags)
-    keep_cols = [u, t, *([cov] if cov else []), *flags.values(), *carry]
-    base = (panel.select(*keep_cols, *outcomes)
-            .unpivot([*keep_cols], list(outcomes), "outcome", "Y")
-            .withColumn("Y", finite_or_null(F.col("Y").cast("double"))))
-
-    # unit x outcome facts (F4, F5) and unit facts (F4 covariate, F6, first time)
-    # a unit-time row that is absent from the panel counts as a missing value
-    n_times = panel.select(t).distinct().count() if rules.drop_gaps else 0
-    ystats = base.groupBy(u, "outcome").agg(
-        F.count(F.lit(1)).alias("__rows"), F.max(F.col("Y").isNull().cast("int")).alias("__y_missing"),
-        (F.max(F.coalesce((F.col("Y") > rules.outcome_limit).cast("int"), F.lit(0)))
-         if rules.outcome_limit is not None else F.lit(0)).alias("__y_high"))
-    uaggs = [F.min(t).alias("__t0")]
-    if cov:
-        uaggs.append(F.max(F.col(cov).isNull().cast("int")).alias("__cov_missing"))
-    uaggs += [F.avg(F.col(c).cast("double")).alias(f"__share_{n}") for n, c in flags.items()]
-    ustats = panel.groupBy(u).agg(*uaggs)
+    base, ystats, ustats, n_times = unit_facts(panel, spec, outcomes, flags, rules, carry)
 
     if events is None:
         events = first_exposure(panel, spec, flags, "definition", "event_time")
@@ -135,18 +162,7 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
         m = dealt.join(g, ["outcome", "__block"]).drop("__block").join(ustats, u)
     share = _pick(F.col("exposure"), {n: F.col(f"__share_{n}") for n in flags})
     is_tr = F.coalesce(F.col(u) == F.col("treated_unit"), F.lit(False))
-    ok = F.lit(True)
-    if rules.drop_missing_outcome:
-        ok = ok & (F.col("__y_missing") == 0)
-    if cov:
-        ok = ok & (F.col("__cov_missing") == 0)
-    if rules.drop_gaps:
-        ok = ok & (F.col("__rows") == n_times)
-    donor_ok = F.lit(True)
-    if rules.outcome_limit is not None:
-        donor_ok = donor_ok & (F.col("__y_high") == 0)
-    if rules.max_share is not None:
-        donor_ok = donor_ok & F.coalesce(share <= rules.max_share, F.lit(False))
+    ok, donor_ok = rule_columns(rules, share, n_times)
     m = (m.withColumn("avg_exposed", share).withColumn("treated", is_tr.cast("int"))
          .filter(ok & (is_tr | donor_ok)))
     # the kept pairs feed three branches; the first time and the ids come from aggregates,

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import (agg_expr, clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
                          parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
-from ..operators import aggregate, cohort, columns, events, fe, infer, merge, panel, quality, series, synth, tables
+from ..operators import aggregate, cohort, columns, events, fe, infer, merge, panel, pools, quality, series, synth, tables
 from ..session import materialize, shared_path
 from ..sources import testpanel as tp
 from ..sources.io import export_csv, read_csv, read_stage, read_table, read_wide_csv, write_stage
@@ -512,18 +512,31 @@ def q_cohort_bounds(spark, sf):
     return cohort.cohort_bounds(_cohorts(spark, sf))
 
 
-def _supplier_cohorts(spark, sf) -> DataFrame:
-    """Cohorts with suppliers as units (their number grows with the tables): months zero-filled,
-    outcome = share of returned lines, exposure = five months for every fiftieth supplier."""
+SUPPLIER_RULES = cohort.CohortRules(covariate="mob", outcome_limit=None, max_share=0.01)
+
+
+def _supplier_grid(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as units (their number grows with the tables) and the grid of their cohorts: months
+    zero-filled, outcome = share of returned lines, exposure = five months for every fiftieth one."""
     p = materialize(tp.supplier_panel(spark, sf))
     p = panel.complete_panel(p, SPEC, fill={"n": 0, "k": 0, "mob": 0.0})
     hit = (F.col("u") % 50 == 3) & (F.col("t") >= 40 + F.col("u") % 7) & (F.col("t") < 45 + F.col("u") % 7)
     r = ratio("k", "n", "ieee")
     p = p.withColumns({"r_ret": F.when(F.col("n") == 0, F.lit(0.0)).otherwise(r), "hot": F.when(hit, 1).otherwise(0)})
     p = materialize(p.select("u", "t", "mob", "r_ret", "hot"))
-    grid = cohort.cohort_grid(p.filter(F.col("u") % 50 == 3).select("u"), "u", ["hot"], ["r_ret"])
-    rules = cohort.CohortRules(covariate="mob", outcome_limit=None, max_share=0.01)
-    return materialize(cohort.build_cohorts(p, SPEC, grid, ["r_ret"], {"hot": "hot"}, rules))
+    return p, cohort.cohort_grid(p.filter(F.col("u") % 50 == 3).select("u"), "u", ["hot"], ["r_ret"])
+
+
+def _supplier_cohorts(spark, sf) -> DataFrame:
+    """Their cohorts, each with its own copy of all unexposed suppliers."""
+    p, grid = _supplier_grid(spark, sf)
+    return materialize(cohort.build_cohorts(p, SPEC, grid, ["r_ret"], {"hot": "hot"}, SUPPLIER_RULES))
+
+
+def _supplier_pools(spark, sf) -> pools.Pools:
+    """Their cohorts with the unexposed suppliers stored once."""
+    p, grid = _supplier_grid(spark, sf)
+    return pools.build_pools(p, SPEC, grid, ["r_ret"], {"hot": "hot"}, SUPPLIER_RULES)
 
 
 def q_supplier_cohorts(spark, sf):
@@ -532,13 +545,16 @@ def q_supplier_cohorts(spark, sf):
 
 
 def q_supplier_fe_att(spark, sf):
-    """Y11 with suppliers as units: every cohort has all unexposed suppliers as donors."""
-    coh = _supplier_cohorts(spark, sf).withColumn(
-        "treat", events.treated_flag(F.col("u"), F.col("treated_unit"), F.col("t"), F.col("event_time")))
-    att = fe.att_by_time(fe.fe_counterfactual(coh, y="Y", cov="mob", treat="treat"))
+    """Y11 with suppliers as units: every cohort has all unexposed suppliers as donors, stored once."""
+    att = pools.fe_att(_supplier_pools(spark, sf))
     return _rounded(att.withColumn("beta", F.col("beta") * 1e6), ["att", "beta"])
 
 
+def q_supplier_placebo_pvalues(spark, sf):
+    """Y7 with suppliers as units: every treated effect ranked among one shared order of placebos."""
+    return pools.placebo_pvalues(_supplier_pools(spark, sf))
+
+
 def _ragged_suppliers(spark, sf, split: int | None = None) -> DataFrame:
     """Cohorts of suppliers without zero fill: only the months a supplier shipped in. With `split`,
     donors with an even number are seen before that month only, odd ones from it on."""
@@ -859,6 +875,7 @@ QUERIES: dict[str, Query] = {
     "cohorts_with_missing": q_cohorts_with_missing,
     "supplier_cohorts": q_supplier_cohorts,
     "supplier_fe_att": q_supplier_fe_att,
+    "supplier_placebo_pvalues": q_supplier_placebo_pvalues,
     "supplier_fe_split": q_supplier_fe_split,
     "supplier_fe_certificates": q_supplier_fe_certificates,
     "cohort_bounds": q_cohort_bounds,

@@ -589,6 +589,8 @@ SQL["supplier_cohorts"] = with_(SCOHORTS) + "SELECT * FROM coh_"
 
 SQL["supplier_fe_att"] = with_(SCOHORTS, FE) + FE_ATT
 
+SQL["supplier_placebo_pvalues"] = with_(SCOHORTS, GAPS) + "SELECT * FROM pv_"
+
 SQL["supplier_synth_checks"] = with_(SCOHORTS) + """
 SELECT 'hot' AS exposure, u AS treated_unit, 'r_ret' AS outcome, u AS fit_unit, TRUE AS sums_to_one, TRUE AS positive,
        TRUE AS donors_allowed, TRUE AS optimal, TRUE AS no_worse_than_equal
