@@ -179,6 +179,53 @@ def build_cohorts(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes:
                        "avg_exposed", "event_time", "day_one", "id", *carry)
 
 
+# The rules a unit can fail, as bits of a ledger entry, in the order they are applied.
+RULE_BITS = {"missing_outcome": 1, "missing_covariate": 2, "gaps": 4, "outcome_limit": 8, "exposure_share": 16}
+MEMBER_BITS = 7          # a unit that fails one of these is in no cohort; the others bar it as a donor
+
+
+def rule_ledger(panel: DataFrame, spec: PanelSpec, outcomes: Sequence[str], exposure_flags: Mapping[str, str],
+                rules: CohortRules = CohortRules()) -> DataFrame:
+    """(exposure, outcome, unit, failed): per exposure and outcome the rules each unit fails, a bit
+    set of `RULE_BITS`. A cohort's donors are the units with failed = 0, so the ledger of a cohort is
+    that of its exposure and outcome: rows do not grow with the treated units."""
+    u, _ = _unit_time(spec)
+    flags = dict(exposure_flags)
+    _, ystats, ustats, n_times = unit_facts(panel, spec, outcomes, flags, rules)
+    m = ystats.join(ustats, u).withColumn("exposure", F.explode(F.array(*[F.lit(n) for n in flags])))
+    share = _pick(F.col("exposure"), {n: F.col(f"__share_{n}") for n in flags})
+    fails = {"missing_outcome": rules.drop_missing_outcome and F.col("__y_missing") == 1,
+             "missing_covariate": bool(rules.covariate) and F.col("__cov_missing") == 1,
+             "gaps": rules.drop_gaps and F.col("__rows") != n_times,
+             "outcome_limit": rules.outcome_limit is not None and F.col("__y_high") == 1,
+             "exposure_share": rules.max_share is not None and ~F.coalesce(share <= rules.max_share, F.lit(False))}
+    bits = sum((F.when(c, F.lit(RULE_BITS[n])).otherwise(F.lit(0)) for n, c in fails.items() if c is not False), F.lit(0))
+    return m.select("exposure", "outcome", u, bits.alias("failed"))
+
+
+def cohort_ledger(panel: DataFrame, spec: PanelSpec, grid: DataFrame, outcomes: Sequence[str], exposure_flags: Mapping[str, str],
+                  rules: CohortRules = CohortRules(), events: DataFrame | None = None) -> DataFrame:
+    """One row for every cohort of the grid, those that cannot be estimated included: the rules its
+    treated unit fails (null where the panel lacks it), its event time, its donors, the units each rule
+    bars from being one, and a status -- "no treated unit" (not in the panel, or lost to a rule for
+    all units), "no event", "no donors" or "complete"."""
+    u, _ = _unit_time(spec)
+    ledger = materialize(rule_ledger(panel, spec, outcomes, exposure_flags, rules), "ledger")
+    per = ledger.groupBy("exposure", "outcome").agg(
+        F.sum((F.col("failed") == 0).cast("long")).alias("__donors"),
+        *[F.sum((F.col("failed").bitwiseAND(bit) != 0).cast("long")).alias(f"barred_{n}") for n, bit in RULE_BITS.items()])
+    if events is None:
+        events = first_exposure(panel, spec, dict(exposure_flags), "definition", "event_time")
+    ev = events.select(F.col(u).alias("treated_unit"), F.col("definition").alias("exposure"), "event_time")
+    own = ledger.select("exposure", "outcome", F.col(u).alias("treated_unit"), F.col("failed").alias("treated_failed"))
+    out = grid.join(per, ["exposure", "outcome"], "left").join(own, COHORT_KEYS, "left").join(ev, ["treated_unit", "exposure"], "left")
+    out = out.withColumn("n_donors", F.coalesce("__donors", F.lit(0)) - F.when(F.col("treated_failed") == 0, 1).otherwise(0))
+    lost = F.col("treated_failed").isNull() | (F.col("treated_failed").bitwiseAND(MEMBER_BITS) != 0)
+    status = F.when(lost, "no treated unit").when(F.col("event_time").isNull(), "no event") \
+        .when(F.col("n_donors") == 0, "no donors").otherwise("complete")
+    return out.select(*COHORT_KEYS, "treated_failed", "event_time", "n_donors", *[f"barred_{n}" for n in RULE_BITS], status.alias("status"))
+
+
 def cohort_bounds(cohorts: DataFrame, t: str = "t") -> DataFrame:
     """Per cohort, the first time of the cohort (day_first) and the treated unit's
     event time (day_exp; null when the treated unit is never exposed)."""

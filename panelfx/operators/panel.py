@@ -150,15 +150,52 @@ def calendar_grid(df: DataFrame, spec: PanelSpec, times: DataFrame | None = None
     return units.join(F.broadcast(cal)).select(*spec.unit, F.explode("__ts").alias(spec.time))
 
 
+def gap_runs(df: DataFrame, spec: PanelSpec, step: int = 1) -> DataFrame:
+    """The absent times of every unit as runs (unit, gap_start, gap_end, gap_length) inside the
+    panel's span, found between neighbouring rows: one window over the rows that are there, and one
+    row for each gap, however long. The span is read first (one aggregate; `df` should be a written
+    frame). A unit whose times are all null is one gap; rows without a time count for nothing else."""
+    lo, hi = df.agg(F.min(spec.time), F.max(spec.time)).first()
+    kind = df.schema[spec.time].dataType
+    dated = kind.simpleString() == "date"
+    lo, hi, t = F.lit(lo).cast(kind), F.lit(hi).cast(kind), F.col(spec.time)
+    w = spec.window()
+    plus = lambda c, n: (F.date_add(c, n) if dated else c + F.lit(n)).cast(kind)
+    run = lambda a, b: F.when(a <= b, F.struct(a.alias("gap_start"), b.alias("gap_end")))
+    before = F.coalesce(plus(F.lag(t).over(w), step), lo)
+    last = t.isNotNull() & F.lead(t).over(w).isNull()
+    never = F.max(t).over(spec.unit_window()).isNull() & (F.row_number().over(w) == 1)
+    runs = F.array(F.when(t.isNotNull(), run(before, plus(t, -step))), F.when(last, run(plus(t, step), hi)), F.when(never, run(lo, hi)))
+    out = df.select(*spec.unit, F.array_compact(runs).alias("__runs"))
+    out = out.select(*spec.unit, F.explode("__runs").alias("__run")).select(*spec.unit, "__run.*")
+    size = (F.datediff("gap_end", "gap_start") if dated else F.col("gap_end") - F.col("gap_start"))
+    return out.withColumn("gap_length", (F.floor(size / step) + 1).cast("long"))
+
+
+def _missing(df: DataFrame, spec: PanelSpec, step: int) -> DataFrame:
+    """The unit-time rows inside the gaps: rows only for what is missing."""
+    step_e = F.expr(f"INTERVAL {step} DAY") if df.schema[spec.time].dataType.simpleString() == "date" else F.lit(step)
+    return gap_runs(df, spec, step).select(*spec.unit, F.explode(F.sequence("gap_start", "gap_end", step_e)).alias(spec.time))
+
+
 def complete_panel(df: DataFrame, spec: PanelSpec, times: DataFrame | None = None,
                    fill: Mapping[str, object] | None = None, step: int = 1,
                    flag: str | None = None) -> DataFrame:
     """Add the missing unit-time rows; listed columns of added rows get the fill
-    value, other columns stay null. `flag` names an optional 0/1 column marking added rows."""
+    value, other columns stay null. `flag` names an optional 0/1 column marking added rows. Without
+    a calendar of its own the panel's span is completed: the rows that are there are kept (but those
+    without a time) and the gaps' rows added, no unit x time grid is joined."""
+    fill, order = dict(fill or {}), [*spec.keys, *[c for c in df.columns if c not in spec.keys]]
+    if times is None and step == 1:
+        added = _missing(df, spec, step).withColumns({c: F.lit(v).cast(dict(df.dtypes)[c]) for c, v in fill.items()})
+        here = df.filter(F.col(spec.time).isNotNull())
+        if flag:
+            here, added = here.withColumn(flag, F.lit(0)), added.withColumn(flag, F.lit(1))
+        return here.unionByName(added, allowMissingColumns=True).select(*order, *([flag] if flag else []))
     grid = calendar_grid(df, spec, times, step)
     src = df.withColumn("__have", F.lit(1))
     out = grid.join(src, spec.keys, "left")
-    for c, v in (fill or {}).items():
+    for c, v in fill.items():
         out = out.withColumn(c, F.when(F.col("__have").isNull(), F.lit(v).cast(dict(df.dtypes)[c]))
                              .otherwise(F.col(c)))
     if flag:
@@ -178,4 +215,6 @@ def insert_times(df: DataFrame, spec: PanelSpec, times: Sequence) -> DataFrame:
 
 def panel_gaps(df: DataFrame, spec: PanelSpec, times: DataFrame | None = None, step: int = 1) -> DataFrame:
     """Unit-time rows absent from the panel (empty = balanced)."""
+    if times is None and step == 1:
+        return _missing(df, spec, step)
     return calendar_grid(df, spec, times, step).join(df.select(*spec.keys), spec.keys, "left_anti")

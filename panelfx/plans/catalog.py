@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from ..functions import (agg_expr, clean_label, finite_or_null, index_to_date, iso_week, member_flag, null_if_negative,
                          parse_date, ratio, relative_time, sign_flag, threshold_flag, zero_over_zero)
-from ..operators import aggregate, cohort, columns, events, fe, infer, merge, panel, pools, quality, series, synth, tables
+from ..operators import aggregate, cohort, columns, events, fe, infer, merge, panel, pools, quality, segments, series, synth, tables
 from ..session import materialize, shared_path
 from ..sources import testpanel as tp
-from ..sources.io import export_csv, read_csv, read_stage, read_table, read_wide_csv, write_stage
+from ..sources.io import export_csv, read_csv, read_stage, read_table, read_wide_csv, read_wide_csv_long, write_stage
 
 SPEC = tp.SPEC
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,28 @@ def _labelled(spark, sf) -> DataFrame:
 EXPOSURES = {"p50": 50.0, "p70": 70.0, "p90": 90.0}
 
 
+SEGMENT = 2_000
+
+
+def q_long_unit_series(spark, sf):
+    """W1, W3-W9 where one unit holds a third of all rows: order by order, every third order
+    belongs to unit 0 and the others to their customers; the rows are cut into time segments."""
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"])
+    spec = tp.PanelSpec("u", "t")
+    cents = F.round(F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint") % 1000 - 400
+    o = o.select(F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey")).cast("bigint").alias("u"), F.col("o_orderkey").cast("bigint").alias("t"),
+                 cents.alias("x"), F.when(F.col("o_orderkey") % 7 != 0, cents).alias("y"))
+    rows = segments.numbered(o, spec, SEGMENT)
+    rows = segments.running_total(rows, spec, "y", "cum")
+    rows = segments.repair_last_good(rows, spec, "x", "x_last_good")
+    rows = segments.over_segments(rows, spec, lambda s: {
+        "step": series.decumulate_expr(s, "x", "total"), "x_null": series.repair_negative_expr(s, "x", "null"),
+        "x_prev": series.repair_negative_expr(s, "x", "previous"), "x_lag14": series.lag_expr(s, "x", 14),
+        "x_avg8_14": series.lagged_mean_expr(s, "x", 14, 8), "y_roll7": series.rolling_sum_expr(s, "y", 7),
+        "y_filled": series.interpolate_gap_expr(s, "y")}, back=14, ahead=1, length=SEGMENT)
+    return rows.drop("__pos", "__seg")
+
+
 # ---------------------------------------------------------------- step 2: panel
 
 def _wide(p: DataFrame) -> DataFrame:
@@ -217,6 +239,12 @@ def q_panel_gaps(spark, sf):
     return panel.panel_gaps(p, SPEC)
 
 
+def q_panel_gap_runs(spark, sf):
+    """Y1 as runs: customers' absent weeks, one row for each gap however long."""
+    p = materialize(tp.customer_panel(spark, sf).select("c", "t"))
+    return panel.gap_runs(p, CUSTOMER)
+
+
 # ---------------------------------------------------------------- step 3: merges
 
 def _two_sources(spark, sf):
@@ -507,6 +535,21 @@ def q_cohorts_with_missing(spark, sf):
     return coh.select("exposure", "treated_unit", "outcome", "u", "t", "Y", "mob", "treated", "event_time", "day_one", "id")
 
 
+def q_cohort_ledger(spark, sf):
+    """E5's rules on a panel where each of them fires: outcomes missing for every seventh unit's weeks
+    without orders, covariates for every third's, rows for every eleventh's; cohorts that lost their
+    treated unit are reported too."""
+    c = _completed(spark, sf, fill=False).select("u", "t", "n", "mob", "added")
+    c = c.withColumns({"n0": F.coalesce("n", F.lit(0)), "mob0": F.coalesce("mob", F.lit(0.0))})
+    y = F.when((F.col("u") % 7 != 1) | (F.col("added") == 0), F.col("n0") / (F.col("n0") + 1.0))
+    mob = F.when((F.col("u") % 3 != 0) | (F.col("added") == 0), F.col("mob0"))
+    p = c.filter((F.col("u") % 11 != 2) | (F.col("added") == 0)).withColumns({"y": y, "w": y * 0.95, "m": mob, "dose": tp.dose_expr(n="n0")})
+    p = materialize(p.select("u", "t", "y", "w", "m", *[threshold_flag("dose", cut).alias(n) for n, cut in EXPOSURES.items()]))
+    rules = cohort.CohortRules(covariate="m", outcome_limit=0.85, max_share=0.01)
+    grid = cohort.cohort_grid(_treated_units(spark, sf), "u", list(EXPOSURES), ["y", "w"])
+    return cohort.cohort_ledger(p, SPEC, grid, ["y", "w"], {n: n for n in EXPOSURES}, rules)
+
+
 def q_cohort_bounds(spark, sf):
     """First time and event time per cohort."""
     return cohort.cohort_bounds(_cohorts(spark, sf))
@@ -820,6 +863,13 @@ def q_wide_csv_round_trip(spark, sf):
     return panel.wide_to_long(wide, ["u"], "v", "day", "cum")
 
 
+def q_wide_csv_long(spark, sf):
+    """S1 + P1 in one pass: the same wide file, its lines split once and exploded by position."""
+    p = _cumulative(tp.order_panel(spark, sf, with_dose=False).select("u", "t", "delta"))
+    path = export_csv(_wide(p), shared_path(spark, "csv"))
+    return read_wide_csv_long(spark, path, T.StructType([T.StructField("u", T.IntegerType())]), "v", "day", "cum")
+
+
 QUERIES: dict[str, Query] = {
     "test_panel": q_test_panel,
     "smoothed_ratio": q_smoothed_ratio,
@@ -842,6 +892,8 @@ QUERIES: dict[str, Query] = {
     "interpolate_gaps": q_interpolate_gaps,
     "fill_missing_dates": q_fill_missing_dates,
     "panel_gaps": q_panel_gaps,
+    "panel_gap_runs": q_panel_gap_runs,
+    "long_unit_series": q_long_unit_series,
     "merge_all": q_merge_all,
     "merge_match": q_merge_match,
     "merge_left": q_merge_left,
@@ -879,6 +931,7 @@ QUERIES: dict[str, Query] = {
     "supplier_fe_split": q_supplier_fe_split,
     "supplier_fe_certificates": q_supplier_fe_certificates,
     "cohort_bounds": q_cohort_bounds,
+    "cohort_ledger": q_cohort_ledger,
     "synth_gaps_uniform": q_synth_gaps_uniform,
     "rmspe_uniform": q_rmspe_uniform,
     "placebo_pvalues_uniform": q_placebo_pvalues_uniform,
@@ -901,4 +954,5 @@ QUERIES: dict[str, Query] = {
     "stage_round_trip": q_stage_round_trip,
     "csv_round_trip": q_csv_round_trip,
     "wide_csv_round_trip": q_wide_csv_round_trip,
+    "wide_csv_long": q_wide_csv_long,
 }

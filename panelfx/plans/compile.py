@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import index_to_date, null_if_negative, parse_date, ratio, sign_flag
 from ..operators import aggregate, merge, panel, quality, series
-from ..sources.io import read_csv, read_wide_csv
+from ..sources.io import read_csv, read_wide_csv_long
 from ..spec import PanelSpec
 
 # Fixed values of the source files.
@@ -65,12 +65,18 @@ COUNTY = PanelSpec(("state", "countyname"), "day")
 FIPS_DAY = PanelSpec("countyfips", "date")
 
 
-def _long_counts(wide: DataFrame, value: str) -> DataFrame:
-    ids = [f.name for f in ID_SCHEMA.fields if f.name in wide.columns]
-    long = panel.wide_to_long(wide, ids, "v", "day", value)
+def _long_counts(counts: DataFrame, value: str) -> DataFrame:
+    """Cumulative counts by county and day, from one column per day or already long (day, total)."""
+    ids = [f.name for f in ID_SCHEMA.fields if f.name in counts.columns]
+    long = counts.withColumnRenamed("total", value) if "day" in counts.columns else panel.wide_to_long(counts, ids, "v", "day", value)
     return long.withColumn("date", index_to_date("day", DAY_BASE))
 
 
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """A wide count file as (ids, day, total) rows, its lines split once."""
+    return read_wide_csv_long(spark, path, ID_SCHEMA, "v", "day", "total")
+
+
 def deaths_stage(wide: DataFrame) -> DataFrame:
     """Daily deaths from cumulative totals; the first day keeps its total. Negative
     daily values are kept (they are reported, not repaired, at this stage)."""
@@ -140,8 +146,8 @@ def compile_panel(health: DataFrame, exposure: DataFrame, mobility: DataFrame) -
 
 def compile_from_files(spark: SparkSession, deaths_csv: str, cases_csv: str, exposure_csv: str,
                        mobility_csv: str) -> DataFrame:
-    deaths = deaths_stage(read_wide_csv(spark, deaths_csv, ID_SCHEMA))
-    cases = cases_stage(read_wide_csv(spark, cases_csv, ID_SCHEMA))
+    deaths = deaths_stage(read_counts(spark, deaths_csv))
+    cases = cases_stage(read_counts(spark, cases_csv))
     exposure = exposure_stage(read_csv(spark, exposure_csv, EXPOSURE_SCHEMA))
     mobility = mobility_stage(read_csv(spark, mobility_csv, MOBILITY_SCHEMA))
     return compile_panel(health_stage(cases, deaths), exposure, mobility)

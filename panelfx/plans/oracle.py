@@ -673,3 +673,62 @@ SQL["csv_round_trip"] = with_(PANEL, SHIP) + "SELECT u, t, n, k FROM ship"
 SQL["wide_csv_round_trip"] = with_(PANEL, CUM, """
 us_ AS (SELECT DISTINCT u FROM cum_), ts_ AS (SELECT DISTINCT t FROM cum_)""") + """
 SELECT us_.u, ts_.t + 5 AS day, c.cum FROM us_ CROSS JOIN ts_ LEFT JOIN cum_ c ON c.u = us_.u AND c.t = ts_.t"""
+
+SQL["wide_csv_long"] = SQL["wide_csv_round_trip"]
+
+# ------------------------------------------------------------------ gaps as runs, long units, the rule ledger
+
+SQL["panel_gap_runs"] = SQL["customer_complete_panel"].split("cg0_ AS")[0].rstrip().rstrip(",") + """,
+ct_ AS (SELECT c, t, lag(t) OVER (PARTITION BY c ORDER BY t) AS p, lead(t) OVER (PARTITION BY c ORDER BY t) AS q, lo, hi FROM cp_, cb_),
+cr_ AS (SELECT c, CAST(coalesce(p + 1, lo) AS INTEGER) AS gap_start, CAST(t - 1 AS INTEGER) AS gap_end FROM ct_
+        UNION ALL SELECT c, CAST(t + 1 AS INTEGER), hi FROM ct_ WHERE q IS NULL)
+SELECT c, gap_start, gap_end, CAST(gap_end - gap_start + 1 AS BIGINT) AS gap_length FROM cr_ WHERE gap_start <= gap_end"""
+
+SQL["long_unit_series"] = """
+WITH o_ AS (
+  SELECT CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS BIGINT) AS u, CAST(o_orderkey AS BIGINT) AS t,
+         CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) % 1000 - 400 AS x FROM orders),
+y_ AS (SELECT *, CASE WHEN t % 7 <> 0 THEN x END AS y FROM o_)
+SELECT u, t, x, y, CAST(sum(y) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum,
+       CASE WHEN x < 0 THEN last(CASE WHEN x >= 0 THEN x END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+            ELSE x END AS x_last_good,
+       CASE WHEN row_number() OVER w = 1 THEN x ELSE x - lag(x) OVER w END AS step,
+       CASE WHEN x >= 0 THEN x END AS x_null, CASE WHEN x < 0 THEN lag(x) OVER w ELSE x END AS x_prev, lag(x, 14) OVER w AS x_lag14,
+       CASE WHEN count(x) OVER (w ROWS BETWEEN 14 PRECEDING AND 8 PRECEDING) = 7
+            THEN CAST(sum(x) OVER (w ROWS BETWEEN 14 PRECEDING AND 8 PRECEDING) AS DOUBLE) / 7.0 END AS x_avg8_14,
+       CASE WHEN count(y) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) = 7
+            THEN CAST(sum(y) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) END AS y_roll7,
+       coalesce(y, (lag(y) OVER w + lead(y) OVER w) / 2.0) AS y_filled
+FROM y_ WINDOW w AS (PARTITION BY u ORDER BY t)"""
+
+SQL["cohort_ledger"] = with_(PANEL, CPANEL, f"""
+lp_ AS (SELECT u, t, CASE WHEN u % 7 <> 1 OR added = 0 THEN coalesce(n, 0) / (coalesce(n, 0) + 1.0) END AS y,
+               CASE WHEN u % 3 <> 0 OR added = 0 THEN coalesce(mob, 0.0) END AS m,
+               CASE WHEN u % 5 = 3 AND t >= 200 + u AND t < 205 + u THEN CAST(60.0 + (t % 5) * 10 AS DOUBLE)
+                    ELSE CAST((coalesce(n, 0) * 7) % 40 AS DOUBLE) END AS dose
+        FROM cpn_ WHERE u % 11 <> 2 OR added = 0),
+lf_ AS (SELECT *, {_FLAGS} FROM lp_),
+lb_ AS (SELECT u, t, m, p50, p70, p90, 'y' AS outcome, y AS v FROM lf_ UNION ALL SELECT u, t, m, p50, p70, p90, 'w', y * 0.95 FROM lf_),
+ls_ AS (SELECT u, outcome, max(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS ym, max(CASE WHEN m IS NULL THEN 1 ELSE 0 END) AS cm,
+               CASE WHEN count(*) <> (SELECT count(DISTINCT t) FROM lf_) THEN 1 ELSE 0 END AS gap,
+               max(CASE WHEN v > 0.85 THEN 1 ELSE 0 END) AS yh, avg(p50) AS p50, avg(p70) AS p70, avg(p90) AS p90 FROM lb_ GROUP BY u, outcome),
+ll_ AS (SELECT exposure, outcome, u, ym + 2 * cm + 4 * gap + 8 * yh + CASE WHEN coalesce({_case_exp('')} <= 0.01, false) THEN 0 ELSE 16 END AS failed
+        FROM ls_ CROSS JOIN (VALUES {", ".join(f"('{n}')" for n in _EXPS)}) e(exposure)),
+lq_ AS (SELECT exposure, outcome, count(CASE WHEN failed = 0 THEN 1 END) AS donors,
+               {", ".join(f"count(CASE WHEN failed & {b} <> 0 THEN 1 END) AS barred_{n}" for n, b in
+                          (("missing_outcome", 1), ("missing_covariate", 2), ("gaps", 4), ("outcome_limit", 8), ("exposure_share", 16)))}
+        FROM ll_ GROUP BY 1, 2),
+le_ AS ({" UNION ALL ".join(f"SELECT u AS treated_unit, '{n}' AS exposure, min(t) AS event_time FROM lf_ WHERE {n} = 1 GROUP BY u" for n in _EXPS)}),
+lg_ AS (SELECT DISTINCT e.exposure, CAST(n_nationkey AS INTEGER) AS treated_unit, o.outcome FROM nation JOIN region ON n_regionkey = r_regionkey
+        CROSS JOIN (VALUES {", ".join(f"('{n}')" for n in _EXPS)}) e(exposure) CROSS JOIN (VALUES ('y'), ('w')) o(outcome)
+        WHERE n_name IN {_ELIG} AND r_name = 'EUROPE'),
+lr_ AS (SELECT lg_.*, ll_.failed AS treated_failed, le_.event_time, lq_.* EXCLUDE (exposure, outcome),
+               coalesce(donors, 0) - CASE WHEN ll_.failed = 0 THEN 1 ELSE 0 END AS n_donors
+        FROM lg_ LEFT JOIN lq_ USING (exposure, outcome)
+        LEFT JOIN ll_ ON ll_.exposure = lg_.exposure AND ll_.outcome = lg_.outcome AND ll_.u = lg_.treated_unit
+        LEFT JOIN le_ ON le_.treated_unit = lg_.treated_unit AND le_.exposure = lg_.exposure)""") + """
+SELECT exposure, treated_unit, outcome, treated_failed, event_time, n_donors, barred_missing_outcome, barred_missing_covariate, barred_gaps,
+       barred_outcome_limit, barred_exposure_share,
+       CASE WHEN treated_failed IS NULL OR treated_failed & 7 <> 0 THEN 'no treated unit' WHEN event_time IS NULL THEN 'no event'
+            WHEN n_donors = 0 THEN 'no donors' ELSE 'complete' END AS status
+FROM lr_"""
