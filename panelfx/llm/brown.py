@@ -2,7 +2,9 @@
 
 Model: p(w | previous) = p(class(w) | class(previous)) * p(w | class(w)).
 
-1. Word counts over all training texts (one aggregate, map-side combined).
+1. Word counts over all training texts (one aggregate, map-side combined). With them the items
+   are known, and each training text is written once as the item numbers of its words, END
+   between texts; all further counts are array work on that integer corpus.
 2. Items: the WORDS most frequent words are items of their own; every other word, seen or
    not, belongs to the item of its last TAIL bytes, of which the ENDINGS most frequent are
    kept and the rest share one item. So every word has an item, and what the driver
@@ -25,7 +27,7 @@ Model: p(w | previous) = p(class(w) | class(previous)) * p(w | class(w)).
 
 Scale: the count table grows with the vocabulary and is never collected. What reaches the
 driver is HEAD words, at most (items + 1)^2 bigram counts, and for each word over FLOOR a
-60-bit key and two numbers (20 bytes, broadcast as 16; words whose keys collide share a
+64-bit key and two numbers (20 bytes, broadcast as 16; words whose keys collide share a
 class), so the clustered vocabulary grows with the data.
 
 Defined results. Null or empty text: END alone, scored after END. Rows that repeat: each
@@ -36,15 +38,15 @@ Ties in frequency: the smaller word first.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import uuid
 import warnings
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,10 +59,11 @@ TAIL = 3           # bytes of an ending
 CLASSES = 64
 SWEEPS = 200
 FLOOR = 50         # a further word has a class of its own from so many occurrences on
-HEAD = 100_000     # most frequent words whose counts are broadcast
+HEAD = 250_000     # most frequent words whose counts are broadcast
 DELTA = 0.5
 BACKOFF = 5.0
 MEMO = 100_000
+AROUND = 64        # further words whose neighbours' counts travel in one row
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -93,40 +96,61 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 # ------------------------------------------------------------------ items
 
-def word_key(word: bytes) -> int:
-    """The first 15 hexadecimal digits of the word's MD5."""
-    return int(hashlib.md5(word).hexdigest()[:15], 16)
+def word_keys(ws: list[bytes]) -> np.ndarray:
+    """The words' XXH64 (seed 42), signed: what Spark's xxhash64 gives for them."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in ws], np.uint64).view(np.int64)
+
+
+class Memo(dict):
+    """Numbers of words: the given ones, and a bounded memory of those `many` has computed."""
+
+    def __init__(self, fixed: dict[bytes, int]):
+        super().__init__(fixed)
+        self.added: list[bytes] = []
+
+    def many(self, ws: list[bytes]) -> np.ndarray:
+        raise NotImplementedError
+
+    def numbers(self, ws: list[bytes]) -> np.ndarray:
+        s = np.fromiter(map(self.get, ws, repeat(-1)), np.int64, len(ws))
+        open_ = np.flatnonzero(s < 0).tolist()
+        if open_:
+            new = list(dict.fromkeys([ws[i] for i in open_]))
+            found = dict(zip(new, self.many(new).tolist()))
+            s[open_] = [found[ws[i]] for i in open_]
+            if len(self.added) > MEMO:
+                for w in self.added:
+                    del self[w]
+                self.added = []
+            keep = [w for w in new if len(w) <= 64]
+            self.update((w, found[w]) for w in keep)
+            self.added += keep
+        return s
+
+    def __missing__(self, word: bytes) -> int:
+        return int(self.many([word])[0])
 
 
-class Items(dict):
+class Items(Memo):
     """Item number of a word: frequent words have their own, further words (`keys`, sorted)
     the numbers from `size` on, others that of their ending; 0 is END, 1 the item of all
     other endings."""
 
     def __init__(self, frequent: list[bytes], endings: list[bytes], keys: np.ndarray | None = None):
         super().__init__({w: 2 + i for i, w in enumerate(frequent)})
-        self.frequent = dict(self)
         self.endings = {e: 2 + len(frequent) + i for i, e in enumerate(endings)}
         self.size = 2 + len(frequent) + len(endings)
         self.keys = keys if keys is not None and len(keys) else None
 
-    def rare(self, word: bytes) -> int:
-        """The item of a word that is not frequent."""
+    def many(self, ws: list[bytes]) -> np.ndarray:
+        """The items of words that are not frequent."""
+        out = np.array([self.endings.get(w[-TAIL:], 1) for w in ws], np.int64)
         if self.keys is not None:
-            k = word_key(word)
-            at = int(self.keys.searchsorted(k))
-            if at < len(self.keys) and self.keys[at] == k:
-                return self.size + at
-        return self.endings.get(word[-TAIL:], 1)
-
-    def __missing__(self, word: bytes) -> int:
-        i = self.rare(word)
-        if len(self) > MEMO:
-            self.clear()
-            self.update(self.frequent)
-        if len(word) <= 64:
-            self[word] = i
-        return i
+            k = word_keys(ws)
+            at = np.minimum(self.keys.searchsorted(k), len(self.keys) - 1)
+            hit = self.keys[at] == k
+            out[hit] = self.size + at[hit]
+        return out
 
 
 _ITEMS: dict = {}
@@ -151,30 +175,56 @@ def _ending(word: Column) -> Column:
     return F.when(F.octet_length(word) <= TAIL, word).otherwise(F.substring(word, -TAIL, TAIL))
 
 
-def item_bigrams(df: DataFrame, frequent: list[bytes], endings: list[bytes], text: str = "text") -> np.ndarray:
-    """Counts of neighbouring items over all texts, END before and after each text."""
-    shared = df.sparkSession.sparkContext.broadcast((frequent, endings))
-    key, size = uuid.uuid4().hex, 2 + len(frequent) + len(endings)
-    schema = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
+def corpus(df: DataFrame, frequent: list[bytes], endings: list[bytes], keys: np.ndarray, text: str = "text") -> DataFrame:
+    """The texts as item numbers, written: each row a slice of texts as int32, END (0) before, between
+    and after them."""
+    shared = df.sparkSession.sparkContext.broadcast((frequent, endings, keys))
+    key = uuid.uuid4().hex
 
     def run(batches):
         from panelfx.llm import brown as here
         item = here.worker_items(key, *shared.value)
-        total = np.zeros(size * size, np.int64)
         for batch in batches:
             for start, n in common.text_slices(batch.column(0)):
-                seq = [0]
-                for t in batch.column(0).slice(start, n).to_pylist():
-                    seq += map(item.__getitem__, here.words(t))
-                    seq.append(0)
-                s = np.array(seq, np.int64)
-                pair, times = np.unique(s[:-1] * size + s[1:], return_counts=True)
-                total[pair] += times
+                ids, _, _ = here.laid_out(item, batch.column(0).slice(start, n).to_pylist(), 0)
+                ids = np.concatenate([np.zeros(1, np.int32), ids.astype(np.int32)])
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], names=["ids"])
+
+    return common.stage(df.select(text).mapInArrow(run, "ids binary"), "corpus")
+
+
+def laid_out(memo: Memo, texts: list[str | None], end: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The numbers of the texts' words with `end` after each text, the words, and the words' texts."""
+    lists = [words(t) for t in texts]
+    flat = list(chain.from_iterable(lists))
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    out = np.full(len(flat) + len(lists), end, np.int64)
+    out[np.arange(len(flat)) + row] = memo.numbers(flat)
+    return out, flat, row
+
+
+def bigrams(ids: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """Counts of neighbours over the corpus `ids`, each number taken as `of` it (below `size`)."""
+    shared = ids.sparkSession.sparkContext.broadcast(of.astype(np.int32))
+    schema = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        of, total, held, n = shared.value, np.zeros(size * size, np.int64), [], 0
+        for batch in batches:
+            for cell in batch.column(0):
+                s = of[np.frombuffer(cell.as_buffer(), np.int32)].astype(np.int64)
+                held.append(s[:-1] * size + s[1:])
+                n += len(s)
+                if n > 2_000_000:
+                    total += np.bincount(np.concatenate(held), minlength=size * size)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=size * size)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000]), pa.array(total[at[i:i + 100_000]])], names=["pair", "n"])
 
-    got = df.select(text).mapInArrow(run, schema).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = ids.mapInArrow(run, schema).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     if got.num_rows:
         out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
@@ -266,74 +316,13 @@ def further_words(counts: DataFrame, frequent: list[bytes], endings: list[bytes]
     own = spark.createDataFrame([(w,) for w in frequent], "word binary")
     ends = spark.createDataFrame([(e, i + 2 + len(frequent)) for i, e in enumerate(endings)], "e binary, item int")
     rest = counts.filter(F.col("n") >= FLOOR).join(F.broadcast(own), "word", "left_anti").withColumn("e", _ending(F.col("word")))
-    key = F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("long")
-    got = rest.join(F.broadcast(ends), "e", "left").select(key.alias("key"), F.coalesce("item", F.lit(1)).alias("item")) \
+    got = rest.join(F.broadcast(ends), "e", "left").select(F.xxhash64("word").alias("key"), F.coalesce("item", F.lit(1)).alias("item")) \
         .groupBy("key").agg(F.min("item").alias("item")).toArrow()
     keys, items = got.column("key").to_numpy().astype(np.int64), got.column("item").to_numpy().astype(np.int64)
     order = np.argsort(keys)
     return keys[order], items[order]
 
 
-def _class_counts(df: DataFrame, tables, classes: int, text: str, further: bool) -> DataFrame:
-    """(code, n) over all texts, END before and after each. Neighbouring classes: code is
-    class before * classes + class after. If `further`, instead what stands around each
-    further word j: j * (2 * classes + 1) plus the class before it, or classes plus the
-    class after it, or 2 * classes for a pair of j with itself."""
-    shared = df.sparkSession.sparkContext.broadcast(tables)
-    key, width = uuid.uuid4().hex, 2 * classes + 1
-    schema = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
-
-    def run(batches):
-        from panelfx.llm import brown as here
-        frequent, endings, keys, cls = shared.value
-        item = here.worker_items(key, frequent, endings, keys)
-        held = []  # (codes, counts)
-
-        def merged():
-            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
-
-        def batches_of(codes, n):
-            for i in range(0, len(codes), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[i:i + 100_000]), pa.array(n[i:i + 100_000])], names=["code", "n"])
-
-        for batch in batches:
-            for start, n in common.text_slices(batch.column(0)):
-                seq = [0]
-                for t in batch.column(0).slice(start, n).to_pylist():
-                    seq += map(item.__getitem__, here.words(t))
-                    seq.append(0)
-                s = np.array(seq, np.int64)
-                c = cls[s].astype(np.int64)
-                x, y, cx, cy = s[:-1], s[1:], c[:-1], c[1:]
-                if further:
-                    same, fx, fy = (x == y) & (x >= item.size), x >= item.size, y >= item.size
-                    code = np.concatenate([(x[same] - item.size) * width + 2 * classes,
-                                           (y[fy & ~same] - item.size) * width + cx[fy & ~same],
-                                           (x[fx & ~same] - item.size) * width + classes + cy[fx & ~same]])
-                else:
-                    code = cx * classes + cy
-                held.append(np.unique(code, return_counts=True))
-                if len(held) >= 32 or sum(len(k) for k, _ in held) > 1_000_000:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > 500_000:
-                        yield from batches_of(*held.pop())
-        if held:
-            yield from batches_of(*merged())
-
-    return df.select(text).mapInArrow(run, schema).groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def class_bigrams(df: DataFrame, tables, classes: int, text: str = "text") -> np.ndarray:
-    """Counts of neighbouring classes over all texts; `tables`: frequent words, endings,
-    keys of further words, class of every item and further word."""
-    got = _class_counts(df, tables, classes, text, False).toArrow()
-    out = np.zeros(classes * classes)
-    if got.num_rows:
-        out[got.column("code").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(classes, classes)
-
-
 def best_class(N: np.ndarray, a: int, wl: np.ndarray, wr: np.ndarray, self_n: float) -> int:
     """The class a word of class `a` goes to: that with the largest gain in the likelihood
     of the class bigrams `N`, as in exchange(); `wl` and `wr` count the classes before and
@@ -354,28 +343,73 @@ def best_class(N: np.ndarray, a: int, wl: np.ndarray, wr: np.ndarray, self_n: fl
     return a if gain[b] <= gain[a] + 1e-9 else b
 
 
-def assign(df: DataFrame, tables, N: np.ndarray, size: int, text: str = "text") -> np.ndarray:
-    """The class of each further word (`tables` as class_bigrams, of which N; `size` items)."""
-    classes, start = len(N), tables[3][size:].astype(np.int64)
+def _around(ids: DataFrame, cls: np.ndarray, size: int, classes: int) -> DataFrame:
+    """(block, codes, n): what stands around the further words (items from `size` on) of each block of
+    AROUND of them, as sorted codes and their counts. The code of word j of a block is
+    j * (2 * classes + 1) plus the class before it, or classes plus the class after it, or
+    2 * classes for a pair of the word with itself."""
+    shared = ids.sparkSession.sparkContext.broadcast(cls.astype(np.int32))
+    width = 2 * classes + 1
+    per = AROUND * width
+
+    def batch_of(held):
+        codes, n = np.unique(np.concatenate(held), return_counts=True)
+        block, first = np.unique(codes // per, return_index=True)
+        rel, n, last = (codes % per).astype(np.uint32), n.astype(np.uint32), np.append(first[1:], len(codes))
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, last)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(block), cut(rel), cut(n)], names=["block", "codes", "n"])
+
+    def run(batches):
+        cls, held, n = shared.value, [], 0
+        for batch in batches:
+            for cell in batch.column(0):
+                s = np.frombuffer(cell.as_buffer(), np.int32)
+                x, y = s[:-1], s[1:]
+                fx, fy, same = x >= size, y >= size, (x == y) & (x >= size)
+                before, after = fy & ~same, fx & ~same
+                held += [(x[same].astype(np.int64) - size) * width + 2 * classes,
+                         (y[before].astype(np.int64) - size) * width + cls[x[before]],
+                         (x[after].astype(np.int64) - size) * width + classes + cls[y[after]]]
+                n += sum(map(len, held[-3:]))
+                if n > 8_000_000:
+                    yield batch_of(held)
+                    held, n = [], 0
+        if n:
+            yield batch_of(held)
+
+    return ids.mapInArrow(run, "block long, codes binary, n binary")
+
+
+def assign(ids: DataFrame, cls: np.ndarray, N: np.ndarray, size: int) -> np.ndarray:
+    """The class of each further word of the corpus `ids`: `cls` gives the present class of every item
+    and further word, N their bigrams, `size` the number of items. A block's rows stream past and
+    are summed; no task holds more than one block's counts."""
+    classes, start = len(N), cls[size:].astype(np.int64)
     width = 2 * classes + 1
-    around = _class_counts(df, tables, classes, text, True)
-    around = around.groupBy(F.expr(f"code div {width}").alias("j")).agg(F.collect_list(F.struct((F.col("code") % width).alias("k"), "n")).alias("c"))
-    shared = df.sparkSession.sparkContext.broadcast((N, start))
+    shared = ids.sparkSession.sparkContext.broadcast((N, start))
     schema = T.StructType([T.StructField("j", T.LongType()), T.StructField("class", T.IntegerType())])
 
     def run(batches):
         from panelfx.llm import brown as here
         N, start = shared.value
+        block, total = None, np.zeros((AROUND, width))
+
+        def chosen():
+            js = np.flatnonzero(total.any(axis=1)) + block * AROUND
+            best = [here.best_class(N, int(start[j]), v[:classes], v[classes:-1], v[-1]) for j, v in zip(js, total[js - block * AROUND])]
+            return pa.RecordBatch.from_arrays([pa.array(js, pa.int64()), pa.array(best, pa.int32())], names=["j", "class"])
+
         for batch in batches:
-            out = []
-            for j, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = np.zeros(width)
-                for x in c:
-                    v[x["k"]] = x["n"]
-                out.append(here.best_class(N, int(start[j]), v[:classes], v[classes:-1], v[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["j", "class"])
-
-    got = around.mapInArrow(run, schema).toArrow()
+            for b, codes, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if b != block:
+                    if block is not None:
+                        yield chosen()
+                    block, total = b, np.zeros((AROUND, width))
+                total.reshape(-1)[np.frombuffer(codes.as_buffer(), np.uint32)] += np.frombuffer(n.as_buffer(), np.uint32)
+        if block is not None:
+            yield chosen()
+
+    got = _around(ids, cls, size, classes).repartition("block").sortWithinPartitions("block").mapInArrow(run, schema).toArrow()
     start[got.column("j").to_numpy()] = got.column("class").to_numpy()
     return start
 
@@ -395,17 +429,18 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     n_docs = train.count()
     n_words, v_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent, endings = choose_items(counts)
-    n = item_bigrams(train, frequent, endings, text)
+    keys, end_item = further_words(counts, frequent, endings)
+    ids = corpus(train, frequent, endings, keys, text)
+    size = 2 + len(frequent) + len(endings)
+    n = bigrams(ids, np.concatenate([np.arange(size), end_item]), size)
     of = exchange(n)
     classes = int(of.max()) + 1
     member = np.eye(classes)[of]
     N = member.T @ n @ member
-    keys, end_item = further_words(counts, frequent, endings)
     cls = of
     if len(keys):
-        cls = np.concatenate([of, of[end_item]])
-        cls = np.concatenate([of, assign(train, (frequent, endings, keys, cls), N, len(of), text)])
-        N = class_bigrams(train, (frequent, endings, keys, cls), classes, text)
+        cls = np.concatenate([of, assign(ids, np.concatenate([of, of[end_item]]), N, size)])
+        N = bigrams(ids, cls, classes)
 
     # words and occurrences of each class: endings on the JVM, frequent words known here
     own = counts.sparkSession.createDataFrame([(w,) for w in frequent], "word binary")
@@ -489,7 +524,7 @@ class Scorer:
         c = np.array([n for _, n in head] + [0] * (int(of.max()) + 1) + [n_docs], float)
         self.end = len(c) - 1
         self.n_head = len(heads)
-        cls = np.concatenate([of[[self.items[w] for w in heads]] if heads else np.empty(0, np.int64),
+        cls = np.concatenate([of[self.items.numbers(heads)] if heads else np.empty(0, np.int64),
                               np.arange(int(of.max()) + 1), [0]]).astype(np.int64)
         is_head = np.zeros(len(c), bool)
         is_head[:self.n_head] = True
@@ -502,20 +537,21 @@ class Scorer:
 
     def run(self, texts):
         """(row, word, times) of words outside the head, and per text: tokens, known, base, model."""
-        seq, sizes, rows, tail, times = [], [], [], [], []
-        slot, n_head = self.slots.__getitem__, self.n_head
-        for r, t in enumerate(texts):
-            ws = words(t)
-            s = list(map(slot, ws))
-            rare = Counter([w for w, k in zip(ws, s) if k >= n_head])
-            rows += [r] * len(rare)
-            tail += rare.keys()
-            times += rare.values()
-            seq += s
-            seq.append(self.end)
-            sizes.append(len(s) + 1)
-        s, size = np.array(seq, np.int64), np.array(sizes, np.int64)
+        s, flat, row = laid_out(self.slots, texts, self.end)
+        n = len(texts)
+        size = np.bincount(row, minlength=n) + 1
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        at = np.flatnonzero((s >= self.n_head) & (s != self.end)) if len(flat) else np.empty(0, np.int64)
+        of = np.searchsorted(starts, at, side="right") - 1           # the texts of the words outside the head
+        rare_words = [flat[i] for i in (at - of).tolist()]
+        bounds = np.searchsorted(of, np.arange(n + 1)).tolist()
+        rows, tail, times = [], [], []
+        for r, (i, j) in enumerate(zip(bounds, bounds[1:])):
+            if i < j:
+                rare = Counter(rare_words[i:j])
+                rows += [r] * len(rare)
+                tail += rare.keys()
+                times += rare.values()
         cls = self.cls[s]
         prev = np.empty_like(cls)
         prev[1:] = cls[:-1]
@@ -524,23 +560,17 @@ class Scorer:
         return rows, tail, times, (size, per(self.known[s]), per(self.base[s]), per(self.model[s] + self.log_trans[prev, cls]))
 
 
-class Slots(dict):
+class Slots(Memo):
     """Where a word's numbers stand in the scorer's tables: its place in the head, or the
     place of its class behind the head."""
 
     def __init__(self, scorer: Scorer, heads: list[bytes]):
         super().__init__({w: i for i, w in enumerate(heads)})
-        self.scorer, self.heads = scorer, heads
+        self.scorer = scorer
 
-    def __missing__(self, word: bytes) -> int:
+    def many(self, ws: list[bytes]) -> np.ndarray:
         s = self.scorer
-        i = s.n_head + int(s.of[s.items.rare(word)])
-        if len(self) > MEMO + s.n_head:
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self.heads))
-        if len(word) <= 64:
-            self[word] = i
-        return i
+        return s.n_head + s.of[s.items.numbers(ws)]
 
 
 _SCORERS: dict = {}

@@ -195,6 +195,40 @@ def test_model_sums_to_one(docs, monkeypatch):
     assert np.allclose((mass + brown.DELTA) / 10 ** model.log_room, 1)  # and one unseen word a class
 
 
+def test_brown_scores_against_plain_sums(docs, monkeypatch):
+    """Class bigrams counted word by word give the model's transitions, and every text's score is
+    the sum of its tokens' transition and emission, word by word."""
+    monkeypatch.setattr(brown, "HEAD", 50)
+    monkeypatch.setattr(brown, "WORDS", 40)
+    monkeypatch.setattr(brown, "ENDINGS", 30)
+    monkeypatch.setattr(brown, "CLASSES", 10)
+    monkeypatch.setattr(brown, "FLOOR", 4)
+    rows = list(enumerate(sample_texts(30))) + [(100, None), (101, ""), (102, "wholly unseen wörds")]
+    train = docs(rows[:25])
+    model = brown.fit(train.select("text"))
+    item = brown.Items(model.frequent, model.endings, model.keys)
+    assert len(model.keys) > 20
+    chain_of = lambda t: [0] + [int(model.of[item[w]]) for w in brown.words(t)] + [0]
+    classes = len(model.log_room)
+    N, seen = np.zeros((classes, classes)), {}
+    for _, t in rows[:25]:
+        c = chain_of(t)
+        for a, b in zip(c, c[1:]):
+            N[a, b] += 1
+        for w in brown.words(t):
+            seen[w] = seen.get(w, 0) + 1
+    uni = (N.sum(0) + 1) / (N.sum() + classes)
+    trans = (N + brown.BACKOFF * uni) / (N.sum(1)[:, None] + brown.BACKOFF)
+    assert np.allclose(np.log10(trans), model.log_trans, atol=1e-12)
+    got = {r.doc_id: r.score for r in brown.score(docs(rows), model).collect()}
+    for i, t in rows:
+        c, want = chain_of(t), 0.0
+        for a, b, w in zip(c, c[1:], brown.words(t) + [None]):
+            n = 25 if w is None else seen.get(w, 0)
+            want += math.log10(trans[a, b]) + math.log10(n + brown.DELTA) - model.log_room[b]
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+
+
 def test_brown_without_rows(empty, docs):
     assert brown.report(empty).collect() == []
 
