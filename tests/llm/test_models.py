@@ -199,9 +199,9 @@ def test_brown_scores_against_plain_sums(docs, monkeypatch):
     """Class bigrams counted word by word give the model's transitions, and every text's score is
     the sum of its tokens' transition and emission, word by word."""
     monkeypatch.setattr(brown, "HEAD", 50)
-    monkeypatch.setattr(brown, "WORDS", 40)
-    monkeypatch.setattr(brown, "ENDINGS", 30)
-    monkeypatch.setattr(brown, "CLASSES", 10)
+    choose, exchange = brown.choose_items, brown.exchange
+    monkeypatch.setattr(brown, "choose_items", lambda counts: choose(counts, 40, 30))
+    monkeypatch.setattr(brown, "exchange", lambda n: exchange(n, classes=10))
     monkeypatch.setattr(brown, "FLOOR", 2)
     rows = list(enumerate(sample_texts(30))) + [(100, None), (101, ""), (102, "wholly unseen wörds")]
     train = docs(rows[:25])
