@@ -41,11 +41,11 @@ from __future__ import annotations
 import math
 import uuid
 import warnings
-from collections import Counter
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +59,11 @@ TAIL = 3           # bytes of an ending
 CLASSES = 64
 SWEEPS = 200
 FLOOR = 50         # a further word has a class of its own from so many occurrences on
-HEAD = 250_000     # most frequent words whose counts are broadcast
+HEAD = 100_000     # most frequent words whose counts are broadcast
 DELTA = 0.5
 BACKOFF = 5.0
-MEMO = 100_000
+MEMO = 200_000
+SLICE_ROWS = 8_192  # texts at once, within the bytes of a slice
 AROUND = 64        # further words whose neighbours' counts travel in one row
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -72,24 +73,43 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER).split() if text else []
 
 
+def split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a column of texts (the empty string may be among them), and for every word
+    of the column, in order, its place among them and its text: `words` for a whole slice at once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    enc, row = lists.flatten().dictionary_encode(), lists.value_parent_indices().to_numpy()
+    kind = pa.large_binary() if pa.types.is_large_string(enc.dictionary.type) else pa.binary()
+    ws, at = enc.dictionary.cast(kind).to_pylist(), enc.indices.to_numpy()
+    if b"" in ws:               # white space at an end leaves an empty string there: it is no word
+        some = at != ws.index(b"")
+        at, row = at[some], row[some]
+    return ws, at.astype(np.int64), row.astype(np.int64)
+
+
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): how often each word occurs in all texts."""
     common.ship(df.sparkSession)
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
 
-    def batch_of(n):
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+    def merged(held):
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).select(["word", "n"])
 
     def run(batches):
-        n: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for start, size in common.text_slices(batch.column(0)):
-                n.update(chain.from_iterable(map(words, batch.column(0).slice(start, size).to_pylist())))
-                if len(n) > 150_000:
-                    yield batch_of(n)
-                    n = Counter()
-        if n:
-            yield batch_of(n)
+            for start, n in common.text_slices(batch.column(0), SLICE_ROWS):
+                ws, at, _ = split(batch.column(0).slice(start, n))
+                times = np.bincount(at, minlength=len(ws))
+                held.append(pa.table([pa.array(ws, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"]).filter(pa.array(times > 0)))
+                size += len(ws)
+                if size > 600_000:
+                    held = [merged(held)]
+                    size = len(held[0])
+                    if size > 300_000:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from merged(held).to_batches()
 
     return df.select(text).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -185,22 +205,21 @@ def corpus(df: DataFrame, frequent: list[bytes], endings: list[bytes], keys: np.
         from panelfx.llm import brown as here
         item = here.worker_items(key, *shared.value)
         for batch in batches:
-            for start, n in common.text_slices(batch.column(0)):
-                ids, _, _ = here.laid_out(item, batch.column(0).slice(start, n).to_pylist(), 0)
+            for start, n in common.text_slices(batch.column(0), SLICE_ROWS):
+                _, ids, _, _ = here.laid_out(item, batch.column(0).slice(start, n), 0)
                 ids = np.concatenate([np.zeros(1, np.int32), ids.astype(np.int32)])
                 yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], names=["ids"])
 
     return common.stage(df.select(text).mapInArrow(run, "ids binary"), "corpus")
 
 
-def laid_out(memo: Memo, texts: list[str | None], end: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """The numbers of the texts' words with `end` after each text, the words, and the words' texts."""
-    lists = [words(t) for t in texts]
-    flat = list(chain.from_iterable(lists))
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    out = np.full(len(flat) + len(lists), end, np.int64)
-    out[np.arange(len(flat)) + row] = memo.numbers(flat)
-    return out, flat, row
+def laid_out(memo: Memo, texts: pa.Array, end: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of the texts, the numbers of the texts' words with `end` after each text, and
+    for every word its place among the distinct ones and its text."""
+    ws, at, row = split(texts)
+    out = np.full(len(at) + len(texts), end, np.int64)
+    out[np.arange(len(at)) + row] = memo.numbers(ws)[at]
+    return ws, out, at, row
 
 
 def bigrams(ids: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
@@ -458,7 +477,8 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     V_c += np.bincount(cls[len(of):], minlength=classes) - (np.bincount(of[end_item], minlength=classes) if len(keys) else 0)
     uni = (N_c + 1) / (N_c.sum() + classes)
     trans = (N + BACKOFF * uni[None, :]) / (N.sum(1)[:, None] + BACKOFF)
-    head = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    head = list(zip(head["word"].to_pylist(), head["n"].to_pylist()))
     return Model(counts=counts, n_tokens=n_words + n_docs, n_types=v_words + (1 if n_docs else 0), n_docs=n_docs, frequent=frequent,
                  endings=endings, keys=keys, of=cls, log_trans=np.log10(trans), log_room=np.log10(N_c + DELTA * (V_c + 1)), head=head)
 
@@ -481,9 +501,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         from panelfx.llm import brown as here
         scorer = here.worker_scorer(key, tables.value)
         for batch in batches:
-            for start, n in common.text_slices(batch.column(2)):
+            for start, n in common.text_slices(batch.column(2), SLICE_ROWS):
                 part = batch.slice(start, n)
-                row, tail, times, stats = scorer.run(part.column(2).to_pylist())
+                row, tail, times, stats = scorer.run(part.column(2))
                 m = len(tail)
                 at = np.concatenate([np.array(row, np.int64), np.arange(n)])
                 ids, h = part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at))
@@ -535,29 +555,21 @@ class Scorer:
         self.model = np.where(is_head, np.log10(c + DELTA), 0.0) - log_room[cls]
         self.slots = Slots(self, heads)
 
-    def run(self, texts):
+    def run(self, texts: pa.Array):
         """(row, word, times) of words outside the head, and per text: tokens, known, base, model."""
-        s, flat, row = laid_out(self.slots, texts, self.end)
+        ws, s, at, row = laid_out(self.slots, texts, self.end)
         n = len(texts)
         size = np.bincount(row, minlength=n) + 1
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        at = np.flatnonzero((s >= self.n_head) & (s != self.end)) if len(flat) else np.empty(0, np.int64)
-        of = np.searchsorted(starts, at, side="right") - 1           # the texts of the words outside the head
-        rare_words = [flat[i] for i in (at - of).tolist()]
-        bounds = np.searchsorted(of, np.arange(n + 1)).tolist()
-        rows, tail, times = [], [], []
-        for r, (i, j) in enumerate(zip(bounds, bounds[1:])):
-            if i < j:
-                rare = Counter(rare_words[i:j])
-                rows += [r] * len(rare)
-                tail += rare.keys()
-                times += rare.values()
+        far = s[np.arange(len(at)) + row] >= self.n_head                 # words outside the head
+        pair, times = np.unique(row[far] * max(len(ws), 1) + at[far], return_counts=True)
+        rows, word = pair // max(len(ws), 1), pair % max(len(ws), 1)
         cls = self.cls[s]
         prev = np.empty_like(cls)
         prev[1:] = cls[:-1]
         prev[starts] = 0
         per = lambda x: np.add.reduceat(x, starts)
-        return rows, tail, times, (size, per(self.known[s]), per(self.base[s]), per(self.model[s] + self.log_trans[prev, cls]))
+        return rows, [ws[i] for i in word.tolist()], times, (size, per(self.known[s]), per(self.base[s]), per(self.model[s] + self.log_trans[prev, cls]))
 
 
 class Slots(Memo):

@@ -53,13 +53,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_slices(col: pa.Array) -> Iterator[tuple[int, int]]:
+def text_slices(col: pa.Array, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
     """(start, length) of consecutive slices of a text column, bounded in rows and bytes;
     a single text over the bound is a slice of its own."""
     start = size = 0
     lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
     for i, n in enumerate(lengths):
-        if i > start and (i - start >= SLICE_ROWS or size + n > SLICE_BYTES):
+        if i > start and (i - start >= rows or size + n > SLICE_BYTES):
             yield start, i - start
             start, size = i, 0
         size += n

@@ -145,6 +145,18 @@ def test_exchange_stops_where_no_single_move_helps():
             assert brown.likelihood(n, other) <= best + 1e-6
 
 
+def test_split_equals_words():
+    """Every ASCII character between letters, other white space, ends, null and empty texts."""
+    import pyarrow as pa
+    texts = [f"A{chr(c)}b{chr(c)}{chr(c)}C" for c in range(128)] + ["\u00a0x\u2003y\u0085z", " lead", "trail ", "  ", "", None, "ÀÉ Straße İ"]
+    texts += [t for _, t, _ in ODD] + sample_texts(10)
+    ws, at, row = brown.split(pa.array(texts, pa.string()))
+    got = [[] for _ in texts]
+    for i, r in zip(at.tolist(), row.tolist()):
+        got[r].append(ws[i])
+    assert got == [brown.words(t) for t in texts] and len(set(ws)) == len(ws)
+
+
 def plain_base(rows, train):
     counts, n = {}, 0
     tokens = lambda t: brown.words(t) + [None]
