@@ -62,8 +62,8 @@ FLOOR = 50         # a further word has a class of its own from so many occurren
 HEAD = 100_000     # most frequent words whose counts are broadcast
 DELTA = 0.5
 BACKOFF = 5.0
-MEMO = 200_000
-SLICE_ROWS = 8_192  # texts at once, within the bytes of a slice
+MEMO = 100_000
+SLICE_ROWS = 2_048  # texts at once, within the bytes of a slice
 AROUND = 64        # further words whose neighbours' counts travel in one row
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -102,10 +102,10 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
                 times = np.bincount(at, minlength=len(ws))
                 held.append(pa.table([pa.array(ws, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"]).filter(pa.array(times > 0)))
                 size += len(ws)
-                if size > 600_000:
+                if size > 300_000:
                     held = [merged(held)]
                     size = len(held[0])
-                    if size > 300_000:
+                    if size > 150_000:
                         yield from held[0].to_batches()
                         held, size = [], 0
         if held:
