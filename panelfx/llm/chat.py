@@ -7,8 +7,10 @@ line per call (RFC 8785: sorted keys, no white space, shortest numbers).
 Ordering. A call's place is (layer, position, call id). A dependency that points to an
 earlier position needs nothing more; only dependencies that point forward raise a layer:
 a call's layer is the largest number of forward-pointing dependencies on a way to it. Only
-conversations with such dependencies are iterated over. A call on a cycle, or behind one,
-has `cyclic` set and comes after all others of its conversation.
+conversations with such dependencies are iterated over, in rounds that settle every call
+whose needs are settled; there are as many rounds as the longest chain of needs has calls.
+A call on a cycle, or behind one, never settles: it has `cyclic` set, and its layer is one
+over the conversation's number of forward dependencies, after all others.
 
 Scale: first calls and first results are partial aggregates of their ids, then joined one
 to one, so an id with a third of all rows is one row; conversations are never collected,
@@ -18,7 +20,9 @@ Defined results. Repeated ids: the first by position (then by content) counts, n
 n_results tell how many there were. Result without call: status orphan. Call without
 result: unanswered. Null call ids link to nothing: every such row stands alone (status
 no_id). Arguments that are null, empty, or no JSON: invalid, written as null. A needed
-call that does not exist: an error of the call. Empty tables: empty result.
+call that does not exist: an error of the call. Very long contents are parsed and written whole,
+one row at a time. Only the named columns are read, so extra ones cannot clash. Empty
+tables: empty result.
 """
 
 from __future__ import annotations
@@ -173,25 +177,26 @@ def order(linked: DataFrame) -> DataFrame:
     if raised.limit(1).count() == 0:
         return out.withColumns({"layer": F.lit(0).cast("long"), "cyclic": F.lit(False)})
 
-    # a way without a cycle passes each forward dependency once, so a layer over their
-    # number means a cycle; it is held there, and the rounds end
+    # a call is settled once all it needs are; what never settles is on a cycle or behind one
     here = edges.join(raised, F.col("conv").eqNullSafe(F.col("b_conv")))
-    here = common.stage(here.select("conv", "child", "parent", "forward", "bound"), "affected")
-    layer = common.stage(here.select("conv", F.col("child").alias("id")).union(here.select("conv", F.col("parent").alias("id")))
-                         .distinct().withColumn("layer", F.lit(0).cast("long")), "layer")
-    while True:
-        up = here.join(layer.select(F.col("conv").alias("l_conv"), F.col("id").alias("l_id"), F.col("layer").alias("from")),
-                       F.col("conv").eqNullSafe(F.col("l_conv")) & (F.col("parent") == F.col("l_id")))
+    here = common.stage(here.select("conv", "child", "parent", "forward"), "affected")
+    open_needs = here.groupBy("conv", F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("open"))
+    ids = here.select("conv", F.col("child").alias("id"), F.lit(0).cast("long").alias("open")).union(
+        here.select("conv", F.col("parent").alias("id"), F.lit(0).cast("long").alias("open"))).union(open_needs.select("conv", "id", "open"))
+    state = common.stage(ids.groupBy("conv", "id").agg(F.max("open").alias("open"))
+                         .withColumns({"layer": F.lit(0).cast("long"), "fresh": F.col("open") == 0}), "layer")
+    while state.filter("fresh").limit(1).count():
+        new = state.filter("fresh").select(F.col("conv").alias("l_conv"), F.col("id").alias("l_id"), F.col("layer").alias("from"))
+        up = here.join(new, F.col("conv").eqNullSafe(F.col("l_conv")) & (F.col("parent") == F.col("l_id")))
         up = up.groupBy(F.col("conv").alias("u_conv"), F.col("child").alias("u_id")).agg(
-            F.max(F.least(F.col("from") + F.col("forward"), F.col("bound") + 1)).alias("to"))
-        step = common.stage(layer.join(up, F.col("conv").eqNullSafe(F.col("u_conv")) & (F.col("id") == F.col("u_id")), "left")
-                            .select("conv", "id", F.col("layer").alias("old"), F.greatest("layer", "to").alias("layer")), "layer")
-        changed = step.filter("layer <> old").limit(1).count()
-        layer = step.drop("old")
-        if not changed:
-            break
-    layer = layer.join(raised, F.col("conv").eqNullSafe(F.col("b_conv"))).select(
-        F.col("conv").alias("l_conv"), F.col("id").alias("l_id"), "layer", (F.col("layer") > F.col("bound")).alias("cyclic"))
+            F.count(F.lit(1)).alias("met"), F.max(F.col("from") + F.col("forward")).alias("to"))
+        step = state.join(up, F.col("conv").eqNullSafe(F.col("u_conv")) & (F.col("id") == F.col("u_id")), "left")
+        state = common.stage(step.select("conv", "id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"),
+                                         F.greatest("layer", "to").alias("layer"),
+                                         (F.col("met").isNotNull() & (F.col("open") == F.col("met"))).alias("fresh")), "layer")
+    layer = state.join(raised, F.col("conv").eqNullSafe(F.col("b_conv"))).select(
+        F.col("conv").alias("l_conv"), F.col("id").alias("l_id"), (F.col("open") > 0).alias("cyclic"),
+        F.when(F.col("open") > 0, F.col("bound") + 1).otherwise(F.col("layer")).alias("layer"))
     out = out.join(layer, F.col("conv").eqNullSafe(F.col("l_conv")) & (F.col("call_id") == F.col("l_id")), "left")
     return out.withColumns({"layer": F.coalesce("layer", F.lit(0)), "cyclic": F.coalesce("cyclic", F.lit(False))}).drop("l_conv", "l_id")
 

@@ -7,17 +7,37 @@ from __future__ import annotations
 SQL: dict[str, str] = {}
 
 SQL["op1_tool_calls"] = """
-WITH calls AS (
-  SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id FROM conversations WHERE role = 'user'),
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id, count(*) OVER (PARTITION BY conv_id, turn) AS n_calls,
+         list_filter(CASE length(text) % 4 WHEN 0 THEN [turn + 2] WHEN 2 THEN [turn - 2] WHEN 3 THEN [turn - 4, turn - 2] ELSE [] END,
+                     lambda x: x >= 0) AS needs
+  FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1),
 results AS (
-  SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
+  SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id, count(*) OVER (PARTITION BY conv_id, turn) AS n_results
+  FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1),
+wanted AS (SELECT conv_id, turn AS child, unnest(needs) AS parent FROM calls),
+edges AS (SELECT w.*, CAST(parent >= child AS BIGINT) AS forward FROM wanted w JOIN calls c ON c.conv_id = w.conv_id AND c.turn = w.parent),
+missing AS (SELECT DISTINCT conv_id, child FROM wanted w
+            WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = w.conv_id AND c.turn = w.parent)),
+sizes AS (SELECT conv_id, count(*) AS n FROM calls GROUP BY 1),
+bounds AS (SELECT conv_id, sum(forward) AS bound FROM edges GROUP BY 1),
+walk AS (  -- every way of needs from every call; one with as many steps as there are calls has met a cycle
+  SELECT conv_id, turn AS start, turn AS here, CAST(0 AS BIGINT) AS forwards, CAST(0 AS BIGINT) AS steps FROM calls
+  UNION ALL
+  SELECT w.conv_id, w.start, e.parent, w.forwards + e.forward, w.steps + 1
+  FROM walk w JOIN edges e ON e.conv_id = w.conv_id AND e.child = w.here JOIN sizes s ON s.conv_id = w.conv_id
+  WHERE w.steps < s.n),
+ends AS (SELECT w.conv_id, start, max(forwards) AS forwards, max(steps) >= any_value(s.n) AS cyclic FROM walk w JOIN sizes s USING (conv_id) GROUP BY 1, 2),
 j AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS turn, c.text AS prompt,
-         r.turn AS result_pos, r.text AS content,
+         r.turn AS result_pos, r.text AS content, c.needs, coalesce(c.n_calls, 0) AS n_calls, coalesce(r.n_results, 0) AS n_results,
          CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-         c.turn >= 2 AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.call_id = c.conv_id || ':' || (c.turn - 2)) AS missing
-  FROM calls c FULL JOIN results r ON c.call_id = r.call_id),
-e AS (
+         m.child IS NOT NULL AS missing, coalesce(e.cyclic, FALSE) AS cyclic,
+         CASE WHEN e.cyclic THEN b.bound + 1 ELSE coalesce(e.forwards, 0) END AS layer
+  FROM calls c FULL JOIN results r ON c.call_id = r.call_id
+  LEFT JOIN missing m ON m.conv_id = c.conv_id AND m.child = c.turn
+  LEFT JOIN ends e ON e.conv_id = c.conv_id AND e.start = c.turn LEFT JOIN bounds b ON b.conv_id = c.conv_id),
+f AS (
   SELECT *, CASE WHEN status = 'orphan' THEN '' ELSE concat_ws('; ',
       CASE WHEN length(prompt) < 1 THEN '$.n_chars: minimum' END,
       CASE WHEN length(prompt) < 1 THEN '$.prompt: minLength' END,
@@ -25,15 +45,15 @@ e AS (
       CASE WHEN turn > 6 THEN '$.turn: maximum' END,
       CASE WHEN missing THEN 'needs: missing' END) END AS errors
   FROM j)
-SELECT conv_id, call_id, turn, result_pos, status, CAST(0 AS BIGINT) AS layer, FALSE AS cyclic,
+SELECT conv_id, call_id, turn, result_pos, n_calls, n_results, status, CAST(layer AS BIGINT) AS layer, cyclic,
        status <> 'orphan' AND errors = '' AS valid, errors,
        '{"call":' || CASE WHEN status = 'orphan' THEN 'null' ELSE
          '{"arguments":{"n_chars":' || length(prompt) || ',"prompt":' || CAST(to_json(prompt) AS VARCHAR) || ',"turn":' || turn
-         || '},"id":"' || call_id || '","name":"ask","needs":'
-         || CASE WHEN turn >= 2 THEN '["' || conv_id || ':' || (turn - 2) || '"]' ELSE '[]' END || ',"turn":' || turn || '}' END
+         || '},"id":"' || call_id || '","name":"ask","needs":['
+         || array_to_string(list_transform(needs, lambda x: '"' || conv_id || ':' || x || '"'), ',') || '],"turn":' || turn || '}' END
        || ',"result":' || CASE WHEN result_pos IS NULL THEN 'null' ELSE
          '{"content":' || CAST(to_json(content) AS VARCHAR) || ',"id":"' || call_id || '","turn":' || result_pos || '}' END || '}' AS json
-FROM e"""
+FROM f"""
 
 # Words of decontamination: runs of ASCII digits, letters and non-ASCII characters.
 _WORDS6 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -97,15 +117,21 @@ ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n
 s AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
       FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN r USING (doc_id)),
-f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
-h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(base_failed AS INT)) AS DOUBLE) AS x FROM f GROUP BY 1),
-t AS (SELECT sum(n) AS N1, sum(x) AS X1, CAST(count(*) AS DOUBLE) AS H1, sum(n * n) AS nn, sum(x * x / n) AS xx FROM h),
-m AS (SELECT X1 / N1 AS m, CASE WHEN H1 > 1 THEN greatest(xx - X1 * X1 / N1, 0) / (H1 - 1) ELSE 0 END AS msb,
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * n_symbols > 10 * n_words AS fails_symbols,
+        100 * n_dup_lines > 5 * n_words AS fails_dup_lines, word_chars < 2 * n_words OR word_chars > 12 * n_words AS fails_word_chars FROM s),
+h AS (SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(failed AS INT)) AS DOUBLE) AS x
+      FROM (SELECT source, unnest(['base', 'symbols', 'dup_lines', 'word_chars']) AS rule,
+                   unnest([base_failed, fails_symbols, fails_dup_lines, fails_word_chars]) AS failed FROM f) GROUP BY 1, 2),
+t AS (SELECT rule, sum(n) AS N1, sum(x) AS X1, CAST(count(*) AS DOUBLE) AS H1, sum(n * n) AS nn, sum(x * x / n) AS xx FROM h GROUP BY 1),
+m AS (SELECT rule, X1 / N1 AS m, CASE WHEN H1 > 1 THEN greatest(xx - X1 * X1 / N1, 0) / (H1 - 1) ELSE 0 END AS msb,
         CASE WHEN N1 > H1 THEN greatest(X1 - xx, 0) / (N1 - H1) ELSE 0 END AS msw,
         CASE WHEN H1 > 1 THEN (N1 - nn / N1) / (H1 - 1) ELSE 1 END AS n0 FROM t),
-q AS (SELECT m, CASE WHEN msb + (n0 - 1) * msw > 0 THEN least(greatest((msb - msw) / (msb + (n0 - 1) * msw), 1e-6), 1 - 1e-6) ELSE 1e-6 END AS rho FROM m),
-v AS (SELECT source, (x + m * (1 - rho) / rho) / (n + (1 - rho) / rho) > 0.5 AS bad FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+q AS (SELECT rule, m, CASE WHEN msb + (n0 - 1) * msw > 0 THEN least(greatest((msb - msw) / (msb + (n0 - 1) * msw), 1e-6), 1 - 1e-6) ELSE 1e-6 END AS rho FROM m),
+p AS (SELECT source, rule, (x + m * (1 - rho) / rho) / (n + (1 - rho) / rho) AS rate FROM h JOIN q USING (rule)),
+v AS (SELECT source, bool_or(rule = 'base' AND rate > 0.5) AS bad, bool_or(rule = 'symbols' AND rate > 0.05) AS sym,
+             bool_or(rule = 'dup_lines' AND rate > 0.05) AS dup, bool_or(rule = 'word_chars' AND rate > 0.05) AS chars FROM p GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR bad OR fails_symbols AND sym OR fails_dup_lines AND dup OR fails_word_chars AND chars) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
 
 SQL["op12_hard_negatives"] = """

@@ -30,19 +30,25 @@ ASK = {"type": "object", "required": ["prompt", "turn"], "additionalProperties":
 
 
 def op1_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Every user turn is a call of the tool `ask`, which needs the call two turns before
-    it; every assistant turn is the result of the turn before it."""
+    """Every user turn is a call of the tool `ask`; every assistant turn is the result of the
+    turn before it. The number of a prompt's characters says what its call needs: a multiple
+    of four the call two turns later, one over nothing, two over the call two turns earlier,
+    three over the calls four and two turns earlier. So some needs point forward, and some
+    close a cycle."""
     t = read(spark, sf, "conversations")
     ident = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    rest = F.length("text") % 4
+    needs = F.when(rest == 0, F.array(F.col("turn") + 2)).when(rest == 2, F.array(F.col("turn") - 2)) \
+        .when(rest == 3, F.array(F.col("turn") - 4, F.col("turn") - 2)).otherwise(F.array().cast("array<bigint>"))
     calls = t.filter("role = 'user'").select(
         F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), ident(F.col("turn")).alias("call_id"), F.lit("ask").alias("name"),
         F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn"), F.length("text").cast("long").alias("n_chars")))
         .alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(ident(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("needs"))
+        F.transform(F.filter(needs, lambda turn: turn >= 0), ident).alias("needs"))
     results = t.filter("role = 'assistant'").select(
         F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     out = chat.tool_calls(calls, results, {"ask": ASK})
-    return out.select(F.col("conv").alias("conv_id"), "call_id", F.col("pos").alias("turn"), "result_pos", "status", "layer", "cyclic",
+    return out.select(F.col("conv").alias("conv_id"), "call_id", F.col("pos").alias("turn"), "result_pos", "n_calls", "n_results", "status", "layer", "cyclic",
                       "valid", "errors", "json")
 
 

@@ -148,3 +148,15 @@ def test_pieces_rows_and_round_trip(spark, odd, empty):
     dec = pieces.decode(spark.createDataFrame(enc), path).collect()
     assert all(r.decoded == r.text for r in dec if r.round_trip)
     assert pieces.encode(empty.select("doc_id", "text"), path).collect() == []
+
+
+def test_watched_hosts_lose_what_fails_the_rule(docs, monkeypatch):
+    good = " ".join(f"word{i}" for i in range(30))
+    signs = good + " #$#$#$"
+    rows = [(i, signs if i % 5 == 0 else good, "often") for i in range(200)] + [(1000 + i, signs if i == 0 else good, "seldom") for i in range(400)]
+    for limit in (1_000_000, 1):  # all verdicts broadcast; none but those of very large hosts
+        monkeypatch.setattr(hosts.common, "BROADCAST_ROWS", limit)
+        out = {r.doc_id: r for r in hosts.host_rules(docs(rows)).collect()}
+        assert {i for i, r in out.items() if not r.kept} == {i for i in range(0, 200, 5)}
+        assert out[0].watched_symbols and not out[1000].watched_symbols and out[1000].fails_symbols and not out[0].base_failed
+        assert not any(r.host_rejected for r in out.values()) and len(out) == len(rows)
