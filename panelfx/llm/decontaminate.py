@@ -9,14 +9,18 @@ words themselves, so a hit is verified by equality, not by a hash.
 
 Scale: the scan emits one row per window into the broadcast join and keeps only hits plus
 one marker row per document (which carries the word count), so what is shuffled is the hits
-and a few numbers per document. A window that very many documents hold gives one row per
-document and position, never pairs of documents. Spans are merged inside a document's own
-row.
-
-Defined results. Null or empty text on either side: no words, no windows. Repeated
-benchmark rows count once; a null item id counts as no item but its windows still hit.
-Rows of `documents` that repeat in full each get the same result. Empty tables: no hits.
-Overlapping or touching windows: the union of their words.
+and a few numbers per document. Where the windows are too many to broadcast, the markers
+stay out of the join, and the windows are dealt by themselves and a salt, SALT ways, so a
+window that a third of all documents hold is joined by many tasks. The pairs of window and
+item are counted on their own before they are broadcast, as one window may belong to very
+many items; beyond the bound they are salted too. No pairs of documents arise. Spans are
+merged inside a document's own row, in one pass over its sorted hits.
+
+Defined results. Null or empty text on either side: no words, no windows. Very long texts
+are scanned whole. Repeated benchmark rows count once; a null item id counts as no item but
+its windows still hit. Rows of `documents` that repeat in full each get the same result.
+Empty tables: no hits. Overlapping or touching windows: the union of their words. Ties do
+not arise. Only the named columns are read, so extra ones cannot clash.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from . import common
 WINDOW = 10
 # Bound of the broadcast: so many windows of ten words are about 100 MB.
 MAX_WINDOWS = 500_000
+# Ways a window's rows are dealt where the windows are joined by a shuffle.
+SALT = 16
 
 # The letters that are lower-cased, and what separates words.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,6 +48,20 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+# The words that sorted hits (found) cover.
+COVERED = """array_sort(array_distinct(flatten(transform(found, (x, i) -> CASE
+  WHEN i + 1 >= size(found) OR found[i + 1].e < x.e THEN sequence(x.s, x.e - 1)
+  WHEN found[i + 1].s > x.s THEN sequence(x.s, least(x.e, found[i + 1].s) - 1)
+  ELSE CAST(array() AS ARRAY<INT>) END))))"""
+
+
+def _salted(many: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """`many` joined to `table` on `key`, every key's rows of `many` dealt SALT ways."""
+    left = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALT)).cast("int"))
+    right = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def _windows(words: str, n: str, length: int) -> Column:
     return F.expr(f"CASE WHEN {n} >= {length} THEN transform(sequence(1, {n} - {length} + 1), "
                   f"i -> array_join(slice({words}, i, {length}), ' ')) ELSE array() END")
@@ -74,7 +94,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     arrays = [F.expr("array(CAST(NULL AS STRING))")] + [_windows("w", "n", k) for k in lengths]
     rows = d.select("id", "h", "n", F.posexplode(F.concat(*arrays)).alias("p", "window"))
     table = distinct.select("window", "wid")
-    rows = rows.join(F.broadcast(table) if fits else table, "window", "left").filter("p = 0 OR wid IS NOT NULL")
+    if fits:
+        rows = rows.join(F.broadcast(table), "window", "left").filter("p = 0 OR wid IS NOT NULL")
+    else:
+        marks = d.select("id", "h", "n", F.lit(0).alias("p"), F.lit(None).cast("string").alias("window"), F.lit(None).cast("long").alias("wid"))
+        rows = _salted(rows.filter("p > 0"), table, "window").unionByName(marks)
 
     # position and length of a hit follow from its place in the concatenated arrays
     start = length = F.lit(None).cast("int")
@@ -89,22 +113,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
         F.array_sort(F.collect_set(hit)).alias("found"))
     per_doc = common.stage(per_doc, "hits")
 
-    merged = F.aggregate(
-        "found", F.array().cast("array<struct<s:int,e:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
-                              F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                                  F.element_at(acc, -1)["s"].alias("s"),
-                                  F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))))
-        .otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
-    wid_items = cut.join(F.broadcast(distinct) if fits else distinct, "window").select("wid", F.col("item").cast("string").alias("item"))
+    # the covered words, each hit giving those before the next one starts where that one
+    # reaches as far; a span is a run of consecutive covered words
+    per_doc = per_doc.withColumn("covered", F.expr(COVERED))
+    edge = "filter(covered, (w, i) -> i = {at} OR covered[i {step}] <> w {step})"
+    merged = F.zip_with(F.expr(edge.format(at="0", step="- 1")), F.expr(edge.format(at="size(covered) - 1", step="+ 1")),
+                        lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
+    wid_items = cut.join(F.broadcast(table), "window") if fits else _salted(cut, table, "window")
+    wid_items = common.stage(wid_items.select("wid", F.col("item").cast("string").alias("item")), "wid-items")
     held = per_doc.filter(F.size("found") > 0).select(
         "id", "h", F.explode(F.array_distinct(F.expr("transform(found, x -> x.wid)"))).alias("wid"))
-    held = held.join(F.broadcast(wid_items) if fits else wid_items, "wid").groupBy(
-        F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    held = held.join(F.broadcast(wid_items), "wid") if wid_items.count() <= MAX_WINDOWS else _salted(held, wid_items, "wid")
+    held = held.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = per_doc.join(held, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left")
-    return out.select("id", "h", "n_rows", F.col("n").cast("long").alias("n_words"), merged.alias("spans"),
-                      F.coalesce("items", F.array().cast("array<string>")).alias("items")) \
-        .withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, x) -> a + x.e - x.s)"))
+    return out.select("id", "h", "n_rows", F.col("n").cast("long").alias("n_words"), merged.alias("spans"), F.size("covered").cast("long").alias("n_hit"),
+                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
@@ -123,18 +146,25 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", doc_i
     found = hits(docs, benchmark, doc_id, text, **kw).filter("n_hit > 0")
     if what == "documents":
         return common.join_key(docs, doc_id, text, found.select("id", "h"), "left_anti")
-    cut = common.free_name(docs, "__spans")
-    joined = common.join_key(docs, doc_id, text, found.select("id", "h", F.col("spans").alias(cut)), "left")
-    new = F.when(F.col(cut).isNull(), F.col(text)).otherwise(_without(F.col(text), F.col(cut)))
+    spans, gaps, kept, bounds = (common.free_name(docs, c) for c in ("__spans", "__gaps", "__words", "__bounds"))
+    joined = common.join_key(docs, doc_id, text, found.select("id", "h", F.col("spans").alias(spans)), "left")
+    hit = F.col(spans).isNotNull()
+    joined = joined.withColumns({
+        gaps: F.when(hit, F.split(F.col(text), WORD_ANY_CASE, -1)),
+        kept: F.when(hit, F.regexp_extract_all(F.col(text), F.lit(f"({WORD_ANY_CASE})"), F.lit(1)))})
+    joined = joined.withColumn(bounds, F.when(hit, F.concat(
+        F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))), F.col(spans),
+        F.array(F.struct(F.size(kept).alias("s"), F.lit(0).alias("e"))))))
+    new = F.when(hit, _stretches(F.col(gaps), F.col(kept), F.col(bounds))).otherwise(F.col(text))
     return joined.withColumn(text, new).select(*docs.columns)
 
 
-def _without(text: Column, spans: Column) -> Column:
-    """The text with the words of `spans`, and the gaps inside a span, left out."""
-    gaps = F.split(text, WORD_ANY_CASE, -1)
-    found = F.regexp_extract_all(text, F.lit(f"({WORD_ANY_CASE})"), F.lit(1))
-    pieces = F.transform(gaps, lambda g, i: F.concat(
-        F.when(F.exists(spans, lambda s: (s["s"] < i) & (i < s["e"])), F.lit("")).otherwise(g),
-        F.when((i >= F.size(found)) | F.exists(spans, lambda s: (s["s"] <= i) & (i < s["e"])), F.lit(""))
-        .otherwise(F.get(found, i))))
-    return F.array_join(pieces, "")
+def _stretches(gaps: Column, kept: Column, bounds: Column) -> Column:
+    """The text between the spans: stretch k has the words from the end of bound k to the
+    start of bound k + 1, the gap before each, and the gap before the span that follows."""
+    def stretch(x, k):
+        start, end = x["e"], F.get(bounds, k + 1)["s"]
+        inner = F.zip_with(F.slice(gaps, start + 1, end - start), F.slice(kept, start + 1, end - start), lambda g, w: F.concat(g, w))
+        return F.concat(F.array_join(inner, ""), F.get(gaps, end))
+
+    return F.array_join(F.transform(F.slice(bounds, 1, F.size(bounds) - 1), stretch), "")

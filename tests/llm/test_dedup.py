@@ -289,3 +289,26 @@ def test_decontamination_runs_no_python(spark, docs):
     plan = decontaminate.report(docs([(1, "a b")]).select("doc_id", "text"), spark.createDataFrame([(1, "a b")], "item_id long, text string"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert not any(w in text for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_one_window_in_very_many_items(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 100)  # the windows fit, the pairs with items do not
+    shared = "answer the next question with one of the four letters given"
+    items = [(i, shared) for i in range(10_000)] + [(-1, "two words"), (-2, "some other words that stand alone")]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    rows = [(1, f"Here: {shared}! then two words"), (2, "two, words"), (3, "none of it")]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.report(docs(rows), bench).collect()}
+    ids = ",".join(sorted(map(str, [*range(10_000), -1])))
+    assert got[1] == (15, 13, 10_001, hashlib.sha256(ids.encode()).hexdigest())
+    assert got[2] == (2, 2, 1, hashlib.sha256(b"-1").hexdigest()) and got[3][1:3] == (0, 0)
+
+
+def test_spans_of_mixed_lengths_in_a_very_long_text(spark, docs):
+    bench = spark.createDataFrame([(1, "a b"), (2, "b c d e"), (3, "z")], "item_id long, text string")
+    long = "x y, " * 300_000  # 1.5 MB
+    rows = [(1, "a b c d e f a b. Z z"), (2, f"{long}A b C {long}z."), (3, long)]
+    h = {r.id: r for r in decontaminate.hits(docs(rows), bench).collect()}
+    assert [tuple(s) for s in h[1].spans] == [(0, 5), (6, 10)] and h[1].n_hit == 9
+    assert [tuple(s) for s in h[2].spans] == [(600_000, 600_002), (1_200_003, 1_200_004)] and h[3].spans == [] and h[3].n_words == 600_000
+    cut = {r.doc_id: r.text for r in decontaminate.remove(docs(rows), bench, "spans").collect()}
+    assert cut == {1: " f ", 2: f"{long} C {long}.", 3: long}
