@@ -18,11 +18,15 @@ Scale: a slim row per chunk (digest, key, place) is aggregated to the first and
 of each digest; digests with two places are repeated. Texts travel only for repeated
 chunks, as the first occurrence's text to the documents that may lose it; each document
 compares its own bytes. A chunk that a third of all documents hold is a partial aggregate
-per task, and its text is salted: one copy for every SALT_ROWS documents.
-
-Defined results. Null text: stays null, no lines. Empty text: one empty line, kept. Rows
-that repeat in full are one document: both lose, or both keep, a chunk. Lines keep their
-own bytes, carriage returns included. Empty table: empty result.
+per task, and its text is salted: one copy for every SALT_ROWS documents. Past the bound of
+a broadcast, the digests most occurrences have are broadcast and only the rest is shuffled.
+
+Defined results. Null text: stays null, no lines. Empty text: one empty line, kept. Null id:
+an id like any other, after all of them. Very long text: cut and compared whole. Ties: of
+equal chunks the first place of the first document stays. Rows that repeat in full are one
+document: both lose, or both keep, a chunk. Lines keep their own bytes, carriage returns
+included. Columns of `docs` with the names of the counts: kept, the counts' names are
+lengthened. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ DIVISOR = 2       # a chunk ends after one line in so many
 LONG_WORDS = 50   # a line of so many words is a chunk of its own
 BASE, PRIME = 31, 1_000_003
 SALT_ROWS = 256   # documents that get a repeated chunk's text from one copy of it
+HOT_ROWS = 10_000  # occurrences from which on a digest may be kept out of a shuffle by digest
 
 SPACES = b" \t\n\v\f\r"
 
@@ -90,6 +95,20 @@ def spans(text: str | None, grow: bool = False, **kw) -> dict[int, tuple[int, in
     return out
 
 
+def _repeated(occ: DataFrame, first: DataFrame) -> DataFrame:
+    """The occurrences of the digests of `first`, with its columns. Where `first` is too large
+    to broadcast, its most frequent digests still are: those with over HOT_ROWS occurrences and
+    over one in BROADCAST_ROWS of all, so never more than BROADCAST_ROWS of them. The shuffle
+    join sees the others alone."""
+    rows = common.BROADCAST_ROWS
+    if first.count() <= rows:
+        return occ.join(F.broadcast(first), "digest")
+    hot = F.col("n") > max(HOT_ROWS, occ.count() // rows)
+    often = F.broadcast(common.stage(first.filter(hot), "often"))
+    rare = occ.join(often.select("digest"), "digest", "left_anti").join(first.filter(~hot), "digest")
+    return occ.join(often, "digest").unionByName(rare)
+
+
 STATS = ("n_lines", "n_chunks", "n_cut_lines", "n_cut_chunks")
 
 
@@ -111,7 +130,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grow:
     first = occ.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
     first = first.filter("first <> last").select(
         "digest", F.col("first.id").alias("f_id"), F.col("first.h").alias("f_h"), F.col("first.place").alias("f_place"),
-        F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+        F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"), "n")
     first = common.stage(first, "first")
 
     # the first occurrences' own texts, cut out of their documents
@@ -129,7 +148,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grow:
                                                   pa.array(got, pa.binary())], names=["digest", "body"])
 
     body = owners.mapInArrow(bodies, cut).dropDuplicates(["digest"])
-    later = occ.join(common.bounded(first), "digest").filter(
+    later = _repeated(occ, first).filter(
         ~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
           & ((F.col("place") == F.col("f_place")) | ((F.col("place") % 2 == 1) & (F.col("place") - F.col("f_place") == 2)))))
     # a document that repeats a chunk needs its text once, with all its places

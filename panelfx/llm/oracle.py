@@ -88,20 +88,32 @@ SELECT page_id, payload_bytes,
 FROM x"""
 
 SQL["op9_line_chunks"] = r"""
-WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 l AS (SELECT *, CAST(('0x' || substr(md5(line), 1, 15)) AS BIGINT) % 1000003 AS h,
         len(list_filter(regexp_split_to_array(line, '[ \t\n\v\f\r]+'), lambda x: x <> '')) >= 50 AS long,
         len(list_filter(regexp_split_to_array(line, '[ \t\n\v\f\r]+'), lambda x: x <> '')) AS nw FROM l0),
 e AS (SELECT *, CASE WHEN (coalesce(lag(h) OVER w, 0) * 31 + h) % 2 = 0 OR long OR coalesce(lead(long) OVER w, TRUE) THEN 1 ELSE 0 END AS ends
       FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-c AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
-k AS (SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body, sum(nw) AS words FROM c GROUP BY 1, 2),
-g AS (SELECT *, (n > 1 AND words > 0 OR words >= 50)
-        AND row_number() OVER (PARTITION BY body, (n > 1 AND words > 0 OR words >= 50) ORDER BY doc_id, place) > 1 AS cut FROM k)
-SELECT d.doc_id, coalesce(CAST(sum(n) AS BIGINT), 0) AS n_lines, count(place) AS n_chunks,
-       coalesce(CAST(sum(CASE WHEN cut THEN n END) AS BIGINT), 0) AS n_cut_lines, count(CASE WHEN cut THEN 1 END) AS n_cut_chunks,
-       CASE WHEN any_value(d.text) IS NOT NULL THEN md5(coalesce(string_agg(CASE WHEN NOT cut THEN body END, chr(10) ORDER BY place), '')) END AS clean_md5
-FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id"""
+c AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+k AS (SELECT min(i) AS a, max(i) + 1 AS b, doc_id, string_agg(line, chr(10) ORDER BY i) AS body, sum(nw) AS words FROM c GROUP BY doc_id, chunk),
+two AS (SELECT doc_id, i AS a, i + 2 AS b, line || chr(10) || lead(line) OVER w AS body, nw + lead(nw) OVER w AS words
+        FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, a, b, body FROM k WHERE b - a > 1 AND words > 0 OR words >= 50
+      UNION SELECT doc_id, a, b, body FROM two WHERE words > 0),
+o AS (SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS f_doc, first_value(a) OVER w AS f_a
+      FROM s WINDOW w AS (PARTITION BY body ORDER BY doc_id, a)),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS i FROM o WHERE nth > 1 AND NOT (doc_id = f_doc AND b - a = 2 AND a = f_a + 1)),
+m AS (SELECT c.doc_id, c.i, chunk, line, g.i IS NOT NULL AS hit, CASE WHEN nw > 0 OR g.i IS NOT NULL THEN g.i IS NOT NULL END AS shown
+      FROM c LEFT JOIN g ON g.doc_id = c.doc_id AND g.i = c.i),
+n AS (SELECT *, hit OR shown IS NULL
+        AND coalesce(last_value(shown IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE)
+        AND coalesce(first_value(shown IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), FALSE) AS cut FROM m),
+t AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT chunk) AS n_chunks, count(CASE WHEN cut THEN 1 END) AS n_cut_lines,
+        count(DISTINCT chunk) - count(DISTINCT CASE WHEN NOT cut THEN chunk END) AS n_cut_chunks,
+        string_agg(CASE WHEN NOT cut THEN line END, chr(10) ORDER BY i) AS rest FROM n GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_cut_lines, 0) AS n_cut_lines,
+       coalesce(n_cut_chunks, 0) AS n_cut_chunks, CASE WHEN d.text IS NOT NULL THEN md5(coalesce(rest, '')) END AS clean_md5
+FROM documents d LEFT JOIN t USING (doc_id)"""
 
 _WORDS10 = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '')"
 

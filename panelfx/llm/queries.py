@@ -81,7 +81,8 @@ def op8_brown(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return linechunks.report(read(spark, sf, "documents"))
+    """The grown rule, as the pipeline's stage applies it."""
+    return linechunks.report(read(spark, sf, "documents"), grow=True)
 
 
 def op10_host_rules(spark: SparkSession, sf: str) -> DataFrame:

@@ -226,8 +226,12 @@ def test_dedup_removes_whole_passages(docs):
     assert all(got[i] == (texts[i] if i % 2 == 0 else "\n".join(own[i])) for i in texts)
 
 
-def test_dedup_matches_plain_version(docs):
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 3])
+def test_dedup_matches_plain_version(docs, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(linechunks.common, "BROADCAST_ROWS", broadcast_rows)  # 3: the rarer digests are joined by a shuffle
     rows = list(enumerate(sample_texts(120)))
+    long = "\n".join(f"line {i} of a text of over a million letters" for i in range(30_000))
+    rows += [(300, long), (301, "its own\n" + long), (302, "x\n" + "word " * 300_000), (303, "y\n" + "word " * 300_000)]
     rows += [(200, "a\na\na\na\na"), (201, "a\na\na\na\na\nend"), (202, "p q\n\n\n\nr s\nt"), (203, "u\np q\n\n\n\nr s"), (204, "p q\n\n"), (205, "")]
     want = plain_grown(rows)
     got = {r.doc_id: r.text for r in linechunks.dedup(docs(rows)).collect()}
@@ -235,6 +239,17 @@ def test_dedup_matches_plain_version(docs):
     assert got[200] == "a\na" and got[201] == "end" and got[203] == "u" and 204 not in got
 
 
+def test_frequent_digests_stay_out_of_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(linechunks.common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(linechunks, "HOT_ROWS", 3)
+    occ = [(i, "a") for i in range(20)] + [(i, c) for c in "bcde" for i in range(2)] + [(0, "f")]
+    first = linechunks.common.stage(spark.createDataFrame([("a", 20), ("b", 2), ("c", 2), ("d", 2), ("e", 2)], "digest string, n long"), "t")
+    df = linechunks._repeated(linechunks.common.stage(spark.createDataFrame(occ, "id long, digest string"), "t"), first)
+    assert df.columns == ["digest", "id", "n"]
+    assert sorted((r.id, r.digest) for r in df.collect()) == sorted(o for o in occ if o[1] != "f")
+    assert {r.digest: r.n for r in df.collect()} == {"a": 20, "b": 2, "c": 2, "d": 2, "e": 2}
+
+
 # ------------------------------------------------------------------ decontamination
 
 def plain_words(text):
