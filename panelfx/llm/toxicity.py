@@ -2,9 +2,11 @@
 
 1. Terms: words and stems (the first 4 to 7 letters of longer words), each also as "at
    least twice" and "at least four times", so that repetition survives the unit length of
-   a vector. Over all labelled training rows (equal texts count once), the share of the
-   label's variance that a term's presence explains (phi squared) selects the feature
-   terms; at most MAX_TERMS, those with the largest share.
+   a vector. Over all labelled training rows (equal texts count once), a term whose
+   presence tells of the label beyond chance is a feature term: its chi squared passes the
+   bound that, among as many terms as are tested, lets one in by chance with probability
+   ALPHA at most. MAX_TERMS bounds the memory of their table; past it those with the
+   largest chi squared stay.
 2. Vectors: every text becomes (1 + ln tf) * idf over those terms, of unit length; the
    document frequencies are counted over all documents, labelled or not.
 3. Index: training examples with equal vectors are one entry (how many, how many toxic).
@@ -19,11 +21,14 @@
 
 Scale: texts are read twice (terms over training rows, vectors over all); all later steps
 run on slim vectors. What reaches the driver is bounded by MAX_TERMS and MAX_EXAMPLES.
-
-Defined results. Null or empty text: no terms. Repeated label rows: the label is their
-mean, at least one half. Null labels or ids: no training rows. No training rows at all:
-every score 0. Ties between neighbours: all entries of equal cosine at the k-th place
-count. Rows that repeat: each returned.
+Scoring tasks hold SCORE_ROWS rows on average, whatever the size of the vectors' files.
+
+Defined results. Null or empty text: no terms. Very long text: read whole. Repeated label
+rows: the label is their mean, at least one half. Null labels or ids: no training rows. No
+training rows at all: every score 0. Ties between neighbours: all entries of equal cosine
+at the k-th place count. Rows that repeat: each returned. Further columns of the documents
+are not looked at by `report` and kept by `reject`, whatever their names. Empty table:
+empty result.
 """
 
 from __future__ import annotations
@@ -40,10 +45,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-MAX_TERMS = 512
-MIN_PHI2 = 0.01       # a feature term explains at least so much of the label's variance
-MIN_CHI2 = 20.0       # and does so beyond chance among as many terms as a corpus has
-MIN_DOCS = 5          # and occurs in at least so many training texts
+MAX_TERMS = 65_536    # a memory bound: the table of block maxima holds 67 MB then
+ALPHA = 0.01          # probability that chance alone makes any tested term a feature term
+MIN_DOCS = 5          # tested are the terms that occur in at least so many training texts
 MAX_EXAMPLES = 8_192
 BLOCK = 64
 K = 15
@@ -53,6 +57,8 @@ THRESHOLD = 0.3
 STEMS = (4, 5, 6, 7)  # letters of a stem
 LEVELS = (2, 4)       # a term counts as one more from so many occurrences on
 MEMO = 100_000        # words a worker remembers the terms of
+MEMO_BYTES = 32 << 20  # bytes of vectors a worker remembers the scores of
+SCORE_ROWS = 50_000   # rows of a scoring task on average, at most
 
 # Every ASCII byte that is no letter or digit separates words.
 GAPS = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalnum()), b" " * sum(not chr(b).isalnum() for b in range(128)))
@@ -144,17 +150,19 @@ def term_counts(df: DataFrame, text: str, toxic: str) -> DataFrame:
 
 
 def feature_terms(train: DataFrame, text: str = "text", toxic: str = "toxic") -> list[str]:
-    """The terms that explain the label best, at most MAX_TERMS."""
+    """The terms whose presence tells of the label beyond chance, at most MAX_TERMS."""
     total = train.agg(F.count(F.lit(1)), F.sum(F.col(toxic).cast("long"))).first()
     n, n1 = total[0], total[1] or 0
     if n1 == 0 or n1 == n:
         return []
-    c = term_counts(train, text, toxic).filter(F.col("n") >= MIN_DOCS)
+    c = common.stage(term_counts(train, text, toxic).filter(F.col("n").between(MIN_DOCS, n - 1)), "terms")
+    # one degree of freedom: P(chi2 > x) <= exp(-x / 2)
+    bound = 2 * math.log(max(c.count(), 1) / ALPHA)
     cov = F.col("n_toxic") / n - F.col("n") * (n1 / n / n)
     p = F.col("n") / n
-    phi2 = cov * cov / (p * (1 - p) * ((n1 / n) * (1 - n1 / n)))
-    top = c.filter(F.col("n") < n).withColumn("phi2", phi2).filter(F.col("phi2") >= max(MIN_PHI2, MIN_CHI2 / n))
-    return [r[0] for r in top.orderBy(F.desc("phi2"), "term").limit(MAX_TERMS).collect()]
+    chi2 = n * cov * cov / (p * (1 - p) * ((n1 / n) * (1 - n1 / n)))
+    top = c.withColumn("chi2", chi2).filter(F.col("chi2") >= bound)
+    return [r[0] for r in top.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()]
 
 
 # ------------------------------------------------------------------ vectors
@@ -199,14 +207,17 @@ class Index:
         self.ids = [e[4] for e in entries]
         self.blocks = -(-len(entries) // BLOCK)
         self.block_max = np.zeros((len(idf), self.blocks))
-        lists: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for i, e in enumerate(entries):
-            for t, w in zip(e[0], self.weights(e[0], e[1])):
-                at, ws = lists.setdefault((t, i // BLOCK), ([], []))
-                at.append(i % BLOCK)
-                ws.append(w)
-                self.block_max[t, i // BLOCK] = max(self.block_max[t, i // BLOCK], w)
-        self.postings = {k: (np.array(a), np.array(w)) for k, (a, w) in lists.items()}
+        # per block: its terms in rising order, where each one's postings start, their entries and weights
+        self.postings = []
+        for b in range(self.blocks):
+            part = entries[b * BLOCK:(b + 1) * BLOCK]
+            t = np.concatenate([np.array(e[0], np.int32) for e in part])
+            w = np.concatenate([self.weights(e[0], e[1]) for e in part])
+            at = np.repeat(np.arange(len(part), dtype=np.uint8), [len(e[0]) for e in part])
+            np.maximum.at(self.block_max, (t, b), w)
+            order = np.argsort(t, kind="stable")
+            own, start = np.unique(t[order], return_index=True)
+            self.postings.append((own, np.append(start, len(t)).astype(np.int32), at[order], w[order]))
         self.empty_rate = (empty[1] + PRIOR * prior) / (empty[0] + PRIOR)
         self.steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         self.calibrate([(e[0], e[1]) for e in entries])
@@ -215,22 +226,29 @@ class Index:
         w = (1 + np.log(np.array(counts, float))) * self.idf[np.array(terms, int)]
         return w / math.sqrt(float(w @ w))
 
+    def block_scores(self, b: int, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The cosines of a block's entries: the postings of the query's terms, added up by entry."""
+        own, start, at, w = self.postings[b]
+        i = np.minimum(np.searchsorted(own, terms), len(own) - 1)
+        hit = own[i] == terms
+        i, q = i[hit], q[hit]
+        n = start[i + 1] - start[i]
+        ends = np.cumsum(n)
+        read = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[i] - ends + n, n)
+        return np.bincount(at[read], weights=np.repeat(q, n) * w[read], minlength=BLOCK).round(9)
+
     def search(self, terms, counts, k: float = K, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, entry) of the entries that hold the k nearest examples, with all of the
         last cosine; entries that share no term are no neighbours. One example of the
         entry `skip` is left out."""
-        q = self.weights(terms, counts)
-        bound = q @ self.block_max[np.array(terms, int)]
+        terms, q = np.array(terms, int), self.weights(terms, counts)
+        bound = q @ self.block_max[terms]
         found: list[tuple[float, int]] = []
         kth = 0.0  # the cosine of the k-th nearest example so far
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or bound[b] < kth - 1e-9:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, q):
-                if (p := self.postings.get((t, b))) is not None:
-                    scores[p[0]] += w * p[1]
-            scores = scores.round(9)
+            scores = self.block_scores(b, terms, q)
             at = np.flatnonzero(scores >= max(kth, 1e-9)).tolist()
             if not at:
                 continue
@@ -331,22 +349,29 @@ def score(vecs: DataFrame, index: Index | None) -> DataFrame:
     key, id_type = uuid.uuid4().hex, vecs.schema["id"].dataType
     schema = T.StructType([vecs.schema["id"], vecs.schema["h"], T.StructField("score", T.DoubleType(), False),
                            T.StructField("evidence", T.ArrayType(id_type), False)])
+    tasks = -(-vecs.count() // SCORE_ROWS)
+    if tasks > vecs.rdd.getNumPartitions():
+        vecs = vecs.repartition(tasks, "id", "h")
 
     def run(batches):
         from panelfx.llm import toxicity as here
         if here._MEMO.get("key") != key:
             here._MEMO.clear()
-            here._MEMO.update(key=key, scores={})
-        memo, index = here._MEMO["scores"], shared.value
+            here._MEMO.update(key=key, scores={}, size=0)
+        held, index = here._MEMO, shared.value
+        memo = held["scores"]
         for batch in batches:
             out = []
-            for terms, tfs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                vec = (*terms, *tfs)
+            for terms, tfs in zip(batch.column(2), batch.column(3)):
+                terms, tfs = (x.values.to_numpy(zero_copy_only=False) for x in (terms, tfs))
+                vec = terms.tobytes() + tfs.tobytes()
                 got = memo.get(vec)
                 if got is None:
                     got = index.score(terms, tfs) if index else (0.0, [])
-                    if len(memo) > 50_000:
+                    held["size"] += len(vec) + 500
+                    if held["size"] > MEMO_BYTES:
                         memo.clear()
+                        held["size"] = 0
                     memo[vec] = got
                 out.append(got)
             yield pa.RecordBatch.from_arrays([

@@ -109,6 +109,27 @@ def test_reject_learns_from_every_labelled_row(labelled):
     assert left >= {i for i, _ in rows if i % 5 and i > 6}
 
 
+def test_every_significant_term_counts(spark, docs):
+    """A lexicon of many words, each in a few toxic texts only, is found whole, past every floor
+    of explained variance; a word as frequent in both kinds is no feature."""
+    rows = []
+    for i in range(6000):
+        bad = i < 1200
+        words = [f"plain{(i * 7 + k) % 50}" for k in range(12)] + (["common"] if i % 2 else [])
+        rows.append((i, " ".join(words + ([f"q{i % 80}z"] if bad else []) + [f"n{i}"]), bad))
+    train = spark.createDataFrame(rows, "id long, text string, toxic boolean")
+    got = set(toxicity.feature_terms(train))
+    assert {f"q{k}z" for k in range(80)} <= got and "common" not in got and "plain3" not in got
+
+
+def test_scoring_tasks_are_bounded_in_rows(labelled, monkeypatch):
+    d, labels, rows = labelled
+    want = sorted((r.doc_id or -1, r.score) for r in toxicity.report(d, labels).collect())
+    monkeypatch.setattr(toxicity, "SCORE_ROWS", 20)
+    monkeypatch.setattr(toxicity, "MEMO_BYTES", 1000)
+    assert sorted((r.doc_id or -1, r.score) for r in toxicity.report(d, labels).collect()) == want
+
+
 def test_toxicity_without_rows(labelled, empty, spark):
     d, labels, rows = labelled
     assert toxicity.report(empty, labels).collect() == []
