@@ -13,9 +13,13 @@ third of all pages is one row per task there, and the join back to the slim page
 plain equi-join that adaptive execution can split. The assembly shuffles record headers,
 not payloads. A capture nests its first request and first metadata record (by record id)
 and the counts of all; nothing unbounded is collected into one row. An archive file is
-read by one task; `records_per_file` bounds it.
+read by one task, so its bytes are bounded: pages are written by classes of payload size,
+each with so few records a file that ARCHIVE_BYTES of payload are not passed (a payload
+that is larger alone has a file of its own). Only classes that occur are written. Archives
+from elsewhere are read one file to a row, so each has to be under 2 GB.
 
-Defined results. Null payload: empty payload. Null url: no target header. Null page id:
+Defined results. Null payload: empty payload. Very long payload: whole. Further columns of
+`pages` are not looked at, whatever their names. Null url: no target header. Null page id:
 read back as null. Payloads of fewer than `min_bytes` bytes are never deduplicated. Of
 equal payloads the row with the largest page id is the response, ties by record id; rows
 that repeat in full are one record, written each time, and counted in n_copies. Records
@@ -39,7 +43,8 @@ from . import common
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 12_000
+ARCHIVE_BYTES = 64 << 20  # payload bytes of an archive, unless one payload is larger
+CLASS_BYTES, CLASS_STEP, CLASSES = 16 << 10, 4, 7  # payload sizes: to 16 KB, to 64 KB, ... to 16 MB, beyond
 CRLF = "\r\n"
 
 # The digits of conv() in base 32, and the standard base32 alphabet.
@@ -78,12 +83,14 @@ def _record(kind: str, headers: list[Column], block: Column) -> Column:
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html",
-          min_bytes: int = 0, date: str = DATE, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write archives (gzip) of `pages` below `path`: three records per row."""
+          min_bytes: int = 0, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write archives (gzip) of `pages` below `path`: three records per row, at most
+    `archive_bytes` of payload in an archive unless one payload has more."""
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"),
                      F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     p = p.withColumns({"bytes": F.octet_length("payload"), "digest": base32(F.sha1(F.col("payload").cast("binary")))})
     p = p.withColumn("rid", _urn("response", F.col("page_id"), F.col("url"), F.col("digest")))
+    present = {x.size_class for x in pages.select(size_class(F.octet_length(payload)).alias("size_class")).distinct().collect()}
     owners = (p.filter(F.col("bytes") >= min_bytes).groupBy(F.col("digest").alias("o_digest"), F.col("bytes").alias("o_bytes"))
               .agg(F.max(F.struct("page_id", "rid")).alias("owner"), F.count(F.lit(1)).alias("n"))
               .filter("n > 1").select("o_digest", "o_bytes", F.col("owner.rid").alias("owner")))
@@ -107,9 +114,25 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         _header("WARC-Record-ID", _urn("metadata", rid)), when, uri, _header("WARC-Concurrent-To", rid),
         F.lit("Content-Type: application/warc-fields")],
         F.concat_ws("", _header("page-id", F.col("page_id")), F.lit(CRLF)))
-    lines = p.select(F.explode(F.array(request, capture, metadata)).alias("value"))
-    (lines.write.option("lineSep", CRLF * 2).option("compression", "gzip")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+    for k in sorted(present or {0}):
+        lines = p.filter(size_class(F.col("bytes")) == k).select(F.explode(F.array(request, capture, metadata)).alias("value"))
+        (lines.write.option("lineSep", CRLF * 2).option("compression", "gzip")
+         .option("maxRecordsPerFile", records_per_file(k, archive_bytes)).text(f"{path}/size-{k}"))
+
+
+def size_class(n: Column) -> Column:
+    """The class of a payload of n bytes: class k holds those up to CLASS_BYTES * CLASS_STEP ** k,
+    the last class the rest; null bytes count as none."""
+    out = F.lit(CLASSES - 1)
+    for k in range(CLASSES - 2, -1, -1):
+        out = F.when(F.coalesce(n, F.lit(0)) <= CLASS_BYTES * CLASS_STEP ** k, k).otherwise(out)
+    return out
+
+
+def records_per_file(k: int, archive_bytes: int = ARCHIVE_BYTES) -> int:
+    """How many records an archive of a size class may hold: three a page."""
+    largest = CLASS_BYTES * CLASS_STEP ** k
+    return 3 if k == CLASSES - 1 else 3 * max(1, archive_bytes // largest)
 
 
 def parse(stream) -> list[tuple]:
@@ -166,7 +189,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     """The records of the archives below `path` (columns as RECORD). With `payload` false
     the payload column is null; digest and length are always those of the full payload."""
     common.ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     # the session's own names for the types, so that both sides agree on them
     schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("target_uri", pa.string()),
                         ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("payload_digest", pa.string()),

@@ -43,6 +43,23 @@ def test_records_keep_payloads(spark):
     assert sorted(r.type for r in rows) == ["metadata"] * 2 + ["request"] * 2 + ["response"] * 2
 
 
+def test_archives_are_bounded_in_bytes(spark):
+    """Pages of very different sizes: no archive passes the bound unless one page alone does."""
+    import gzip as gz
+    from pathlib import Path
+    sizes = [0, 10, 16_384, 16_385, 70_000, 300_000, 1_500_000, 17_000_000] + [60_000] * 9
+    rows = [(i, f"http://{i}/", chr(97 + i) * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], PAGES).coalesce(1)
+    path = common.shared_path(spark, "t")
+    warc.write(df, path, archive_bytes=200_000)
+    files = [len(gz.decompress(f.read_bytes())) for f in Path(path.removeprefix("file:")).rglob("*.gz")]
+    assert len(files) >= 8 and sorted(f for f in files if f > 220_000) == sorted(f for f in files if f >= 300_000)
+    got = {r.payload_digest: r.payload_bytes for r in warc.read_records(spark, path, payload=False).collect() if r.type == "response"}
+    assert sorted(got.values()) == sorted(sizes)
+    assert [warc.records_per_file(k) for k in range(warc.CLASSES)] == [12_288, 3_072, 768, 192, 48, 12, 3]
+    assert {r.page_id: r.payload_bytes for r in warc.round_trip(df, common.shared_path(spark, "t")).collect()} == dict(enumerate(sizes))
+
+
 def test_parser_refuses_truncated_archives():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\n12345"
     with pytest.raises(ValueError):
