@@ -65,6 +65,8 @@ BACKOFF = 5.0
 MEMO = 100_000
 SLICE_ROWS = 2_048  # texts at once, within the bytes of a slice
 AROUND = 64        # further words whose neighbours' counts travel in one row
+PAIRS = 1 << 20    # neighbours a task counts at once
+CODES = 1 << 21    # distinct neighbours whose counts a task holds
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -368,35 +370,49 @@ def _around(ids: DataFrame, cls: np.ndarray, size: int, classes: int) -> DataFra
     j * (2 * classes + 1) plus the class before it, or classes plus the class after it, or
     2 * classes for a pair of the word with itself."""
     shared = ids.sparkSession.sparkContext.broadcast(cls.astype(np.int32))
+
+    def run(batches):
+        from panelfx.llm import brown as here
+        cells = (np.frombuffer(cell.as_buffer(), np.int32) for batch in batches for cell in batch.column(0))
+        yield from here.around_batches(cells, shared.value, size, classes)
+
+    return ids.mapInArrow(run, "block long, codes binary, n binary")
+
+
+def around_batches(cells, cls: np.ndarray, size: int, classes: int):
+    """The batches of `_around` of one task. PAIRS neighbours are counted at once and added to the counts
+    held; past CODES of these they are sent, so a task's memory does not grow with its cells."""
     width = 2 * classes + 1
     per = AROUND * width
+    codes, n = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def batch_of(held):
-        codes, n = np.unique(np.concatenate(held), return_counts=True)
+    def batch_of():
         block, first = np.unique(codes // per, return_index=True)
-        rel, n, last = (codes % per).astype(np.uint32), n.astype(np.uint32), np.append(first[1:], len(codes))
+        last = np.append(first[1:], len(codes))
         cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, last)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(block), cut(rel), cut(n)], names=["block", "codes", "n"])
-
-    def run(batches):
-        cls, held, n = shared.value, [], 0
-        for batch in batches:
-            for cell in batch.column(0):
-                s = np.frombuffer(cell.as_buffer(), np.int32)
-                x, y = s[:-1], s[1:]
-                fx, fy, same = x >= size, y >= size, (x == y) & (x >= size)
-                before, after = fy & ~same, fx & ~same
-                held += [(x[same].astype(np.int64) - size) * width + 2 * classes,
-                         (y[before].astype(np.int64) - size) * width + cls[x[before]],
-                         (x[after].astype(np.int64) - size) * width + classes + cls[y[after]]]
-                n += sum(map(len, held[-3:]))
-                if n > 8_000_000:
-                    yield batch_of(held)
-                    held, n = [], 0
-        if n:
-            yield batch_of(held)
-
-    return ids.mapInArrow(run, "block long, codes binary, n binary")
+        return pa.RecordBatch.from_arrays([pa.array(block), cut((codes % per).astype(np.uint32)), cut(n.astype(np.uint32))],
+                                          names=["block", "codes", "n"])
+
+    for cell in cells:
+        for at in range(0, max(len(cell) - 1, 0), PAIRS):
+            x, y = cell[at:at + PAIRS + 1][:-1], cell[at + 1:at + PAIRS + 1]
+            fx, fy, same = x >= size, y >= size, (x == y) & (x >= size)
+            before, after = fy & ~same, fx & ~same
+            new, times = np.unique(np.concatenate([
+                (x[same].astype(np.int64) - size) * width + 2 * classes,
+                (y[before].astype(np.int64) - size) * width + cls[x[before]],
+                (x[after].astype(np.int64) - size) * width + classes + cls[y[after]]]), return_counts=True)
+            place = codes.searchsorted(new)
+            held = np.zeros(len(new), bool)
+            inside = place < len(codes)
+            held[inside] = codes[place[inside]] == new[inside]
+            n[place[held]] += times[held]
+            codes, n = np.insert(codes, place[~held], new[~held]), np.insert(n, place[~held], times[~held])
+            if len(codes) > CODES:
+                yield batch_of()
+                codes, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(codes):
+        yield batch_of()
 
 
 def assign(ids: DataFrame, cls: np.ndarray, N: np.ndarray, size: int) -> np.ndarray:

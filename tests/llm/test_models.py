@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -309,3 +310,34 @@ def test_best_class_is_the_best_of_brute_force():
             other = of.copy()
             other[w] = c
             assert brown.likelihood(n, other) <= brown.likelihood(n, got) + 1e-6
+
+
+def test_counts_around_words_hold_little_memory(monkeypatch):
+    """What a task holds does not grow with its cells, and what it sends adds up to the plain counts."""
+    monkeypatch.setattr(brown, "PAIRS", 1000)
+    monkeypatch.setattr(brown, "CODES", 5000)
+    rng = np.random.default_rng(3)
+    size, classes, further = 20, 4, 300
+    cls = rng.integers(0, classes, size + further)
+    cells = [rng.integers(0, size + further, 30_000).astype(np.int32) for _ in range(8)] + [np.zeros(1, np.int32), np.full(2500, size, np.int32)]
+    width = 2 * classes + 1
+    want = np.zeros(further * width, np.int64)
+    for c in cells:
+        for x, y in zip(c[:-1].tolist(), c[1:].tolist()):
+            if x == y and x >= size:
+                want[(x - size) * width + 2 * classes] += 1
+                continue
+            if y >= size:
+                want[(y - size) * width + cls[x]] += 1
+            if x >= size:
+                want[(x - size) * width + classes + cls[y]] += 1
+    got = np.zeros_like(want)
+    tracemalloc.start()
+    for batch in brown.around_batches(iter(cells), cls, size, classes):
+        for b, codes, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            at = np.frombuffer(codes.as_buffer(), np.uint32).astype(np.int64) + b * brown.AROUND * width
+            assert (np.diff(at) > 0).all()
+            got[at] += np.frombuffer(n.as_buffer(), np.uint32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 1_000_000
