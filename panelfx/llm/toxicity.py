@@ -11,16 +11,18 @@
    document frequencies are counted over all documents, labelled or not.
 3. Index: training examples with equal vectors are one entry (how many, how many toxic).
    At most MAX_EXAMPLES entries, those with the lowest hash of their smallest id, are laid
-   out as an inverted index in blocks of BLOCK entries with the largest weight of each
-   (term, block). A query's bound of a block is the sum of its weights times those maxima;
-   blocks are scored in falling order of the bound until the k-th best cosine beats the
-   next bound, so the result is the exact top k.
+   out as an inverted index, the postings of the DENSE most frequent terms as rows of a
+   matrix. SEARCHES queries are multiplied with it at once and the other terms' postings
+   added: the cosines of all entries in single precision, at a cost bounded by MAX_EXAMPLES
+   and DENSE whatever the queries share. Entries that rounding cannot keep from the top k
+   are computed anew in double precision, so the result is the exact top k.
 4. Vote: neighbours vote with their cosine, towards the corpus rate by PRIOR votes; votes
    are calibrated by isotonic regression on leave-one-out votes of the index's own entries.
    A text without any feature term has no neighbours and gets the rate of such examples.
 
 Scale: texts are read twice (terms over training rows, vectors over all); all later steps
-run on slim vectors. What reaches the driver is bounded by MAX_TERMS and MAX_EXAMPLES.
+run on slim vectors. Larger tables prove more terms, so vectors grow towards all terms of their
+texts; document frequencies are therefore summed by the task, not one row per text and term. What reaches the driver is bounded by MAX_TERMS and MAX_EXAMPLES.
 Scoring tasks hold SCORE_ROWS rows on average, whatever the size of the vectors' files.
 
 Defined results. Null or empty text: no terms. Very long text: read whole. Repeated label
@@ -39,17 +41,19 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-MAX_TERMS = 65_536    # a memory bound: the table of block maxima holds 67 MB then
+MAX_TERMS = 65_536    # a memory bound: of the list of terms, and of a task's document frequencies
 ALPHA = 0.01          # probability that chance alone makes any tested term a feature term
 MIN_DOCS = 5          # tested are the terms that occur in at least so many training texts
 MAX_EXAMPLES = 8_192
-BLOCK = 64
+DENSE = 256           # terms whose postings are rows of a matrix, 32 kB each
+SEARCHES = 64         # queries searched at once
 K = 15
 PRIOR = 1.0
 THRESHOLD = 0.3
@@ -182,6 +186,24 @@ def vectors(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     return common.map_texts(df, text, fields, fn)
 
 
+def document_frequencies(vecs: DataFrame) -> DataFrame:
+    """(t, n): in how many rows a term number occurs. A task sums its rows (MAX_TERMS numbers at
+    most), so what it sends does not grow with the terms of a text."""
+
+    def run(batches):
+        n = np.zeros(0, np.int64)
+        for batch in batches:
+            part = np.bincount(pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False))
+            if len(part) > len(n):
+                n, part = part.astype(np.int64), n
+            n[:len(part)] += part
+        t = np.flatnonzero(n)
+        if len(t):
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(n[t], pa.int64())], names=["t", "n"])
+
+    return vecs.select("terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
 _CHOSEN: dict = {}
 
 
@@ -194,30 +216,34 @@ def chosen(key: str, terms: list[str]) -> Chosen:
 
 
 class Index:
-    """Block-max inverted index of unit vectors, with votes and their calibration."""
+    """Inverted index of unit vectors, with votes and their calibration."""
 
     def __init__(self, idf: np.ndarray, entries: list[tuple[list[int], list[int], int, int, object]], prior: float,
                  empty: tuple[int, int]):
         """`entries`: (terms, counts, examples, toxic examples, smallest id), no empty vectors."""
-        # entries that share their heaviest term come together, so that block maxima are sharp
+        # entries that share their heaviest term come together
         self.idf, self.prior = idf, prior
         entries = sorted(entries, key=lambda e: (max(zip(self.weights(e[0], e[1]), e[0]))[1], e[0], e[1]))
         self.n = np.array([e[2] for e in entries], float)
         self.toxic = np.array([e[3] for e in entries], float)
         self.ids = [e[4] for e in entries]
-        self.blocks = -(-len(entries) // BLOCK)
-        self.block_max = np.zeros((len(idf), self.blocks))
-        # per block: its terms in rising order, where each one's postings start, their entries and weights
-        self.postings = []
-        for b in range(self.blocks):
-            part = entries[b * BLOCK:(b + 1) * BLOCK]
-            t = np.concatenate([np.array(e[0], np.int32) for e in part])
-            w = np.concatenate([self.weights(e[0], e[1]) for e in part])
-            at = np.repeat(np.arange(len(part), dtype=np.uint8), [len(e[0]) for e in part])
-            np.maximum.at(self.block_max, (t, b), w)
-            order = np.argsort(t, kind="stable")
-            own, start = np.unique(t[order], return_index=True)
-            self.postings.append((own, np.append(start, len(t)).astype(np.int32), at[order], w[order]))
+        # the entries' vectors, one after the other
+        self.terms = np.concatenate([np.array(e[0], np.int32) for e in entries] or [np.empty(0, np.int32)])
+        self.weight = np.concatenate([self.weights(e[0], e[1]) for e in entries] or [np.empty(0)])
+        self.begin = np.cumsum([0, *[len(e[0]) for e in entries]])
+        # postings: rows of a matrix for the most frequent terms (`row` gives theirs), lists for the others
+        at = np.repeat(np.arange(len(entries), dtype=np.int32), np.diff(self.begin))
+        often = np.bincount(self.terms, minlength=len(idf))
+        top = np.argsort(-often, kind="stable")[:DENSE]
+        self.row = np.full(len(idf), -1)
+        self.row[top] = np.arange(len(top))
+        dense = self.row[self.terms] >= 0
+        self.matrix = np.zeros((len(top), len(entries)), np.float32)
+        self.matrix[self.row[self.terms[dense]], at[dense]] = self.weight[dense]
+        rest = np.flatnonzero(~dense)
+        rest = rest[np.argsort(self.terms[rest], kind="stable")]
+        self.start = np.searchsorted(self.terms[rest], np.arange(len(idf) + 1))
+        self.rest_entry, self.rest_weight = at[rest], self.weight[rest]
         self.empty_rate = (empty[1] + PRIOR * prior) / (empty[0] + PRIOR)
         self.steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         self.calibrate([(e[0], e[1]) for e in entries])
@@ -226,43 +252,61 @@ class Index:
         w = (1 + np.log(np.array(counts, float))) * self.idf[np.array(terms, int)]
         return w / math.sqrt(float(w @ w))
 
-    def block_scores(self, b: int, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """The cosines of a block's entries: the postings of the query's terms, added up by entry."""
-        own, start, at, w = self.postings[b]
-        i = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-        hit = own[i] == terms
-        i, q = i[hit], q[hit]
-        n = start[i + 1] - start[i]
-        ends = np.cumsum(n)
-        read = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[i] - ends + n, n)
-        return np.bincount(at[read], weights=np.repeat(q, n) * w[read], minlength=BLOCK).round(9)
-
-    def search(self, terms, counts, k: float = K, skip: int = -1) -> list[tuple[float, int]]:
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The cosines of queries (terms, weights) and all entries, in single precision."""
+        size = len(self.n)
+        of = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        terms, q = (np.concatenate(x) for x in zip(*queries))
+        row = self.row[terms]
+        dense = row >= 0
+        left = np.zeros((len(queries), len(self.matrix)), np.float32)
+        left[of[dense], row[dense]] = q[dense]
+        out = left @ self.matrix
+        of, terms, q = of[~dense], terms[~dense], q[~dense]
+        n = self.start[terms + 1] - self.start[terms]
+        if n.sum():
+            ends = np.cumsum(n)
+            read = np.arange(ends[-1]) + np.repeat(self.start[terms] - ends + n, n)
+            flat = np.repeat(of * size, n) + self.rest_entry[read]
+            out += np.bincount(flat, weights=np.repeat(q, n) * self.rest_weight[read], minlength=out.size).reshape(out.shape)
+        return out
+
+    def search(self, terms, counts, k: int = K, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, entry) of the entries that hold the k nearest examples, with all of the
         last cosine; entries that share no term are no neighbours. One example of the
         entry `skip` is left out."""
-        terms, q = np.array(terms, int), self.weights(terms, counts)
-        bound = q @ self.block_max[terms]
+        return self.searches([(terms, counts)], k, [skip])[0]
+
+    def searches(self, queries, k: int = K, skips=None) -> list[list[tuple[float, int]]]:
+        """`search` for each (terms, counts) of `queries`, SEARCHES at once."""
+        out = []
+        for first in range(0, len(queries), SEARCHES):
+            part = [(np.array(t, int), self.weights(t, c)) for t, c in queries[first:first + SEARCHES]]
+            scores = self.cosines(part)
+            # k + 1 entries hold k examples even if one example is left out
+            cut = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)].tolist() if scores.shape[1] > k + 1 else [0.0] * len(part)
+            for i, (terms, q) in enumerate(part):
+                slack = 1e-8 + (len(terms) + 8) * 2.0 ** -22         # twice what single precision can be off
+                near = np.flatnonzero(scores[i] >= cut[i] - slack) if cut[i] > slack else np.flatnonzero(scores[i])
+                out.append(self._exact(near, terms, q, k, skips[first + i] if skips else -1))
+        return out
+
+    def _exact(self, near: np.ndarray, terms: np.ndarray, q: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
+        """The neighbours among the entries `near`; cosines are equal to nine digits."""
+        weight = np.zeros(len(self.idf))
+        weight[terms] = q
+        n = self.begin[near + 1] - self.begin[near]
+        ends = np.cumsum(n)
+        read = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[near] - ends + n, n)
+        scores = np.bincount(np.repeat(np.arange(len(near)), n), weights=weight[self.terms[read]] * self.weight[read], minlength=len(near)).round(9)
         found: list[tuple[float, int]] = []
-        kth = 0.0  # the cosine of the k-th nearest example so far
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
+        held = 0.0
+        for i in np.lexsort((near, -scores)).tolist():
+            s, e = float(scores[i]), int(near[i])
+            if s < 1e-9 or held >= k and s < found[-1][0]:
                 break
-            scores = self.block_scores(b, terms, q)
-            at = np.flatnonzero(scores >= max(kth, 1e-9)).tolist()
-            if not at:
-                continue
-            found += [(float(scores[i]), b * BLOCK + i) for i in at]
-            found.sort(key=lambda x: (-x[0], x[1]))
-            held = 0.0
-            for at, (s, e) in enumerate(found):
-                held += self.n[e] - (e == skip)
-                if held >= k:
-                    kth = s
-                    while at + 1 < len(found) and found[at + 1][0] >= kth:
-                        at += 1
-                    del found[at + 1:]
-                    break
+            found.append((s, e))
+            held += self.n[e] - (e == skip)
         return found
 
     def vote(self, found: list[tuple[float, int]], skip: int = -1, skip_toxic: float = 0.0) -> float:
@@ -276,8 +320,7 @@ class Index:
     def calibrate(self, vecs) -> None:
         """Isotonic regression (pool adjacent violators) of the label on leave-one-out votes."""
         points = []
-        for i, (terms, counts) in enumerate(vecs):
-            found = self.search(terms, counts, skip=i)
+        for i, found in enumerate(self.searches(vecs, skips=range(len(vecs)))):
             for y, m in ((1.0, self.toxic[i]), (0.0, self.n[i] - self.toxic[i])):
                 if m > 0:
                     points.append((self.vote(found, i, y), y, m))
@@ -294,10 +337,14 @@ class Index:
 
     def score(self, terms, counts) -> tuple[float, list]:
         """The calibrated score of a vector and the smallest ids of its neighbours, nearest first."""
-        found = self.search(terms, counts) if len(terms) else []
-        if not found:
-            return float(self.empty_rate), []
-        return float(np.interp(self.vote(found), *self.steps)), [self.ids[e] for _, e in found[:K]]
+        return self.scores([(terms, counts)])[0]
+
+    def scores(self, vecs) -> list[tuple[float, list]]:
+        """`score` for each of `vecs`."""
+        some = iter(self.searches([v for v in vecs if len(v[0])]))
+        each = [next(some) if len(v[0]) else [] for v in vecs]
+        return [(float(np.interp(self.vote(found), *self.steps)), [self.ids[e] for _, e in found[:K]]) if found
+                else (float(self.empty_rate), []) for found in each]
 
 
 # ------------------------------------------------------------------ fit and score
@@ -327,7 +374,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if rows.limit(1).count() == 0:
         return terms, None, vecs
     n_docs = vecs.count()
-    df = {r[0]: r[1] for r in vecs.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
+    df = {r[0]: r[1] for r in document_frequencies(vecs).collect()}
     idf = np.array([math.log((n_docs + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
     held = vecs.dropDuplicates(["id", "h"]).join(one, ["id", "h"]).groupBy("terms", "tfs").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("y"), F.min("id").alias("id"))
@@ -360,20 +407,18 @@ def score(vecs: DataFrame, index: Index | None) -> DataFrame:
             here._MEMO.update(key=key, scores={}, size=0)
         held, index = here._MEMO, shared.value
         memo = held["scores"]
-        for batch in batches:
-            out = []
-            for terms, tfs in zip(batch.column(2), batch.column(3)):
-                terms, tfs = (x.values.to_numpy(zero_copy_only=False) for x in (terms, tfs))
-                vec = terms.tobytes() + tfs.tobytes()
-                got = memo.get(vec)
-                if got is None:
-                    got = index.score(terms, tfs) if index else (0.0, [])
-                    held["size"] += len(vec) + 500
-                    if held["size"] > MEMO_BYTES:
-                        memo.clear()
-                        held["size"] = 0
-                    memo[vec] = got
-                out.append(got)
+        for batch in (b.slice(i, 4 * SEARCHES) for b in batches for i in range(0, b.num_rows, 4 * SEARCHES)):
+            vecs = [tuple(x.values.to_numpy(zero_copy_only=False) for x in v) for v in zip(batch.column(2), batch.column(3))]
+            names_of = [terms.tobytes() + tfs.tobytes() for terms, tfs in vecs]
+            got = {v: memo[v] for v in names_of if v in memo}
+            new = {v: vec for v, vec in zip(names_of, vecs) if v not in got}
+            got.update(zip(new, index.scores(list(new.values())) if index else [(0.0, [])] * len(new)))
+            held["size"] += sum(len(v) + 500 for v in new)
+            if held["size"] > MEMO_BYTES:
+                memo.clear()
+                held["size"] = 0
+            memo.update((v, got[v]) for v in new)
+            out = [got[v] for v in names_of]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([s for s, _ in out], pa.float64()),
                 pa.array([e for _, e in out], pa.list_(arrow_type(id_type)))], names=schema.fieldNames())

@@ -55,6 +55,34 @@ def test_block_max_search_is_exact():
         assert len(got) == len(want)
 
 
+@pytest.mark.parametrize("dense", [0, 5, 100])
+def test_queries_are_searched_together(monkeypatch, dense):
+    """However many entries share a query's terms: one pass over the postings for all queries of a
+    part, and the exact neighbours whichever of the terms are rows of the matrix."""
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    index, entries, idf = index_of(700)
+    rng = random.Random(8)
+    queries = [(t, [rng.randrange(1, 5) for _ in t]) for t in (sorted(rng.sample(range(12), rng.randrange(1, 6))) for _ in range(150))]
+    calls, real = [], index.cosines
+    monkeypatch.setattr(index, "cosines", lambda q: calls.append(len(q)) or real(q))
+    got = index.searches(queries)
+    assert calls == [64, 64, 22]
+    for (terms, counts), found in zip(queries, got):
+        want = brute_nearest(entries, idf, terms, counts, toxicity.K)
+        assert np.allclose(sorted(s for s, _ in found), [w[0] for w in want], atol=2e-9)
+    some = {0, 3, 5, 7, 9}
+    assert len(index.search(sorted(some), [1, 2, 1, 3, 1], k=10_000)) == sum(bool(some & set(e[0])) for e in entries)
+
+
+def test_document_frequencies_are_summed_by_the_task(spark):
+    """No row per text and term: each task sends a term once."""
+    rows = [(list(range(i % 7)), i) for i in range(600)]
+    vecs = spark.createDataFrame(rows, "terms array<int>, id int").repartition(3)
+    got = toxicity.document_frequencies(vecs)
+    assert {r.t: r.n for r in got.collect()} == {t: sum(t < i % 7 for i in range(600)) for t in range(6)}
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
 def test_scores_are_calibrated_and_monotone():
     index, _, _ = index_of(300)
     assert (np.diff(index.steps[1]) >= 0).all() and 0 <= index.steps[1][0] and index.steps[1][-1] <= 1
