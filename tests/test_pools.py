@@ -77,3 +77,43 @@ def test_rank_counts(spark):
         mine = [v for k, v in points if k == r.k and v is not None]
         want = (None, None) if r.v is None else (sum(v < r.v for v in mine), sum(v <= r.v for v in mine))
         assert (r.n_below, r.n_upto, r.n_points) == (*want, len(mine))
+
+
+def test_expanded_cohorts_write_no_pairs(spark, monkeypatch):
+    """Rows of every cohort against plain selection, ids and first times against ranks and minima, and
+    nothing written that has a row for each cohort and unit."""
+    p = panel(spark, units=60, times=6, seed=5).withColumn("y1", F.when((F.col("u") == 9) & (F.col("t") == 2), None).otherwise(F.col("y1")))
+    p = p.withColumns({"seldom": F.when(F.col("u") % 3 == 0, (F.col("t") == F.col("u") % 5).cast("int")).otherwise(0),
+                       "often": F.when(F.col("u") % 6 == 0, (F.col("t") >= 2).cast("int")).otherwise(0)})
+    grid = cohort.cohort_grid(p.filter("u % 3 = 0"), "u", list(FLAGS), ["y1", "y2"])
+    rules = cohort.CohortRules(covariate="mob", outcome_limit=2.5, max_share=0.2)
+    written, real = [], cohort.materialize
+
+    def counted(df, name="fork"):
+        out = real(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(cohort, "materialize", counted)
+    got = cohort.build_cohorts(p, SPEC, grid, ["y1", "y2"], FLAGS, rules, carry=["y2"]).toPandas()
+    pd_ = p.toPandas()
+    assert max(written) <= 4 * len(pd_) < len(got) / 6 / 2
+    want = 0
+    for y in ("y1", "y2"):
+        whole = set(pd_.u) - set(pd_[pd_[y].isna()].u)
+        low = {u for u in whole if not (pd_[pd_.u == u][y] > 2.5).any()}
+        for e in FLAGS:
+            share, event = pd_.groupby("u")[e].mean(), pd_[pd_[e] == 1].groupby("u").t.min()
+            for k in range(0, 60, 3):
+                units = sorted({u for u in low if share[u] <= 0.2} | ({k} & whole))
+                rows = got[(got.exposure == e) & (got.outcome == y) & (got.treated_unit == k)]
+                want += len(units) * 6
+                assert sorted(zip(rows.u, rows.t)) == [(u, t) for u in units for t in range(6)]
+                assert (rows.id == rows.u.map({u: i + 1 for i, u in enumerate(units)})).all()
+                assert (rows.treated == (rows.u == k)).all() and (rows.day_one == 0).all()
+                assert (rows.event_time.isna().all() if k not in event else (rows.event_time == event[k]).all())
+                assert np.allclose(rows.avg_exposed, rows.u.map(share))
+    assert len(got) == want
+    monkeypatch.setattr(cohort, "TASK_ROWS", 100)
+    dealt = cohort.build_cohorts(p, SPEC, grid, ["y1", "y2"], FLAGS, rules, carry=["y2"], broadcast_cohorts=7)
+    assert dealt.count() == want and dealt.exceptAll(spark.createDataFrame(got, dealt.schema)).count() == 0
