@@ -598,36 +598,38 @@ def q_supplier_placebo_pvalues(spark, sf):
     return pools.placebo_pvalues(_supplier_pools(spark, sf))
 
 
-def _ragged_suppliers(spark, sf, split: int | None = None) -> DataFrame:
-    """Cohorts of suppliers without zero fill: only the months a supplier shipped in. With `split`,
-    donors with an even number are seen before that month only, odd ones from it on."""
+def _ragged_suppliers(spark, sf, split: int | None = None) -> pools.Pools:
+    """Cohorts of suppliers without zero fill: only the months a supplier shipped in, the donors stored
+    once. With `split`, donors with an even number are seen before that month only, odd ones from it on."""
     p = tp.supplier_panel(spark, sf)
     hit = (F.col("u") % 50 == 3) & (F.col("t") >= 40 + F.col("u") % 7) & (F.col("t") < 45 + F.col("u") % 7)
     p = materialize(p.select("u", "t", "mob", ratio("k", "n", "ieee").alias("r_ret"), F.when(hit, 1).otherwise(0).alias("hot")))
     grid = cohort.cohort_grid(p.filter(F.col("u") % 50 == 3).select("u"), "u", ["hot"], ["r_ret"])
     rules = cohort.CohortRules(drop_gaps=False, covariate="mob", outcome_limit=None, max_share=0.01)
-    coh = cohort.build_cohorts(p, SPEC, grid, ["r_ret"], {"hot": "hot"}, rules)
-    if split is not None:
-        early = F.col("t") < split
-        coh = coh.filter((F.col("treated") == 1) | (early & (F.col("u") % 2 == 0)) | (~early & (F.col("u") % 2 == 1)))
-    return materialize(coh.withColumn("treat", events.treated_flag(F.col("u"), F.col("treated_unit"), F.col("t"), F.col("event_time"))))
+    found = pools.build_pools(p, SPEC, grid, ["r_ret"], {"hot": "hot"}, rules, keep_lost=True)
+    if split is None:
+        return found
+    early = F.col("t") < split
+    return pools.Pools(found.rows.filter((early & (F.col("u") % 2 == 0)) | (~early & (F.col("u") % 2 == 1))), found.cohorts, found.treated)
 
 
 def q_supplier_fe_split(spark, sf):
     """Y11 on an unbalanced panel with a planted model: outcome = unit and time effects, two per
     million of the covariate, and a known effect; donors change at month 43, so whether an effect
     is identified hangs on the treated supplier's own months."""
-    coh = _ragged_suppliers(spark, sf, split=43)
+    found = _ragged_suppliers(spark, sf, split=43)
+    y = lambda u: (F.col(u) % 17) * 0.25 + (F.col("t") % 11) * 0.5 + F.col("x") * 2e-6
     lead = F.col("t") - F.col("event_time")
-    y = (F.col("u") % 17) * 0.25 + (F.col("t") % 11) * 0.5 + F.col("mob") * 2e-6 + F.when(F.col("treat") == 1, 0.1 * (1 + lead % 5)).otherwise(0.0)
-    att = fe.att_by_time(fe.fe_counterfactual(coh.withColumn("Y", y), y="Y", cov="mob", treat="treat"))
+    effect = F.when(F.col("t") >= F.col("event_time"), 0.1 * (1 + lead % 5)).otherwise(0.0)
+    planted = pools.Pools(found.rows.withColumn("Y", y("u")), found.cohorts, found.treated.withColumn("Y", y("treated_unit") + effect))
+    att = pools.att_of(pools.fe_ragged(planted))
     return _rounded(att.withColumn("beta", F.col("beta") * 1e6), ["att", "beta"], 5)
 
 
 def q_supplier_fe_certificates(spark, sf):
     """Y11's solver on the real outcome without zero fill: per cohort the connected parts, and that
     it took rounds and its residuals are free of time effects."""
-    c = fe.fe_certificates(_ragged_suppliers(spark, sf, split=43), y="Y", cov="mob", treat="treat")
+    c = pools.fe_ragged(_ragged_suppliers(spark, sf, split=43))
     return c.select(*cohort.COHORT_KEYS, "parts", (F.col("rounds") > 0).alias("iterated"),
                     ((F.col("residual_y") < 1e-10) & (F.col("residual_x") < 1e-10)).alias("certified"))
 

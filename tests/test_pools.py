@@ -117,3 +117,37 @@ def test_expanded_cohorts_write_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(cohort, "TASK_ROWS", 100)
     dealt = cohort.build_cohorts(p, SPEC, grid, ["y1", "y2"], FLAGS, rules, carry=["y2"], broadcast_cohorts=7)
     assert dealt.count() == want and dealt.exceptAll(spark.createDataFrame(got, dealt.schema)).count() == 0
+
+
+def test_ragged_pools_equal_expanded_cohorts(spark, monkeypatch):
+    """The fit from shared sums against the solver on the expanded cohorts: gaps, donors that change at one
+    time (two connected parts), treated units among the donors, one that fails a rule; and no written
+    table has a row for each cohort and unit."""
+    p = panel(spark, units=60, times=10, seed=3).filter("pmod(hash(u, t), 5) <> 0")
+    p = p.withColumn("y1", F.when((F.col("u") == 9) & (F.col("t") == 1), None).otherwise(F.col("y1")))
+    p = p.withColumns({"seldom": F.lit(0), "often": F.when((F.col("u") % 6 == 0), (F.col("t") >= 4 + F.col("u") % 4).cast("int")).otherwise(0)})
+    grid = cohort.cohort_grid(p.filter("u % 3 = 0"), "u", list(FLAGS), ["y1", "y2"])
+    rules = cohort.CohortRules(drop_gaps=False, covariate="mob", outcome_limit=None, max_share=0.01)
+    args = (p, SPEC, grid, ["y1", "y2"], FLAGS, rules)
+    stays = ((F.col("t") < 5) & (F.col("u") % 2 == 0)) | ((F.col("t") >= 5) & (F.col("u") % 2 == 1))
+    coh = cohort.build_cohorts(*args).filter((F.col("treated") == 1) | stays)
+    coh = coh.withColumn("treat", events.treated_flag(F.col("u"), F.col("treated_unit"), F.col("t"), F.col("event_time")))
+    want = fe.fe_certificates(coh).toPandas().set_index(KEYS).sort_index()
+    att = fe.att_by_time(fe.fe_counterfactual(coh, closed_form=False)).toPandas().set_index([*KEYS, "rel_time"]).sort_index()
+    written, real = [], pools.materialize
+
+    def counted(df, name="fork"):
+        out = real(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(pools, "materialize", counted)
+    found = pools.build_pools(*args, keep_lost=True)
+    fits = pools.materialize(pools.fe_ragged(pools.Pools(found.rows.filter(stays), found.cohorts, found.treated)))
+    got = fits.toPandas().set_index(KEYS).sort_index()
+    assert list(got.index) == list(want.index) and (got.parts == want.parts).all() and set(got.parts) >= {1, 2}
+    assert (got[["residual_y", "residual_x"]] < 1e-10).all(axis=None) and (got.rounds > 0).all()
+    mine = pools.att_of(fits).toPandas().set_index([*KEYS, "rel_time"]).sort_index()
+    assert list(mine.index) == list(att.index) and (mine.n_treated == att.n_treated).all() and set(mine.n_treated) == {0, 1}
+    assert np.allclose(mine.att, att.att, rtol=1e-8, equal_nan=True) and np.allclose(mine.beta, att.beta, rtol=1e-8)
+    assert max(written) <= 4 * p.count() < coh.count() / 5
