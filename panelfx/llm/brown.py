@@ -63,7 +63,8 @@ HEAD = 100_000     # most frequent words whose counts are broadcast
 DELTA = 0.5
 BACKOFF = 5.0
 MEMO = 100_000
-SLICE_ROWS = 2_048  # texts at once, within the bytes of a slice
+SLICE_ROWS = 2_048  # texts at once, and their bytes: a slice's arrays take about 20 times these
+SLICE_BYTES = 2 << 20
 AROUND = 64        # further words whose neighbours' counts travel in one row
 PAIRS = 1 << 20    # neighbours a task counts at once
 CODES = 1 << 21    # distinct neighbours whose counts a task holds
@@ -99,7 +100,7 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for start, n in common.text_slices(batch.column(0), SLICE_ROWS):
+            for start, n in common.text_slices(batch.column(0), SLICE_ROWS, SLICE_BYTES):
                 ws, at, _ = split(batch.column(0).slice(start, n))
                 times = np.bincount(at, minlength=len(ws))
                 held.append(pa.table([pa.array(ws, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"]).filter(pa.array(times > 0)))
@@ -164,6 +165,13 @@ class Items(Memo):
         self.size = 2 + len(frequent) + len(endings)
         self.keys = keys if keys is not None and len(keys) else None
 
+    def found(self, ws: list[bytes]) -> np.ndarray:
+        """The items of words, none of them remembered."""
+        s = np.fromiter(map(self.get, ws, repeat(-1)), np.int64, len(ws))
+        open_ = np.flatnonzero(s < 0)
+        s[open_] = self.many([ws[i] for i in open_.tolist()])
+        return s
+
     def many(self, ws: list[bytes]) -> np.ndarray:
         """The items of words that are not frequent."""
         out = np.array([self.endings.get(w[-TAIL:], 1) for w in ws], np.int64)
@@ -175,24 +183,36 @@ class Items(Memo):
         return out
 
 
-_ITEMS: dict = {}
+_TABLES: dict = {}     # a worker's one set of tables, that of the job it works for
+
+
+def _worker_table(key: str, kind, args):
+    if key not in _TABLES:
+        _TABLES.clear()    # an earlier job's tables go before the new ones are built
+        _TABLES[key] = kind(*args)
+    return _TABLES[key]
 
 
 def worker_items(key: str, frequent: list[bytes], endings: list[bytes], keys: np.ndarray | None = None) -> Items:
-    if key not in _ITEMS:
-        _ITEMS.clear()
-        _ITEMS[key] = Items(frequent, endings, keys)
-    return _ITEMS[key]
+    return _worker_table(key, Items, (frequent, endings, keys))
 
 
 def choose_items(counts: DataFrame, n_words: int = WORDS, n_endings: int = ENDINGS) -> tuple[list[bytes], list[bytes]]:
     frequent = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(n_words).collect()]
-    own = counts.sparkSession.createDataFrame([(w,) for w in frequent], "word binary")
-    rest = counts.join(F.broadcast(own), "word", "left_anti")  # at most n_words rows are broadcast
+    rest = counts.join(F.broadcast(_words_frame(counts, frequent)), "word", "left_anti")  # at most n_words rows are broadcast
     ends = rest.groupBy(_ending(F.col("word")).alias("e")).agg(F.sum("n").alias("n"))
     return frequent, [bytes(r[0]) for r in ends.orderBy(F.desc("n"), "e").limit(n_endings).collect()]
 
 
+def _words_frame(counts: DataFrame, frequent: list[bytes]) -> DataFrame:
+    return common.local_frame(counts.sparkSession, word=pa.array(frequent, pa.binary()))
+
+
+def _endings_frame(counts: DataFrame, frequent: list[bytes], endings: list[bytes]) -> DataFrame:
+    first = 2 + len(frequent)
+    return common.local_frame(counts.sparkSession, e=pa.array(endings, pa.binary()), item=pa.array(range(first, first + len(endings)), pa.int32()))
+
+
 def _ending(word: Column) -> Column:
     return F.when(F.octet_length(word) <= TAIL, word).otherwise(F.substring(word, -TAIL, TAIL))
 
@@ -207,7 +227,7 @@ def corpus(df: DataFrame, frequent: list[bytes], endings: list[bytes], keys: np.
         from panelfx.llm import brown as here
         item = here.worker_items(key, *shared.value)
         for batch in batches:
-            for start, n in common.text_slices(batch.column(0), SLICE_ROWS):
+            for start, n in common.text_slices(batch.column(0), SLICE_ROWS, SLICE_BYTES):
                 _, ids, _, _ = here.laid_out(item, batch.column(0).slice(start, n), 0)
                 ids = np.concatenate([np.zeros(1, np.int32), ids.astype(np.int32)])
                 yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], names=["ids"])
@@ -333,10 +353,8 @@ def likelihood(n: np.ndarray, of: np.ndarray) -> float:
 
 def further_words(counts: DataFrame, frequent: list[bytes], endings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the words over FLOOR that are not frequent, and their endings' items."""
-    spark = counts.sparkSession
-    own = spark.createDataFrame([(w,) for w in frequent], "word binary")
-    ends = spark.createDataFrame([(e, i + 2 + len(frequent)) for i, e in enumerate(endings)], "e binary, item int")
-    rest = counts.filter(F.col("n") >= FLOOR).join(F.broadcast(own), "word", "left_anti").withColumn("e", _ending(F.col("word")))
+    ends = _endings_frame(counts, frequent, endings)
+    rest = counts.filter(F.col("n") >= FLOOR).join(F.broadcast(_words_frame(counts, frequent)), "word", "left_anti").withColumn("e", _ending(F.col("word")))
     got = rest.join(F.broadcast(ends), "e", "left").select(F.xxhash64("word").alias("key"), F.coalesce("item", F.lit(1)).alias("item")) \
         .groupBy("key").agg(F.min("item").alias("item")).toArrow()
     keys, items = got.column("key").to_numpy().astype(np.int64), got.column("item").to_numpy().astype(np.int64)
@@ -460,6 +478,7 @@ class Model:
 
 def fit(train: DataFrame, text: str = "text") -> Model:
     """Fit the model on all rows of `train`."""
+    common.small_batches(train.sparkSession)
     counts = common.stage(word_counts(train, text), "counts")
     n_docs = train.count()
     n_words, v_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -478,9 +497,8 @@ def fit(train: DataFrame, text: str = "text") -> Model:
         N = bigrams(ids, cls, classes)
 
     # words and occurrences of each class: endings on the JVM, frequent words known here
-    own = counts.sparkSession.createDataFrame([(w,) for w in frequent], "word binary")
-    item_of_end = counts.sparkSession.createDataFrame([(e, i + 2 + len(frequent)) for i, e in enumerate(endings)], "e binary, item int")
-    rest = counts.join(F.broadcast(own), "word", "left_anti").withColumn("e", _ending(F.col("word")))
+    item_of_end = _endings_frame(counts, frequent, endings)
+    rest = counts.join(F.broadcast(_words_frame(counts, frequent)), "word", "left_anti").withColumn("e", _ending(F.col("word")))
     by_item = rest.join(F.broadcast(item_of_end), "e", "left").groupBy(F.coalesce("item", F.lit(1)).alias("item")).agg(
         F.count(F.lit(1)).alias("types")).collect()
     types = np.zeros(len(of))
@@ -502,6 +520,7 @@ def fit(train: DataFrame, text: str = "text") -> Model:
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_tokens, n_known, base_score (unigram), score (model)."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     d = docs.select(F.col(doc_id).alias("id"), common.text_hash(F.col(text)).alias("h"), F.col(text).alias("text"))
     key = uuid.uuid4().hex
     tables = spark.sparkContext.broadcast((model.frequent, model.endings, model.keys, model.of, model.log_trans, model.log_room,
@@ -517,7 +536,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         from panelfx.llm import brown as here
         scorer = here.worker_scorer(key, tables.value)
         for batch in batches:
-            for start, n in common.text_slices(batch.column(2), SLICE_ROWS):
+            for start, n in common.text_slices(batch.column(2), SLICE_ROWS, SLICE_BYTES):
                 part = batch.slice(start, n)
                 row, tail, times, stats = scorer.run(part.column(2))
                 m = len(tail)
@@ -560,7 +579,7 @@ class Scorer:
         c = np.array([n for _, n in head] + [0] * (int(of.max()) + 1) + [n_docs], float)
         self.end = len(c) - 1
         self.n_head = len(heads)
-        cls = np.concatenate([of[self.items.numbers(heads)] if heads else np.empty(0, np.int64),
+        cls = np.concatenate([of[self.items.found(heads)] if heads else np.empty(0, np.int64),
                               np.arange(int(of.max()) + 1), [0]]).astype(np.int64)
         is_head = np.zeros(len(c), bool)
         is_head[:self.n_head] = True
@@ -569,7 +588,7 @@ class Scorer:
         self.known = (is_head & (c > 0)).astype(np.int64)
         self.base = np.where(is_head, np.log10(c + 1) - self.room, 0.0)
         self.model = np.where(is_head, np.log10(c + DELTA), 0.0) - log_room[cls]
-        self.slots = Slots(self, heads)
+        self.slots = Slots(self.items, of, heads)
 
     def run(self, texts: pa.Array):
         """(row, word, times) of words outside the head, and per text: tokens, known, base, model."""
@@ -592,23 +611,16 @@ class Slots(Memo):
     """Where a word's numbers stand in the scorer's tables: its place in the head, or the
     place of its class behind the head."""
 
-    def __init__(self, scorer: Scorer, heads: list[bytes]):
+    def __init__(self, items: Items, of: np.ndarray, heads: list[bytes]):
         super().__init__({w: i for i, w in enumerate(heads)})
-        self.scorer = scorer
+        self.items, self.of, self.n_head = items, of, len(heads)
 
     def many(self, ws: list[bytes]) -> np.ndarray:
-        s = self.scorer
-        return s.n_head + s.of[s.items.numbers(ws)]
-
-
-_SCORERS: dict = {}
+        return self.n_head + self.of[self.items.found(ws)]     # remembered here, not there as well
 
 
 def worker_scorer(key: str, tables) -> Scorer:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(*tables)
-    return _SCORERS[key]
+    return _worker_table(key, Scorer, tables)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: tuple[int, int] = (7, 2)) -> DataFrame:

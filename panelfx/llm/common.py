@@ -10,6 +10,7 @@ null-safely).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -27,6 +28,11 @@ from panelfx import session
 SLICE_ROWS = 512
 SLICE_BYTES = 8 << 20
 
+# Rows and bytes of an Arrow batch between Spark and Python. Spark's own bound is rows alone, 10,000, so
+# long texts make batches of many MB: in the JVM outside its heap, rounded up to a power of two.
+BATCH_ROWS = 2_048
+BATCH_BYTES = 4 << 20
+
 # Rows of a side that may be broadcast: a key and a few numbers each, under 150 MB in all.
 BROADCAST_ROWS = 1_000_000
 
@@ -49,17 +55,32 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound this session's Arrow batches; smaller bounds of the session's own stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(-?\d+)b?", str(spark.conf.get(key)).lower())
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_slices(col: pa.Array, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
-    """(start, length) of consecutive slices of a text column, bounded in rows and bytes;
+def local_frame(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A frame of a few rows the driver has. From Arrow: a frame from Python rows would start Python
+    workers for their pickles, apart from those of the mapping functions."""
+    return spark.createDataFrame(pa.table(columns))
+
+
+def text_slices(col: pa.Array, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of consecutive slices of a text column, bounded in rows and bytes (`most`);
     a single text over the bound is a slice of its own."""
     start = size = 0
     lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
     for i, n in enumerate(lengths):
-        if i > start and (i - start >= rows or size + n > SLICE_BYTES):
+        if i > start and (i - start >= rows or size + n > most):
             yield start, i - start
             start, size = i, 0
         size += n

@@ -3,11 +3,13 @@
 import math
 import random
 import tracemalloc
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from panelfx.llm import brown, toxicity
+from panelfx.llm import brown, common, toxicity
 
 from .support import ODD, sample_texts
 
@@ -257,6 +259,47 @@ def test_model_sums_to_one(docs, monkeypatch):
     assert np.allclose((mass + brown.DELTA) / 10 ** model.log_room, 1)  # and one unseen word a class
 
 
+def test_brown_worker_holds_one_job_s_tables():
+    """A worker that goes on to another job drops the tables of the last, and a word is remembered once."""
+    ends = [b"ing"]
+    tables = ([b"the"], ends, np.empty(0, np.int64), np.array([0, 1, 1, 1]), np.zeros((2, 2)), np.zeros(2), [(b"the", 5)], 9, 3, 2)
+    scorer = brown.worker_scorer("scores", tables)
+    scorer.run(pa.array(["the running The other", None, "singing"]))
+    assert {b"running", b"other", b"singing"} <= set(scorer.slots) and not scorer.items.added
+    assert scorer.items.found([b"the", b"running", b"other"]).tolist() == [2, 3, 1]
+    held = weakref.ref(scorer)
+    del scorer
+    brown.worker_items("other", [b"the"], ends)
+    assert held() is None
+
+
+def test_brown_slices_are_bounded_in_bytes():
+    texts = pa.array(["x" * 700_000] * 9)
+    assert [n for _, n in common.text_slices(texts, brown.SLICE_ROWS, brown.SLICE_BYTES)] == [2, 2, 2, 2, 1]
+
+
+def test_batches_are_small_and_own_bounds_stay(spark):
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for given, want in ((("10000", "67108864b"), (common.BATCH_ROWS, common.BATCH_BYTES)), (("0", "-1"), (common.BATCH_ROWS, common.BATCH_BYTES)),
+                            (("100", "64m"), (100, common.BATCH_BYTES)), (("500", "1000"), (500, 1000))):
+            for k, v in zip(keys, given):
+                spark.conf.set(k, v)
+            common.small_batches(spark)
+            assert tuple(int(spark.conf.get(k).rstrip("b")) for k in keys) == want
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
+def test_brown_small_frames_start_no_python_rows(spark):
+    """The driver's few rows come as Arrow: no RDD of pickled rows, which would need workers of its own."""
+    for frame in (brown._words_frame(spark.range(1), [b"a", b"b"]), brown._endings_frame(spark.range(1), [b"a"], [])):
+        assert "ExistingRDD" not in frame._jdf.queryExecution().toString()
+    assert [tuple(r) for r in brown._endings_frame(spark.range(1), [b"a"], [b"x", b"y"]).collect()] == [(b"x", 3), (b"y", 4)]
+
+
 def test_brown_scores_against_plain_sums(docs, monkeypatch):
     """Class bigrams counted word by word give the model's transitions, and every text's score is
     the sum of its tokens' transition and emission, word by word."""
