@@ -233,6 +233,7 @@ FIELDS = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_p
 def _coder(df: DataFrame, model_path: str):
     """A function for tasks that gives the worker's memo of this call's model."""
     common.ship(df.sparkSession)
+    common.small_batches(df.sparkSession)
     tables = df.sparkSession.sparkContext.broadcast(Unigram(read_model(model_path)))
     key = uuid.uuid4().hex
 

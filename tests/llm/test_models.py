@@ -282,7 +282,7 @@ def test_batches_are_small_and_own_bounds_stay(spark):
     keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
     before = [spark.conf.get(k) for k in keys]
     try:
-        for given, want in ((("10000", "67108864b"), (common.BATCH_ROWS, common.BATCH_BYTES)), (("0", "-1"), (common.BATCH_ROWS, common.BATCH_BYTES)),
+        for given, want in ((("10000", "67108864b"), (common.BATCH_ROWS, common.BATCH_BYTES)), (("0", "67108864b"), (common.BATCH_ROWS, common.BATCH_BYTES)),
                             (("100", "64m"), (100, common.BATCH_BYTES)), (("500", "1000"), (500, 1000))):
             for k, v in zip(keys, given):
                 spark.conf.set(k, v)

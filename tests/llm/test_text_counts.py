@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from panelfx.llm import hosts, pieces, tokens
+from panelfx.llm import common, hosts, pieces, tokens
 from panelfx.llm.queries import vocabulary
 
 from .support import ODD, sample_texts
@@ -138,6 +138,20 @@ def test_viterbi_score_is_the_best():
         assert score == brute_segment(model, w) == sum(uni.adds[i] for i in ids)
 
 
+def test_pieces_batches_are_bounded(spark, odd):
+    """Texts go to the workers in batches of a few MB, not of 10,000 rows whatever their length."""
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("10000", "67108864b")):
+            spark.conf.set(k, v)
+        pieces.encode(odd.select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+        assert [int(spark.conf.get(k).rstrip("b")) for k in keys] == [common.BATCH_ROWS, common.BATCH_BYTES]
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
 def test_pieces_rows_and_round_trip(spark, odd, empty):
     path = vocabulary("piece_bpe_32k.model")
     enc = pieces.encode(odd.select("doc_id", "text"), path, keep_text=True).collect()
