@@ -65,6 +65,58 @@ def predictors(cohorts: DataFrame, cols: Sequence[str] = ("Y",), unit: str = "u"
     return out.select(*COHORT_KEYS, unit, "treated", t, "var", "x", "sd", "x_scaled")
 
 
+def pool_predictors(pools) -> DataFrame:
+    """Y2 for the treated units of ``pools.Pools``: (cohort keys, var, t, x, sd, x_scaled, s, m), as `predictors`
+    gives on the expanded cohorts. The spread of a cohort is its pool's with the treated unit added; s and
+    m are the sum over its donors (unscaled) and their number."""
+    pool = ["exposure", "outcome"]
+    rows, tr = pools.rows.withColumnRenamed("x", "c"), pools.treated.withColumnRenamed("x", "c")
+    cols = ["Y", "c"]
+    x = F.col("x")
+    by = rows.unpivot([*pool, "u", "t"], cols, "var", "x").groupBy(*pool, "var", "t").agg(
+        F.count(x).alias("n"), F.sum(x).alias("s"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"),
+        F.min(x).alias("low"), F.max(x).alias("high"))
+    first = rows.groupBy(*pool).agg(F.min("t").alias("__t0"))
+    own = tr.groupBy(*COHORT_KEYS, "event_time", "in_pool").agg(F.min("t").alias("__own")).join(first, pool)
+    grid = own.join(by, pool).filter(F.col("t").between(F.least("__t0", "__own"), F.col("event_time")))
+    tr = grid.join(tr.select(*COHORT_KEYS, "t", *cols).unpivot([*COHORT_KEYS, "t"], cols, "var", "x"), [*COHORT_KEYS, "var", "t"], "left")
+    tr = materialize(tr, "pool_grid")
+    if tr.filter(x.isNull() & (F.col("low") < F.col("high"))).limit(1).count():
+        raise ValueError("a treated unit lacks predictors its pool has (times or values are missing); "
+                         "drop such units before fitting (CohortRules does by default)")
+    d, n = x - F.col("mean"), F.col("n")
+    inside = F.col("in_pool")
+    var = F.when(inside, F.try_divide("m2", n - 1)).otherwise((F.col("m2") + d * d * n / (n + 1)) / n)
+    tr = tr.withColumn("sd", F.sqrt(var)).filter((F.col("sd") > 0) & (F.least("low", x) < F.greatest("high", x)))
+    return tr.select(*COHORT_KEYS, "var", "t", "x", "sd", (x / F.col("sd")).alias("x_scaled"),
+                     (F.col("s") - F.when(inside, x).otherwise(0.0)).alias("s"), (n - F.when(inside, 1).otherwise(0)).alias("m"))
+
+
+def pool_vectors(pools, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(exposure, outcome, unit, x) for the pools' donors, unscaled and once for all cohorts, and (exposure, outcome,
+    fit_unit, b, by) for the treated units of `pred` (`pool_predictors`): their scaled predictors and one over the
+    spread of each, zero for what is no predictor of that cohort. Both in (predictor, time) order."""
+    pool = ["exposure", "outcome"]
+    last = pools.cohorts.groupBy(*pool).agg(F.max("event_time").alias("__last"))
+    rows = pools.rows.join(last, pool).filter(F.col("t") <= F.col("__last")).drop("__last").withColumnRenamed("x", "c")
+    long = rows.unpivot([*pool, "u", "t"], ["Y", "c"], "var", "x")
+    cells = long.groupBy(*pool, F.col("u").alias("unit")).agg(F.array_sort(F.collect_list(F.struct("var", "t", "x"))).alias("__p"))
+    keys_of = F.transform("__p", lambda s: F.struct(s["var"], s["t"]))
+    cells = materialize(cells.withColumn("__k", keys_of), "pool_vectors")
+    shapes = cells.groupBy(*pool, "__k").agg(F.max(F.exists("__p", lambda s: s["x"].isNull()).cast("int")).alias("gap"))
+    shapes = materialize(shapes, "pool_shapes")
+    if shapes.groupBy(*pool).agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("gap")).filter("n > 1 OR gap > 0").limit(1).count():
+        raise ValueError("units of a pool have different predictor sets (times or values are missing); "
+                         "drop such units before fitting (CohortRules does by default)")
+    place = shapes.select(*pool, F.explode("__k").alias("k")).select(*pool, "k.var", "k.t")
+    grid = pred.select(*COHORT_KEYS).distinct().join(place, pool)
+    at = grid.join(pred, [*COHORT_KEYS, "var", "t"], "left").select(
+        *COHORT_KEYS, "var", "t", F.coalesce("x_scaled", F.lit(0.0)).alias("b"), F.coalesce(1 / F.col("sd"), F.lit(0.0)).alias("by"))
+    fits = at.groupBy(*COHORT_KEYS).agg(F.array_sort(F.collect_list(F.struct("var", "t", "b", "by"))).alias("p"))
+    return (cells.select(*pool, "unit", F.col("__p.x").alias("x")),
+            materialize(fits.select(*pool, F.col("treated_unit").alias("fit_unit"), F.col("p.b").alias("b"), F.col("p.by").alias("by")), "pool_fits"))
+
+
 # ------------------------------------------------------------------ numeric kernel (runs inside tasks)
 
 def _affine_minimum(G: np.ndarray) -> np.ndarray:

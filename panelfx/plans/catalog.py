@@ -724,11 +724,30 @@ def q_synth_weight_checks(spark, sf):
     return _weight_checks(pred, materialize(synth.synth_weights(pred, placebo=True)))
 
 
+def _pool_weight_checks(found: pools.Pools, pred: DataFrame, w: DataFrame) -> DataFrame:
+    """`_weight_checks` of the treated units' fits on pools: the donors' predictors from the pool's rows."""
+    keys = cohort.COHORT_KEYS
+    x = found.rows.withColumnRenamed("x", "c").unpivot([*pools.POOL, "u", "t"], ["Y", "c"], "var", "x")
+    mix = w.join(x.withColumnRenamed("u", "donor"), [*pools.POOL, "donor"]).groupBy(*keys, "var", "t").agg(
+        F.sum(F.col("weight") * F.col("x")).alias("x_syn"))
+    apart = lambda c: (F.col("x_scaled") - c / F.col("sd")) * (F.col("x_scaled") - c / F.col("sd"))
+    loss = pred.join(mix, [*keys, "var", "t"]).groupBy(*keys).agg(
+        F.sum(apart(F.col("x_syn"))).alias("loss"), F.sum(apart(F.try_divide("s", "m"))).alias("even_loss"))
+    per = w.groupBy(*keys, "fit_unit").agg(F.sum("weight").alias("total"), F.min("weight").alias("least"), F.max("gap").alias("gap"),
+                                           F.max((F.col("donor") == F.col("treated_unit")).cast("int")).alias("tr"))
+    return per.join(loss, keys).select(
+        *keys, "fit_unit", (F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"), (F.col("least") > 0).alias("positive"),
+        (F.col("tr") == 0).alias("donors_allowed"), (F.col("gap") <= 1e-8).alias("optimal"),
+        (F.col("loss") <= F.col("even_loss") * (1 + 1e-9)).alias("no_worse_than_equal"))
+
+
 def q_supplier_synth_checks(spark, sf):
-    """Y3 with suppliers as units, by column generation: every unexposed supplier is a donor, and
-    their number grows with the tables."""
-    pred = materialize(synth.predictors(_supplier_cohorts(spark, sf), cols=["Y", "mob"]))
-    return _weight_checks(pred, materialize(columns.synth_weights_columns(pred, placebo=False)))
+    """Y3 with suppliers as units, by column generation: every unexposed supplier is a donor, stored and
+    priced once for all cohorts; their number grows with the tables."""
+    found = _supplier_pools(spark, sf)
+    pred = materialize(synth.pool_predictors(found), "pool_predictors")
+    donors, fits = synth.pool_vectors(found, pred)
+    return _pool_weight_checks(found, pred, materialize(columns.synth_weights_pools(donors, fits)))
 
 
 PLANTED_MIX = {1: 0.5, 2: 0.3, 4: 0.2}

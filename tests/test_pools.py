@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelfx import PanelSpec
-from panelfx.operators import cohort, events, fe, infer, pools, ranks
+from panelfx.operators import cohort, columns, events, fe, infer, pools, ranks, synth
 
 SPEC = PanelSpec("u", "t")
 KEYS = cohort.COHORT_KEYS
@@ -58,6 +58,42 @@ def test_pools_equal_expanded_cohorts(spark, seed):
     near(pools.placebo_pvalues(pool, standardize=False), infer.placebo_pvalues(gaps, standardize=False), [*KEYS, "t"])
 
 
+@pytest.mark.parametrize("seed", [0, 3])
+def test_pool_weights_equal_expanded_cohorts(spark, seed):
+    """Predictors, weights and gaps of the treated units, with no row per cohort and donor; a predictor
+    without spread leaves, and a treated unit that is one of the pool's donors is none of its own."""
+    p = panel(spark, seed=seed).withColumn("mob", F.when(F.col("t") == 5, 0.1).otherwise(F.col("mob")))
+    grid = cohort.cohort_grid(p.filter("u % 3 = 0"), "u", list(FLAGS), ["y1", "y2"])
+    args = (p, SPEC, grid, ["y1", "y2"], FLAGS, RULES)
+    coh, pool = cohort.build_cohorts(*args), pools.build_pools(*args)
+    assert pool.treated.filter("in_pool").count() and pool.treated.filter("NOT in_pool").count()
+    full = synth.predictors(coh, cols=["Y", "mob"])
+    pred = synth.pool_predictors(pool)
+    own = full.filter("treated = 1").withColumn("var", F.when(F.col("var") == "mob", "c").otherwise(F.col("var")))
+    near(pred.select(*KEYS, "var", "t", "x", "sd", "x_scaled"), own.select(*KEYS, "var", "t", "x", "sd", "x_scaled"), [*KEYS, "var", "t"])
+    assert not pred.filter("var = 'c' AND t = 5").count()
+    donors, fits = synth.pool_vectors(pool, pred)
+    assert donors.count() == pool.rows.select("exposure", "outcome", "u").distinct().count()
+    got = columns.synth_weights_pools(donors, fits, columns=3, block_bytes=2000).toPandas()
+    want = columns.synth_weights_columns(full, placebo=False).toPandas()
+    by = [*KEYS, "fit_unit", "donor"]
+    assert list(got.columns) == list(want.columns) and not (got.donor == got.treated_unit).any() and (got.gap <= 1e-8).all()
+    both_ = got.merge(want, on=by, how="outer", suffixes=("", "_w")).fillna(0.0)
+    assert len(want) and np.allclose(both_.weight, both_.weight_w, atol=1e-5)
+    rmse = got.merge(want, on=by, suffixes=("", "_w"))
+    assert np.allclose(rmse.fit_rmse, rmse.fit_rmse_w, rtol=1e-6)
+
+
+def test_pool_with_missing_predictors_is_refused(spark):
+    rules = cohort.CohortRules(covariate="mob", outcome_limit=None, max_share=0.06, drop_gaps=False)
+    for gone, said in (("u = 1 AND t = 4", "units of a pool"), ("u = 3 AND t = 4", "a treated unit")):
+        p = panel(spark).filter(f"NOT ({gone})")
+        grid = cohort.cohort_grid(p.filter("u % 3 = 0"), "u", ["often"], ["y1"])
+        pool = pools.build_pools(p, SPEC, grid, ["y1"], {"often": "often"}, rules)
+        with pytest.raises(ValueError, match=said):
+            synth.pool_vectors(pool, synth.pool_predictors(pool))
+
+
 def test_unbalanced_pool_is_refused(spark):
     p = panel(spark).filter("NOT (u = 1 AND t = 4)")
     grid = cohort.cohort_grid(p.filter("u % 3 = 0"), "u", ["often"], ["y1"])
