@@ -155,6 +155,35 @@ def test_expanded_cohorts_write_no_pairs(spark, monkeypatch):
     assert dealt.count() == want and dealt.exceptAll(spark.createDataFrame(got, dealt.schema)).count() == 0
 
 
+def test_cohort_rows_come_from_arrays_in_one_stream(spark, monkeypatch):
+    """The returned rows are made by one inline of the cohorts' arrays, with no union behind it and no join
+    that has a row for each cohort; a donor's row meets one table row for each array, the row of a treated
+    unit that is no donor its own cohort's alone."""
+    p = panel(spark, units=60, times=6, seed=5).select(F.format_string("k%02d", "u").alias("u"), "t", "y1", "mob", "often", (F.col("u") % 3 == 0).alias("hit"))
+    p = p.withColumn("often", (F.col("hit") & (F.col("t") >= 2)).cast("int"))
+    grid = cohort.cohort_grid(p.filter("hit"), "u", ["often"], ["y1"]).unionByName(spark.createDataFrame([("often", "none", "y1"), (None, "k01", "y1")], "exposure string, treated_unit string, outcome string"))
+    rules = cohort.CohortRules(covariate="mob", outcome_limit=None, max_share=0.2)
+    whole = cohort.build_cohorts(p, SPEC, grid, ["y1"], {"often": "often"}, rules)
+    node, seen = whole._jdf.queryExecution().optimizedPlan(), []
+    while node.nodeName() in ("Project", "Generate", "Filter"):
+        seen.append(node.nodeName())
+        node = node.children().apply(0)
+    assert node.nodeName() == "Join" and seen.count("Generate") == 1
+    table = {node.children().apply(i).output().mkString(",") for i in range(2)}
+    assert sum("__cohorts" in x for x in table) == 1
+    got = whole.toPandas()
+    donors = [f"k{u:02d}" for u in range(60) if u % 3]
+    assert len(got) == (21 * 40 + 20) * 6 and set(got.treated_unit) == {f"k{u:02d}" for u in range(0, 60, 3)} | {"none"}
+    for k, rows in got.groupby("treated_unit"):
+        units = sorted({*donors, *({k} - {"none"})})
+        assert sorted(zip(rows.u, rows.t)) == [(u, t) for u in units for t in range(6)]
+        assert (rows.id == rows.u.map({u: i + 1 for i, u in enumerate(units)})).all() and (rows.treated == (rows.u == k)).all()
+    monkeypatch.setattr(cohort, "ARRAY_COHORTS", 4)
+    for bound in (200_000, 20):            # arrays broadcast, arrays dealt to blocks
+        some = cohort.build_cohorts(p, SPEC, grid, ["y1"], {"often": "often"}, rules, broadcast_cohorts=bound)
+        assert some.count() == len(got) and some.exceptAll(whole).count() == 0
+
+
 def test_ragged_pools_equal_expanded_cohorts(spark, monkeypatch):
     """The fit from shared sums against the solver on the expanded cohorts: gaps, donors that change at one
     time (two connected parts), treated units among the donors, one that fails a rule; and no written
